@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .common import table
 from .quality import op6_quality_classifier
+from .toxicity import op8_toxicity
 
 
 def queries() -> dict:
     return {
         "op6_quality_classifier": lambda s, d: op6_quality_classifier(table(s, d, "documents"), table(s, d, "labels")),
+        "op8_toxicity": lambda s, d: op8_toxicity(table(s, d, "documents"), table(s, d, "labels")),
     }
 
 
