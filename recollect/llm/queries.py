@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op10_bpe_round_trip
 from .common import table
+from .fingerprints import op3_fingerprints
 from .quality import op6_quality_classifier
 from .toxicity import op8_toxicity
 
 
 def queries() -> dict:
     return {
+        "op3_fingerprints": lambda s, d: op3_fingerprints(table(s, d, "documents")),
         "op6_quality_classifier": lambda s, d: op6_quality_classifier(table(s, d, "documents"), table(s, d, "labels")),
         "op8_toxicity": lambda s, d: op8_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op10_bpe_round_trip": lambda s, d: op10_bpe_round_trip(table(s, d, "documents")),
