@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe_round_trip
+from .chat_format import ORACLE as CHAT_ORACLE
+from .chat_format import op4_chat_format
 from .common import table
 from .fingerprints import op3_fingerprints
+from .license_scan import op1_license_scan
+from .license_scan import oracle as license_oracle
 from .quality import op6_quality_classifier
 from .toxicity import op8_toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_license_scan": lambda s, d: op1_license_scan(table(s, d, "documents")),
         "op3_fingerprints": lambda s, d: op3_fingerprints(table(s, d, "documents")),
+        "op4_chat_format": lambda s, d: op4_chat_format(table(s, d, "conversations")),
         "op6_quality_classifier": lambda s, d: op6_quality_classifier(table(s, d, "documents"), table(s, d, "labels")),
         "op8_toxicity": lambda s, d: op8_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op10_bpe_round_trip": lambda s, d: op10_bpe_round_trip(table(s, d, "documents")),
@@ -19,4 +25,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op1_license_scan": license_oracle(), "op4_chat_format": CHAT_ORACLE}
