@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op9_nearest_neighbours
 from .bpe import op10_bpe_round_trip
 from .chat_format import ORACLE as CHAT_ORACLE
 from .chat_format import op4_chat_format
@@ -9,17 +10,22 @@ from .common import table
 from .fingerprints import op3_fingerprints
 from .license_scan import op1_license_scan
 from .license_scan import oracle as license_oracle
+from .mixing import op7_mixing
 from .quality import op6_quality_classifier
+from .token_counts import op2_token_counts
 from .toxicity import op8_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": lambda s, d: op1_license_scan(table(s, d, "documents")),
+        "op2_token_counts": lambda s, d: op2_token_counts(table(s, d, "documents")),
         "op3_fingerprints": lambda s, d: op3_fingerprints(table(s, d, "documents")),
         "op4_chat_format": lambda s, d: op4_chat_format(table(s, d, "conversations")),
         "op6_quality_classifier": lambda s, d: op6_quality_classifier(table(s, d, "documents"), table(s, d, "labels")),
+        "op7_mixing": lambda s, d: op7_mixing(table(s, d, "documents")),
         "op8_toxicity": lambda s, d: op8_toxicity(table(s, d, "documents"), table(s, d, "labels")),
+        "op9_nearest_neighbours": lambda s, d: op9_nearest_neighbours(table(s, d, "embeddings")),
         "op10_bpe_round_trip": lambda s, d: op10_bpe_round_trip(table(s, d, "documents")),
     }
 
