@@ -11,6 +11,7 @@ from .fingerprints import op3_fingerprints
 from .license_scan import op1_license_scan
 from .license_scan import oracle as license_oracle
 from .mixing import op7_mixing
+from .ngram_join import op5_ngram_jaccard_join
 from .quality import op6_quality_classifier
 from .token_counts import op2_token_counts
 from .toxicity import op8_toxicity
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op2_token_counts": lambda s, d: op2_token_counts(table(s, d, "documents")),
         "op3_fingerprints": lambda s, d: op3_fingerprints(table(s, d, "documents")),
         "op4_chat_format": lambda s, d: op4_chat_format(table(s, d, "conversations")),
+        "op5_ngram_jaccard_join": lambda s, d: op5_ngram_jaccard_join(table(s, d, "documents")),
         "op6_quality_classifier": lambda s, d: op6_quality_classifier(table(s, d, "documents"), table(s, d, "labels")),
         "op7_mixing": lambda s, d: op7_mixing(table(s, d, "documents")),
         "op8_toxicity": lambda s, d: op8_toxicity(table(s, d, "documents"), table(s, d, "labels")),
