@@ -15,7 +15,8 @@ never merges across such a cut, so a text's ids are its words' ids in a row.
 4. decode: ids pick their pieces from the id-to-piece table (one piece for each
    id of the vocabulary, a bounded table sent to every executor).
 
-Step 1 is kept in the checkpoint folder, as two branches read it. No group grows
+Two branches run step 1 over the same table, and a block is named by its
+content, so documents must come in a stable order, as from files. No group grows
 with the corpus: a word's rows stream by, one a block.
 
 Edge cases: null text counts as empty, empty texts have no ids; the control
@@ -25,6 +26,7 @@ are encoded each; an empty table gives no rows; other columns don't matter.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import struct
@@ -34,11 +36,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, checkpointed, n_partitions, small_batches
+from .common import BLOCK_BYTES, n_partitions, small_batches
 
 #: Words that an executor remembers at most.
 KNOWN = 400_000
@@ -125,8 +126,7 @@ def block_rows(special: tuple[str, ...], buckets: int):
     """Step 1. kind 0: the words of one bucket; kind 1: documents and positions of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for turn, (ids, texts) in enumerate(blocks(batches)):
+        for ids, texts in blocks(batches):
             number: dict[str, int] = {}
             at, counts = [], []
             for t in texts:
@@ -135,14 +135,14 @@ def block_rows(special: tuple[str, ...], buckets: int):
                 at.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
             raw = [w.encode("utf-8", "surrogatepass") for w in number]
             home = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
-            order = np.argsort(home, kind="stable").astype(np.uint32)
+            order = np.array(sorted(range(len(raw)), key=lambda i: (home[i], raw[i])), np.uint32)  # like words side by side pack better
             # words are numbered bucket by bucket, so that a bucket's words need no numbers of their own
             rank = np.empty(len(raw), np.uint32)
             rank[order] = np.arange(len(raw), dtype=np.uint32)
             at = rank[np.concatenate(at)] if len(raw) else np.empty(0, np.uint32)
             docs = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(counts, pa.int64())})
             body = packed([np.array([i is None for i in ids], np.uint8).tobytes(), docs.column(0).fill_null(0).to_numpy().tobytes(), docs.column(1).to_numpy().tobytes(), at.tobytes()])
-            block = f"{part}-{turn}"
+            block = hashlib.blake2b(body, digest_size=16).hexdigest()  # the same in either branch
             out = {"block": [block], "kind": [1], "bucket": [-1], "body": [body]}
             ends = np.searchsorted(home[order], np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(ends)):
@@ -188,10 +188,15 @@ def taken(values: np.ndarray, lengths: np.ndarray, pick: np.ndarray) -> tuple[np
 
 def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 3: rows sorted by block, kind and bucket, a block's words before its positions, to documents with their ids."""
-    lengths, values = [], []
+    at_block, at_bucket, lengths, values = None, None, [], []
     for b in batches:
-        for kind, body in zip(b.column("kind").to_pylist(), b.column("body").to_pylist(), strict=True):
+        for block, kind, bucket, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if block != at_block:
+                at_block, at_bucket, lengths, values = block, None, [], []
             if kind == 0:
+                if bucket == at_bucket:  # equal blocks have equal words
+                    continue
+                at_bucket = bucket
                 n, raw = unpacked(body)
                 lengths.append(n // 4)
                 values.append(np.frombuffer(raw, np.uint32))
@@ -203,7 +208,6 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.frombuffer(raw[ends[2] :], np.uint32)
             per_word = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
             all_ids = np.concatenate(values) if values else np.empty(0, np.uint32)
-            lengths, values = [], []
             stop = np.cumsum(counts)
             for a in range(0, len(docs), 256):  # some documents at a time, for memory
                 z = min(a + 256, len(docs))
@@ -217,7 +221,7 @@ def encode(documents: DataFrame, path: str, buckets: int | None = None) -> DataF
     spark = documents.sparkSession
     small_batches(spark)
     vocabulary, n = Vocabulary(path), n_partitions(spark)
-    split_rows = checkpointed(documents.select("doc_id", "text").mapInArrow(block_rows(tuple(vocabulary.special), buckets or 2 * n), ROWS))
+    split_rows = documents.select("doc_id", "text").mapInArrow(block_rows(tuple(vocabulary.special), buckets or 2 * n), ROWS)
     words = split_rows.where("kind = 0").repartition(n, "bucket").mapInArrow(word_ids(vocabulary), ROWS)
     rows = words.unionByName(split_rows.where("kind = 1")).repartition(n, "block")
     return rows.sortWithinPartitions("block", "kind", "bucket").mapInArrow(joined, "doc_id long, ids binary")

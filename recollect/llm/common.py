@@ -28,14 +28,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage in the folder of spark.checkpoint.dir, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; only where that is unset, as in tests, one of this machine."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoints"))
+    return context.getCheckpointDir()
 
-    Only where that is unset, as in tests, a folder of this machine is used.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut off from its lineage, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

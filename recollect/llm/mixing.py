@@ -50,7 +50,7 @@ def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w, times in Counter([w[:TOPIC_LETTERS].lower() for w in words if len(w) >= TOPIC_LETTERS]).items():
                 votes[zlib.crc32(w.encode("utf-8", "surrogatepass")) % TOPICS] += times
             topic.append(votes.index(max(votes)))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("lang"), pa.array(n, pa.int64()), pa.array(topic, pa.int32())], names=["doc_id", "source", "lang", "n_tokens", "topic"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(topic, pa.int32())], names=[*b.schema.names, "n_tokens", "topic"])
 
 
 def rake(cells: list[tuple], tokens: np.ndarray, targets: dict[str, dict] | None = None, rounds: int = 500, tolerance: float = 1e-9) -> np.ndarray:
@@ -100,11 +100,13 @@ def folded(c: str, known: list) -> Column:
     return F.when(value.isin(known), value).otherwise(F.lit("other"))
 
 
-def mixed(documents: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP) -> DataFrame:
-    """(doc_id, source, lang, n_tokens, topic, weight, probability, capped, sampled) for every document."""
+def mixed(documents: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP, columns: tuple[str, ...] = ("doc_id", "source", "lang")) -> DataFrame:
+    """The columns of every document with n_tokens, topic, weight, probability, capped, sampled."""
     spark = documents.sparkSession
     small_batches(spark)
-    rows = documents.select("doc_id", "source", "lang", "text").mapInArrow(described, "doc_id long, source string, lang string, n_tokens long, topic int")
+    rows = documents.select(*columns, *(c for c in ("doc_id", "source", "lang", "text") if c not in columns))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", n_tokens long, topic int"
+    rows = rows.mapInArrow(described, schema)
     for c, most in (("source", MAX_SOURCES), ("lang", MAX_LANGS)):
         value = F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("none"))
         top = documents.groupBy(value.alias("value")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n")).orderBy(F.desc("n"), "value").limit(most).collect()
@@ -115,7 +117,13 @@ def mixed(documents: DataFrame, targets: dict[str, dict] | None = None, keep: fl
     p = probabilities(weight, tokens, keep) if len(cells) else weight
     table = spark.createDataFrame([(*c, float(w), float(q)) for c, w, q in zip(cells, weight, p, strict=True)], "source_margin string, lang_margin string, topic int, weight double, probability double")
     rows = rows.join(F.broadcast(table), ["source_margin", "lang_margin", "topic"])
-    return rows.select("doc_id", "source", "lang", "n_tokens", "topic", "weight", "probability", (F.col("probability") >= 1).alias("capped"), (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))
+    return rows.select(*columns, "n_tokens", "topic", "weight", "probability", (F.col("probability") >= 1).alias("capped"), (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))
+
+
+def draw(documents: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP) -> DataFrame:
+    """The documents drawn, with their own columns."""
+    columns = tuple(documents.columns)
+    return mixed(documents, targets, keep, columns).where("sampled").select(*columns)
 
 
 def op7_mixing(documents: DataFrame) -> DataFrame:
