@@ -111,7 +111,8 @@ def exact_scores(rows: DataFrame, query: str, limit: int = 300) -> DataFrame:
     anchors = [i for i, t in enumerate(terms) if t in T.anchor_tokens(terms)]
     hit = total([(F.col(f"tf{i}") > 0).cast("int") for i in anchors]) > 0 if anchors else None
     top = ranked.where(strong_enough(matched, terms, hit)).withColumn("matched", matched).orderBy(F.desc("bm25"), "id").limit(limit)
-    close = proximity(rows, terms).select("id", F.col("score").alias("prox"))
+    top = top.select("id", "bm25", "matched")
+    close = proximity(rows.join(F.broadcast(top.select("id")), "id", "left_semi"), terms).select("id", F.col("score").alias("prox"))
     legs.append(top.join(close, "id", "left").select("id", (50 / (1 + F.abs("bm25")) + 3 * F.col("matched") ** 2 + F.coalesce("prox", F.lit(0))).alias("score")))
     union = reduce(DataFrame.unionByName, legs)
     best = union.groupBy("id").agg(F.round(F.max("score"), 4).alias("score"))

@@ -62,19 +62,16 @@ def search(chunks: DataFrame, query: str, vector: DataFrame | None = None, mode:
     """
     if mode not in ("exact", "fts", "lexical", "vector", "semantic", "hybrid"):
         raise ValueError(f"unknown mode: {mode}")
-    legs = []
+    legs, own = [], None
     if mode not in ("vector", "semantic"):
-        legs.append(lexical.exact_scores(chunks.select("id", "text"), query, exact_limit))
+        # at most exact_limit rows: scored once, then known to both legs
+        found = lexical.exact_scores(chunks.select("id", "text"), query, exact_limit).collect()
+        legs.append(chunks.sparkSession.createDataFrame([(r.id, r.score) for r in found], chunks.select("id", F.lit(0.0).alias("score")).schema))
+        own = None if union or not found else legs[0].select("id")
     if mode in ("vector", "semantic", "hybrid") and vector is not None:
-        own = None if union or not legs else legs[0].select("id")
-        near = vectors.vector_topk(chunks.select("id", "embedding"), vector, vector_limit, own)
-        if own is not None:  # without any exact hit the vectors stand alone
-            alone = vectors.vector_topk(chunks.select("id", "embedding"), vector, vector_limit)
-            none = own.agg((F.count("*") == 0).alias("none"))
-            near = near.unionByName(alone.crossJoin(F.broadcast(none)).where("none").drop("none"))
-        legs.append(near)
+        legs.append(vectors.vector_topk(chunks.select("id", "embedding"), vector, vector_limit, own if own is None else F.broadcast(own)))
     hits = reduce(DataFrame.unionByName, legs).groupBy("id").agg(F.sum("score").alias("score"))
-    rows = hits.join(chunks, "id")
+    rows = chunks.join(F.broadcast(hits), "id")  # exact_limit + vector_limit rows at most
     rows = rows.withColumn("score", adjusted(rows, query, now))
     return capped(rows.select("id", "source_ref", "score"), per_session, limit)
 
