@@ -57,6 +57,8 @@ def rake(cells: list[tuple], tokens: np.ndarray, targets: dict[str, dict] | None
     """A weight for each cell, so that weighted tokens meet the margins' target shares (of MARGINS, in order)."""
     tokens = np.asarray(tokens, float)
     total = tokens.sum()
+    if not cells or total <= 0:
+        return np.ones(len(cells))
     margins = []
     for m, name in enumerate(MARGINS):
         values = sorted({c[m] for c in cells}, key=str)

@@ -17,8 +17,9 @@ when 100 * intersection >= 80 * union. Links and their components are exact:
    verified against the one whose shared shingles begin first; what this links
    needs no further pairs among itself, as only components are asked for.
 5. candidates: all pairs of different components so far that share a prefix
-   shingle, kept if sizes, shared count and the shingles left behind the prefix
-   allow t in common, and verified on whole sets.
+   shingle, if sizes, the shingles left behind it and those before it that either
+   shares with anyone leave room for t in common; then counted, held against l
+   and t once more, and verified on whole sets.
 
 Posting lists are packed by hash bucket of the shingle and live in as many
 buckets as the session has shuffle partitions; a bucket works through one
@@ -183,7 +184,7 @@ def prefix(s: np.ndarray, order: Order) -> tuple[np.ndarray, int]:
 # 3: posting lists
 
 POSTING = pa.schema([("bucket", pa.int32()), ("body", pa.binary())])
-KINDS = ("u8", "i8", "i8", "i4", "i4", "i4")  # shingle, document, set size, position, prefix length, l
+KINDS = ("u8", "i8", "i8", "i4", "i4", "i4", "i4")  # shingle, document, set size, position, prefix length, l, shared shingles before
 
 
 def prefixes(shared):
@@ -202,6 +203,18 @@ def prefixes(shared):
     return run
 
 
+def home_of(token: np.ndarray, buckets: int) -> np.ndarray:
+    return ((token >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def dealt(home: np.ndarray, cols: tuple | list, buckets: int) -> pa.RecordBatch:
+    """Postings packed by the bucket that is their home."""
+    by = np.argsort(home, kind="stable")
+    edge = np.searchsorted(home[by], np.arange(buckets + 1))
+    some = np.flatnonzero(np.diff(edge))
+    return batch(POSTING, [some, [blob(*(c[by[edge[k] : edge[k + 1]]] for c in cols)) for k in some]])
+
+
 def posted(buckets: int):
     """Prefixes to posting lists packed by bucket."""
 
@@ -213,12 +226,8 @@ def posted(buckets: int):
             token = np.concatenate([t for *_, t in held])
             doc, n, l = (np.repeat(np.array([h[k] for h in held], np.int64), length) for k in range(3))
             pos = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
-            cols = token, doc, n, pos.astype("i4"), np.repeat(length, length).astype("i4"), l.astype("i4")
-            home = (token >> np.uint64(20)) % np.uint64(buckets)
-            by = np.argsort(home, kind="stable")
-            edge = np.searchsorted(home[by], np.arange(buckets + 1, dtype=np.uint64))
-            some = np.flatnonzero(np.diff(edge))
-            return batch(POSTING, [some, [blob(*(c[by[edge[k] : edge[k + 1]]] for c in cols)) for k in some]])
+            cols = token, doc, n, pos.astype("i4"), np.repeat(length, length).astype("i4"), l.astype("i4"), np.zeros(len(token), "i4")
+            return dealt(home_of(token, buckets), cols, buckets)
 
         for b in batches:
             for doc, n, l, raw in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "l", "tokens")), strict=True):
@@ -247,38 +256,75 @@ def by_bucket(batches: Iterator[pa.RecordBatch], *kinds: str) -> Iterator[tuple[
         yield at, [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Posting lists of one bucket, sorted by shingle, those of one document left out."""
-    for bucket, cols in by_bucket(batches, *KINDS):
-        by = np.lexsort((cols[3], cols[0]))
-        token = cols[0][by]
-        again = np.zeros(len(token), bool)
-        same = token[1:] == token[:-1]
-        again[1:] |= same
-        again[:-1] |= same
-        if again.any():
-            yield batch(POSTING, [[bucket], [blob(*(c[by][again] for c in cols))]])
+def shared_only(buckets: int):
+    """Postings of one bucket but for those of shingles that one document alone has, dealt anew by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cols in by_bucket(batches, *KINDS):
+            by = np.argsort(cols[0], kind="stable")
+            token = cols[0][by]
+            again = np.zeros(len(token), bool)
+            same = token[1:] == token[:-1]
+            again[1:] |= same
+            again[:-1] |= same
+            if again.any():
+                cols = [c[by][again] for c in cols]
+                yield dealt((cols[1] * 0x9E3779B1 >> 16) % buckets, cols, buckets)
+
+    return run
+
 
+def ranked(buckets: int):
+    """Postings dealt by document to postings dealt by shingle, with the number of shared shingles that stand before each."""
 
-def may_link(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Whether sets of n and m that share the shingle at positions p and q can share enough."""
-    need = -(-80 * (n + m) // 180)
-    return (100 * np.minimum(n, m) >= 80 * np.maximum(n, m)) & (np.minimum(p, q) + np.minimum(n - p, m - q) >= need)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cols in by_bucket(batches, *KINDS):
+            by = np.lexsort((cols[3], cols[1]))
+            cols = [c[by] for c in cols]
+            begin = np.flatnonzero(np.concatenate([[True], cols[1][1:] != cols[1][:-1]]))
+            size = np.diff(np.append(begin, len(by)))
+            cols[6] = (np.arange(len(by)) - np.repeat(begin, size)).astype("i4")
+            # what stands before and behind must leave room for the least overlap of any link
+            cols = [c[100 * (cols[6] + cols[2] - cols[3]) >= 80 * cols[2]] for c in cols]
+            if len(cols[0]):
+                yield dealt(home_of(cols[0], buckets), cols, buckets)
+
+    return run
+
+
+def may_link(i: np.ndarray, j: np.ndarray, cols: list[np.ndarray]) -> np.ndarray:
+    """Whether the documents of postings i and j can share enough.
+
+    Before the shingle they share at most as many as either shares with anyone,
+    behind it as many as either has left.
+    """
+    n, m = cols[2][i], cols[2][j]
+    before = np.minimum(cols[6][i], cols[6][j])
+    behind = np.minimum(n - cols[3][i], m - cols[3][j])
+    return (100 * np.minimum(n, m) >= 80 * np.maximum(n, m)) & (180 * (before + behind) >= 80 * (n + m))
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def sorted_lists(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Postings by shingle, then by set size."""
+    by = np.lexsort((cols[1], cols[2], cols[0]))
+    return [c[by] for c in cols]
+
+
 def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """4: pairs of a dense group's first document with each other one."""
-    for _, (token, doc, n, pos, _, _) in by_bucket(batches, *KINDS):
+    for _, cols in by_bucket(batches, *KINDS):
+        cols = sorted_lists(cols)
+        token, doc, n, pos, _, _, before = cols
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(begin, len(token)))
         dense = np.repeat(size >= DENSE, size)
-        # the first position, then the smallest set, then the least document
-        by = np.lexsort((doc, n, pos, token))
+        # the fewest shingles of its own, then the smallest set, then the least document
+        by = np.lexsort((doc, n, (pos - before) / n, token))
         head = np.repeat(by[begin], size)
-        ok = dense & (doc[head] != doc) & may_link(n[head], n, pos[head].astype("i8"), pos.astype("i8"))
+        ok = dense & (doc[head] != doc) & may_link(head, np.arange(len(doc)), cols)
         if ok.any():
             pairs = np.unique(np.stack([doc[head][ok], doc[ok]], 1), axis=0)
             yield batch(PAIR, [pairs[:, 0], pairs[:, 1]])
@@ -289,7 +335,7 @@ HIT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hits", pa.int64()), ("n
 
 def hits_of(i: np.ndarray, j: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
     """Pairs of postings i and j, counted by pair of documents."""
-    _, doc, n, pos, length, l = cols
+    _, doc, n, pos, length, l, _ = cols
     swap = doc[i] > doc[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
     by = np.lexsort((doc[j], doc[i]))
@@ -309,8 +355,7 @@ def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [c[~known] for c in cols]
         if not len(cols[0]):
             continue
-        by = np.lexsort((cols[2], cols[0]))
-        cols = [c[by] for c in cols]
+        cols = sorted_lists(cols)
         token, doc, n, pos = cols[:4]
         own = doc.copy()
         if len(label_doc):
@@ -337,7 +382,7 @@ def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             j = i + 1 + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
             ok = own[i] != own[j]
             i, j = i[ok], j[ok]
-            ok = may_link(n[i], n[j], pos[i].astype("i8"), pos[j].astype("i8"))
+            ok = may_link(i, j, cols)
             held_i.append(i[ok])
             held_j.append(j[ok])
             held += int(ok.sum())
@@ -352,7 +397,8 @@ def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, bucket): in which buckets the documents of dense groups are."""
     schema = pa.schema([("doc", pa.int64()), ("bucket", pa.int32())])
-    for bucket, (token, doc, *_) in by_bucket(batches, *KINDS):
+    for bucket, cols in by_bucket(batches, *KINDS):
+        token, doc = sorted_lists(cols)[:2]
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(begin, len(token)))
         some = np.unique(doc[np.repeat(size >= DENSE, size)])
@@ -369,7 +415,7 @@ def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             on = bucket == k
             m = int(on.sum())
             zero = np.zeros(m, "i4")
-            yield batch(POSTING, [[k], [blob(np.zeros(m, "u8"), doc[on].astype("i8"), label[on].astype("i8"), zero, zero, zero - 1)]])
+            yield batch(POSTING, [[k], [blob(np.zeros(m, "u8"), doc[on].astype("i8"), label[on].astype("i8"), zero, zero, zero - 1, zero)]])
 
 
 # verification
@@ -466,8 +512,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     order = spark.sparkContext.broadcast(Order(tally["token"].to_numpy(np.int64).view(np.uint64), tally["n"].to_numpy(np.int64)))
 
     first = documents.mapInArrow(prefixes(order), "doc_id long, key binary, n long, l int, tokens binary").join(classes, ["doc_id", "key"])
-    lists = first.mapInArrow(posted(n), "bucket int, body binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    lists = checkpointed(lists.mapInArrow(grouped, "bucket int, body binary"))
+    lists = first.mapInArrow(posted(n), "bucket int, body binary")
+    for step in (shared_only(n), ranked(n)):
+        lists = lists.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(step, "bucket int, body binary")
+    lists = checkpointed(lists.repartition(n, "bucket").sortWithinPartitions("bucket"))
 
     pairs = checkpointed(lists.mapInArrow(spread, "a long, b long").distinct())
     sure = checkpointed(linked(documents, classes, pairs))
