@@ -18,8 +18,9 @@ when 100 * intersection >= 80 * union. Links and their components are exact:
    needs no further pairs among itself, as only components are asked for.
 5. candidates: all pairs of different components so far that share a prefix
    shingle, if sizes, the shingles left behind it and those before it that either
-   shares with anyone leave room for t in common; then counted, held against l
-   and t once more, and verified on whole sets.
+   shares with anyone leave room for t in common, and if bits of their prefixes'
+   shared shingles leave room for l and t; then counted, held against l and t
+   once more, and verified on whole sets.
 
 Posting lists are packed by hash bucket of the shingle and live in as many
 buckets as the session has shuffle partitions; a bucket works through one
@@ -184,7 +185,8 @@ def prefix(s: np.ndarray, order: Order) -> tuple[np.ndarray, int]:
 # 3: posting lists
 
 POSTING = pa.schema([("bucket", pa.int32()), ("body", pa.binary())])
-KINDS = ("u8", "i8", "i8", "i4", "i4", "i4", "i4")  # shingle, document, set size, position, prefix length, l, shared shingles before
+KINDS = ("u8", "i8", "i8", "i4", "i4", "i4", "i4", "i4", "u8", "u8", "u8", "u8")
+# shingle, document, set size, position, prefix length, l, shared shingles before it and in the prefix, and which these are, as bits
 
 
 def prefixes(shared):
@@ -207,6 +209,11 @@ def home_of(token: np.ndarray, buckets: int) -> np.ndarray:
     return ((token >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
+def blank(n: int) -> list[np.ndarray]:
+    """The columns that ranked() fills."""
+    return [np.zeros(n, k) for k in KINDS[6:]]
+
+
 def dealt(home: np.ndarray, cols: tuple | list, buckets: int) -> pa.RecordBatch:
     """Postings packed by the bucket that is their home."""
     by = np.argsort(home, kind="stable")
@@ -226,7 +233,7 @@ def posted(buckets: int):
             token = np.concatenate([t for *_, t in held])
             doc, n, l = (np.repeat(np.array([h[k] for h in held], np.int64), length) for k in range(3))
             pos = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
-            cols = token, doc, n, pos.astype("i4"), np.repeat(length, length).astype("i4"), l.astype("i4"), np.zeros(len(token), "i4")
+            cols = token, doc, n, pos.astype("i4"), np.repeat(length, length).astype("i4"), l.astype("i4"), *blank(len(token))
             return dealt(home_of(token, buckets), cols, buckets)
 
         for b in batches:
@@ -284,6 +291,11 @@ def ranked(buckets: int):
             begin = np.flatnonzero(np.concatenate([[True], cols[1][1:] != cols[1][:-1]]))
             size = np.diff(np.append(begin, len(by)))
             cols[6] = (np.arange(len(by)) - np.repeat(begin, size)).astype("i4")
+            cols[7] = np.repeat(size, size).astype("i4")
+            bit = cols[0] >> np.uint64(40)
+            for k in range(4):
+                own = np.where((bit >> np.uint64(6)) % np.uint64(4) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+                cols[8 + k] = np.repeat(np.bitwise_or.reduceat(own, begin), size)
             # what stands before and behind must leave room for the least overlap of any link
             cols = [c[100 * (cols[6] + cols[2] - cols[3]) >= 80 * cols[2]] for c in cols]
             if len(cols[0]):
@@ -304,6 +316,19 @@ def may_link(i: np.ndarray, j: np.ndarray, cols: list[np.ndarray]) -> np.ndarray
     return (100 * np.minimum(n, m) >= 80 * np.maximum(n, m)) & (180 * (before + behind) >= 80 * (n + m))
 
 
+def may_count(i: np.ndarray, j: np.ndarray, cols: list[np.ndarray]) -> np.ndarray:
+    """Whether the prefixes of postings i and j can share l shingles, and enough beside what lies behind them.
+
+    A shingle whose bit the other document lacks is not in the other's prefix.
+    """
+    n, m, p, q = cols[2][i], cols[2][j], cols[3][i], cols[3][j]
+    lacks_i = sum(np.bitwise_count(c[i] & ~c[j]).astype(np.int64) for c in cols[8:])
+    lacks_j = sum(np.bitwise_count(c[j] & ~c[i]).astype(np.int64) for c in cols[8:])
+    shared = np.minimum(cols[7][i] - lacks_i, cols[7][j] - lacks_j)
+    rest = np.maximum(np.minimum(n - cols[4][i], m - q - 1), np.minimum(m - cols[4][j], n - p - 1))
+    return (shared >= np.minimum(cols[5][i], cols[5][j])) & (180 * (shared + rest) >= 80 * (n + m))
+
+
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -317,7 +342,7 @@ def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """4: pairs of a dense group's first document with each other one."""
     for _, cols in by_bucket(batches, *KINDS):
         cols = sorted_lists(cols)
-        token, doc, n, pos, _, _, before = cols
+        token, doc, n, pos, _, _, before = cols[:7]
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(begin, len(token)))
         dense = np.repeat(size >= DENSE, size)
@@ -335,7 +360,7 @@ HIT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hits", pa.int64()), ("n
 
 def hits_of(i: np.ndarray, j: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
     """Pairs of postings i and j, counted by pair of documents."""
-    _, doc, n, pos, length, l, _ = cols
+    _, doc, n, pos, length, l = cols[:6]
     swap = doc[i] > doc[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
     by = np.lexsort((doc[j], doc[i]))
@@ -383,6 +408,8 @@ def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = own[i] != own[j]
             i, j = i[ok], j[ok]
             ok = may_link(i, j, cols)
+            i, j = i[ok], j[ok]
+            ok = may_count(i, j, cols)
             held_i.append(i[ok])
             held_j.append(j[ok])
             held += int(ok.sum())
@@ -415,7 +442,7 @@ def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             on = bucket == k
             m = int(on.sum())
             zero = np.zeros(m, "i4")
-            yield batch(POSTING, [[k], [blob(np.zeros(m, "u8"), doc[on].astype("i8"), label[on].astype("i8"), zero, zero, zero - 1, zero)]])
+            yield batch(POSTING, [[k], [blob(np.zeros(m, "u8"), doc[on].astype("i8"), label[on].astype("i8"), zero, zero, zero - 1, *blank(m))]])
 
 
 # verification
