@@ -15,9 +15,9 @@ never merges across such a cut, so a text's ids are its words' ids in a row.
 4. decode: ids pick their pieces from the id-to-piece table (one piece for each
    id of the vocabulary, a bounded table sent to every executor).
 
-Two branches run step 1 over the same table, and a block is named by its
-content, so documents must come in a stable order, as from files. No group grows
-with the corpus: a word's rows stream by, one a block.
+Words and positions are two passes over the same table, and a block is named by
+its content, so documents must come in a stable order, as from files.
+No group grows with the corpus: a word's rows stream by, one a block.
 
 Edge cases: null text counts as empty, empty texts have no ids; the control
 string of the vocabulary becomes its own id, as the library does; repeated rows
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import struct
 import zlib
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import BLOCK_BYTES, n_partitions, small_batches
 
 #: Words that an executor remembers at most.
-KNOWN = 400_000
+KNOWN = 200_000
 CUT = re.compile(r"(?= \S)")
 BAD = re.compile(r" (?:\s|$)")
 
@@ -60,12 +61,13 @@ class Vocabulary:
 
     def encode(self, words: list[str]) -> list[list[int]]:
         if self.tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def pieces(self) -> list[bytes]:
         """The id-to-piece table: the bytes that each id stands for."""
@@ -97,7 +99,7 @@ def split(text: str, special: tuple[str, ...] = ()) -> list[str]:
 def packed(parts: list[bytes]) -> bytes:
     """Byte strings as one compressed string."""
     lengths = np.fromiter(map(len, parts), np.uint32, len(parts))
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(parts)) + lengths.tobytes() + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<I", len(parts)) + lengths.tobytes() + b"".join(parts))
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, bytes]:
@@ -107,6 +109,15 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, bytes]:
     return np.frombuffer(raw, np.uint32, n, 4), raw[4 + 4 * n :]
 
 
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers as all their first bytes, all their second ones and so on, which packs better."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def of_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
     """Ids and texts of some MB of documents at a time."""
     ids, texts, size = [], [], 0
@@ -122,8 +133,43 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[
         yield ids, texts
 
 
-def block_rows(special: tuple[str, ...], buckets: int):
-    """Step 1. kind 0: the words of one bucket; kind 1: documents and positions of the block."""
+def ordered(words, buckets: int) -> tuple[list[bytes], np.ndarray]:
+    """Distinct words by bucket, like ones side by side, and where buckets end; the same from the same words."""
+    raw = sorted(w.encode("utf-8", "surrogatepass") for w in words)
+    home = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
+    by = np.argsort(home, kind="stable")
+    return [raw[i] for i in by], np.searchsorted(home[by], np.arange(buckets + 1))
+
+
+def name_of(ids: list[int], texts: list[str]) -> str:
+    """A block's name, from its content."""
+    h = hashlib.blake2b(repr(ids).encode(), digest_size=16)
+    for t in texts:
+        h.update(t.encode("utf-8", "surrogatepass"))
+        h.update(b"\0")
+    return h.hexdigest()
+
+
+SCHEMA = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary())])
+
+
+def word_rows(special: tuple[str, ...], buckets: int):
+    """Step 1, rows of kind 0: the distinct words of a block that one bucket holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in blocks(batches):
+            words: set[str] = set()
+            for t in texts:
+                words.update(split(t, special))
+            raw, ends = ordered(words, buckets)
+            some = np.flatnonzero(np.diff(ends)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([name_of(ids, texts)] * len(some), pa.string()), pa.array([0] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([packed(raw[ends[k] : ends[k + 1]]) for k in some], pa.binary())], schema=SCHEMA)
+
+    return run
+
+
+def position_rows(special: tuple[str, ...], buckets: int):
+    """Step 1, rows of kind 1: a block's documents and the number of the word at every position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in blocks(batches):
@@ -133,22 +179,11 @@ def block_rows(special: tuple[str, ...], buckets: int):
                 words = split(t, special)
                 counts.append(len(words))
                 at.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
-            raw = [w.encode("utf-8", "surrogatepass") for w in number]
-            home = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
-            order = np.array(sorted(range(len(raw)), key=lambda i: (home[i], raw[i])), np.uint32)  # like words side by side pack better
-            # words are numbered bucket by bucket, so that a bucket's words need no numbers of their own
-            rank = np.empty(len(raw), np.uint32)
-            rank[order] = np.arange(len(raw), dtype=np.uint32)
-            at = rank[np.concatenate(at)] if len(raw) else np.empty(0, np.uint32)
-            docs = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(counts, pa.int64())})
-            body = packed([np.array([i is None for i in ids], np.uint8).tobytes(), docs.column(0).fill_null(0).to_numpy().tobytes(), docs.column(1).to_numpy().tobytes(), at.tobytes()])
-            block = hashlib.blake2b(body, digest_size=16).hexdigest()  # the same in either branch
-            out = {"block": [block], "kind": [1], "bucket": [-1], "body": [body]}
-            ends = np.searchsorted(home[order], np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(ends)):
-                for key, x in zip(out, (block, 0, int(k), packed([raw[i] for i in order[ends[k] : ends[k + 1]]])), strict=True):
-                    out[key].append(x)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("block", pa.string()), ("kind", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary())]))
+            place = {w: i for i, w in enumerate(ordered(number, buckets)[0])}
+            rank = np.fromiter((place[w.encode("utf-8", "surrogatepass")] for w in number), np.uint32, len(number))
+            at = rank[np.concatenate(at)]
+            body = packed([np.array([i is None for i in ids], np.uint8).tobytes(), np.array([i or 0 for i in ids], np.int64).tobytes(), np.array(counts, np.int64).tobytes(), planes(at)])
+            yield pa.RecordBatch.from_arrays([pa.array([name_of(ids, texts)]), pa.array([1], pa.int32()), pa.array([-1], pa.int32()), pa.array([body], pa.binary())], schema=SCHEMA)
 
     return run
 
@@ -172,7 +207,8 @@ def word_ids(vocabulary: Vocabulary):
                 if new := [w for w in words if w not in known]:
                     for w, ids in zip(new, vocabulary.encode([w.decode("utf-8", "surrogatepass") for w in new]), strict=True):
                         known[w] = np.array(ids, np.uint32).tobytes()
-                bodies.append(packed([known[w] for w in words]))
+                ids = [known[w] for w in words]
+                bodies.append(packed([np.fromiter((len(x) // 4 for x in ids), np.uint8 if max(map(len, ids)) < 1024 else np.uint32).tobytes(), planes(np.frombuffer(b"".join(ids), np.uint32))]))
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("kind"), b.column("bucket"), pa.array(bodies, pa.binary())], names=["block", "kind", "bucket", "body"])
 
     return run
@@ -197,15 +233,17 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if bucket == at_bucket:  # equal blocks have equal words
                     continue
                 at_bucket = bucket
-                n, raw = unpacked(body)
-                lengths.append(n // 4)
-                values.append(np.frombuffer(raw, np.uint32))
+                (cut, _), raw = unpacked(body)
+                ids = of_planes(raw[cut:])
+                n = np.frombuffer(raw[:cut], np.uint8)
+                lengths.append((n if int(n.sum()) == len(ids) else n.view(np.uint32)).astype(np.int64))
+                values.append(ids)
                 continue
             sizes, raw = unpacked(body)
             ends = np.cumsum(sizes)
             null = np.frombuffer(raw[: ends[0]], np.uint8).astype(bool)
             docs, counts = np.frombuffer(raw[ends[0] : ends[1]], np.int64), np.frombuffer(raw[ends[1] : ends[2]], np.int64)
-            at = np.frombuffer(raw[ends[2] :], np.uint32)
+            at = of_planes(raw[ends[2] :])
             per_word = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
             all_ids = np.concatenate(values) if values else np.empty(0, np.uint32)
             stop = np.cumsum(counts)
@@ -221,9 +259,9 @@ def encode(documents: DataFrame, path: str, buckets: int | None = None) -> DataF
     spark = documents.sparkSession
     small_batches(spark)
     vocabulary, n = Vocabulary(path), n_partitions(spark)
-    split_rows = documents.select("doc_id", "text").mapInArrow(block_rows(tuple(vocabulary.special), buckets or 2 * n), ROWS)
-    words = split_rows.where("kind = 0").repartition(n, "bucket").mapInArrow(word_ids(vocabulary), ROWS)
-    rows = words.unionByName(split_rows.where("kind = 1")).repartition(n, "block")
+    texts, special, buckets = documents.select("doc_id", "text"), tuple(vocabulary.special), buckets or 2 * n
+    words = texts.mapInArrow(word_rows(special, buckets), ROWS).repartition(n, "bucket").mapInArrow(word_ids(vocabulary), ROWS)
+    rows = words.unionByName(texts.mapInArrow(position_rows(special, buckets), ROWS)).repartition(n, "block")
     return rows.sortWithinPartitions("block", "kind", "bucket").mapInArrow(joined, "doc_id long, ids binary")
 
 
