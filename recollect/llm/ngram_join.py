@@ -566,3 +566,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def op5_ngram_jaccard_join(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     return near_duplicates(documents)
+
+
+#: All pairs that share a shingle, then everything reachable by links.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+), size AS (SELECT doc_id, len(s) AS n FROM s),
+g AS (SELECT doc_id, unnest(s) AS g FROM s),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM met JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM size UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
+SELECT size.doc_id, n AS n_shingles, min(reach.b) AS component_id FROM size JOIN reach ON reach.a = size.doc_id GROUP BY size.doc_id, n
+"""

@@ -11,6 +11,7 @@ from .fingerprints import op3_fingerprints
 from .license_scan import op1_license_scan
 from .license_scan import oracle as license_oracle
 from .mixing import op7_mixing
+from .ngram_join import ORACLE as JOIN_ORACLE
 from .ngram_join import op5_ngram_jaccard_join
 from .quality import op6_quality_classifier
 from .token_counts import op2_token_counts
@@ -33,4 +34,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_scan": license_oracle(), "op4_chat_format": CHAT_ORACLE}
+    return {"op1_license_scan": license_oracle(), "op4_chat_format": CHAT_ORACLE, "op5_ngram_jaccard_join": JOIN_ORACLE}
