@@ -7,9 +7,13 @@ no cut outside of its place. SECTION paragraphs in a row, cut by content too,
 make a section. Every node is the hash of its children's hashes.
 
 A fingerprint is text: the root, then the sections, each with its hash and its
-leaves (hash and code points). Equal roots mean equal texts; where roots differ,
-sections with equal hashes are skipped and the leaves of the others locate the
-edits; likeness is the share of code points that lie in leaves of both.
+leaves (hash and code points). The leaves of the tree follow one rule in texts
+of every length; a text of up to SMALL code points has its single words beside
+them, one of up to TINY also its runs of 4 code points, and two fingerprints are
+compared at the finest grain that both have. Equal roots mean equal texts; where
+roots differ, sections with equal hashes are skipped and the leaves of the
+others locate the edits; likeness is the share of code points that lie in leaves
+of both.
 
 Edge cases: null text counts as empty, which has a root and no leaves; equal
 texts have equal fingerprints; repeated rows follow each other in the order of
@@ -34,7 +38,7 @@ from .common import n_partitions, small_batches
 CUT, LEAF_WORDS = 4, 16
 #: A section ends after a paragraph whose hash is a multiple of this.
 SECTION = 8
-#: Code points of texts whose leaves are single words, or 4 code points.
+#: Code points of texts that have single words, or 4 code points, beside the leaves of the tree.
 SMALL, TINY = 400, 48
 
 
@@ -42,10 +46,8 @@ def digest(raw: bytes, size: int) -> str:
     return hashlib.blake2b(raw, digest_size=size).hexdigest()
 
 
-def leaves(paragraph: str, known: dict[str, bool], size: int) -> list[str]:
-    """The paragraph cut after words chosen by their content; in small texts after each word, or each 4 code points."""
-    if size <= TINY:
-        return [paragraph[i : i + 4] for i in range(0, len(paragraph), 4)]
+def leaves(paragraph: str, known: dict[str, bool], single: bool = False) -> list[str]:
+    """The paragraph cut after words chosen by their content, or after each word."""
     out, at, begin, n = [], 0, 0, 0
     for word in paragraph.split(" "):
         at += len(word) + 1
@@ -53,7 +55,7 @@ def leaves(paragraph: str, known: dict[str, bool], size: int) -> list[str]:
         cut = known.get(word)
         if cut is None:
             cut = known[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % CUT == 0
-        if cut or n == LEAF_WORDS or size <= SMALL:
+        if cut or n == LEAF_WORDS or single:
             out.append(paragraph[begin:at])
             begin, n = at, 0
     if begin < len(paragraph):
@@ -61,16 +63,25 @@ def leaves(paragraph: str, known: dict[str, bool], size: int) -> list[str]:
     return out
 
 
+def named(parts: list[str], hashes: list[str]) -> list[str]:
+    return [f"{h[:8]}{len(p)}" for h, p in zip(hashes, parts, strict=True)]
+
+
+def hashed(parts: list[str]) -> list[str]:
+    return [digest(p.encode("utf-8", "surrogatepass"), 12) for p in parts]
+
+
 def fingerprint(text: str | None, known: dict[str, bool] | None = None) -> str:
-    """root|section:leaf,leaf|section:leaf,...; a leaf is 8 hex digits and its code points."""
+    """root|section:leaf,leaf|section:leaf,...;words;runs; a leaf is 8 hex digits and its code points, as are words and runs of small texts."""
     known = {} if known is None else known
     if len(known) > 500_000:
         known.clear()
     sections, own, inner = [], [], []
-    for paragraph in (text or "").splitlines(keepends=True):
-        parts = leaves(paragraph, known, len(text))
-        hashes = [digest(p.encode("utf-8", "surrogatepass"), 12) for p in parts]
-        own += [f"{h[:8]}{len(p)}" for h, p in zip(hashes, parts, strict=True)]
+    paragraphs = (text or "").splitlines(keepends=True)
+    for paragraph in paragraphs:
+        parts = leaves(paragraph, known)
+        hashes = hashed(parts)
+        own += named(parts, hashes)
         inner.append(digest("".join(hashes).encode(), 16))
         if int(inner[-1][:8], 16) % SECTION == 0:
             sections.append((digest("".join(inner).encode(), 16), own))
@@ -78,15 +89,29 @@ def fingerprint(text: str | None, known: dict[str, bool] | None = None) -> str:
     if inner:
         sections.append((digest("".join(inner).encode(), 16), own))
     root = digest("".join(h for h, _ in sections).encode(), 32)
-    return "|".join([root, *(f"{h}:{','.join(x)}" for h, x in sections)])
+    out = "|".join([root, *(f"{h}:{','.join(x)}" for h, x in sections)])
+    if text and len(text) <= SMALL:
+        words = [w for p in paragraphs for w in leaves(p, known, True)]
+        out += f";{','.join(named(words, hashed(words)))}"
+        if len(text) <= TINY:
+            runs = [p[i : i + 4] for p in paragraphs for i in range(0, len(p), 4)]
+            out += f";{','.join(named(runs, hashed(runs)))}"
+    return out
+
+
+def branches(a: str, b: str) -> tuple[list[str], list[str]]:
+    """What a and b hold at the finest grain that both have: the sections of the trees, or all words, or all runs, as one section."""
+    grains = [x.split(";") for x in (a, b)]
+    k = min(map(len, grains)) - 1
+    left, right = ([f":{x[k]}"] if k else x[0].split("|")[1:] for x in grains)
+    return left, right
 
 
 def likeness(a: str, b: str) -> float:
     """The share of all code points, of both texts, that lie in leaves of both; equal roots are 1."""
-    root_a, *a = a.split("|")
-    root_b, *b = b.split("|")
-    if root_a == root_b:
+    if a.split(";")[0].split("|")[0] == b.split(";")[0].split("|")[0]:
         return 1.0
+    a, b = branches(a, b)
     same = Counter(a) & Counter(b)  # equal branches need no descent
     both = sum(int(x[8:]) * n for s, n in same.items() for x in s.split(":")[1].split(","))
     left, right = (Counter(x for s in (Counter(t) - same).elements() for x in s.split(":")[1].split(",")) for t in (a, b))
@@ -97,8 +122,9 @@ def likeness(a: str, b: str) -> float:
 
 def differing(a: str, b: str) -> list[tuple[int, int]]:
     """Where b's text holds leaves that a lacks: stretches of code points [start, end) of b."""
-    rest, at, out = Counter(x for s in a.split("|")[1:] for x in s.split(":")[1].split(",")), 0, []
-    for leaf in (x for s in b.split("|")[1:] for x in s.split(":")[1].split(",")):
+    a, b = branches(a, b)
+    rest, at, out = Counter(x for s in a for x in s.split(":")[1].split(",")), 0, []
+    for leaf in (x for s in b for x in s.split(":")[1].split(",")):
         n = int(leaf[8:])
         if rest[leaf]:
             rest[leaf] -= 1

@@ -116,6 +116,17 @@ def test_branches_locate_edits():
     assert fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b)) > 0.9
 
 
+def test_near_copies_across_lengths():
+    text = " ".join(f"word{i * 7919 % 1009} of{i}" for i in range(60))
+    for long, short in ((fingerprints.SMALL + 5, fingerprints.SMALL - 5), (fingerprints.SMALL + 40, fingerprints.SMALL - 40)):
+        a, b = text[:long], text[:short]
+        assert fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b)) > 0.7
+        found = fingerprints.differing(fingerprints.fingerprint(b), fingerprints.fingerprint(a))
+        assert sum(e - s for s, e in found) < 150
+    a, b = text[: fingerprints.TINY + 4], text[: fingerprints.TINY - 4]
+    assert fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b)) > 0.6
+
+
 # 4
 
 
