@@ -2,9 +2,12 @@
 
 The root covers sections, a section covers paragraphs, a paragraph covers
 leaves. Paragraphs are lines; a long paragraph is cut into leaves where the
-content says so (after a word whose hash is a multiple of CUT), so an edit moves
-no cut outside of its place. SECTION paragraphs in a row, cut by content too,
-make a section. Every node is the hash of its children's hashes.
+content says so (after a word whose hash is a multiple of CUT, and inside a word
+of more than LEAST code points after NEAR code points whose hash is a multiple
+of INNER), so an edit moves no cut outside of its place. Runs without spaces, such as
+Chinese or base64, are so cut as well: a word is at most MOST code points, and a
+leaf LEAF_WORDS words. SECTION paragraphs in a row, cut by content too, make a
+section. Every node is the hash of its children's hashes.
 
 A fingerprint is text: the root, then the sections, each with its hash and its
 leaves (hash and code points). The leaves of the tree follow one rule in texts
@@ -36,6 +39,8 @@ from .common import n_partitions, small_batches
 
 #: A leaf ends after a word whose hash is a multiple of this, or after LEAF_WORDS words.
 CUT, LEAF_WORDS = 4, 16
+#: A cut inside a word comes after LEAST code points at the earliest, after MOST at the latest, else where the hash of the last NEAR is a multiple of INNER.
+LEAST, MOST, NEAR, INNER = 16, 64, 4, 8
 #: A section ends after a paragraph whose hash is a multiple of this.
 SECTION = 8
 #: Code points of texts that have single words, or 4 code points, beside the leaves of the tree.
@@ -46,10 +51,28 @@ def digest(raw: bytes, size: int) -> str:
     return hashlib.blake2b(raw, digest_size=size).hexdigest()
 
 
+def cuts(word: str) -> list[int]:
+    """Where a word of more than LEAST code points is cut, by its content; the end is no cut."""
+    out, at, p = [], 0, LEAST
+    while p < len(word):
+        if p - at == MOST or zlib.crc32(word[p - NEAR : p].encode("utf-8", "surrogatepass")) % INNER == 0:
+            out.append(p)
+            at, p = p, p + LEAST
+        else:
+            p += 1
+    return out
+
+
 def leaves(paragraph: str, known: dict[str, bool], single: bool = False) -> list[str]:
-    """The paragraph cut after words chosen by their content, or after each word."""
+    """The paragraph cut after words chosen by their content, or after each word, and inside long words."""
     out, at, begin, n = [], 0, 0, 0
     for word in paragraph.split(" "):
+        if len(word) > LEAST and (inner := cuts(word)):
+            for c in inner:
+                out.append(paragraph[begin : at + c])
+                begin, n = at + c, 0
+            word = word[inner[-1] :]
+            at += inner[-1]
         at += len(word) + 1
         n += 1
         cut = known.get(word)

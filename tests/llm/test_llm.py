@@ -127,6 +127,20 @@ def test_near_copies_across_lengths():
     assert fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b)) > 0.6
 
 
+def test_lines_without_spaces():
+    g = np.random.default_rng(3)
+    for letters in ("的一是不了人我在有他这为之大来以个中上们", "abcdefghijklmnopqrstuvwxyz0123456789+/", "ab\t12", "a"):
+        for n in (60, 395, 410, 5000):
+            a = "".join(g.choice(list(letters), n))
+            b = a[: n // 2] + "#" + a[n // 2 + 1 :]
+            x, y = fingerprints.fingerprint(a), fingerprints.fingerprint(b)
+            found = fingerprints.differing(x, y)
+            assert any(s <= n // 2 < e for s, e in found) and sum(e - s for s, e in found) <= 3 * fingerprints.MOST
+            if n > 300:
+                assert fingerprints.likeness(x, fingerprints.fingerprint(a[: n - n // 4])) > 0.6
+    assert max(map(len, fingerprints.leaves("x" * 999, {}))) <= fingerprints.MOST
+
+
 # 4
 
 
