@@ -10,6 +10,11 @@ them, and its score is that of the worst window. Training starts from the
 buckets whose share among toxic documents stands out, and its later steps let
 the worst windows of a toxic document stand for it.
 
+A run of more than LONG characters between white space (Chinese or Japanese,
+words joined by dots or hyphens) counts as several words in a row: overlapping
+pieces of PIECE characters, STEP apart, so every n-gram and every short word lies
+whole in one, and, where signs join its parts, the parts as well.
+
 Once trained, the softmax is linear in the average, so each bucket is worth one
 number; a distinct word is valued once a task and looked up after that.
 
@@ -39,14 +44,31 @@ BUCKETS, DIM = 1 << 21, 4
 NGRAMS = (4, 5, 6, 7)
 DECAY, MIN_DOCS, ODD = 0.1, 4, 3
 WINDOW, STRIDE = 2, 1
+#: A run of more than LONG characters is read in pieces.
+LONG, PIECE, STEP = 40, 16, 8
 #: Share of clean texts that may be called toxic, and how far the cut then moves towards the toxic ones.
 FALSE_ALARMS, MARGIN = 0.015, 0.15
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+SIGNS, LETTER = re.compile(r"[\W_]+"), re.compile(r"[^\W_]")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Pieces between white space, in lower case; valued without signs at their edges."""
-    return (text or "").lower().split()
+    """Pieces between white space, in lower case; valued without signs at their edges. Long ones are cut."""
+    words = (text or "").lower().split()
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= LONG else pieces(w))]
+
+
+def pieces(run: str) -> list[str]:
+    """The words that a long run without white space counts as; together they hold all of it."""
+    first, last = LETTER.search(run), LETTER.search(run[::-1])
+    core = run[first.start() : len(run) - last.start()] if first else ""
+    if len(core) <= LONG:
+        return [core]
+    out = [core[i : i + PIECE] for i in range(0, len(core) - PIECE + STEP, STEP)]
+    parts = SIGNS.split(core)
+    return out + [p for p in parts if len(p) <= LONG] if len(parts) > 1 else out
 
 
 def buckets_of(word: str) -> list[int]:
@@ -54,7 +76,7 @@ def buckets_of(word: str) -> list[int]:
     core = EDGE.sub("", word)
     if not core:
         return []
-    raw = f"<{core[:40]}>".encode()
+    raw = f"<{core}>".encode()
     return [zlib.crc32(b"=" + raw) % BUCKETS, *{zlib.crc32(raw[i : i + n]) % BUCKETS for n in NGRAMS for i in range(len(raw) - n + 1)}]
 
 

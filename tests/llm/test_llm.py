@@ -264,6 +264,19 @@ def test_misspelling_shares_ngrams():
     assert y[0] > y[1]
 
 
+def test_long_runs_are_read_whole():
+    clean = [f"plain words number{i} here and there" for i in range(60)]
+    toxic = [f"plain scumbagger words number{i}" for i in range(30)]
+    m = toxicity.train([toxicity.words_of(t) for t in clean + toxic], np.array([0] * 60 + [1] * 30, np.float32))
+    for sep in (".", "_", "-", ",", ""):
+        run = sep.join(["here", "plain", "and", "words", "there"] * 9)
+        y = toxicity.scores(m, [run + sep + "scumbagger" + sep + run, run + sep + "tablecloth" + sep + run], {})
+        assert y[0] > y[1] + 0.1, sep
+    run = "".join(chr(0x4E00 + i * 7919 % 997) for i in range(500))
+    words = toxicity.words_of(f"a {run} {'=' * 99} {'-' * 50}b")
+    assert all(any(run[i : i + 9] in w for w in words) for i in range(len(run) - 8)) and max(map(len, words)) <= toxicity.LONG
+    assert words[0] == "a" and words[-1] == "b"
+
 def test_attention_scores_odd_texts():
     parts = [quality.encode(quality.passages(t)) for t in ("good text here", "###", "", None, "x" * 5000)]
     m = quality.train(np.vstack(parts), np.cumsum([0, *map(len, parts[:-1])]), np.array([1, 0, 0, 0, 1], np.float32), steps=20)
