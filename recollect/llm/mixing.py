@@ -10,9 +10,13 @@ sources and holds back a hot one. Probabilities are scaled so that KEEP of all
 tokens are expected; a cell whose probability would pass 1 is kept whole and
 reported as capped, and the others are scaled up for it.
 
-Only cells come to the driver: MAX_SOURCES sources and MAX_LANGS languages with
-the most tokens are raked on their own, others share one margin, and topics are
-TOPICS, so the table of cells is bounded whatever the corpus holds.
+Every source and language is a margin of its own, however many there are. Up to
+MAX_CELLS cells are raked on the driver; more stay where they are, in one row a
+source, and the driver holds factors of languages and topics alone. Both meet
+the same margins, up to rounding.
+
+Targets go by the columns' own values (None for null): {"source": {"web": 0.5,
+...}}; a value without a target in a margin that has some gets none.
 
 Edge cases: null and empty texts have no tokens and topic 0; null sources and
 languages are margins of their own; repeated rows are drawn alike; an empty
@@ -30,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import checkpointed, small_batches
 
 TEMPER, KEEP, SEED = 0.7, 0.8, 17
-TOPICS, MAX_SOURCES, MAX_LANGS = 8, 500, 40
+TOPICS = 8
+#: Cells that the driver rakes by itself.
+MAX_CELLS = 150_000
 #: Words of fewer letters say nothing of a topic.
 TOPIC_LETTERS = 6
 MARGINS = ("source", "lang", "topic")
@@ -61,8 +67,9 @@ def rake(cells: list[tuple], tokens: np.ndarray, targets: dict[str, dict] | None
         return np.ones(len(cells))
     margins = []
     for m, name in enumerate(MARGINS):
-        values = sorted({c[m] for c in cells}, key=str)
-        own = np.array([values.index(c[m]) for c in cells])
+        values = sorted({c[m] for c in cells}, key=lambda v: (v is None, v))
+        at = {v: i for i, v in enumerate(values)}
+        own = np.array([at[c[m]] for c in cells])
         seen = np.bincount(own, tokens, len(values))
         share = np.array([targets[name].get(v, 0.0) for v in values]) if targets and name in targets else np.where(seen > 0, seen / max(total, 1), 0) ** TEMPER * (seen > 0)
         margins.append((own, share / max(share.sum(), 1e-300)))
@@ -96,10 +103,126 @@ def uniform(doc_id: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def folded(c: str, known: list) -> Column:
-    """The column's value if it is raked on its own, else one name for all others."""
-    value = F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("none"))
-    return F.when(value.isin(known), value).otherwise(F.lit("other"))
+def shares(values: list, seen: np.ndarray, goal: dict | None) -> np.ndarray:
+    """Target shares of a margin's values, as rake() has them."""
+    share = np.array([goal.get(v, 0.0) for v in values]) if goal is not None else np.where(seen > 0, seen / max(seen.sum(), 1), 0) ** TEMPER * (seen > 0)
+    return share / max(share.sum(), 1e-300)
+
+
+def arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one row a source: the row, place and tokens of each cell, and the rows' targets."""
+    held = b.column("held")
+    flat = held.flatten()
+    owner = np.repeat(np.arange(b.num_rows), np.diff(held.offsets.to_numpy()))
+    return owner, flat.field("at").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False).astype(float), b.column("goal").to_numpy(zero_copy_only=False)
+
+
+def factors(owner: np.ndarray, at: np.ndarray, n: np.ndarray, goal: np.ndarray, f: np.ndarray, total: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each source under the factors f of languages and topics, and the source's own factor that meets its target."""
+    held = np.bincount(owner, n * f[at], len(goal))
+    return held, np.where(held > 0, goal * total / np.where(held > 0, held, 1), 1.0)
+
+
+def raked(cells: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP, rounds: int = 500, tolerance: float = 1e-9) -> DataFrame:
+    """(source, lang, topic, weight, probability) of cells with n, as rake() and probabilities() give them, without all cells on the driver.
+
+    A weight is the product of a factor of its source, one of its language and one
+    of its topic, and a source's factor follows from the others and its own cells;
+    so a round is one pass over sources that brings sums by language and topic.
+    """
+    spark, targets = cells.sparkSession, targets or {}
+    langs, topics = ([(r[0], r.n) for r in cells.groupBy(c).agg(F.sum("n").alias("n")).orderBy(c).collect()] for c in ("lang", "topic"))
+    total = float(sum(n for _, n in topics))
+    if total <= 0:
+        return cells.select("source", "lang", "topic", F.lit(1.0).alias("weight"), F.lit(0.0).alias("probability"))
+    lang_share = shares([v for v, _ in langs], np.array([n for _, n in langs], float), targets.get("lang"))
+    topic_share = np.zeros(TOPICS)
+    topic_share[[v for v, _ in topics]] = shares([v for v, _ in topics], np.array([n for _, n in topics], float), targets.get("topic"))
+    index = F.broadcast(spark.createDataFrame([(v, j) for j, (v, _) in enumerate(langs)], "of string, j int"))
+    placed = cells.join(index, F.col("lang").eqNullSafe(F.col("of"))).select("source", (F.col("j") * TOPICS + F.col("topic")).alias("at"), "n")
+    sources = checkpointed(placed.groupBy("source").agg(F.collect_list(F.struct("at", "n")).alias("held"), F.sum("n").alias("seen")))
+    if "source" in targets:
+        goal = F.broadcast(spark.createDataFrame([(v, float(x)) for v, x in targets["source"].items()], "named string, goal double"))
+        sources = sources.join(goal, F.col("source").eqNullSafe(F.col("named")), "left").withColumn("goal", F.coalesce("goal", F.lit(0.0)))
+    else:
+        sources = sources.withColumn("goal", F.when(F.col("seen") > 0, F.pow(F.col("seen") / total, F.lit(TEMPER))).otherwise(0.0))
+    whole = max(sources.agg(F.sum("goal")).first()[0], 1e-300)
+    sources = checkpointed(sources.select("source", "held", (F.col("goal") / whole).alias("goal")))
+
+    def passed(f: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, float]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, worst = np.zeros(len(f)), 0.0
+            for b in batches:
+                if b.num_rows:
+                    owner, at, n, goal = arrays(b)
+                    held, a = factors(owner, at, n, goal, f, total)
+                    old = 1.0 if before is None else factors(owner, at, n, goal, before, total)[1]
+                    worst = max(worst, float(np.abs(old * held / total - goal).max()))
+                    sums += np.bincount(at, a[owner] * n, len(f))
+            k = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1), pa.int64()), pa.array(np.append(sums[k], worst), pa.float64())], names=["k", "x"])
+
+        out, worst = np.zeros(len(f)), 0.0
+        for r in sources.select("held", "goal").mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x"), F.max("x").alias("most")).collect():
+            if r.k < 0:
+                worst = r.most
+            else:
+                out[r.k] = r.x
+        return out.reshape(-1, TOPICS), worst
+
+    by_lang, by_topic = np.ones(len(langs)), np.ones(TOPICS)
+    f, before = np.outer(by_lang, by_topic).ravel(), None
+    for _ in range(rounds):
+        sums, worst = passed(f, before)
+        before = f
+        for axis, (own, share) in enumerate(((by_lang, lang_share), (by_topic, topic_share))):
+            now = own * (sums @ by_topic if axis == 0 else by_lang @ sums) / total
+            worst = max(worst, float(np.abs(now - share).max(initial=0)))
+            own *= np.where(now > 0, share / np.where(now > 0, now, 1), 1.0)
+        f = np.outer(by_lang, by_topic).ravel()
+        if worst < tolerance:
+            break
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                owner, at, n, goal = arrays(b)
+                w = factors(owner, at, n, goal, before, total)[1][owner] * f[at]
+                yield pa.RecordBatch.from_arrays([b.column("source").take(pa.array(owner)), pa.array(at, pa.int32()), pa.array(n, pa.float64()), pa.array(w, pa.float64())], names=["source", "at", "n", "weight"])
+
+    weights = checkpointed(sources.mapInArrow(weighed, "source string, at int, n double, weight double"))
+    least = weights.where("weight > 0").agg(F.min("weight")).first()[0]
+    low, high = 0.0, 1.0 / max(min(1.0, 1.0 if least is None else least), 1e-12)
+    for _ in range(16):  # each pass tries 255 scales at once
+        scales = low + (high - low) * np.arange(1, 256) / 256
+
+        def kept(batches: Iterator[pa.RecordBatch], scales: np.ndarray = scales) -> Iterator[pa.RecordBatch]:
+            x = np.zeros(len(scales))
+            for b in batches:
+                w, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("weight", "n"))
+                x += np.minimum(1, scales[:, None] * w) @ n
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x)), pa.int64()), pa.array(x, pa.float64())], names=["k", "x"])
+
+        got = sorted(tuple(r) for r in weights.select("weight", "n").mapInArrow(kept, "k long, x double").groupBy("k").agg(F.sum("x")).collect())
+        i = next((k for k, x in got if x >= keep * total), len(scales))
+        low, high = (low if i == 0 else float(scales[i - 1])), (high if i == len(scales) else float(scales[i]))
+        if high - low <= 1e-15 * high:
+            break
+    named = weights.withColumn("j", F.floor(F.col("at") / TOPICS).cast("int")).join(index, "j")
+    return named.select("source", F.col("of").alias("lang"), (F.col("at") % TOPICS).cast("int").alias("topic"), "weight", F.least(F.lit(1.0), high * F.col("weight")).alias("probability"))
+
+
+def weighted(cells: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP) -> DataFrame:
+    """(source, lang, topic, weight, probability) of every cell (source, lang, topic, n)."""
+    cells = checkpointed(cells)
+    if cells.count() > MAX_CELLS:
+        return raked(cells, targets, keep)
+    found = sorted(cells.collect(), key=lambda r: [(v is None, v) for v in r[:3]])
+    names, tokens = [tuple(r[:3]) for r in found], np.array([r.n for r in found], float)
+    weight = rake(names, tokens, targets)
+    p = probabilities(weight, tokens, keep) if len(names) else weight
+    table = cells.sparkSession.createDataFrame([(*c, float(w), float(q)) for c, w, q in zip(names, weight, p, strict=True)], "source string, lang string, topic int, weight double, probability double")
+    return F.broadcast(table)
 
 
 def mixed(documents: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP, columns: tuple[str, ...] = ("doc_id", "source", "lang")) -> DataFrame:
@@ -109,16 +232,10 @@ def mixed(documents: DataFrame, targets: dict[str, dict] | None = None, keep: fl
     rows = documents.select(*columns, *(c for c in ("doc_id", "source", "lang", "text") if c not in columns))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", n_tokens long, topic int"
     rows = rows.mapInArrow(described, schema)
-    for c, most in (("source", MAX_SOURCES), ("lang", MAX_LANGS)):
-        value = F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("none"))
-        top = documents.groupBy(value.alias("value")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n")).orderBy(F.desc("n"), "value").limit(most).collect()
-        rows = rows.withColumn(f"{c}_margin", folded(c, [r.value for r in top]))
-    found = rows.groupBy("source_margin", "lang_margin", "topic").agg(F.sum("n_tokens").alias("n")).orderBy("source_margin", "lang_margin", "topic").collect()
-    cells, tokens = [(r.source_margin, r.lang_margin, r.topic) for r in found], np.array([r.n for r in found], float)
-    weight = rake(cells, tokens, targets)
-    p = probabilities(weight, tokens, keep) if len(cells) else weight
-    table = spark.createDataFrame([(*c, float(w), float(q)) for c, w, q in zip(cells, weight, p, strict=True)], "source_margin string, lang_margin string, topic int, weight double, probability double")
-    rows = rows.join(F.broadcast(table), ["source_margin", "lang_margin", "topic"])
+    cells = rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n"))
+    table = weighted(cells, targets, keep).select(*(F.col(c).alias(f"cell_{c}") for c in MARGINS), "weight", "probability")
+    same = [F.col(c).eqNullSafe(F.col(f"cell_{c}")) for c in MARGINS]
+    rows = rows.join(table, same[0] & same[1] & same[2])
     return rows.select(*columns, "n_tokens", "topic", "weight", "probability", (F.col("probability") >= 1).alias("capped"), (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))
 
 

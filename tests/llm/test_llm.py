@@ -309,6 +309,54 @@ def test_mixing(spark):
     assert mixing.draw(d).columns == d.columns
 
 
+def test_every_source_meets_its_target(spark):
+    g = np.random.default_rng(6)
+    n = 2600
+    source = [None if i % 640 == 7 else f"src{i % 640}" for i in range(n)]
+    lang = [None if i % 47 == 3 else f"l{i % 47}" for i in range(n)]
+    text = [" ".join(g.choice(["wordy alpha", "lettered beta", "documents gamma", "x"], int(g.integers(1, 30)))) for _ in range(n)]
+    text[5] = None
+    d = spark.createDataFrame([(i, text[i], lang[i], source[i], 0) for i in range(n)], COLS)
+
+    def check(targets):
+        rows = mixing.mixed(d, targets).collect()
+        assert len(rows) == n
+        own: dict = {}
+        for r in rows:
+            own[r.source, r.lang, r.topic] = own.get((r.source, r.lang, r.topic), 0) + r.n_tokens
+        total = sum(own.values())
+        weight = {(r.source, r.lang, r.topic): r.weight for r in rows}
+        got, seen = {}, {}
+        for c, t in own.items():
+            got[c[0]] = got.get(c[0], 0) + weight[c] * t / total
+            seen[c[0]] = seen.get(c[0], 0) + t / total
+        goal = {s: x**mixing.TEMPER for s, x in seen.items()} if targets is None else {s: targets["source"].get(s, 0) for s in seen}
+        assert all(abs(got[s] - x / sum(goal.values())) < 1e-6 for s, x in goal.items())
+        assert abs(sum(r.probability * r.n_tokens for r in rows) / total - mixing.KEEP) < 1e-6
+
+    words: dict = {}
+    for s, t in zip(source, text, strict=True):
+        words[s] = words.get(s, 0) + len((t or "").split())
+    check(None)
+    check({"source": {s: x**0.9 * (1.5 if s in ("src5", "src639", None) else 1) for s, x in words.items()}})
+
+
+def test_raking_away_from_the_driver(spark, monkeypatch):
+    g = np.random.default_rng(2)
+    cells = [(s, lang, t, int(g.integers(10, 1000))) for s in ("a", "b", "c", None) for lang in ("x", None) for t in (0, 3)] + [("empty", "x", 0, 0)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic int, n long")
+    goal = {"source": {"a": 0.5, "b": 0.3, None: 0.2}, "lang": {"x": 0.6, None: 0.4}}
+    monkeypatch.setattr(mixing, "MAX_CELLS", 3)
+    for targets in (None, goal):
+        want = mixing.rake([c[:3] for c in cells], np.array([c[3] for c in cells]), targets)
+        p = mixing.probabilities(want, np.array([c[3] for c in cells], float))
+        got = {tuple(r[:3]): (r.weight, r.probability) for r in mixing.weighted(df, targets).collect()}
+        assert len(got) == len(cells)
+        for c, w, q in zip(cells, want, p, strict=True):
+            assert np.allclose(got[c[:3]], (w, q), rtol=1e-6, atol=1e-9)
+    assert mixing.weighted(df.withColumn("n", F.lit(0).cast("long"))).count() == len(cells)
+
+
 # 9
 
 
