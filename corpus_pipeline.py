@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import bpe, mixing, ngram_join, quality, toxicity
-from recollect.llm.common import shared_folder, table
+from recollect.llm.common import checkpointed, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Doc_ids with several texts that are broadcast at most.
+ODD_IDS = 100_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +32,27 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.score(docs.select(COLUMNS), model, keep=COLUMNS).where("predicted = 0").select(COLUMNS)
 
 
+def with_nodes(docs: DataFrame) -> DataFrame:
+    """docs with node: the doc_id, but a hash of id and text, above 2^62, where the id is null or another text has it too (the text of least hash keeps it)."""
+    rows = docs.select(COLUMNS).withColumn("text_hash", F.xxhash64("text", F.col("text").isNull()))
+    odd = rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("odd_id")).agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least != most")
+    odd = checkpointed(odd.select("odd_id", "least"))
+    odd = F.broadcast(odd) if odd.count() <= ODD_IDS else odd
+    own = F.xxhash64("doc_id", "text", F.lit("node")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    plain = F.col("doc_id").isNotNull() & (F.col("odd_id").isNull() | (F.col("text_hash") == F.col("least")))
+    return rows.join(odd, F.col("doc_id") == F.col("odd_id"), "left").select(*COLUMNS, F.when(plain, F.col("doc_id")).otherwise(own).alias("node"))
+
+
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one that names the component."""
-    groups = ngram_join.near_duplicates(docs.select("doc_id", "text"))
-    firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(COLUMNS).join(firsts, "doc_id")
-    return kept.dropDuplicates(["doc_id"]).select(COLUMNS)
+    """One document of each group of near duplicates: the one of least node, so of least doc_id where ids are unique.
+
+    Different texts of one doc_id, and texts without an id, are documents of their
+    own; only a row whose text equals a kept one's or is linked to it is dropped.
+    """
+    rows = with_nodes(docs)
+    groups = ngram_join.near_duplicates(rows.select(F.col("node").alias("doc_id"), "text"))
+    firsts = groups.where("doc_id = component_id").select(F.col("doc_id").alias("node")).distinct()
+    return rows.join(firsts, "node").dropDuplicates(["node"]).select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,16 @@ def test_pipeline(spark, tmp_path):
     assert kept[3] <= kept[2] and kept[4] == kept[3]
     assert steps[4].where(F.col("n_tokens") > 0).count() >= len(kept[4]) - 1
     assert {r.doc_id for r in cp.run(spark, str(tmp_path)).collect()} == kept[4]
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    def text(i):
+        return " ".join(f"w{i}x{j}" for j in range(40))
+
+    rows = [(1, text(1)), (1, text(2)), (1, text(2)), (2, text(1) + " tail"), (3, text(3)), (None, text(3)), (None, text(4)), (None, text(4)), (None, text(5)), (None, None), (4, ""), (4, None), (5, text(2) + " end")]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], COLS)
+    got = cp.near_duplicates_stage(spark, d, "").collect()
+    kept = [(r.doc_id, r.text) for r in got]
+    assert len(kept) == len(set(kept)) == 8
+    assert {(1, text(1)), (3, text(3)), (None, text(4)), (None, text(5)), (None, None), (4, ""), (4, None)} <= set(kept)
+    assert len({(1, text(2)), (5, text(2) + " end")} & set(kept)) == 1
