@@ -3,7 +3,8 @@
 Vectors are cut in two halves, each quantised by its own codebook of CENTROIDS
 centroids; a pair of centroids is a cell. A query walks the cells in the order
 of their summed nearness with a heap (the multi-sequence walk) until the cells
-hold PROBE of all entries, and every entry met is ranked by its exact inner
+hold PROBE of all entries, and LEAST_PROBED of them at least, so that a table of
+up to LEAST_PROBED entries is searched whole; every entry met is ranked by its exact inner
 product in double precision.
 
 The codebooks are fitted on SAMPLE vectors at most, in hash order; every vector
@@ -16,7 +17,8 @@ any clusters, which is why PROBE is large; clustered vectors need far less.
 
 Edge cases: rows without vec_id and vectors that are null, empty, zero or hold
 null or non-finite components take no part; of rows with equal vec_id the least
-vector counts; equal scores go by vec_id; fewer candidates than asked for are
+vector counts; vectors of another length than the commonest one of the sample
+take no part, as entries and as queries; equal scores go by vec_id; fewer candidates than asked for are
 all returned; an empty table gives no rows; other columns are dropped.
 """
 
@@ -34,6 +36,8 @@ from pyspark.sql import Window as W
 from .common import n_partitions, small_batches
 
 CENTROIDS, SAMPLE, PROBE, BLOCK = 64, 16_384, 0.5, 4_096
+#: Entries that a query visits at least, if there are as many.
+LEAST_PROBED = 2_000
 FAR = float("inf")
 
 
@@ -110,7 +114,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, probe: float
     for r in indexed.groupBy("i", "j").count().collect():  # CENTROIDS squared rows at most
         count[r.i, r.j] = r["count"]
     places = np.maximum(1, -(-count.sum(1) // BLOCK))
-    enough = max(k + 1, int(np.ceil(probe * count.sum())), min(int(count.sum()), 2_000))
+    enough = max(k + 1, int(np.ceil(probe * count.sum())), min(int(count.sum()), LEAST_PROBED))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -391,6 +391,16 @@ def test_nearest_neighbours_edges(spark):
     assert ann.op9_nearest_neighbours(vectors(spark, bad)).count() == 0
 
 
+def test_vectors_of_other_lengths_take_no_part(spark):
+    g = np.random.default_rng(5)
+    rows = [(i, g.normal(size=8 if i % 40 != 1 else 5).tolist()) for i in range(200)]
+    rows[20] = (20, [1.0] * 5)
+    got = ann.op9_nearest_neighbours(vectors(spark, rows)).collect()
+    assert {r.query_id for r in got} == set(range(0, 200, 20)) - {20}
+    assert not {r.vec_id for r in got} & {20, 1, 41, 81, 121, 161}
+    assert ann.LEAST_PROBED == 2_000
+
+
 # 10
 
 
