@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,19 +25,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Arrow batches of few rows and bytes, so that very long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{4 * BLOCK_BYTES}")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{2 * BLOCK_BYTES}")
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function for mapInArrow, that gives its memory back when its task ends: Python workers are kept for later tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def held_out(doc_id: Column) -> Column:
-    """True for the fifth of documents whose labels are never learnt from."""
-    return F.crc32(doc_id.cast("string")) % 5 == 0
+    """True for the fifth of documents whose labels are never learnt from; a null id is in none of the fifths."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; only where that is unset, as in tests, one of this machine."""
+    """The folder of spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a local session (as in tests) gets a folder of this
+    machine; on a cluster that would lose data, so it is an error.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and not (context.master or "").split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return context.getCheckpointDir()
 
 
@@ -43,6 +68,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """df with rows that come in the same order whenever a task is run again: as it is from files, through a checkpoint after a shuffle."""
+    plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    return checkpointed(df) if "Exchange" in plan or "Shuffle" in plan else df
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
