@@ -1,32 +1,36 @@
 """BPE encoding and decoding by way of a distinct-word table.
 
 A word is a stretch of white space and what follows it: a text is cut before
-each space that stands before something other than white space. Byte-level BPE
-never merges across such a cut, so a text's ids are its words' ids in a row.
-
-1. split: each block of documents (some MB of text) becomes its distinct words
-   and, for every position of the block, the number of its word. Words travel
-   packed by hash bucket, positions as one compressed array a block.
-2. encode: rows with the words of one bucket meet in one place, so each distinct
-   word of the corpus is encoded once, by the tokenizers library (the memory of
-   known words is emptied when it grows past KNOWN words).
-3. join back: a block's words return with their ids, are put in order by number,
-   and the positions pick their ids.
-4. decode: ids pick their pieces from the id-to-piece table (one piece for each
-   id of the vocabulary, a bounded table sent to every executor).
-
-Words and positions are two passes over the same table, and a block is named by
-its content, so documents must come in a stable order, as from files.
-No group grows with the corpus: a word's rows stream by, one a block.
+each space that stands before something other than white space, and around
+control strings. Byte-level BPE never merges across such a cut, so a text's ids
+are its words' ids in a row.
+
+1. split: Spark cuts the texts. In the same pass each block (some MB of text)
+   becomes its distinct words, packed by hash bucket, and one compressed array
+   with the number of the word at every position. Both leave in one shuffle, the
+   words to their bucket, the positions to wherever.
+2. encode: all rows of a bucket meet in one place, one after the other, so each
+   distinct word of the corpus is encoded once, by the tokenizers library; the
+   table of a bucket is dropped when the next one begins.
+3. join back: a block's words return with their ids and meet the block's
+   positions, which pick the ids.
+4. decode: ids are joined with the id-to-piece table by id (one piece for each id
+   of the vocabulary; a table of bounded size, so the join is a look-up in a
+   broadcast array).
+
+A block is named by partition and number. Documents from files come in the same
+order whenever a task is run again; others go through a checkpoint first, so a
+lost executor can't mix two orders. No group grows with the corpus: a word is in a
+bucket once a block, and a bucket's rows stream by.
 
 Edge cases: null text counts as empty, empty texts have no ids; the control
-string of the vocabulary becomes its own id, as the library does; repeated rows
-are encoded each; an empty table gives no rows; other columns don't matter.
+string of the vocabulary becomes its own id, as the library does; very long texts
+are encoded whole, in a block of their own; repeated rows are encoded each; a null
+doc_id stays null; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import re
@@ -36,16 +40,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, n_partitions, small_batches
+from .common import n_partitions, small_batches, steady, tidied
 
-#: Words that an executor remembers at most.
-KNOWN = 200_000
-CUT = re.compile(r"(?= \S)")
-BAD = re.compile(r" (?:\s|$)")
+#: Bytes of text and documents of a block.
+BLOCK, BLOCK_ROWS = 12 << 20, 1 << 16
+#: Documents that are joined with their ids at a time.
+STRIDE = 256
 
 
 class Vocabulary:
@@ -83,17 +89,17 @@ class Vocabulary:
         return table
 
 
-def split(text: str, special: tuple[str, ...] = ()) -> list[str]:
-    """The words of a text in order; joined they are the text. Control strings stand alone."""
-    if special and any(x in text for x in special):
-        parts = re.split("(" + "|".join(map(re.escape, special)) + ")", text)
-        return [w for i, p in enumerate(parts) if p for w in ([p] if i % 2 else split(p))]
-    if not text:
-        return []
-    if BAD.search(text):
-        return [w for w in CUT.split(text) if w]
-    first, *rest = text.split(" ")
-    return [*([first] if first else []), *[" " + w for w in rest]]
+def words_of(text: Column, special: tuple[str, ...] = ()) -> Column:
+    """The words of a text in order; joined they are the text (an empty text is one empty word). Control strings stand alone."""
+    cut = r"(?U)(?= \S)"
+    if not special:
+        return F.split(text, cut, -1)
+    any_of = "(?:" + "|".join(re.sub(r"([^\w])", r"\\\1", x) for x in special) + ")"
+    with_special = F.split(text, rf"(?U)(?= (?!{any_of})\S)|(?={any_of})|(?<={any_of})", -1)
+    held = F.lit(False)
+    for x in special:
+        held = held | F.contains(text, F.lit(x))
+    return F.when(held, with_special).otherwise(F.split(text, cut, -1))
 
 
 def packed(parts: list[bytes]) -> bytes:
@@ -118,174 +124,154 @@ def of_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
-    """Ids and texts of some MB of documents at a time."""
-    ids, texts, size = [], [], 0
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
+    """(doc_ids, words of each, all words) of some MB of documents at a time."""
+    held, size, rows = [], 0, 0
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t or "")
-            size += len(texts[-1])
-            if size >= BLOCK_BYTES or len(ids) >= 1 << 14:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+        words = b.column(1)
+        held.append((b.column(0), np.diff(words.offsets.to_numpy()), words.flatten()))
+        size += held[-1][2].nbytes
+        rows += b.num_rows
+        if size >= BLOCK or rows >= BLOCK_ROWS:
+            yield tuple(f(x) for f, x in zip((pa.concat_arrays, np.concatenate, pa.concat_arrays), zip(*held, strict=True), strict=True))
+            held, size, rows = [], 0, 0
+    if rows:
+        yield tuple(f(x) for f, x in zip((pa.concat_arrays, np.concatenate, pa.concat_arrays), zip(*held, strict=True), strict=True))
 
 
-def ordered(words, buckets: int) -> tuple[list[bytes], np.ndarray]:
-    """Distinct words by bucket, like ones side by side, and where buckets end; the same from the same words."""
-    raw = sorted(w.encode("utf-8", "surrogatepass") for w in words)
-    home = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
-    by = np.argsort(home, kind="stable")
-    return [raw[i] for i in by], np.searchsorted(home[by], np.arange(buckets + 1))
+#: kind 0: words of a bucket, 1: ids of such words, 2: positions; home: where a row goes next.
+ROWS = "block string, kind int, bucket int, home string, body binary"
+SCHEMA = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("bucket", pa.int32()), ("home", pa.string()), ("body", pa.binary())])
 
 
-def name_of(ids: list[int], texts: list[str]) -> str:
-    """A block's name, from its content."""
-    h = hashlib.blake2b(repr(ids).encode(), digest_size=16)
-    for t in texts:
-        h.update(t.encode("utf-8", "surrogatepass"))
-        h.update(b"\0")
-    return h.hexdigest()
-
-
-SCHEMA = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary())])
-
-
-def word_rows(special: tuple[str, ...], buckets: int):
-    """Step 1, rows of kind 0: the distinct words of a block that one bucket holds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches):
-            words: set[str] = set()
-            for t in texts:
-                words.update(split(t, special))
-            raw, ends = ordered(words, buckets)
-            some = np.flatnonzero(np.diff(ends)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([name_of(ids, texts)] * len(some), pa.string()), pa.array([0] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([packed(raw[ends[k] : ends[k + 1]]) for k in some], pa.binary())], schema=SCHEMA)
-
-    return run
-
-
-def position_rows(special: tuple[str, ...], buckets: int):
-    """Step 1, rows of kind 1: a block's documents and the number of the word at every position."""
+def split_blocks(buckets: int):
+    """Step 1: documents with their words to rows of words, a row for each bucket, and a row of positions, for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches):
-            number: dict[str, int] = {}
-            at, counts = [], []
-            for t in texts:
-                words = split(t, special)
-                counts.append(len(words))
-                at.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
-            place = {w: i for i, w in enumerate(ordered(number, buckets)[0])}
-            rank = np.fromiter((place[w.encode("utf-8", "surrogatepass")] for w in number), np.uint32, len(number))
-            at = rank[np.concatenate(at)]
-            body = packed([np.array([i is None for i in ids], np.uint8).tobytes(), np.array([i or 0 for i in ids], np.int64).tobytes(), np.array(counts, np.int64).tobytes(), planes(at)])
-            yield pa.RecordBatch.from_arrays([pa.array([name_of(ids, texts)]), pa.array([1], pa.int32()), pa.array([-1], pa.int32()), pa.array([body], pa.binary())], schema=SCHEMA)
-
-    return run
-
-
-ROWS = "block string, kind int, bucket int, body binary"
+        part = TaskContext.get().partitionId()
+        for no, (ids, counts, words) in enumerate(blocks(batches)):
+            coded = words.dictionary_encode()
+            raw = coded.dictionary.cast(pa.binary()).to_pylist()
+            home = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
+            alphabetic = pc.sort_indices(coded.dictionary).to_numpy()
+            by = alphabetic[np.argsort(home[alphabetic], kind="stable")]  # by bucket, like words side by side
+            edge = np.searchsorted(home[by], np.arange(buckets + 1))
+            rank = np.empty(len(by), np.uint32)
+            rank[by] = np.arange(len(by), dtype=np.uint32)
+            some = np.flatnonzero(np.diff(edge)).tolist()
+            name = f"{part}-{no}"
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            body = packed([null.astype(np.uint8).tobytes(), ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), counts.astype(np.int64).tobytes(), planes(rank), planes(coded.indices.to_numpy())])
+            bodies = [packed([raw[i] for i in by[edge[k] : edge[k + 1]]]) for k in some]
+            n = len(some)
+            for a in range(0, n, 64):
+                z = min(a + 64, n)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * (z - a)), pa.array([0] * (z - a), pa.int32()), pa.array(some[a:z], pa.int32()), pa.array([f"w{k}" for k in some[a:z]]), pa.array(bodies[a:z], pa.binary())], schema=SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([2], pa.int32()), pa.array([-1], pa.int32()), pa.array([f"p{name}"]), pa.array([body], pa.binary())], schema=SCHEMA)
+
+    return tidied(run)
 
 
 def word_ids(vocabulary: Vocabulary):
-    """Step 2: rows of words to rows of ids; a word that is known is not encoded again."""
+    """Step 2: rows sorted by bucket, words to their ids; each distinct word of a bucket is encoded when it is first met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bytes] = {}
+        at, known = None, {}
         for b in batches:
-            bodies = []
-            for body in b.column("body").to_pylist():
-                lengths, raw = unpacked(body)
-                ends = np.cumsum(lengths, dtype=np.int64).tolist()
-                words = [raw[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
-                if len(known) + len(words) > KNOWN:
-                    known.clear()
-                if new := [w for w in words if w not in known]:
-                    for w, ids in zip(new, vocabulary.encode([w.decode("utf-8", "surrogatepass") for w in new]), strict=True):
-                        known[w] = np.array(ids, np.uint32).tobytes()
-                ids = [known[w] for w in words]
-                bodies.append(packed([np.fromiter((len(x) // 4 for x in ids), np.uint8 if max(map(len, ids)) < 1024 else np.uint32).tobytes(), planes(np.frombuffer(b"".join(ids), np.uint32))]))
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("kind"), b.column("bucket"), pa.array(bodies, pa.binary())], names=["block", "kind", "bucket", "body"])
-
-    return run
+            for block, kind, bucket, home, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if kind == 0:
+                    if bucket != at:
+                        at, known = bucket, {}
+                    lengths, raw = unpacked(body)
+                    ends = np.cumsum(lengths, dtype=np.int64).tolist()
+                    words = [raw[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+                    if new := [w for w in words if w not in known]:
+                        for w, ids in zip(new, vocabulary.encode([w.decode("utf-8", "surrogatepass") for w in new]), strict=True):
+                            known[w] = np.array(ids, np.uint32).tobytes()
+                    ids = [known[w] for w in words]
+                    kind, body = 1, packed([np.fromiter((len(x) // 4 for x in ids), np.uint8 if max(map(len, ids)) < 1024 else np.uint32).tobytes(), planes(np.frombuffer(b"".join(ids), np.uint32))])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([home]), pa.array([body], pa.binary())], schema=SCHEMA)
+
+    return tidied(run)
 
 
 def taken(values: np.ndarray, lengths: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches pick of values, whose lengths are given, joined; and the lengths of what was picked."""
-    first = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)[:-1]])
+    first = np.cumsum(lengths, dtype=np.int64) - lengths
     n = lengths[pick].astype(np.int64)
-    shift = first[pick] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(pick) else n
+    shift = first[pick] - (np.cumsum(n) - n)
     return values[np.repeat(shift, n) + np.arange(n.sum())], n
 
 
-def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3: rows sorted by block, kind and bucket, a block's words before its positions, to documents with their ids."""
-    at_block, at_bucket, lengths, values = None, None, [], []
-    for b in batches:
-        for block, kind, bucket, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if block != at_block:
-                at_block, at_bucket, lengths, values = block, None, [], []
-            if kind == 0:
-                if bucket == at_bucket:  # equal blocks have equal words
+def joined(decode=None):
+    """Step 3: rows sorted by block, kind and bucket, a block's ids before its positions, to documents with their ids; and step 4 if decode is given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_block, lengths, values = None, [], []
+        for b in batches:
+            for block, kind, body in zip(*(b.column(c).to_pylist() for c in ("block", "kind", "body")), strict=True):
+                if block != at_block:
+                    at_block, lengths, values = block, [], []
+                if kind == 1:
+                    (cut, _), raw = unpacked(body)
+                    ids = of_planes(raw[cut:])
+                    n = np.frombuffer(raw[:cut], np.uint8)
+                    lengths.append((n if int(n.sum()) == len(ids) else n.view(np.uint32)).astype(np.int64))
+                    values.append(ids)
                     continue
-                at_bucket = bucket
-                (cut, _), raw = unpacked(body)
-                ids = of_planes(raw[cut:])
-                n = np.frombuffer(raw[:cut], np.uint8)
-                lengths.append((n if int(n.sum()) == len(ids) else n.view(np.uint32)).astype(np.int64))
-                values.append(ids)
-                continue
-            sizes, raw = unpacked(body)
-            ends = np.cumsum(sizes)
-            null = np.frombuffer(raw[: ends[0]], np.uint8).astype(bool)
-            docs, counts = np.frombuffer(raw[ends[0] : ends[1]], np.int64), np.frombuffer(raw[ends[1] : ends[2]], np.int64)
-            at = of_planes(raw[ends[2] :])
-            per_word = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
-            all_ids = np.concatenate(values) if values else np.empty(0, np.uint32)
-            stop = np.cumsum(counts)
-            for a in range(0, len(docs), 256):  # some documents at a time, for memory
-                z = min(a + 256, len(docs))
-                ids, n = taken(all_ids, per_word, at[stop[a] - counts[a] : stop[z - 1]])
-                edge = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts[a:z])])]
-                yield pa.RecordBatch.from_arrays([pa.array(docs[a:z], pa.int64(), mask=null[a:z]), pa.array([ids[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["doc_id", "ids"])
-
-
-def encode(documents: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
-    """(doc_id, ids): the ids of every whole text as little-endian unsigned 32-bit integers."""
+                sizes, raw = unpacked(body)
+                ends = np.cumsum(sizes, dtype=np.int64)
+                null = np.frombuffer(raw[: ends[0]], np.uint8).astype(bool)
+                docs, counts = np.frombuffer(raw[ends[0] : ends[1]], np.int64), np.frombuffer(raw[ends[1] : ends[2]], np.int64)
+                rank, at = of_planes(raw[ends[2] : ends[3]]), of_planes(raw[ends[3] :])
+                per_word, all_ids = np.concatenate(lengths), np.concatenate(values)
+                stop = np.cumsum(counts)
+                for a in range(0, len(docs), STRIDE):  # some documents at a time, for memory
+                    z = min(a + STRIDE, len(docs))
+                    ids, n = taken(all_ids, per_word, rank[at[stop[a] - counts[a] : stop[z - 1]]])
+                    edge = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts[a:z])])]
+                    own = [ids[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
+                    cols = [pa.array(docs[a:z], pa.int64(), mask=null[a:z]), pa.array([x.tobytes() for x in own], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*cols, *([pa.array([decode(x) for x in own], pa.string())] if decode else [])], names=["doc_id", "ids", *(["text"] if decode else [])])
+
+    return tidied(run)
+
+
+def encode(documents: DataFrame, path: str, buckets: int | None = None, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids): the ids of every whole text as little-endian unsigned 32-bit integers; with decoded, the text that they decode to as well."""
     spark = documents.sparkSession
     small_batches(spark)
     vocabulary, n = Vocabulary(path), n_partitions(spark)
-    texts, special, buckets = documents.select("doc_id", "text"), tuple(vocabulary.special), buckets or 2 * n
-    words = texts.mapInArrow(word_rows(special, buckets), ROWS).repartition(n, "bucket").mapInArrow(word_ids(vocabulary), ROWS)
-    rows = words.unionByName(texts.mapInArrow(position_rows(special, buckets), ROWS)).repartition(n, "block")
-    return rows.sortWithinPartitions("block", "kind", "bucket").mapInArrow(joined, "doc_id long, ids binary")
+    rows = steady(documents.select("doc_id", "text")).select("doc_id", words_of(F.coalesce("text", F.lit("")), tuple(vocabulary.special)).alias("words"))
+    rows = rows.mapInArrow(split_blocks(buckets or 2 * n), ROWS)
+    rows = rows.repartition(n, "home").sortWithinPartitions("bucket").mapInArrow(word_ids(vocabulary), ROWS)
+    rows = rows.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket")
+    if not decoded:
+        return rows.mapInArrow(joined(), "doc_id long, ids binary")
+    return rows.mapInArrow(joined(decoder(spark, path)), "doc_id long, ids binary, text string")
 
 
 def decoder(spark: SparkSession, path: str):
-    """A function from ids to bytes, over the id-to-piece table that every executor gets once."""
+    """A function from ids to text, over the id-to-piece table that every executor gets once; bytes that are no UTF-8 become U+FFFD."""
     table = Vocabulary(path).pieces()
     shared = spark.sparkContext.broadcast((np.frombuffer(b"".join(table), np.uint8), np.fromiter(map(len, table), np.int64, len(table))))
 
-    def run(ids: np.ndarray) -> bytes:
-        return taken(*shared.value, ids)[0].tobytes()
+    def run(ids: np.ndarray) -> str:
+        return taken(*shared.value, ids)[0].tobytes().decode("utf-8", "replace")
 
     return run
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, text): step 4; bytes that are no UTF-8 become U+FFFD."""
+    """(doc_id, ids, text): step 4 over a table of ids; null ids count as none."""
     run = decoder(encoded.sparkSession, path)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [run(np.frombuffer(x, np.uint32)).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
+            texts = [run(np.frombuffer(x or b"", np.uint32)) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(decoded, "doc_id long, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(decoded), "doc_id long, ids binary, text string")
 
 
 def vocabulary_path() -> str:
@@ -296,6 +282,5 @@ def vocabulary_path() -> str:
 
 def op10_bpe_round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every document."""
-    path = path or vocabulary_path()
-    out = decode(encode(documents, path), path)
+    out = encode(documents, path or vocabulary_path(), decoded=True)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
