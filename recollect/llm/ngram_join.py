@@ -28,6 +28,14 @@ shingle's list in stretches and emits counted pairs as it goes, so no list of
 pairs is held. Sets are sent to where they are verified; a document with many
 partners meets them in several places.
 
+A shingle is known by 64 bits: its words' cryptographic hashes combined by place,
+so two sets of 20,000 meet a false common shingle about once in 10**10 pairs. The
+shared shingles are those that recur within some million shingles of one task; one
+that m documents share is met so once m passes a few times the root of the number
+of such stretches, so what the order misses are lists that short. A list of over
+BIG postings is cut into pieces by component and size, and each two pieces are
+counted wherever there is room.
+
 Edge cases: null and empty texts and texts without words have no shingles and
 are linked with nothing (a component of their own); with fewer than five words
 the whole sequence is the one shingle; rows with a null doc_id have no
@@ -48,7 +56,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, n_partitions, small_batches
+from .common import checkpointed, n_partitions, small_batches, tidied
 from .components import components
 
 K = 5
@@ -60,13 +68,15 @@ DENSE = 8
 LONGEST = 9
 #: Partners of a document that are verified in one place.
 PARTNERS = 64
-#: Bits of the filter that tells which sets are needed; with more documents it lets more through.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that tells which sets are needed: so many a document, between these bounds; beyond, it lets more through, which the join drops.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
-_G = np.random.default_rng(2024)
-_BYTE = _G.integers(1, 1 << 63, 256, dtype=np.uint64)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Postings of one shingle from which on its list is cut, and postings of a piece.
+BIG, PIECE = 8_192, 4_096
+#: Words whose hashes a task remembers, and bytes of such a word at most.
+KNOWN, KNOWN_BYTES = 200_000, 64
+#: Odd multipliers, one for each place in a shingle.
+_PLACES = np.random.default_rng(2024).integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -76,26 +86,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct hashes of the text's shingles."""
+class Hashes(dict):
+    """64-bit hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= KNOWN_BYTES:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[word] = h
+        return h
+
+
+def shingles(text: str | None, known: Hashes | None = None) -> np.ndarray:
+    """The sorted distinct hashes of the text's shingles: its words' hashes, each times its place's multiplier, summed and mixed."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    raw = np.frombuffer(b" ".join(words), np.uint8)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1) - 1
-    begin = end - size
+    w = np.fromiter(map((Hashes() if known is None else known).__getitem__, words), np.uint64, len(words))
     k = min(K, len(words))
-    power = np.full(len(raw), _P)
-    power[0] = 1
-    power = np.cumprod(power)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * power)])
-    # a stretch's hash times the inverse power of where it begins doesn't depend on the place
-    back = np.full(len(raw), _INV)
-    back[0] = 1
-    back = np.cumprod(back)
-    first = begin[: len(words) - k + 1]
-    return np.unique(mixed((total[end[k - 1 :]] - total[first]) * back[first] + np.uint64(k)))
+    n = len(words) - k + 1
+    total = w[:n] * _PLACES[0]
+    for i in range(1, k):
+        total += w[i : i + n] * _PLACES[i]
+    return np.unique(mixed(total + np.uint64(k)))
 
 
 def blob(*arrays: np.ndarray) -> bytes:
@@ -122,7 +136,7 @@ DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary())
 
 def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document; rows without key hold shingles that recur among some million, with their counts."""
-    held, size, met = [], 0, set()
+    held, size, met, known = [], 0, set(), Hashes()
 
     def recurring() -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(held), return_counts=True)
@@ -131,7 +145,7 @@ def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            s = shingles(text)
+            s = shingles(text, known)
             key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
             out.append((doc, len(s), key, None))
             if key not in met:
@@ -192,10 +206,11 @@ KINDS = ("u8", "i8", "i8", "i4", "i4", "i4", "i4", "i4", "u8", "u8", "u8", "u8")
 def prefixes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("l", pa.int32()), ("tokens", pa.binary())])
+        known = Hashes()
         for b in batches:
             out = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                s = shingles(text)
+                s = shingles(text, known)
                 if len(s) and doc is not None:
                     tokens, l = prefix(s, shared.value)
                     out.append((doc, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), l, tokens.tobytes()))
@@ -372,8 +387,86 @@ def hits_of(i: np.ndarray, j: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBa
     return batch(HIT, [doc[i], doc[j], count, n[i], n[j], np.minimum(l[i], l[j]), p, q, length[i], length[j]])
 
 
+#: A counted pair, or a piece of a long list beside another one.
+CROSSED = pa.schema([*HIT, ("piece", pa.string()), ("body", pa.binary())])
+
+
+def whole(hits: pa.RecordBatch) -> pa.RecordBatch:
+    """Counted pairs in the form of CROSSED."""
+    return pa.RecordBatch.from_arrays([*hits.columns, pa.nulls(hits.num_rows, pa.string()), pa.nulls(hits.num_rows, pa.binary())], schema=CROSSED)
+
+
+def met(stretches: Iterator[tuple[np.ndarray, np.ndarray]], own: np.ndarray, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Counted pairs of the postings i and j of each stretch that are of different components and may link."""
+    held_i, held_j, held = [], [], 0
+    for i, j in stretches:
+        for test in (lambda: own[i] != own[j], lambda: may_link(i, j, cols), lambda: may_count(i, j, cols)):
+            ok = test()
+            i, j = i[ok], j[ok]
+        held_i.append(i)
+        held_j.append(j)
+        held += len(i)
+        if held > 1_000_000:
+            yield hits_of(np.concatenate(held_i), np.concatenate(held_j), cols)
+            held_i, held_j, held = [], [], 0
+    if held:
+        yield hits_of(np.concatenate(held_i), np.concatenate(held_j), cols)
+
+
+def along(token: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j) of sorted lists that sizes allow, in stretches of about a million."""
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    end = np.append(begin[1:], len(token))
+    stop = np.repeat(end, end - begin)
+    # a posting's partners come after it in its list, up to the largest set that can link with it: one search over (list number, n)
+    number = np.repeat(np.arange(len(begin)), end - begin)
+    wide = np.int64(int(n.max()) * 2 + 2)
+    reach = np.minimum(np.searchsorted(number * wide + n, number * wide + n * 100 // 80, "right"), stop)
+    left = np.maximum(reach - np.arange(len(token)) - 1, 0)
+    at = 0
+    while at < len(token):
+        upto = int(np.searchsorted(np.cumsum(left[at : at + 65_536]), 1_000_000)) + at + 1
+        upto = min(upto, len(token), at + 65_536)
+        k = left[at:upto]
+        i = np.repeat(np.arange(at, upto), k)
+        yield i, i + 1 + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        at = upto
+
+
+def pieces(cols: list[np.ndarray], own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each two pieces of a long list, sorted by component and size, that hold different components of like sizes: a row that any task can count."""
+    by = np.lexsort((cols[2], own))
+    cuts = [by[k : k + PIECE] for k in range(0, len(by), PIECE)]
+    for r, p in enumerate(cuts):
+        for c, q in enumerate(cuts[r:], r):
+            one = own[p[0]] == own[q[-1]]  # sorted, so all between are the same
+            n, m = cols[2][p], cols[2][q]
+            if not one and 100 * n.max() >= 80 * m.min() and 100 * m.max() >= 80 * n.min():
+                both = p if r == c else np.concatenate([p, q])
+                body = blob(np.array([len(p)]), own[both], *(x[both] for x in cols))
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in HIT), pa.array([f"{cols[0][0]}-{r}-{c}"]), pa.array([body], pa.binary())], schema=CROSSED)
+
+
+def pieced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """5, long lists: counted pairs between two pieces, or within one."""
+    for b in batches:
+        for body in b.column("body").to_pylist():
+            (n,), own, *cols = arrays(body, "i8", "i8", *KINDS)
+            total = len(own)
+
+            def stretches(n: int = n, total: int = total) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for a in range(0, n, 128):
+                    i = np.arange(a, min(a + 128, n))
+                    j = np.arange(n, total) if total > n else np.arange(n)
+                    i, j = np.repeat(i, len(j)), np.tile(j, len(i))
+                    yield (i, j) if total > n else (i[i < j], j[i < j])
+
+            for hits in met(stretches(), own, cols):
+                yield hits
+
+
 def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """5: counted pairs of different components; a bucket's rows with labels (token 0, document, label) come with its lists."""
+    """5: counted pairs of different components; a bucket's rows with labels (token 0, document, label) come with its lists. Long lists leave in pieces."""
     for _, cols in by_bucket(batches, *KINDS):
         known = cols[5] < 0  # rows with labels, marked by a negative l
         label_doc, label = cols[1][known], cols[2][known]
@@ -381,44 +474,21 @@ def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(cols[0]):
             continue
         cols = sorted_lists(cols)
-        token, doc, n, pos = cols[:4]
+        token, doc = cols[:2]
         own = doc.copy()
         if len(label_doc):
             by = np.argsort(label_doc)
             at = np.minimum(np.searchsorted(label_doc[by], doc), len(by) - 1)
             own = np.where(label_doc[by][at] == doc, label[by][at], doc)
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        end = np.append(begin[1:], len(token))
-        # a posting's partners come after it in its list, up to the largest set that can link with it
-        stop = np.repeat(end, end - begin)
-        tops = n * 100 // 80
-        # n rises within a list: find by one search over (list number, n)
-        number = np.repeat(np.arange(len(begin)), end - begin)
-        wide = np.int64(int(n.max()) * 2 + 2)
-        reach = np.minimum(np.searchsorted(number * wide + n, number * wide + tops, "right"), stop)
-        left = np.maximum(reach - np.arange(len(token)) - 1, 0)
-        held_i, held_j, held = [], [], 0
-        at = 0
-        while at < len(token):
-            upto = int(np.searchsorted(np.cumsum(left[at : at + 65_536]), 1_000_000)) + at + 1
-            upto = min(upto, len(token), at + 65_536)
-            k = left[at:upto]
-            i = np.repeat(np.arange(at, upto), k)
-            j = i + 1 + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            ok = own[i] != own[j]
-            i, j = i[ok], j[ok]
-            ok = may_link(i, j, cols)
-            i, j = i[ok], j[ok]
-            ok = may_count(i, j, cols)
-            held_i.append(i[ok])
-            held_j.append(j[ok])
-            held += int(ok.sum())
-            at = upto
-            if held > 2_000_000:
-                yield hits_of(np.concatenate(held_i), np.concatenate(held_j), cols)
-                held_i, held_j, held = [], [], 0
-        if held:
-            yield hits_of(np.concatenate(held_i), np.concatenate(held_j), cols)
+        size = np.diff(np.append(begin, len(token)))
+        for a, n in zip(begin[size > BIG], size[size > BIG], strict=True):
+            yield from pieces([c[a : a + n] for c in cols], own[a : a + n])
+        short = np.repeat(size <= BIG, size)
+        if short.any():
+            cols, own = [c[short] for c in cols], own[short]
+            for hits in met(along(cols[0], cols[2]), own, cols):
+                yield whole(hits)
 
 
 def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,59 +520,45 @@ def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SET = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("body", pa.binary())])
 
 
-def body_of(s: np.ndarray) -> bytes:
-    """Five bytes of each hash tell the shingles of a pair apart; sets of many thousand keep eight."""
-    return b"8" + s.tobytes() if len(s) > 20_000 else b"5" + s.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
-
-
-def set_of(body: bytes) -> np.ndarray:
-    if body[:1] == b"8":
-        return np.frombuffer(body, np.uint64, offset=1)
-    wide = np.zeros(((len(body) - 1) // 5, 8), np.uint8)
-    wide[:, 3:] = np.frombuffer(body, np.uint8, offset=1).reshape(-1, 5)
-    return wide.view(np.uint64).ravel()
-
-
 def needed_sets(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, key, body): the sets of the pairs' documents, and of the few others that a filter of fixed size lets through."""
+    """(doc_id, key, body): the sets of the pairs' documents, and of the few others that a filter lets through."""
     spark = documents.sparkSession
     docs = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
-    bit = docs.select(F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)).alias("bit"))
+    n_bits = min(max(1 << (BITS_EACH * docs.agg(F.approx_count_distinct("doc")).first()[0]).bit_length(), LEAST_BITS), MOST_BITS)
+    bit = docs.select(F.pmod(F.xxhash64("doc"), F.lit(n_bits)).alias("bit"))
     words = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits")).toPandas()
-    filled = np.zeros(FILTER_BITS // 64, np.int64)
+    filled = np.zeros(n_bits // 64, np.int64)
     filled[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(filled)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
         for b in batches:
             bits = b.column("bit").to_numpy()
             on = (shared.value[bits >> 6] >> (bits & 63)) & 1
             out = []
             for doc, text, ok in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), on, strict=True):
-                if ok and len(s := shingles(text)):
-                    out.append((doc, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), body_of(s)))
+                if ok and len(s := shingles(text, known)):
+                    out.append((doc, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s.tobytes()))
             if out:
                 yield batch(SET, list(zip(*out, strict=True)))
 
-    rows = documents.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
-    return rows.mapInArrow(sets, "doc_id long, key binary, body binary")
+    rows = documents.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_bits)).alias("bit"))
+    return rows.mapInArrow(tidied(sets), "doc_id long, key binary, body binary")
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by place, a set before its partners: the pairs that link."""
     place, a, own = None, None, None
-    for batch_ in batches:
+    for b in batches:
         out = []
-        for at, other, body in zip(*(batch_.column(c).to_pylist() for c in ("place", "other", "body")), strict=True):
+        for at, other, body in zip(*(b.column(c).to_pylist() for c in ("place", "other", "body")), strict=True):
+            s = np.frombuffer(body, np.uint64)
             if other is None:
-                place, a, own = at, int(at.split("-")[0]), set_of(body)
-                wide = body[:1]
+                place, a, own = at, int(at.split("-")[0]) if at[0] != "-" else -int(at.split("-")[1]), s
             elif at == place:
-                s, mine = set_of(body), own
-                if body[:1] != wide:  # compare five bytes of both
-                    s, mine = s >> np.uint64(24), mine >> np.uint64(24)
-                both = np.intersect1d(mine, s, assume_unique=body[:1] == wide).size
-                if 100 * both >= 80 * (len(mine) + len(s) - both):
+                both = np.intersect1d(own, s, assume_unique=True).size
+                if 100 * both >= 80 * (len(own) + len(s) - both):
                     out.append((a, other))
         if out:
             yield batch(PAIR, list(zip(*out, strict=True)))
@@ -520,7 +576,7 @@ def linked(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFr
     own = degree.withColumnRenamed("a", "doc_id").join(sets, "doc_id").select(F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("s"), "doc_id", "body")
     own = own.select(F.concat_ws("-", "doc_id", "s").alias("place"), F.lit(None).cast("long").alias("other"), "body")
     rows = own.unionByName(theirs).repartition(n, "place").sortWithinPartitions("place", F.asc_nulls_first("other"))
-    return rows.mapInArrow(verified, "a long, b long")
+    return rows.mapInArrow(tidied(verified), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -529,28 +585,31 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     small_batches(spark)
     n = n_partitions(spark)
     documents = documents.select("doc_id", "text")
-    seen = checkpointed(documents.mapInArrow(keyed, "doc_id long, n long, key binary, body binary"))
+    seen = checkpointed(documents.mapInArrow(tidied(keyed), "doc_id long, n long, key binary, body binary"))
     rows = seen.where("key is not null").select("doc_id", "n", "key")
     node = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key"), F.max("n").alias("n"))
     classes = checkpointed(node.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")))
 
-    tally = seen.where("key is null").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(f"n >= {SHARED}")
+    tally = seen.where("key is null").mapInArrow(tidied(counted), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(f"n >= {SHARED}")
     tally = tally.orderBy(F.desc("n"), "token").limit(MOST_SHARED).toPandas()
     order = spark.sparkContext.broadcast(Order(tally["token"].to_numpy(np.int64).view(np.uint64), tally["n"].to_numpy(np.int64)))
 
-    first = documents.mapInArrow(prefixes(order), "doc_id long, key binary, n long, l int, tokens binary").join(classes, ["doc_id", "key"])
-    lists = first.mapInArrow(posted(n), "bucket int, body binary")
+    first = documents.mapInArrow(tidied(prefixes(order)), "doc_id long, key binary, n long, l int, tokens binary").join(classes, ["doc_id", "key"])
+    lists = first.mapInArrow(tidied(posted(n)), "bucket int, body binary")
     for step in (shared_only(n), ranked(n)):
-        lists = lists.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(step, "bucket int, body binary")
+        lists = lists.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(step), "bucket int, body binary")
     lists = checkpointed(lists.repartition(n, "bucket").sortWithinPartitions("bucket"))
 
-    pairs = checkpointed(lists.mapInArrow(spread, "a long, b long").distinct())
+    pairs = checkpointed(lists.mapInArrow(tidied(spread), "a long, b long").distinct())
     sure = checkpointed(linked(documents, classes, pairs))
     labels = components(sure)
 
-    marks = lists.mapInArrow(placed, "doc long, bucket int").join(labels.withColumnRenamed("node", "doc"), "doc").mapInArrow(labelled, "bucket int, body binary")
+    marks = lists.mapInArrow(tidied(placed), "doc long, bucket int").join(labels.withColumnRenamed("node", "doc"), "doc").mapInArrow(tidied(labelled), "bucket int, body binary")
     both = lists.unionByName(marks).repartition(n, "bucket").sortWithinPartitions("bucket")
-    hits = both.mapInArrow(crossed, "a long, b long, hits long, n long, m long, l int, p int, q int, np int, mq int")
+    counts = "a long, b long, hits long, n long, m long, l int, p int, q int, np int, mq int"
+    hits = checkpointed(both.mapInArrow(tidied(crossed), counts + ", piece string, body binary"))
+    long_lists = hits.where("piece is not null").repartition(n, "piece").select("body").mapInArrow(tidied(pieced), counts)
+    hits = hits.where("piece is null").drop("piece", "body").unionByName(long_lists)
     hits = hits.groupBy("a", "b").agg(F.sum("hits").alias("hits"), *(F.max(c).alias(c) for c in ("n", "m", "l", "p", "q", "np", "mq")))
     # shingles not counted lie behind the last hit in both sets, and behind the prefix in one of them
     rest = F.greatest(F.least(F.col("n") - F.col("np"), F.col("m") - F.col("q") - 1), F.least(F.col("m") - F.col("mq"), F.col("n") - F.col("p") - 1))
