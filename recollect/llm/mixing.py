@@ -5,6 +5,12 @@ one margin after the other, until the weighted margins meet their targets; then
 each document is kept with a probability in proportion to its cell's weight,
 drawn from a hash of its id, so the draw is the same wherever it runs.
 
+Tokens are those of a byte-level BPE. Topics are learnt from all documents: a
+document is the logarithms of its words' counts over DIMS hashed places, its
+language's mean is taken off, so that topics cut across languages, and spherical
+k-means groups what is left into TOPICS; sums are whole numbers, so the topics
+don't depend on the order of tasks. Only its start is drawn from START rows.
+
 Targets default to the observed shares to the power of TEMPER, which lifts small
 sources and holds back a hot one. Probabilities are scaled so that KEEP of all
 tokens are expected; a cell whose probability would pass 1 is kept whole and
@@ -18,15 +24,15 @@ the same margins, up to rounding.
 Targets go by the columns' own values (None for null): {"source": {"web": 0.5,
 ...}}; a value without a target in a margin that has some gets none.
 
-Edge cases: null and empty texts have no tokens and topic 0; null sources and
-languages are margins of their own; repeated rows are drawn alike; an empty
-table gives no rows; other columns don't matter.
+Edge cases: null and empty texts have no tokens and topic 0; very long texts are
+read whole; null sources and languages are margins of their own; repeated rows are
+drawn alike; an empty table gives no rows; other columns, whatever their names,
+stay as they are in draw() and don't matter elsewhere.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,29 +40,131 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches
+from .common import checkpointed, small_batches, tidied
+from .token_counts import Encoder
 
 TEMPER, KEEP, SEED = 0.7, 0.8, 17
 TOPICS = 8
 #: Cells that the driver rakes by itself.
 MAX_CELLS = 150_000
+#: Places that words are hashed to, rounds of k-means, rows that it starts from, languages (of most documents) with a mean of their own.
+DIMS, ROUNDS, START, OWN_MEANS = 128, 6, 512, 64
 #: Words of fewer letters say nothing of a topic.
-TOPIC_LETTERS = 6
+TOPIC_LETTERS = 4
+#: Words whose places a task remembers.
+KNOWN = 300_000
 MARGINS = ("source", "lang", "topic")
 
 
-def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Appends n_tokens and topic: the bucket that most long words fall in by their first letters, the least on a tie."""
-    for b in batches:
-        n, topic = [], []
-        for text in b.column("text").to_pylist():
-            words = (text or "").split()
-            n.append(len(words))
-            votes = [0] * TOPICS
-            for w, times in Counter([w[:TOPIC_LETTERS].lower() for w in words if len(w) >= TOPIC_LETTERS]).items():
-                votes[zlib.crc32(w.encode("utf-8", "surrogatepass")) % TOPICS] += times
-            topic.append(votes.index(max(votes)))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(topic, pa.int32())], names=[*b.schema.names, "n_tokens", "topic"])
+class Places(dict):
+    """The place of each word, remembered up to a bound; short words have none (DIMS)."""
+
+    def __missing__(self, word: str) -> int:
+        core = word.strip(".,;:!?\"'()[]")
+        at = DIMS if len(core) < TOPIC_LETTERS else zlib.crc32(core.encode("utf-8", "surrogatepass")) % DIMS
+        if len(word) <= 64:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[word] = at
+        return at
+
+
+def vector(text: str | None, known: Places) -> np.ndarray:
+    """A document's words as whole numbers from 0 to 127 over DIMS places, of length 127 about."""
+    words = (text or "").lower().split()
+    x = np.log1p(np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=DIMS + 1)[:DIMS])
+    return np.round(127 * x / max(np.sqrt((x * x).sum()), 1e-9)).astype(np.int8)
+
+
+def described(documents: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """columns with n_tokens and vec for every document."""
+    import public_tokenizers
+
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Places()
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            n = [encoder.count(t) if t else 0 for t in texts]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(n, pa.int64()), pa.array([vector(t, known).tobytes() for t in texts], pa.binary())], names=[*columns, "n_tokens", "vec"])
+
+    rows = documents.select(*columns, *(["text"] if "text" not in columns else []))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*columns).schema.fields)
+    return rows.mapInArrow(tidied(run), f"{schema}, n_tokens long, vec binary")
+
+
+class Topics:
+    """Means of languages and the topics' centres."""
+
+    def __init__(self, means: dict, rest: np.ndarray, centres: np.ndarray):
+        self.means, self.rest, self.centres = means, rest, centres
+
+    def residuals(self, langs: list, x: np.ndarray) -> np.ndarray:
+        """Rows without their language's mean, of length 1; empty ones stay 0."""
+        some = x.any(1)
+        x = np.where(some[:, None], x - np.array([self.means.get(v, self.rest) for v in langs]).reshape(x.shape), 0)
+        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+
+    def of(self, langs: list, x: np.ndarray) -> np.ndarray:
+        return np.argmax(np.round(self.residuals(langs, x) @ self.centres.T, 9), 1) if len(x) else np.zeros(0, np.int64)
+
+
+def rows_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, DIMS).astype(float)
+
+
+def summed(rows: DataFrame, groups) -> dict:
+    """The sum of whole numbers over the rows of each group; groups(batch) gives the numbers of the groups and the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows:
+                own, x = groups(b)
+                for k in np.unique(own):
+                    total[int(k)] = total.get(int(k), 0) + np.append(x[own == k].sum(0), (own == k).sum()).astype(np.int64)
+        for k, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(DIMS + 1, k), pa.int32()), pa.array(np.arange(DIMS + 1), pa.int32()), pa.array(x, pa.int64())], names=["k", "d", "x"])
+
+    out: dict = {}
+    for r in rows.select("lang", "vec").mapInArrow(tidied(run), "k int, d int, x long").groupBy("k", "d").agg(F.sum("x").alias("x")).collect():
+        out.setdefault(r.k, np.zeros(DIMS + 1))[r.d] = r.x
+    return out
+
+
+def learnt(slim: DataFrame) -> Topics:
+    """Topics from rows with lang and vec."""
+    langs = [r[0] for r in slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(OWN_MEANS).collect()]
+    number = {v: i for i, v in enumerate(langs)}
+
+    def by_lang(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        x = rows_of(b.column("vec"))
+        some = x.any(1)
+        return np.array([number.get(v, len(langs)) for v in b.column("lang").to_pylist()])[some], x[some]
+
+    sums = summed(slim, by_lang)
+    mean = {k: x[:DIMS] / max(x[DIMS], 1) for k, x in sums.items()}
+    blank = np.zeros(DIMS)
+    model = Topics({v: mean.get(i, blank) for v, i in number.items()}, mean.get(len(langs), blank), np.zeros((TOPICS, DIMS)))
+    some = slim.select("lang", "vec").orderBy(F.xxhash64("vec"), "vec", "lang").limit(START).collect()
+    if not some:
+        return model
+    first = model.residuals([r.lang for r in some], np.frombuffer(b"".join(bytes(r.vec) for r in some), np.int8).reshape(-1, DIMS).astype(float))
+    # rows that lie far apart, one after the other
+    pick = [int(np.argmax((first * first).sum(1)))]
+    for _ in range(1, TOPICS):
+        pick.append(int(np.argmin(np.round((first @ first[pick].T).max(1), 9))))
+    model.centres = first[pick]
+    for _ in range(ROUNDS):
+        def by_topic(b: pa.RecordBatch, model: Topics = model) -> tuple[np.ndarray, np.ndarray]:
+            x, langs = rows_of(b.column("vec")), b.column("lang").to_pylist()
+            return model.of(langs, x), np.round(1000 * model.residuals(langs, x))
+
+        sums = summed(slim, by_topic)
+        centres = np.stack([sums[k][:DIMS] if k in sums else model.centres[k] for k in range(TOPICS)])
+        model = Topics(model.means, model.rest, centres / np.maximum(np.sqrt((centres * centres).sum(1, keepdims=True)), 1e-9))
+    return model
 
 
 def rake(cells: list[tuple], tokens: np.ndarray, targets: dict[str, dict] | None = None, rounds: int = 500, tolerance: float = 1e-9) -> np.ndarray:
@@ -163,7 +271,7 @@ def raked(cells: DataFrame, targets: dict[str, dict] | None = None, keep: float
             yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1), pa.int64()), pa.array(np.append(sums[k], worst), pa.float64())], names=["k", "x"])
 
         out, worst = np.zeros(len(f)), 0.0
-        for r in sources.select("held", "goal").mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x"), F.max("x").alias("most")).collect():
+        for r in sources.select("held", "goal").mapInArrow(tidied(run), "k long, x double").groupBy("k").agg(F.sum("x").alias("x"), F.max("x").alias("most")).collect():
             if r.k < 0:
                 worst = r.most
             else:
@@ -190,7 +298,7 @@ def raked(cells: DataFrame, targets: dict[str, dict] | None = None, keep: float
                 w = factors(owner, at, n, goal, before, total)[1][owner] * f[at]
                 yield pa.RecordBatch.from_arrays([b.column("source").take(pa.array(owner)), pa.array(at, pa.int32()), pa.array(n, pa.float64()), pa.array(w, pa.float64())], names=["source", "at", "n", "weight"])
 
-    weights = checkpointed(sources.mapInArrow(weighed, "source string, at int, n double, weight double"))
+    weights = checkpointed(sources.mapInArrow(tidied(weighed), "source string, at int, n double, weight double"))
     least = weights.where("weight > 0").agg(F.min("weight")).first()[0]
     low, high = 0.0, 1.0 / max(min(1.0, 1.0 if least is None else least), 1e-12)
     for _ in range(16):  # each pass tries 255 scales at once
@@ -203,7 +311,7 @@ def raked(cells: DataFrame, targets: dict[str, dict] | None = None, keep: float
                 x += np.minimum(1, scales[:, None] * w) @ n
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x)), pa.int64()), pa.array(x, pa.float64())], names=["k", "x"])
 
-        got = sorted(tuple(r) for r in weights.select("weight", "n").mapInArrow(kept, "k long, x double").groupBy("k").agg(F.sum("x")).collect())
+        got = sorted(tuple(r) for r in weights.select("weight", "n").mapInArrow(tidied(kept), "k long, x double").groupBy("k").agg(F.sum("x")).collect())
         i = next((k for k, x in got if x >= keep * total), len(scales))
         low, high = (low if i == 0 else float(scales[i - 1])), (high if i == len(scales) else float(scales[i]))
         if high - low <= 1e-15 * high:
@@ -225,24 +333,54 @@ def weighted(cells: DataFrame, targets: dict[str, dict] | None = None, keep: flo
     return F.broadcast(table)
 
 
-def mixed(documents: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP, columns: tuple[str, ...] = ("doc_id", "source", "lang")) -> DataFrame:
-    """The columns of every document with n_tokens, topic, weight, probability, capped, sampled."""
-    spark = documents.sparkSession
-    small_batches(spark)
-    rows = documents.select(*columns, *(c for c in ("doc_id", "source", "lang", "text") if c not in columns))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", n_tokens long, topic int"
-    rows = rows.mapInArrow(described, schema)
-    cells = rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n"))
-    table = weighted(cells, targets, keep).select(*(F.col(c).alias(f"cell_{c}") for c in MARGINS), "weight", "probability")
+def with_topic(slim: DataFrame, model: Topics, columns: tuple[str, ...]) -> DataFrame:
+    """columns with the topic of every row of a table with lang and vec."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            topic = model.of(b.column("lang").to_pylist(), rows_of(b.column("vec")))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(topic, pa.int32())], names=[*columns, "topic"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*columns).schema.fields)
+    return slim.select(*columns, *(c for c in ("lang", "vec") if c not in columns)).mapInArrow(tidied(run), f"{schema}, topic int")
+
+
+def cells_of(slim: DataFrame, model: Topics) -> DataFrame:
+    return with_topic(slim, model, ("source", "lang", "n_tokens")).groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n"))
+
+
+def mixed(documents: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP) -> DataFrame:
+    """doc_id, source, lang, n_tokens, topic, weight, probability, capped, sampled for every document."""
+    small_batches(documents.sparkSession)
+    slim = checkpointed(described(documents, ("doc_id", "source", "lang")))
+    model = learnt(slim)
+    table = weighted(cells_of(slim, model), targets, keep).select(*(F.col(c).alias(f"cell_{c}") for c in MARGINS), "weight", "probability")
     same = [F.col(c).eqNullSafe(F.col(f"cell_{c}")) for c in MARGINS]
-    rows = rows.join(table, same[0] & same[1] & same[2])
-    return rows.select(*columns, "n_tokens", "topic", "weight", "probability", (F.col("probability") >= 1).alias("capped"), (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))
+    rows = with_topic(slim, model, ("doc_id", "source", "lang", "n_tokens")).join(table, same[0] & same[1] & same[2])
+    return rows.select("doc_id", "source", "lang", "n_tokens", "topic", "weight", "probability", (F.col("probability") >= 1).alias("capped"), (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))
 
 
 def draw(documents: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP) -> DataFrame:
-    """The documents drawn, with their own columns."""
-    columns = tuple(documents.columns)
-    return mixed(documents, targets, keep, columns).where("sampled").select(*columns)
+    """The documents drawn, with their own columns, whatever these are named."""
+    small_batches(documents.sparkSession)
+    columns = documents.columns
+    slim = checkpointed(described(documents, ("source", "lang")))
+    model = learnt(slim)
+    table = weighted(cells_of(slim, model), targets, keep).select(*MARGINS, "probability")
+    own = {c: f"c{i}" for i, c in enumerate(columns)}  # names that can't clash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Places()
+        for b in batches:
+            x = np.array([vector(t, known) for t in b.column(own["text"]).to_pylist()], np.int8).reshape(-1, DIMS).astype(float)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.of(b.column(own["lang"]).to_pylist(), x), pa.int32())], names=[*b.schema.names, "own_topic"])
+
+    rows = documents.select(*(F.col(f"`{c}`").alias(x) for c, x in own.items()))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    rows = rows.mapInArrow(tidied(run), f"{schema}, own_topic int")
+    same = F.col(own["source"]).eqNullSafe(F.col("source")) & F.col(own["lang"]).eqNullSafe(F.col("lang")) & (F.col("own_topic") == F.col("topic"))
+    rows = rows.join(table, same).where(uniform(F.col(own["doc_id"])) < F.col("probability"))
+    return rows.select(*(F.col(x).alias(c) for c, x in own.items()))
 
 
 def op7_mixing(documents: DataFrame) -> DataFrame:

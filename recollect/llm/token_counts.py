@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import small_batches, tidied
 
 
 class Encoder:
@@ -34,8 +34,7 @@ class Encoder:
     def __getstate__(self):
         return {"path": self.path, "pattern": self.pattern, "encoding": None}
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of text and the bytes that each stands for."""
+    def opened(self) -> Encoder:
         if self.encoding is None:
             import tiktoken
 
@@ -45,7 +44,15 @@ class Encoder:
             self.size = np.zeros(max(ranks.values()) + 1, np.int64)
             for piece, i in ranks.items():
                 self.size[i] = len(piece)
-        ids = np.array(self.encoding.encode_ordinary(text), np.int64)
+        return self
+
+    def count(self, text: str) -> int:
+        """The number of ids of text."""
+        return len(self.opened().encoding.encode_ordinary(text))
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of text and the bytes that each stands for."""
+        ids = np.array(self.opened().encoding.encode_ordinary(text), np.int64)
         return ids, self.size[ids]
 
 
@@ -105,7 +112,7 @@ def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
                 cols = [np.concatenate(c).astype(np.int64) for c in out]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], mask=np.concatenate(null)), *map(pa.array, cols[1:])], names=["doc_id", "section", "char_start", "char_end", "n_tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, section long, char_start long, char_end long, n_tokens long")
+    return documents.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, section long, char_start long, char_end long, n_tokens long")
 
 
 def op2_token_counts(documents: DataFrame) -> DataFrame:
