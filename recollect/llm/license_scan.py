@@ -10,12 +10,15 @@ the same offset. A window that collides retrieves templates; then the share of
 the template's shingles that the words around the window contain is counted
 exactly, and MATCH or more is a hit.
 
-The templates are a fixed list, so they are broadcast; the texts are scanned
-once and only windows that collide leave the scan.
+The templates are a bounded table, so the index of their bands is broadcast and
+each band's values are a set in the scan's filter: the texts are scanned once, and
+only windows with a band that collides leave the scan.
 
 Edge cases: null and empty texts, and texts of fewer than five words, have no
-shingles and no hits; repeated rows of a document give its best hit once; an
-empty table gives no rows; other columns don't matter.
+shingles and no hits; very long texts are scanned whole, a window at a time;
+repeated rows of a document give its best hit once, and of several texts with one
+doc_id the best hit of any; a null doc_id is a document; an empty table gives no
+rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -90,19 +93,20 @@ def scan(documents: DataFrame, notices: list[tuple[str, str]] = NOTICES) -> Data
         at = at.withColumn(f"h{i}", F.when(F.col("at") + i >= 0, shingle(F.col("w"), F.col("at") + i)))
     h = [F.col(f"h{i}") for i in range(STEP)]
     index = at.select("template", "license", "shingles", F.posexplode(bands(h)).alias("band", "value")).where("value is not null").distinct()
-    # the band of a window can only equal a template's if its least shingle is one of the template's: a window without any leaves the scan at once
-    theirs = [r.h for r in at.select(F.explode(F.array(*h)).alias("h")).where("h is not null").distinct().orderBy("h").collect()]
+    values: dict[int, list[int]] = {}
+    for r in index.select("band", "value").distinct().orderBy("band", "value").collect():  # bounded by the templates
+        values.setdefault(r.band, []).append(r.value)
 
     rows = documents.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
     rows = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - K, F.lit(0)), F.lit(STEP))).alias("at"))
     rows = rows.select("doc_id", "w", "at", *(shingle(F.col("w"), F.col("at") + i).alias(f"h{i}") for i in range(STEP)))
-    any_of = F.lit(False)
-    for x in h:
-        any_of = any_of | x.isin(theirs)
+    rows = rows.select("doc_id", "w", "at", bands(h).alias("bands"))
     begin = F.greatest(F.col("at") - AROUND, F.lit(0))
     near = F.slice("w", begin + 1, F.lit(2 * AROUND + STEP + K - 1))
-    rows = rows.where(any_of).select("doc_id", "at", near.alias("near"), F.posexplode(bands(h)).alias("band", "value"))
-    found = rows.join(F.broadcast(index), ["band", "value"]).dropDuplicates(["doc_id", "at", "template"])
+    collides = " OR ".join(f"bands[{k}] IN ({', '.join(f'{v}L' if v > -(1 << 63) else 'bigint(-9223372036854775808)' for v in vs)})" for k, vs in sorted(values.items()))
+    rows = rows.where(collides or "false").select("doc_id", "at", near.alias("near"), F.posexplode("bands").alias("band", "value"))
+    # one row a window and template; windows of different texts stay apart even if doc_id and place are the same
+    found = rows.join(F.broadcast(index), ["band", "value"]).dropDuplicates(["doc_id", "at", "template", "near"])
     share = F.size(F.array_intersect("shingles", all_shingles(F.col("near")))) / F.size("shingles")
     found = found.select("doc_id", "template", "license", "at", share.alias("containment")).where(F.col("containment") >= MATCH)
     best = found.groupBy("doc_id", "template", "license").agg(F.max(F.struct("containment", (-F.col("at")).alias("back"))).alias("best"))
