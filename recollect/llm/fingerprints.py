@@ -19,9 +19,10 @@ others locate the edits; likeness is the share of code points that lie in leaves
 of both.
 
 Edge cases: null text counts as empty, which has a root and no leaves; equal
-texts have equal fingerprints; repeated rows follow each other in the order of
-ids and texts; with a single row the next document is the row itself; an empty
-table gives no rows; other columns don't matter.
+texts have equal fingerprints; null ids come first; rows of one id follow each
+other in the order of their texts, or of a hash of them where an id has very many;
+with a single row the next document is the row itself; very long texts are read
+whole, one at a time; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, small_batches
+from .common import n_partitions, small_batches, tidied
 
 #: A leaf ends after a word whose hash is a multiple of this, or after LEAF_WORDS words.
 CUT, LEAF_WORDS = 4, 16
@@ -43,6 +44,8 @@ CUT, LEAF_WORDS = 4, 16
 LEAST, MOST, NEAR, INNER = 16, 64, 4, 8
 #: A section ends after a paragraph whose hash is a multiple of this.
 SECTION = 8
+#: Stands for a null id, which comes first; a tie that none passes.
+NO_ID, MOST_TIE = -(1 << 63), (1 << 63) - 1
 #: Code points of texts that have single words, or 4 code points, beside the leaves of the tree.
 SMALL, TINY = 400, 48
 
@@ -166,27 +169,43 @@ def edited(text: str, following: str) -> str:
 
 
 def with_next(documents: DataFrame) -> DataFrame:
-    """Documents dealt by ranges of doc_id and sorted, each range followed by the first row of the next one (last = true).
+    """Documents dealt by ranges of (doc_id, tie, text) and sorted, each range followed by the first rows of the next one (last = true).
 
-    Only quantiles of the ids and the first id of each range come to the driver,
-    as many as there are partitions.
+    The tie is 0, but a hash of the text for an id that has more rows than a fair
+    share of one range, so that a hot id, or null, is cut as well. Only quantiles of
+    the ids, hot ids and the first key of each range come to the driver, some times
+    as many as there are partitions. A range is a partition of its own.
     """
     spark = documents.sparkSession
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = n_partitions(spark)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    above = F.array(*map(F.lit, sorted(set(cuts)))).cast("array<bigint>")
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(above, lambda c: F.col("doc_id") > c)))  # null ids come first
-    rows = rows.withColumn("part", part)
-    first = rows.groupBy("part").agg(F.min("doc_id").alias("head"), F.max(F.col("doc_id").isNull()).alias("unknown")).orderBy("part").collect()
-    order = [r.part for r in first]
-    heads = [(None if r.unknown else r.head, order[i - 1]) for i, r in enumerate(first)]
-    ahead = F.broadcast(spark.createDataFrame(heads, "head long, before int"))
-    rows = rows.join(ahead, F.col("doc_id").eqNullSafe(F.col("head")), "left")
-    targets = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("last")))
-    targets = F.when(F.col("before").isNull(), targets).otherwise(F.concat(targets, F.array(F.struct(F.col("before").alias("part"), F.lit(True).alias("last")))))
-    dealt = rows.withColumn("to", F.explode(targets)).select("doc_id", "text", F.col("to.part").alias("part"), F.col("to.last").alias("last"))
-    return dealt.repartition(max(1, len(order)), "part").sortWithinPartitions("part", "last", "doc_id", "text")
+    total = rows.count()
+    cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    fair = max(1000, -(-total // n))
+    hot = {r.key: -(-r["count"] // fair) for r in rows.groupBy("key").count().where(F.col("count") > fair).collect()}  # n at most
+    bounds = {(int(c), MOST_TIE) for c in cuts}
+    for key, pieces in hot.items():
+        bounds |= {(key - 1, MOST_TIE), (key, MOST_TIE)} | {(key, int(-(1 << 63) + (i << 64) // pieces)) for i in range(1, pieces)}
+    bounds = sorted(b for b in bounds if b[0] >= NO_ID)
+    tie = F.when(F.col("key").isin(list(hot)), F.xxhash64("text")) if hot else F.lit(None).cast("long")
+    rows = rows.withColumn("tie", F.coalesce(tie, F.lit(0).cast("long")))
+    # the range is the number of bounds below the row: first among every step-th bound, then within its stretch
+    step = max(1, int(len(bounds) ** 0.5))
+    literal = lambda bs: F.array(*(F.struct(F.lit(k).cast("long").alias("key"), F.lit(t).cast("long").alias("tie")) for k, t in bs))
+    below = lambda a: F.size(F.filter(a, lambda b: b < F.struct("key", "tie")))
+    coarse = below(literal(bounds[step - 1 :: step])) if bounds else F.lit(0)
+    rows = rows.withColumn("coarse", coarse)
+    fine = below(F.slice(literal(bounds), F.col("coarse") * step + 1, F.lit(step))) if bounds else F.lit(0)
+    rows = rows.withColumn("part", F.col("coarse") * step + fine).drop("coarse")
+    first = rows.groupBy("part").agg(F.min(F.struct("key", "tie")).alias("head")).orderBy("part").collect()
+    heads = [(r["head"]["key"], r["head"]["tie"], i, (i - 1) % len(first)) for i, r in enumerate(first)]
+    numbers = F.broadcast(spark.createDataFrame([(r.part, i) for i, r in enumerate(first)], "part int, place int"))
+    ahead = F.broadcast(spark.createDataFrame([h[:2] + h[3:] for h in heads], "head_key long, head_tie long, before int"))
+    rows = rows.join(numbers, "part").join(ahead, (F.col("key") == F.col("head_key")) & (F.col("tie") == F.col("head_tie")), "left")
+    here, there = F.struct(F.col("place").alias("place"), F.lit(False).alias("last")), F.struct(F.col("before").alias("place"), F.lit(True).alias("last"))
+    dealt = rows.withColumn("to", F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, there))))
+    dealt = dealt.select("doc_id", "key", "tie", "text", F.col("to.place").alias("part"), F.col("to.last").alias("last"))
+    return dealt.repartitionById(max(1, len(first)), F.col("part")).sortWithinPartitions("part", "last", "key", "tie", "text").drop("key", "tie")
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,4 +231,4 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op3_fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document."""
     small_batches(documents.sparkSession)
-    return with_next(documents).mapInArrow(compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(documents).mapInArrow(tidied(compared), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
