@@ -6,10 +6,15 @@ network gives each passage a hidden vector h and a gate
 w . (tanh(V h) * sigmoid(U h)); the softmax of the gates weighs the hidden
 vectors, and a logistic layer scores the weighted sum.
 
+Learning takes TRAIN_ROWS labelled rows at most, and of each TRAIN_PASSAGES
+passages at most, spread evenly over the whole text; scoring reads every passage.
+
 Edge cases: null and empty texts are one empty passage and get a score like any
-other; repeated rows are scored alike; an empty table gives no rows; without
-labelled rows of both kinds every score is the share of label 1 (or 0.5). Extra
-columns of the input, whatever their names, are dropped.
+other; very long texts are encoded in blocks of passages; repeated rows are scored
+alike, and several texts of one labelled doc_id are each learnt from, within the
+bound; rows with a null doc_id are scored and count as not held out; an empty table
+gives no rows; without labelled rows of both kinds every score is the share of
+label 1 (or 0.5). Extra columns of the input, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -23,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, small_batches
+from .common import held_out, labelled_sample, small_batches, tidied
 
-#: Labelled rows that are learnt from at most.
-TRAIN_ROWS = 2500
+#: Labelled rows that are learnt from at most, and passages of each.
+TRAIN_ROWS, TRAIN_PASSAGES = 2500, 32
 #: Bytes of a passage.
 PASSAGE = 768
 #: Buckets that pairs of neighbouring bytes are hashed to.
@@ -108,15 +113,19 @@ def train(x: np.ndarray, start: np.ndarray, label: np.ndarray, steps: int = 160,
 def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for doc, label, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True):
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc], pa.int64()), "label": pa.array([label], pa.int32()), "x": pa.array([encode(passages(text)).astype(np.float16).tobytes()], pa.binary())})
+            parts = passages(text)
+            if len(parts) > TRAIN_PASSAGES:
+                parts = [parts[i * len(parts) // TRAIN_PASSAGES] for i in range(TRAIN_PASSAGES)]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc], pa.int64()), "label": pa.array([label], pa.int32()), "x": pa.array([encode(parts).astype(np.float16).tobytes()], pa.binary())})
 
 
 def fit(documents: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> dict | float:
-    """The model learnt from at most bound labelled documents, or the share of label 1 if there is but one kind."""
+    """The model learnt from at most bound labelled rows, or the share of label 1 if there is but one kind."""
     small_batches(documents.sparkSession)
     sample = labelled_sample(labels, "quality", bound)
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    got = rows.mapInArrow(encoded, "doc_id long, label int, x binary").orderBy("doc_id", "x").toPandas()
+    rows = rows.mapInArrow(tidied(encoded), "doc_id long, label int, x binary")
+    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x"), "x").limit(bound).toPandas().sort_values(["doc_id", "x"], kind="stable")
     label = got["label"].to_numpy(np.float32)
     if len(label) == 0 or label.min() == label.max():
         return float(label[0]) if len(label) else 0.5
@@ -137,7 +146,7 @@ def scores(model: dict | float, texts: list[str | None]) -> np.ndarray:
             parts += passages(texts[j])
             j += 1
         x = np.vstack([(encode(parts[k : k + 1024]) - model["mean"]) / model["spread"] for k in range(0, len(parts), 1024)])
-        out[i:j] = forward(model, x, np.array(start))["y"]
+        out[i:j] = np.round(forward(model, x, np.array(start))["y"].astype(float), 5)  # single precision: equal texts score alike in any block
         i = j
     return out
 
@@ -154,7 +163,7 @@ def score(documents: DataFrame, model: dict | float, threshold: float = 0.3, kee
             y = scores(model, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(y, pa.float64())], [*cols, "score"])
 
-    return rows.mapInArrow(scored, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return rows.mapInArrow(tidied(scored), schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op6_quality_classifier(documents: DataFrame, labels: DataFrame) -> DataFrame:

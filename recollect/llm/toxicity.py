@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, held_out, labelled_sample, small_batches
+from .common import BLOCK_BYTES, held_out, labelled_sample, small_batches, tidied
 
 #: Labelled rows that are learnt from at most, by label; the bytes of one and of all of them.
 TRAIN_ROWS = {0: 1200, 1: 600}
@@ -240,7 +240,7 @@ def scores(model: dict | float, texts: list[str | None]) -> np.ndarray:
         while j < len(texts) and held < BLOCK_BYTES:
             held += len(texts[j] or "") + 1
             j += 1
-        out[i:j] = 1 / (1 + np.exp(-np.clip(logits(model, texts[i:j]), -30, 30)))
+        out[i:j] = np.round(1 / (1 + np.exp(-np.clip(logits(model, texts[i:j]), -30, 30))), 9)
         i = j
     return out
 
@@ -258,10 +258,10 @@ def score(documents: DataFrame, model: dict | float, threshold: float = 0.5, kee
             y = scores(shared.value, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(y, pa.float64())], [*cols, "score"])
 
-    return rows.mapInArrow(scored, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return rows.mapInArrow(tidied(scored), schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op8_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     out = score(documents, fit(documents, labels))
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
