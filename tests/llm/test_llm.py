@@ -54,6 +54,13 @@ def test_license_scan(spark):
     assert license_scan.op1_license_scan(docs(spark, EMPTY)).count() == 0
 
 
+def test_best_window_of_any_text_of_an_id_counts(spark):
+    rows = [(1, "Licensed under CC BY 4.0."), (1, "Licensed under CC BY 4 apples"), (2, f"{'pad ' * 900} Licensed under CC BY 4.0. {'x ' * 50_000}"), (None, "Released under the MIT License.")]
+    for order in (rows, rows[::-1]):
+        got = {(r.doc_id, r.license): r.containment for r in license_scan.op1_license_scan(docs(spark, order)).collect()}
+        assert got == {(1, "CC-BY-4.0"): 1.0, (2, "CC-BY-4.0"): 1.0, (None, "MIT"): 1.0}
+
+
 def test_license_edited_words(spark):
     notice = license_scan.NOTICES[2][1].split()
     for cut in (3, 15):
@@ -64,18 +71,37 @@ def test_license_edited_words(spark):
 # 2
 
 
+def by_sections(text, enc):
+    """Tokens of each line, a token and a character at a time."""
+    ids = enc.opened().encoding.encode_ordinary(text)
+    line_of, line = [], 0
+    for c in text:
+        line_of.append(line)
+        line += c == "\n"
+    char_of_byte = [i for i, c in enumerate(text) for _ in c.encode("utf-8", "surrogatepass")]
+    counts, at = [0] * (line + (not text.endswith("\n") or not text)), 0
+    for i in ids:
+        own = sorted(set(char_of_byte[at : at + len(enc.encoding.decode_single_token_bytes(i))]))
+        at += len(enc.encoding.decode_single_token_bytes(i))
+        held = [line_of[c] for c in own]
+        counts[min(set(held), key=lambda k: (-held.count(k), k))] += 1
+    return counts
+
+
 def test_token_counts(spark):
     import public_tokenizers
 
+    enc = token_counts.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = [*ODD, (20, "a\n\n\n\nb\n  \n\n c"), (21, "\n\n\n\n\n\n\n"), (22, "x\u4e00\n😀\n\né\n"), (23, "\r\n\r\n  if x:\n\t\treturn\n\n\n\n" * 30), (None, "no\nid")]
     got: dict = {}
-    for r in token_counts.op2_token_counts(docs(spark, [(i, t) for i, t in ODD if i != 5], True)).collect():
+    for r in token_counts.op2_token_counts(docs(spark, rows, True)).collect():
         got.setdefault(r.doc_id, []).append((r.section, r.char_start, r.char_end, r.n_tokens))
-    enc = token_counts.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    for i, text in ODD:
-        if i != 5:
-            own = sorted(got[i])
-            assert "".join((text or "")[a:z] for _, a, z, _ in own) == (text or "")
-            assert sum(n for *_, n in own) == len(enc(text or "")[0])
+    for i, text in rows:
+        text, times = text or "", sum(i == k for k, _ in rows)
+        want = by_sections(text, enc) if len(text) < 5000 else [len(enc(text)[0])]
+        assert [n for _, _, _, n in sorted(got[i])] == [n for n in want for _ in range(times)], (i, text[:50])
+        own = sorted(set(got[i]))
+        assert "".join(text[a:z] for _, a, z, _ in own) == text and [k for k, *_ in own] == list(range(len(want)))
     assert token_counts.op2_token_counts(docs(spark, EMPTY)).count() == 0
 
 
@@ -87,19 +113,65 @@ def test_crossing_tokens_go_where_most_of_them_lies():
 # 3
 
 
+def print_parts(print_):
+    """(root, leaves at each grain) read from a fingerprint's text, without the module's own reader."""
+    tree, *grains = print_.split(";")
+    root, *sections = tree.split("|")
+    leaves = [x for s in sections for x in s.split(":")[1].split(",")]
+    return root, [[(x[:8], int(x[8:])) for x in g] for g in (leaves, *(g.split(",") for g in grains))]
+
+
+def like(a, b):
+    """Likeness by brute force: leaves are struck off one by one."""
+    (root, x), (other, y) = print_parts(a), print_parts(b)
+    if root == other:
+        return 1.0
+    k = min(len(x), len(y)) - 1
+    rest, same = list(y[k]), 0
+    for leaf in x[k]:
+        if leaf in rest:
+            rest.remove(leaf)
+            same += leaf[1]
+    total = sum(n for g in (x[k], y[k]) for _, n in g)
+    return 2 * same / total if total else 1.0
+
+
 def test_fingerprints(spark):
-    rows = sorted((i, t or "") for i, t in ODD)
+    near = " ".join(f"word{i * 7919 % 1009} of{i}" for i in range(60))
+    rows = sorted((i, t or "") for i, t in [*ODD, (30, near), (31, near[:300] + " and something else"), (32, "x\n" * 90 + near)])
     want = []
     for k, (i, t) in enumerate(rows):
-        new = fingerprints.edited(t, rows[(k + 1) % len(rows)][1])
-        want.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), fingerprints.fingerprint(t), fingerprints.fingerprint(new)))
-    got = [tuple(r)[:5] for r in fingerprints.op3_fingerprints(docs(spark, ODD, True)).collect()]
-    assert sorted(got) == sorted(want)
+        following = rows[(k + 1) % len(rows)][1]
+        cut = len(t) // 4
+        new = t[: len(t) - cut] + following[:cut]
+        own, other, ahead = map(fingerprints.fingerprint, (t, new, following))
+        want.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), own, other, pytest.approx(like(own, other)), pytest.approx(like(own, ahead))))
+    got = sorted(tuple(r) for r in fingerprints.op3_fingerprints(docs(spark, [*ODD, *rows[-3:]], True)).collect())
+    assert got == sorted(want, key=lambda r: r[:5])
+    assert any(0.3 < r[5] < 1 for r in got) and any(0.3 < r[6] < 1 for r in got)
     assert fingerprints.op3_fingerprints(docs(spark, EMPTY)).count() == 0
     one = fingerprints.op3_fingerprints(docs(spark, [(None, "alone here")])).collect()
     assert [(r.doc_id, r.n_chars, r.near_next) for r in one] == [(None, 10, 1.0)]
 
 
+def test_fingerprints_of_hot_ids(spark):
+    g = np.random.default_rng(7)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text number {i} " + "x" * int(g.integers(0, 40))) for i in range(9000)]
+    d = docs(spark, rows)
+    dealt = fingerprints.with_next(d).withColumn("at", F.spark_partition_id())
+    sizes = [r["count"] for r in dealt.where("not last").groupBy("at").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 3500  # a hot id's rows are in several places
+    got = fingerprints.op3_fingerprints(d).select("doc_id", "edited_sha256").collect()
+    assert len(got) == 9000
+    # following each other, the rows make one ring: every text's edit begins with some next text, each once
+    plain = {i: t for i, t in rows if i not in (None, 5)}
+    ids = sorted(plain)
+    own = {r.doc_id: r.edited_sha256 for r in got}
+    for a, b in zip(ids[5:200], ids[6:201], strict=True):
+        t = plain[a]
+        assert own[a] == hashlib.sha256((t[: len(t) - len(t) // 4] + plain[b][: len(t) // 4]).encode()).hexdigest()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=300), st.text(max_size=300))
 def test_roots_test_equality(a, b):
@@ -208,6 +280,31 @@ def test_ngram_join(spark, seed):
     assert got == brute(rows)
 
 
+def test_long_lists_are_cut(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    hot = [f"h{x}" for x in range(30)]
+    rows = []
+    for i in range(150):  # near copies of two texts and texts that share a passage
+        own = [f"w{x}" for x in g.integers(0, 900, int(g.integers(5, 20)))] if i % 3 == 0 else [f"e{i}"]
+        rows.append((i, " ".join([*hot[: 25 + i % 2 * 5], *own])))
+    want = brute(rows)
+    monkeypatch.setattr(ngram_join, "SHARED", 1 << 40)  # hot shingles stay in the prefixes
+    monkeypatch.setattr(ngram_join, "BIG", 8)
+    monkeypatch.setattr(ngram_join, "PIECE", 5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs(spark, rows)).collect()} == want
+
+
+def test_shingles_are_whole_words_in_order():
+    a, b = ngram_join.shingles("a b c d e f"), ngram_join.shingles("b a c d e f")
+    assert len(a) == len(b) == 2 and not set(a.tolist()) & set(b.tolist())
+    assert ngram_join.shingles("A b\tC").tolist() == ngram_join.shingles("a  b c").tolist() != ngram_join.shingles("a bc").tolist()
+    g = np.random.default_rng(0)
+    words = [f"{x}" for x in g.integers(0, 50, 200_000)]
+    got, known = ngram_join.shingles(" ".join(words)), ngram_join.Hashes()
+    assert len(got) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    assert got.tolist() == ngram_join.shingles(" ".join(words), known).tolist() and len(known) == 50
+
+
 def test_ngram_join_edges(spark):
     same = "one two three four five six"
     got = sorted(map(tuple, ngram_join.near_duplicates(docs(spark, [(None, same), (3, same), (3, same), (9, same), (4, None)])).collect()), key=str)
@@ -315,6 +412,28 @@ def test_long_runs_are_read_whole():
     assert words[0] == "a" and words[-1] == "b"
 
 
+def test_odd_texts_through_learnt_models(spark):
+    for op, kind in ((quality.op6_quality_classifier, "quality"), (toxicity.op8_toxicity, "toxic")):
+        d, labels = labelled(spark, kind)
+        odd = [(1000 + i, t) for i, t in ODD] + [(None, "no id"), (None, None)]
+        got = op(d.unionByName(docs(spark, odd, True)), labels).collect()
+        assert len(got) == 260 + len(odd) and all(0 <= r.score <= 1 and r.held_out is not None for r in got)
+        by: dict = {}
+        for r in got:
+            by.setdefault(r.doc_id, set()).add((r.score, r.predicted, r.held_out))
+        assert len(by[1005]) == 1 and by[1004].pop()[0] == by[1005].pop()[0] and all(not h for *_, h in by[None])
+
+
+def test_labelled_rows_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_PASSAGES", 4)
+    rows = [(i, "good words here " * 4000 if i % 2 else "### $$ " * 9000) for i in range(40)] * 3
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    met = []
+    monkeypatch.setattr(quality, "train", lambda x, start, label: met.append((len(x), len(start))) or {})
+    quality.fit(docs(spark, rows), labels, 30)
+    assert met == [(120, 30)]  # four passages of each of thirty rows
+
+
 def test_attention_scores_odd_texts():
     parts = [quality.encode(quality.passages(t)) for t in ("good text here", "###", "", None, "x" * 5000)]
     m = quality.train(np.vstack(parts), np.cumsum([0, *map(len, parts[:-1])]), np.array([1, 0, 0, 0, 1], np.float32), steps=20)
@@ -343,8 +462,45 @@ def test_mixing(spark):
     for r in got:
         u = int(hashlib.md5(f"{mixing.SEED}:{r.doc_id}".encode()).hexdigest()[:8], 16) / 2**32
         assert r.sampled == (u < r.probability)
-    assert mixing.op7_mixing(docs(spark, EMPTY)).count() == 0
-    assert mixing.draw(d).columns == d.columns
+    import public_tokenizers
+
+    enc = token_counts.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = {r.doc_id: r.text for r in d.collect()}
+    assert all(r.n_tokens == len(enc(text[r.doc_id] or "")[0]) for r in got)
+    assert mixing.op7_mixing(docs(spark, EMPTY)).count() == 0 and mixing.draw(docs(spark, EMPTY)).count() == 0
+
+
+def test_draw_meets_targets_and_keeps_columns(spark):
+    rows = [(i, f"some text of words number {i % 97} " * (1 + i % 5)) for i in range(6000)]
+    d = docs(spark, rows).withColumn("topic", F.lit("own")).withColumn("n_tokens", F.lit(-1)).withColumn("own_topic", F.lit(2))
+    goal = {"source": {"s0": 0.5, "s1": 0.3, "s2": 0.2}}
+    n = {r.doc_id: r.n_tokens for r in mixing.mixed(d, goal, 0.4).collect()}
+    out = mixing.draw(d, goal, 0.4)
+    assert out.columns == d.columns
+    drawn = out.collect()
+    total = sum(n[r.doc_id] for r in drawn)
+    assert {(r.topic, r.n_tokens, r.own_topic) for r in drawn} == {("own", -1, 2)}
+    assert abs(total / sum(n.values()) - 0.4) < 0.03
+    for source, share in goal["source"].items():
+        assert abs(sum(n[r.doc_id] for r in drawn if r.source == source) / total - share) < 0.03
+    again = {r.doc_id for r in mixing.draw(d.repartition(7), goal, 0.4).collect()}
+    assert again == {r.doc_id for r in drawn}
+
+
+def test_topics_cut_across_languages(spark):
+    g = np.random.default_rng(3)
+    own = {lang: [f"{lang}word{i}" for i in range(30)] for lang in ("de", "fr")}
+    about = [[f"theme{t}term{i}" for i in range(12)] for t in range(mixing.TOPICS)]
+    rows = []
+    for i in range(640):
+        lang, t = ("de", "fr")[i % 2], i // 2 % mixing.TOPICS
+        rows.append((i, " ".join([*g.choice(own[lang], 40), *g.choice(about[t], 60)]), lang, "s", 0))
+    got = {r.doc_id: r.topic for r in mixing.op7_mixing(spark.createDataFrame(rows, COLS)).collect()}
+    right = 0
+    for t in range(mixing.TOPICS):
+        found = [got[i] for i in range(640) if i // 2 % mixing.TOPICS == t]
+        right += max(found.count(k) for k in set(found))
+    assert right / 640 > 0.8  # each theme is mostly one topic, in both languages
 
 
 def test_every_source_meets_its_target(spark):
@@ -372,9 +528,12 @@ def test_every_source_meets_its_target(spark):
         assert all(abs(got[s] - x / sum(goal.values())) < 1e-6 for s, x in goal.items())
         assert abs(sum(r.probability * r.n_tokens for r in rows) / total - mixing.KEEP) < 1e-6
 
+    import public_tokenizers
+
+    enc = token_counts.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     words: dict = {}
     for s, t in zip(source, text, strict=True):
-        words[s] = words.get(s, 0) + len((t or "").split())
+        words[s] = words.get(s, 0) + (enc.count(t) if t else 0)
     check(None)
     check({"source": {s: x**0.9 * (1.5 if s in ("src5", "src639", None) else 1) for s, x in words.items()}})
 
