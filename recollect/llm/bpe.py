@@ -8,12 +8,12 @@ are its words' ids in a row.
 1. split: Spark cuts the texts. In the same pass each block (some MB of text)
    becomes its distinct words, packed by hash bucket, and one compressed array
    with the number of the word at every position. Both leave in one shuffle, the
-   words to their bucket, the positions to wherever.
+   words to their bucket, the positions to their block's place, where they stay.
 2. encode: all rows of a bucket meet in one place, one after the other, so each
    distinct word of the corpus is encoded once, by the tokenizers library; the
    table of a bucket is dropped when the next one begins.
-3. join back: a block's words return with their ids and meet the block's
-   positions, which pick the ids.
+3. join back: a block's words go to its place with their ids and are cogrouped
+   with the positions, which pick the ids.
 4. decode: ids are joined with the id-to-piece table by id (one piece for each id
    of the vocabulary; a table of bounded size, so the join is a look-up in a
    broadcast array).
@@ -159,7 +159,7 @@ def split_blocks(buckets: int):
             rank = np.empty(len(by), np.uint32)
             rank[by] = np.arange(len(by), dtype=np.uint32)
             some = np.flatnonzero(np.diff(edge)).tolist()
-            name = f"{part}-{no}"
+            name = f"p{part}-{no}"
             null = ids.is_null().to_numpy(zero_copy_only=False)
             body = packed([null.astype(np.uint8).tobytes(), ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), counts.astype(np.int64).tobytes(), planes(rank), planes(coded.indices.to_numpy())])
             bodies = [packed([raw[i] for i in by[edge[k] : edge[k + 1]]]) for k in some]
@@ -167,30 +167,31 @@ def split_blocks(buckets: int):
             for a in range(0, n, 64):
                 z = min(a + 64, n)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * (z - a)), pa.array([0] * (z - a), pa.int32()), pa.array(some[a:z], pa.int32()), pa.array([f"w{k}" for k in some[a:z]]), pa.array(bodies[a:z], pa.binary())], schema=SCHEMA)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([2], pa.int32()), pa.array([-1], pa.int32()), pa.array([f"p{name}"]), pa.array([body], pa.binary())], schema=SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([2], pa.int32()), pa.array([-1], pa.int32()), pa.array([name]), pa.array([body], pa.binary())], schema=SCHEMA)
 
     return tidied(run)
 
 
 def word_ids(vocabulary: Vocabulary):
-    """Step 2: rows sorted by bucket, words to their ids; each distinct word of a bucket is encoded when it is first met."""
+    """Step 2: rows sorted by bucket, words to their ids, sent to their block; each distinct word of a bucket is encoded when it is first met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, known = None, {}
         for b in batches:
-            for block, kind, bucket, home, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if kind == 0:
-                    if bucket != at:
-                        at, known = bucket, {}
-                    lengths, raw = unpacked(body)
-                    ends = np.cumsum(lengths, dtype=np.int64).tolist()
-                    words = [raw[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
-                    if new := [w for w in words if w not in known]:
-                        for w, ids in zip(new, vocabulary.encode([w.decode("utf-8", "surrogatepass") for w in new]), strict=True):
-                            known[w] = np.array(ids, np.uint32).tobytes()
-                    ids = [known[w] for w in words]
-                    kind, body = 1, packed([np.fromiter((len(x) // 4 for x in ids), np.uint8 if max(map(len, ids)) < 1024 else np.uint32).tobytes(), planes(np.frombuffer(b"".join(ids), np.uint32))])
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([home]), pa.array([body], pa.binary())], schema=SCHEMA)
+            for block, kind, bucket, body in zip(*(b.column(c).to_pylist() for c in ("block", "kind", "bucket", "body")), strict=True):
+                if kind != 0:
+                    continue
+                if bucket != at:
+                    at, known = bucket, {}
+                lengths, raw = unpacked(body)
+                ends = np.cumsum(lengths, dtype=np.int64).tolist()
+                words = [raw[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+                if new := [w for w in words if w not in known]:
+                    for w, ids in zip(new, vocabulary.encode([w.decode("utf-8", "surrogatepass") for w in new]), strict=True):
+                        known[w] = np.array(ids, np.uint32).tobytes()
+                ids = [known[w] for w in words]
+                body = packed([np.fromiter((len(x) // 4 for x in ids), np.uint8 if max(map(len, ids)) < 1024 else np.uint32).tobytes(), planes(np.frombuffer(b"".join(ids), np.uint32))])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([body], pa.binary())], names=["home", "bucket", "body"])
 
     return tidied(run)
 
@@ -204,37 +205,37 @@ def taken(values: np.ndarray, lengths: np.ndarray, pick: np.ndarray) -> tuple[np
 
 
 def joined(decode=None):
-    """Step 3: rows sorted by block, kind and bucket, a block's ids before its positions, to documents with their ids; and step 4 if decode is given."""
+    """Step 3: a block's positions and the ids of its words to documents with their ids; and step 4 if decode is given."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), *([("text", pa.string())] if decode else [])])
+
+    def run(positions: pa.Table, words: pa.Table) -> pa.Table:
+        out = []
+        if positions.num_rows:
+            lengths, values = [], []
+            for body in words.sort_by("bucket").column("body"):
+                (cut, _), raw = unpacked(body.as_py())
+                ids = of_planes(raw[cut:])
+                n = np.frombuffer(raw[:cut], np.uint8)
+                lengths.append((n if int(n.sum()) == len(ids) else n.view(np.uint32)).astype(np.int64))
+                values.append(ids)
+            per_word, all_ids = np.concatenate(lengths), np.concatenate(values)
+            del lengths, values
+            sizes, raw = unpacked(positions.column("body")[0].as_py())
+            ends = np.cumsum(sizes, dtype=np.int64)
+            null = np.frombuffer(raw[: ends[0]], np.uint8).astype(bool)
+            docs, counts = np.frombuffer(raw[ends[0] : ends[1]], np.int64), np.frombuffer(raw[ends[1] : ends[2]], np.int64)
+            rank, at = of_planes(raw[ends[2] : ends[3]]), of_planes(raw[ends[3] :])
+            stop = np.cumsum(counts)
+            for a in range(0, len(docs), STRIDE):  # some documents at a time, for memory
+                z = min(a + STRIDE, len(docs))
+                ids, n = taken(all_ids, per_word, rank[at[stop[a] - counts[a] : stop[z - 1]]])
+                edge = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts[a:z])])]
+                own = [ids[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
+                cols = [pa.array(docs[a:z], pa.int64(), mask=null[a:z]), pa.array([x.tobytes() for x in own], pa.binary())]
+                out.append(pa.RecordBatch.from_arrays([*cols, *([pa.array([decode(x) for x in own], pa.string())] if decode else [])], schema=schema))
+        return pa.Table.from_batches(out, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_block, lengths, values = None, [], []
-        for b in batches:
-            for block, kind, body in zip(*(b.column(c).to_pylist() for c in ("block", "kind", "body")), strict=True):
-                if block != at_block:
-                    at_block, lengths, values = block, [], []
-                if kind == 1:
-                    (cut, _), raw = unpacked(body)
-                    ids = of_planes(raw[cut:])
-                    n = np.frombuffer(raw[:cut], np.uint8)
-                    lengths.append((n if int(n.sum()) == len(ids) else n.view(np.uint32)).astype(np.int64))
-                    values.append(ids)
-                    continue
-                sizes, raw = unpacked(body)
-                ends = np.cumsum(sizes, dtype=np.int64)
-                null = np.frombuffer(raw[: ends[0]], np.uint8).astype(bool)
-                docs, counts = np.frombuffer(raw[ends[0] : ends[1]], np.int64), np.frombuffer(raw[ends[1] : ends[2]], np.int64)
-                rank, at = of_planes(raw[ends[2] : ends[3]]), of_planes(raw[ends[3] :])
-                per_word, all_ids = np.concatenate(lengths), np.concatenate(values)
-                stop = np.cumsum(counts)
-                for a in range(0, len(docs), STRIDE):  # some documents at a time, for memory
-                    z = min(a + STRIDE, len(docs))
-                    ids, n = taken(all_ids, per_word, rank[at[stop[a] - counts[a] : stop[z - 1]]])
-                    edge = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts[a:z])])]
-                    own = [ids[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
-                    cols = [pa.array(docs[a:z], pa.int64(), mask=null[a:z]), pa.array([x.tobytes() for x in own], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*cols, *([pa.array([decode(x) for x in own], pa.string())] if decode else [])], names=["doc_id", "ids", *(["text"] if decode else [])])
-
-    return tidied(run)
+    return run
 
 
 def encode(documents: DataFrame, path: str, buckets: int | None = None, decoded: bool = False) -> DataFrame:
@@ -243,12 +244,14 @@ def encode(documents: DataFrame, path: str, buckets: int | None = None, decoded:
     small_batches(spark)
     vocabulary, n = Vocabulary(path), n_partitions(spark)
     rows = steady(documents.select("doc_id", "text")).select("doc_id", words_of(F.coalesce("text", F.lit("")), tuple(vocabulary.special)).alias("words"))
-    rows = rows.mapInArrow(split_blocks(buckets or 2 * n), ROWS)
-    rows = rows.repartition(n, "home").sortWithinPartitions("bucket").mapInArrow(word_ids(vocabulary), ROWS)
-    rows = rows.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket")
+    rows = rows.mapInArrow(split_blocks(buckets or 2 * n), ROWS).repartition(n, "home")
+    # the random term keeps the filter above the shuffle, which is then one for words and positions
+    positions = rows.where((F.coalesce("kind", F.lit(-1)) + F.floor(F.rand())) == 2)
+    words = rows.sortWithinPartitions("bucket").mapInArrow(word_ids(vocabulary), "home string, bucket int, body binary").repartition(n, "home")
+    both = positions.groupBy("home").cogroup(words.groupBy("home"))
     if not decoded:
-        return rows.mapInArrow(joined(), "doc_id long, ids binary")
-    return rows.mapInArrow(joined(decoder(spark, path)), "doc_id long, ids binary, text string")
+        return both.applyInArrow(joined(), "doc_id long, ids binary")
+    return both.applyInArrow(joined(decoder(spark, path)), "doc_id long, ids binary, text string")
 
 
 def decoder(spark: SparkSession, path: str):
