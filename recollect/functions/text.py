@@ -8,10 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Stop words of query analysis.
-STOP_WORDS = (
-    "about after again and answer before could detail details from have happened into just most need please recent "
-    "session sessions that the them then there this through trajectory trajectories two what when where which with"
-).split()
+STOP_WORDS = [
+    "about", "after", "again", "and", "answer", "before", "could", "detail", "details", "from", "have", "happened",
+    "into", "just", "most", "need", "please", "recent", "session", "sessions", "that", "the", "them", "then", "there",
+    "this", "through", "trajectory", "trajectories", "two", "what", "when", "where", "which", "with",
+]
 # How injected, not typed, user text begins.
 INJECTED = [
     "# AGENTS.md", "<INSTRUCTIONS>", "<environment_context>", "<turn_aborted>", "<system-reminder>", "<command-name>",
@@ -29,9 +30,17 @@ SENSITIVE = [
 ]
 # Openings that are taken off a query before it is matched as a phrase.
 QUESTION_OPENINGS = [
-    r"what happened when i asked(?: you)? to", r"what happened when i asked(?: you)?", r"what happened(?: in| with| about)?",
-    r"what did we decide(?: about| on)?", r"what was the final status of", r"what was", r"what were", r"can you summarize",
-    r"summarize", r"search(?: for| through)?", r"find(?: the| a)?",
+    r"^what happened when i asked(?: you)? to\s+",
+    r"^what happened when i asked(?: you)?\s+",
+    r"^what happened(?: in| with| about)?\s+",
+    r"^what did we decide(?: about| on)?\s+",
+    r"^what was the final status of\s+",
+    r"^what was\s+",
+    r"^what were\s+",
+    r"^can you summarize\s+",
+    r"^summarize\s+",
+    r"^search(?: for| through)?\s+",
+    r"^find(?: the| a)?\s+",
 ]
 # Patterns of words that ask for history, and for what is recent.
 HISTORY = (
@@ -42,6 +51,15 @@ RECENT = (
     r"(?i)\b(current|currently|now|today|latest|most recent|recent|recently|up to date|up-to-date|updated|still|as of|these days|right now|"
     r"newest|this week|so far|by now)\b"
 )
+# Words that ask for a state, that lean on what was said before, and that speak of the search itself.
+STATUS = r"(?i)\b(current|latest|recent|status|progress|state|where are we)\b"
+FOLLOW_UP = (
+    r"(?i)\b(more|updates?|up to date|up-to-date|latest|still|again|so far|by now|any (?:news|update|change)|anything else|recap|remind|"
+    r"that one|those|these|it\b)\b"
+)
+ABOUT_SEARCH = (
+    r"(?i)\b(bot|chatbot|memory|memories|retrieval|retrieve\w*|trajector\w*|index\w*|chunk\w*|embedding\w*|menu bar|menu app|gui)\b"
+)
 # Secret formats and their masks, the specific ones first.
 _VALUE = r"[^\s\"'\\`<>\[\],;(){}]"
 SECRETS = [
@@ -98,24 +116,19 @@ def occurrences(c: Column, needle: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
 
 
-def query_tokens(text: str) -> list[str]:
-    """Distinct tokens without stop words, in order, each followed by its light stems."""
-    out: list[str] = []
+def forms(word: str) -> list[str]:
+    """A word and its light stems: six letters and more lose ing (and …in becomes …ine), five and more lose s."""
+    cut = [re.sub("in$", "ine", word[:-3])] if len(word) > 5 and word.endswith("ing") else []
+    return [word, *cut, *([word[:-1]] if len(word) > 4 and word.endswith("s") else [])]
 
-    def offer(word: str) -> None:
-        if word not in STOP_WORDS and word not in out:
-            out.append(word)
 
+def query_tokens(text: str) -> list[str]:
+    """Distinct tokens without stop words, in order, each followed by its light stems."""
+    found: dict[str, None] = {}
     for word in re.findall(TOKEN, text.lower()):
-        if word in STOP_WORDS or word in out:
-            continue
-        out.append(word)
-        if word.endswith("ing") and len(word) > 5:
-            stem = word[:-3]
-            offer(stem + "e" if stem.endswith("in") else stem)
-        if word.endswith("s") and len(word) > 4:
-            offer(word[:-1])
-    return out
+        if word not in STOP_WORDS and word not in found:
+            found |= dict.fromkeys(f for f in forms(word) if f not in STOP_WORDS and f not in found)
+    return list(found)
 
 
 def anchor_tokens(words: list[str]) -> list[str]:
@@ -129,22 +142,31 @@ def focus_query(text: str) -> str:
 
 
 def index_terms(text: str, most: int = 24) -> list[str]:
+    """Terms as typed, for prefixes and for queries that leave nothing out."""
     return list(dict.fromkeys(re.findall(TERM, text.lower())))[:most]
 
 
+def match_terms(text: str, most: int = 24) -> list[str]:
+    """Terms that a full-text query looks for, any of them: those of the focused query's tokens and stems, of all its tokens if only stop words are left."""
+    focused = focus_query(text)
+    words = query_tokens(focused) or re.findall(TOKEN, focused.lower())
+    return list(dict.fromkeys([t for w in words for t in re.findall(TERM, w)][:most]))
+
+
 def phrase_queries(text: str, most: int = 4, words: int = 18) -> list[list[str]]:
-    """Up to four phrases of terms: the query, and the query without a question's opening."""
-    out = []
-    for t in (text, *(re.sub(rf"(?i)^{p}\s+", "", text.strip()) for p in QUESTION_OPENINGS)):
-        phrase = re.findall(TERM, t.lower())[:words]
-        if len(phrase) > 1 and phrase not in out:
-            out.append(phrase)
-    return out[:most]
+    """Up to four phrases of the index's terms: the focused query, and the query without a question's opening."""
+    focused = re.sub(r"\s+", " ", focus_query(text)).strip(" ?.'\"")[:300]
+    asked = dict.fromkeys([focused.lower(), *(re.sub(p, "", focused.lower(), count=1).strip(" ?.'\"") for p in QUESTION_OPENINGS)])
+    phrases = [re.findall(TERM, q)[:words] for q in asked]
+    return [p for i, p in enumerate(phrases) if len(p) > 1 and p not in phrases[:i]][:most]
 
 
 def needs_literal(text: str) -> bool:
-    """Whether terms lose what the query asks for: paths, quotations, words of letters and digits."""
-    return len(text) <= 320 and bool(re.search(r"[/\\_:=<>{}\[\]#@]|\.\w|\"[^\"]+\"|`[^`]+`|\b(?=\w*\d)(?=\w*[A-Za-z])\w+\b", text))
+    """Whether terms lose what the query asks for: paths and the like, quotations of eight characters, words of letters with digits behind."""
+    focused = focus_query(text).lower()
+    if not focused or len(focused) > 320:
+        return False
+    return bool(re.search(r"[/._:-]", focused) or re.search(r'"[^"]{8,}"', text) or re.search(r"\b[a-z]+[0-9][a-z0-9_]*\b", focused))
 
 
 def is_user_text(c: Column) -> Column:

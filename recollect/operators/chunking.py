@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 CHUNK, OVERLAP, SLACK = 4_800, 800, 1_200
 ROLES = ("user", "assistant", "tool_result", "actions")
+#: Fixed format: what stands before a chunk's text.
+HEADER = lambda r: (("Title", r.title), ("Source", r.source_name), ("Source ref", r.source_ref), ("CWD", r.cwd), ("Updated", r.updated_at))
 SCHEMA = "source_ref string, chunk_index int, event_start int, event_end int, char_start long, char_end long, text string, metadata string"
 
 
@@ -18,59 +23,40 @@ def flat(text: str, limit: int) -> str:
 
 
 def pack(blocks: list[tuple[int, str]], size: int, overlap: int, strict: bool = False) -> list[tuple[list[tuple[int, str]], int, int]]:
-    """Blocks (event, text) to chunks (blocks, char_start, char_end), greedily up to size characters.
+    """Blocks (event, text) to chunks (blocks, char_start, char_end), each as many blocks as size characters hold.
 
-    The next chunk begins with the blocks that end the last one, as many as fit
-    in overlap, one at least; strict drops that one where the next block would
-    not fit beside it. A block over size is cut by itself, its pieces overlapping.
+    A chunk begins with the blocks that end the one before, as many as overlap
+    holds, one at least; strict leaves that out where the next block would not fit
+    beside it. A block over size is cut by itself, its pieces overlapping, and
+    nothing is carried across it. Chunks of white space alone are left out.
+
+    Both ends of a chunk are found in the running sum of the blocks' lengths.
     """
+    ends = list(accumulate(len(text) for _, text in blocks))
+    starts = [0, *ends[:-1]]
+    wide = [i for i, (_, text) in enumerate(blocks) if len(text) > size]
     out: list[tuple[list[tuple[int, str]], int, int]] = []
-    held: list[tuple[int, str]] = []
-    begin = at = 0
-
-    def length() -> int:
-        return sum(len(b) for _, b in held)
-
-    def emit() -> None:
-        nonlocal held, begin
-        if "".join(b for _, b in held).strip():
-            end = begin + length()
-            out.append((held, begin, end))
-            carry: list[tuple[int, str]] = []
-            for item in reversed(held) if overlap > 0 else ():
-                if carry and sum(len(b) for _, b in carry) + len(item[1]) > overlap:
-                    break
-                carry.insert(0, item)
-            held, begin = carry, max(0, end - sum(len(b) for _, b in carry))
-        else:
-            held = []
-
-    for event, block in blocks:
-        if len(block) > size:
-            if held:
-                emit()
+    for low, high in zip([0, *(i + 1 for i in wide)], [*wide, len(blocks)], strict=True):
+        out += [(blocks[a:z], starts[a], ends[z - 1]) for a, z in stretches(starts, ends, low, high, size, overlap, strict)]
+        if high < len(blocks):
+            event, text = blocks[high]
             step = max(size - overlap, 1)
-            cut = 0
-            while True:
-                held, begin = [(event, block[cut : cut + size])], at + cut
-                emit()
-                if cut + size >= len(block):
-                    break
-                cut += step
-            at += len(block)
-            held, begin = [], at
-            continue
-        if held and length() + len(block) > size:
-            emit()
-            if strict and length() + len(block) > size:
-                held = []
-        if not held:
-            begin = at
-        held = [*held, (event, block)]
-        at += len(block)
-    if held:
-        emit()
-    return out
+            cuts = range(0, -(-(len(text) - size) // step) * step + 1, step)
+            out += [([(event, text[c : c + size])], starts[high] + c, starts[high] + min(c + size, len(text))) for c in cuts]
+    return [chunk for chunk in out if any(text.strip() for _, text in chunk[0])]
+
+
+def stretches(starts: list[int], ends: list[int], low: int, high: int, size: int, overlap: int, strict: bool) -> Iterator[tuple[int, int]]:
+    """(first, end) of each chunk of the blocks from low to high, none of which is over size."""
+    first = new = low
+    while new < high:
+        end = max(new + 1, bisect_right(ends, starts[first] + size, new, high))
+        yield first, end
+        new = end
+        if new < high:
+            first = min(bisect_left(starts, ends[end - 1] - overlap, first, end), end - 1) if overlap > 0 else end
+            if strict and ends[new] - starts[first] > size:
+                first = new
 
 
 def chunk_sessions(sessions: DataFrame, events: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, strict: bool = False) -> DataFrame:
@@ -83,7 +69,7 @@ def chunk_sessions(sessions: DataFrame, events: DataFrame, size: int = CHUNK, ov
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("event_index")
         r = pdf.iloc[0]
-        head = "\n".join([f"Title: {r.title}", f"Source: {r.source_name}", f"Source ref: {r.source_ref}", f"CWD: {r.cwd}", f"Updated: {r.updated_at}", ""])
+        head = "".join(f"{name}: {value}\n" for name, value in HEADER(r))
         blocks = [(int(e.event_index), f"{e.role.upper()}{f' [{e.ts}]' if e.ts else ''}\n{e.text}\n") for e in pdf.itertuples() if e.role.lower() in ROLES]
         rows = []
         for i, (own, a, z) in enumerate(pack(blocks, size, overlap, strict)):

@@ -1,6 +1,7 @@
 """Query analysis, masking, chunks, sources, policy and the SQL surface on small hand-made rows."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,58 @@ def test_pack_covers_every_block_and_overlaps():
     assert [len(own) for own, _, _ in chunking.pack([(0, "x" * 1200), (1, "y" * 100)], 1200, 400, strict=True)] == [1, 1]
 
 
+def by_hand(blocks, size, overlap, strict):
+    """Chunks found by trying every stretch of blocks, shortest first."""
+    out, at, carry = [], 0, []
+    place = [sum(len(t) for _, t in blocks[:i]) for i in range(len(blocks) + 1)]
+    while at < len(blocks):
+        if len(blocks[at][1]) > size:
+            text, cut = blocks[at][1], 0
+            while True:
+                out.append(([(blocks[at][0], text[cut : cut + size])], place[at] + cut, place[at] + min(len(text), cut + size)))
+                if cut + size >= len(text):
+                    break
+                cut += max(1, size - overlap)
+            at, carry = at + 1, []
+            continue
+        first = at - len(carry)
+        if carry and strict and place[at + 1] - place[first] > size:
+            first = at
+        end = at + 1
+        while end < len(blocks) and len(blocks[end][1]) <= size and place[end + 1] - place[first] <= size:
+            end += 1
+        out.append((blocks[first:end], place[first], place[end]))
+        held = [k for k in range(first, end) if place[end] - place[k] <= overlap]
+        carry = list(range(held[0] if held else end - 1, end)) if overlap else []
+        at = end
+        if at < len(blocks) and len(blocks[at][1]) > size:
+            carry = []
+    return [c for c in out if any(t.strip() for _, t in c[0])]
+
+
+def test_pack_against_every_stretch():
+    g = random.Random(6)
+    for _ in range(300):
+        size, overlap = g.randint(5, 40), g.randint(0, 15)
+        blocks = [(i, "".join(g.choice("ab ") for _ in range(g.randint(1, g.choice([6, 20, 90])))) + "x") for i in range(g.randint(0, 14))]
+        for strict in (False, True):
+            assert chunking.pack(blocks, size, overlap, strict) == by_hand(blocks, size, overlap, strict)
+
+
+def test_chunks_of_sessions(spark):
+    turns = [("c:1", i, ("user", "assistant", "system")[i % 3], "", f"turn {i} " + "word " * (i * 37 % 400)) for i in range(30)] + [("c:2", 0, "user", "t", "short")]
+    heads = [("c:1", "c", "T", "/w", "2024"), ("c:2", "c", "U", "", "2025")]
+    got = chunking.chunk_sessions(spark.createDataFrame(heads, "source_ref string, source_name string, title string, cwd string, updated_at string"), spark.createDataFrame(turns, "source_ref string, event_index int, role string, ts string, text string"), 2000, 400).collect()
+    blocks = [(i, f"{r.upper()}\n{t}\n") for _, i, r, _, t in turns[:30] if r != "system"]
+    want = by_hand(blocks, 2000, 400, False)
+    own = sorted((r for r in got if r.source_ref == "c:1"), key=lambda r: r.chunk_index)
+    assert [(r.event_start, r.event_end, r.char_start, r.char_end) for r in own] == [(b[0][0], b[-1][0], a, z) for b, a, z in want]
+    for r, (b, *_) in zip(own, want, strict=True):
+        text = " ".join(("Title: T Source: c Source ref: c:1 CWD: /w Updated: 2024 " + "\n".join(t for _, t in b)).split())
+        assert r.text == (text if len(text) <= 3200 else text[:3197].rstrip() + "...")
+    assert [r.text for r in got if r.source_ref == "c:2"] == ["Title: U Source: c Source ref: c:2 CWD: Updated: 2025 USER [t] short"]
+
+
 def test_claude_transcript(spark, tmp_path):
     rows = [
         {"type": "user", "message": {"content": "please fix the build"}, "timestamp": "2026-01-01T00:00:00Z", "cwd": "/w", "entrypoint": "cli"},
@@ -129,3 +182,34 @@ def test_search_loop():
 
     assert search.search_loop(run, "where is the retry limit")[0]["ref"] == "a"
     assert "folder" in seen
+
+
+REFUSED = [
+    "SELECT pw FROM secret /* , secret as ( */", "SELECT ', secret AS (' AS x, pw FROM secret", "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM t",
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT pw FROM secret WHERE 1 IN (WITH secret AS (SELECT 1 AS a) SELECT a FROM secret)",
+    "WITH a AS (SELECT * FROM secret), secret AS (SELECT 1) SELECT * FROM a", "SELECT (SELECT max(pw) FROM secret) FROM t", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM t JOIN secret",
+    "SELECT * FROM default.t", "SELECT * FROM IDENTIFIER('secret')", "SELECT * FROM range(10)", "DROP TABLE t", "INSERT INTO t SELECT 1", "SET x = 1", "SELECT 1; SELECT 2", "SHOW TABLES",
+    "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "SELECT input_file_name() FROM t", "SELECT a FROM t WHERE EXISTS (SELECT 1 FROM secret)", "SELECT spark_partition_id() FROM t",
+    "SELECT * FROM t LATERAL VIEW java_method('a', 'b') x", "DESCRIBE t", "EXPLAIN SELECT 1", "CACHE TABLE t",
+]
+ALLOWED = [
+    ("SELECT a FROM t WHERE b LIKE 'HE%'", [[1]]), ("SELECT count(*) FROM T -- it's , x AS (", [[2]]), ("WITH x AS (SELECT a FROM t), y AS (SELECT a FROM x) SELECT max(a) FROM y", [[2]]),
+    ("SELECT a FROM t WHERE b REGEXP 'W.RLD' /* ' */", [[2]]), ("SELECT t.a FROM t JOIN (SELECT 1 AS a) u ON t.a = u.a", [[1]]), ("SELECT x FROM t LATERAL VIEW explode(array(a, 7)) v AS x WHERE x = 7 LIMIT 1", [[7]]),
+    ("WITH RECURSIVE n AS (SELECT 1 AS k UNION ALL SELECT k + 1 FROM n WHERE k < 3) SELECT max(k) FROM n", [[3]]), ("SELECT row_number() OVER (ORDER BY a DESC) FROM t WHERE a IN (SELECT a FROM t) ORDER BY 1", [[1], [2]]),
+    ("SELECT a FROM t WHERE a = (SELECT max(a) FROM t)", [[2]]), ("SELECT json_extract('{\"k\": 5}', '$.k')", [["5"]]), ("SELECT CASE WHEN a > 1 THEN upper(b) ELSE b END FROM t WHERE a BETWEEN 2 AND 3", [["WORLD"]]),
+    ("SELECT a FROM t UNION SELECT a FROM t ORDER BY a", [[1], [2]]), ("SELECT sum(a) FROM t GROUP BY b HAVING sum(a) > 1", [[2]]), ("SELECT * FROM (VALUES (1), (2)) AS v(x) EXCEPT SELECT 1", [[2]]),
+]
+
+
+@pytest.mark.parametrize("sql", REFUSED)
+def test_sql_refuses(spark, sql):
+    spark.createDataFrame([("x",)], "pw string").createOrReplaceTempView("secret")
+    t = spark.createDataFrame([(1, "hello"), (2, "world")], "a int, b string")
+    with pytest.raises(sqlapi.Refused):
+        sqlapi.run(spark, sql, {"t": t})
+
+
+@pytest.mark.parametrize(("sql", "rows"), ALLOWED)
+def test_sql_answers(spark, sql, rows):
+    t = spark.createDataFrame([(1, "hello"), (2, "world")], "a int, b string")
+    assert sqlapi.run(spark, sql, {"t": t})["rows"] == rows
