@@ -1,20 +1,49 @@
 """A read-only SQL surface over named tables.
 
 A statement is parsed by the session's own parser and run only if every node of
-its tree is a query and every table is on the list; rewrites bring LIKE, REGEXP
-and JSON access to the meaning that users of the surface expect.
+its tree is on a list of query nodes, every relation is a listed table or a common
+table expression that is in scope, and every function is on a list; rewrites bring
+LIKE, REGEXP and JSON access to the meaning that users of the surface expect.
 """
 
 from __future__ import annotations
 
 import re
 import threading
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_ROWS, DEFAULT_ROWS, CELL, QUERY, SECONDS = 200, 50, 500, 4_000, 10
-#: Parser nodes that are no queries all end so, or are listed.
-COMMAND = re.compile(r"Command$|Statement$|^(Create|Drop|Alter|Insert|Update|Delete|Merge|Set|Use|Show|Describe|Cache|Uncache|Refresh|Analyze|Load|Add|Truncate|Replace|Overwrite|Append|Call|Explain|Execute|Comment|Repair|Rename|Write)")
+#: Nodes of a parsed statement that only read.
+NODES = set(
+    "Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Tail Distinct Union Intersect Except Join LateralJoin SubqueryAlias UnresolvedRelation "
+    "UnresolvedWith UnresolvedHaving UnresolvedSubqueryColumnAliases UnresolvedInlineTable OneRowRelation WithWindowDefinition Generate Pivot Unpivot Sample "
+    "UnionLoop UnresolvedHint LocalRelation".split()
+)
+#: Functions that a statement may call: arithmetic, text, time, JSON, arrays and maps, aggregates and windows; none reaches outside of the statement.
+FUNCTIONS = set(
+    "abs acos asin atan atan2 bround cbrt ceil ceiling conv cos degrees e exp expm1 factorial floor greatest hypot least ln log log10 log1p log2 mod negative pi pmod "
+    "positive pow power radians rint round sign signum sin sqrt tan try_add try_divide try_multiply try_subtract width_bucket bit_count shiftleft shiftright "
+    "ascii base64 bit_length btrim char char_length character_length chr concat concat_ws contains endswith find_in_set format_number format_string hex ilike initcap instr lcase "
+    "left length len levenshtein like locate lower lpad ltrim md5 octet_length overlay position printf regexp regexp_count regexp_extract regexp_extract_all regexp_instr "
+    "regexp_like regexp_replace regexp_substr repeat replace reverse right rlike rpad rtrim sha sha1 sha2 soundex space split split_part startswith string substr substring "
+    "substring_index translate trim ucase unbase64 unhex upper xxhash64 hash crc32 url_decode url_encode to_char to_number try_to_number "
+    "add_months current_date current_timestamp date date_add date_diff date_format date_from_unix_date date_part date_sub date_trunc datediff day dayofmonth dayofweek dayofyear "
+    "extract from_unixtime hour last_day make_date make_timestamp minute month months_between next_day now quarter second timestamp timestamp_micros timestamp_millis "
+    "timestamp_seconds to_date to_timestamp to_unix_timestamp trunc try_to_timestamp unix_date unix_micros unix_millis unix_seconds unix_timestamp weekday weekofyear year "
+    "get_json_object json_array_length json_object_keys json_tuple from_json to_json schema_of_json parse_json try_parse_json variant_get try_variant_get "
+    "array array_append array_compact array_contains array_distinct array_except array_intersect array_join array_max array_min array_position array_remove array_repeat "
+    "array_size array_sort array_union arrays_overlap arrays_zip cardinality element_at explode explode_outer exists filter flatten forall get aggregate reduce sequence "
+    "shuffle size slice sort_array transform zip_with inline posexplode posexplode_outer stack struct named_struct map map_entries map_filter map_from_arrays map_from_entries "
+    "map_keys map_values str_to_map transform_keys transform_values try_element_at "
+    "any any_value approx_count_distinct approx_percentile array_agg avg bit_and bit_or bit_xor bool_and bool_or collect_list collect_set corr count count_if covar_pop covar_samp "
+    "every first first_value grouping grouping_id histogram_numeric kurtosis last last_value listagg max max_by mean median min min_by mode percentile percentile_approx "
+    "percentile_cont percentile_disc regr_count regr_slope skewness some std stddev stddev_pop stddev_samp string_agg sum try_avg try_sum var_pop var_samp variance "
+    "cume_dist dense_rank lag lead nth_value ntile percent_rank rank row_number "
+    "bigint binary boolean cast double float int smallint tinyint coalesce if ifnull isnan isnotnull isnull nanvl nullif nullifzero nvl nvl2 zeroifnull equal_null assert_true "
+    "typeof not and or between xor is".split()
+) - {"assert_true"}
 
 
 class Refused(ValueError):
@@ -22,8 +51,8 @@ class Refused(ValueError):
 
 
 def literals(sql: str) -> list[str]:
-    """The statement cut into text outside and inside quotes, alternately."""
-    return re.split(r"('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`)", sql)
+    """The statement cut into text outside and inside quotes and comments, alternately."""
+    return re.split(r"('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/)", sql, flags=re.DOTALL)
 
 
 def rewritten(sql: str) -> str:
@@ -32,12 +61,54 @@ def rewritten(sql: str) -> str:
     for i in range(0, len(parts), 2):
         parts[i] = re.sub(r"(?i)\bjson_extract\s*\(", "get_json_object(", parts[i])
         parts[i] = re.sub(r"(?i)(?<!i)\blike\b", "ILIKE", parts[i])
-        if re.search(r"(?i)\bregexp\s*$", parts[i]) and i + 1 < len(parts):
+        if re.search(r"(?i)\bregexp\s*$", parts[i]) and i + 1 < len(parts) and parts[i + 1][0] in "'\"":
             parts[i] = re.sub(r"(?i)\bregexp\s*$", "RLIKE ", parts[i])
             parts[i + 1] = parts[i + 1][0] + "(?is)" + parts[i + 1][1:]
     return "".join(parts)
 
 
+def each(seq) -> Iterator:
+    """The items of a Scala collection."""
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+def checked(plan, tables: set[str], scope: frozenset[str]) -> None:
+    """Raises Refused unless the tree below plan only reads tables and what is in scope."""
+    name = plan.nodeName()
+    if name not in NODES:
+        raise Refused(f"only queries are run, not {name}")
+    if name == "UnresolvedRelation":
+        parts = [p.lower() for p in each(plan.multipartIdentifier())]
+        if len(parts) != 1 or parts[0] not in tables | scope:
+            raise Refused(f"no such table: {'.'.join(parts)}")
+    if name == "UnresolvedWith":
+        for pair in each(plan.cteRelations()):
+            own = pair._1().lower()
+            checked(pair._2(), tables, scope | {own} if plan.allowRecursion() else scope)
+            scope = scope | {own}
+    for e in each(plan.expressions()):
+        expression(e, tables, scope)
+    for child in each(plan.children()):
+        checked(child, tables, scope)
+
+
+def expression(e, tables: set[str], scope: frozenset[str]) -> None:
+    """checked() for an expression: its functions, and the queries inside."""
+    kind = e.getClass().getSimpleName()
+    if kind.startswith(("UnresolvedFunction", "UnresolvedGenerator")):
+        parts = [p.lower() for p in each(e.nameParts() if kind.startswith("UnresolvedFunction") else e.name().nameParts())] if kind.startswith("UnresolvedFunction") else [e.name().funcName().lower()]
+        if len(parts) != 1 or parts[0] not in FUNCTIONS:
+            raise Refused(f"no such function: {'.'.join(parts)}")
+    elif kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+        checked(e.plan(), tables, scope)
+    elif "CallMethod" in kind or "Python" in kind or "Identifier" in kind.replace("UnresolvedAttribute", ""):
+        raise Refused(f"not allowed: {kind}")
+    for child in each(e.children()):
+        expression(child, tables, scope)
+
+
 def guarded(spark: SparkSession, sql: str, tables: set[str]) -> str:
     """The statement to run; Refused if it isn't a query over tables."""
     sql = rewritten(sql[:QUERY].strip().rstrip(";").strip())
@@ -45,14 +116,7 @@ def guarded(spark: SparkSession, sql: str, tables: set[str]) -> str:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise Refused(f"not a statement: {str(e)[:200]}") from None
-    shown = plan.treeString()
-    ctes = set(re.findall(r"(?i)(?:\bwith\b(?:\s+recursive)?|,)\s*`?(\w+)`?(?:\s*\([^)]*\))?\s+as\s*\(", sql))
-    names = {n.strip() for line in shown.splitlines() for n in re.findall(r"^[\s:|'+-]*'?(\w+)", line)}
-    if bad := sorted(n for n in names if COMMAND.search(n)):
-        raise Refused(f"only queries are run, not {bad[0]}")
-    used = set(re.findall(r"'?UnresolvedRelation \[([^\]]+)\]", shown))
-    if re.search(r"(?i)\b(parquet|json|csv|text|orc|binaryfile|avro)\s*\.\s*`", sql) or used - tables - ctes:
-        raise Refused(f"no such table: {', '.join(sorted(used - tables - ctes)) or 'files'}")
+    checked(plan, {t.lower() for t in tables}, frozenset())
     return sql
 
 
@@ -81,6 +145,4 @@ def fts_match(rows: DataFrame, query: str, limit: int = 300) -> DataFrame:
     from ..functions import text as T
     from ..operators import lexical
 
-    return lexical.bm25(rows, T.index_terms(query), limit)
-
-
+    return lexical.bm25(rows, T.match_terms(query), limit)
