@@ -7,47 +7,112 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import store
+#: Batches from one base of a refreshed table to the next.
+COMPACT = 20
 
 
-def refresh(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: list[str], transform: Callable[[DataFrame], DataFrame] = lambda df: df, files: int = 100):
-    """Merges new files under source into the Parquet table target, each once; ends when there are none.
+def refresh(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: list[str], transform: Callable[[DataFrame], DataFrame] = lambda df: df, files: int = 100, compact: int = COMPACT):
+    """Merges new files under source into the table at target, each once; ends when there are none.
 
-    The checkpoint is the ledger of files. A batch that is run again after a
-    failure merges the same keys, so the table ends up the same. Each batch
-    writes a table of its own and moves the pointer beside it last.
+    The checkpoint is the ledger of files. A batch writes its own rows alone, as
+    the delta of its number, so its cost doesn't grow with the table, and run again
+    after a failure it writes the same delta over the old one. Every compact batches
+    the newest base and the deltas since become the next base; what the base before
+    last was made of goes then, so a batch that is run again finds all it needs.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         rows = transform(batch)
-        old = current(spark, target)
-        out = store.merged(old, rows, *key) if old is not None else rows.dropDuplicates(key)
-        out.write.mode("overwrite").parquet(f"{target}/v{number}")
-        spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("append").parquet(f"{target}/versions")
-
+        newest_first(rows, key).write.mode("overwrite").parquet(f"{target}/delta/{number}")
+        if (number + 1) % compact == 0:
+            before = max((n for n in versions(spark, f"{target}/base") if n < number), default=-1)
+            read(spark, target, key, upto=number, base=before).write.mode("overwrite").parquet(f"{target}/base/{number}")
+            for n in versions(spark, f"{target}/base"):
+                if n < before:
+                    remove(spark, f"{target}/base/{n}")
+            for n in versions(spark, f"{target}/delta"):
+                if n <= before:
+                    remove(spark, f"{target}/delta/{n}")
+
+    if not folder(spark, f"{target}/key/_SUCCESS")[0].exists(folder(spark, f"{target}/key/_SUCCESS")[1]):
+        spark.createDataFrame(list(enumerate(key)), "no int, name string").coalesce(1).write.mode("overwrite").parquet(f"{target}/key")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def current(spark: SparkSession, target: str) -> DataFrame | None:
-    """The newest version of a refreshed table."""
-    from pyspark.errors import AnalysisException
+def newest_first(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row of each key: of the latest imported_at if there is one, else and on a tie the largest by all columns."""
+    order = [F.desc(c) for c in ("imported_at",) if c in rows.columns] + [F.desc(F.to_json(F.struct(*rows.columns)))]
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder, wherever it lies."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the tables below path that were written to their end."""
+    fs, place = folder(spark, path)
+    if not fs.exists(place):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(place)]
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(folder(spark, f"{path}/{n}/_SUCCESS")[1]))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, place = folder(spark, path)
+    fs.delete(place, True)
+
 
-    try:
-        versions = spark.read.parquet(f"{target}/versions")
-    except AnalysisException:
+def read(spark: SparkSession, target: str, key: list[str], upto: int | None = None, base: int | None = None) -> DataFrame | None:
+    """The rows of the newest version of each key, from a base and the deltas after it."""
+    bases = versions(spark, f"{target}/base")
+    base = max(bases, default=-1) if base is None else base
+    later = [n for n in versions(spark, f"{target}/delta") if n > base and (upto is None or n <= upto)]
+    parts = [spark.read.parquet(f"{target}/base/{base}").withColumn("_version", F.lit(base))] if base >= 0 else []
+    parts += [spark.read.parquet(f"{target}/delta/{n}").withColumn("_version", F.lit(n)) for n in later]
+    if not parts:
         return None
-    newest = versions.agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{target}/v{newest}")
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    if len(parts) == 1:
+        return rows.drop("_version")
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("_version")))).where("_r = 1").drop("_r", "_version")
 
 
-def idle_sessions(stream: DataFrame, key: str, ts: str, gap_seconds: float, late: str = "10 minutes") -> DataFrame:
-    """(key, ts, session_no) of a stream: the number rises when a row comes later than the gap after the last one."""
+def current(spark: SparkSession, target: str) -> DataFrame | None:
+    """The refreshed table as it is now, none before its first batch."""
+    if not versions(spark, f"{target}/base") and not versions(spark, f"{target}/delta"):
+        return None
+    return read(spark, target, [r["name"] for r in spark.read.parquet(f"{target}/key").orderBy("no").collect()])
+
+
+def timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
+    """A stream with a watermark a second ahead of ts, so that rows of the first second of all are not late."""
+    return stream.withColumn("_at", F.col(ts) + F.expr("INTERVAL 1 SECOND")).withWatermark("_at", late)
+
+
+def idle_sessions(stream: DataFrame, key: str, ts: str, gap_seconds: float, late: str = "1 day", forget: float | None = None) -> DataFrame:
+    """(key, ts, session_no) of a stream: the number rises when a row comes later than the gap after the last one.
+
+    A key without rows for forget seconds of event time (ten gaps by default), once
+    the watermark has passed them, loses its state, so state follows the keys in use;
+    should it come back, its numbers begin again. Rows that come later than late are
+    left out.
+    """
+    forget = 10 * gap_seconds if forget is None else forget
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, number = state.get if state.exists else (None, 0)
         for pdf in batches:
             pdf = pdf.sort_values(ts)
@@ -58,15 +123,19 @@ def idle_sessions(stream: DataFrame, key: str, ts: str, gap_seconds: float, late
                 numbers.append(number)
             yield pd.DataFrame({key: k[0], ts: pdf[ts], "session_no": numbers})
         state.update((last, number))
+        state.setTimeoutTimestamp(max(int((last + forget) * 1000), state.getCurrentWatermarkMs() + 1))
 
     kind = dict(stream.dtypes)[key]
-    return stream.withWatermark(ts, late).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {ts} timestamp, session_no int", "last double, number int", "append", GroupStateTimeout.NoTimeout)
+    return timed(stream, ts, late).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {ts} timestamp, session_no int", "last double, number int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rate_limited(stream: DataFrame, key: str, ts: str, limit: int = 6, seconds: float = 60) -> DataFrame:
-    """(key, ts, allowed): the sliding limit with denied rows left out of the count, kept as state."""
+def rate_limited(stream: DataFrame, key: str, ts: str, limit: int = 6, seconds: float = 60, late: str = "1 day") -> DataFrame:
+    """(key, ts, allowed): the sliding limit with denied rows left out of the count; a key's state ends when the watermark has passed its last window, rows later than late are left out."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = list(state.get[0]) if state.exists else []
         for pdf in batches:
             pdf = pdf.sort_values(ts)
@@ -77,9 +146,10 @@ def rate_limited(stream: DataFrame, key: str, ts: str, limit: int = 6, seconds:
                 seen += [t] if allowed[-1] else []
             yield pd.DataFrame({key: k[0], ts: pdf[ts], "allowed": allowed})
         state.update((seen,))
+        state.setTimeoutTimestamp(max(int((max(seen, default=0.0) + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
 
     kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {ts} timestamp, allowed boolean", "seen array<double>", "append", GroupStateTimeout.NoTimeout)
+    return timed(stream, ts, late).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {ts} timestamp, allowed boolean", "seen array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def once(stream: DataFrame, key: str, ts: str, late: str = "1 hour") -> DataFrame:

@@ -33,3 +33,39 @@ def test_stateful(spark, tmp_path, kind):
         assert [r.allowed for r in rows] == [True, True, False, True, True]
     else:
         assert len(rows) == 1
+
+
+def test_a_batch_run_again_changes_nothing(spark, tmp_path):
+    """The commit of the last batch is lost, as if the driver had died between the table and the commit."""
+    src, target, c = str(tmp_path / "src"), str(tmp_path / "t"), str(tmp_path / "c")
+    want = {}
+    for n in range(7):
+        rows = [(i, f"v{n}-{i}") for i in range(n, n + 5)]
+        want |= dict(rows)
+        spark.createDataFrame(rows, "id int, v string").coalesce(1).write.mode("append").parquet(src)
+        R.refresh(spark, src, "id int, v string", target, c, ["id"], compact=3)
+        if n in (2, 3, 5, 6):
+            last = max(int(p.name) for p in (tmp_path / "c/commits").iterdir() if p.name.isdigit())
+            for p in (tmp_path / "c/commits").glob(f"*{last}*"):
+                p.unlink()
+            R.refresh(spark, src, "id int, v string", target, c, ["id"], compact=3)
+        assert {r.id: r.v for r in R.current(spark, target).collect()} == want
+    assert len(R.versions(spark, f"{target}/base")) <= 2 and len(R.versions(spark, f"{target}/delta")) <= 6
+    assert R.current(spark, str(tmp_path / "none")) is None
+
+
+def test_state_ends(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    src = str(tmp_path / "src")
+    stream = spark.readStream.schema("k string, ts timestamp").parquet(src)
+    out = R.rate_limited(stream, "k", "ts", 2, 60, late="1 minute")
+
+    def go():
+        q = out.writeStream.foreachBatch(lambda rows, _: rows.count()).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q.lastProgress["stateOperators"][0]["numRowsTotal"] if q.lastProgress else None
+
+    for i, k in enumerate("abcdef"):
+        spark.createDataFrame([(k, 1000.0 * i)], "k string, s double").selectExpr("k", "timestamp_seconds(s) AS ts").coalesce(1).write.mode("append").parquet(src)
+        held = go()
+    assert held <= 2  # keys that are silent are forgotten
