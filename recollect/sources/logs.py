@@ -88,8 +88,23 @@ def folder_of(slug: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.filter(F.split(slug, "-"), lambda x: x != ""), "/"))
 
 
+def most_common(items: Column) -> Column:
+    """The item that an array holds most often, the first of those on a tie."""
+    counted = F.transform(F.array_distinct(items), lambda x, i: F.struct(F.size(F.filter(items, lambda y: y == x)).alias("n"), (-i).alias("back"), x.alias("x")))
+    return F.array_max(counted)["x"]
+
+
+def inferred_folder(commands: Column, paths: Column, home: str) -> Column:
+    """Where a conversation worked: the folder that most commands ran in, else the deepest that holds all its files, else (if that says nothing) the one of most files."""
+    absolute = lambda a: F.filter(a, lambda x: F.startswith(x, F.lit("/")))
+    ran = F.transform(absolute(commands), lambda x: F.regexp_replace(x, "/+$", ""))
+    held = F.transform(F.filter(absolute(paths), lambda x: ~F.contains(x, F.lit("/.gemini/"))), lambda x: F.regexp_replace(x, "/[^/]*$", ""))
+    shared = F.coalesce(F.nullif(common_folder(held), F.lit("")), F.lit("/"))
+    return F.when(F.size(ran) > 0, most_common(ran)).when(F.size(held) == 0, "").when(shared.isin("/", home), most_common(held)).otherwise(shared)
+
+
 def common_folder(folders: Column) -> Column:
-    """The folder of most commands if it leads clearly, else the folders' common path, else the first in order."""
+    """The deepest folder that holds all of an array of folders."""
     parts = F.transform(folders, lambda f: F.split(f, "/"))
     shortest = F.array_min(F.transform(parts, F.size))
     same = F.filter(F.sequence(F.lit(1), shortest), lambda n: F.size(F.array_distinct(F.transform(parts, lambda p: F.array_join(F.slice(p, F.lit(1), n), "/")))) == 1)

@@ -1,8 +1,9 @@
 """Transcripts of three agent dialects, JSON Lines, to sessions and events.
 
 Lines are read as text, since a field may be a string in one line and an array
-in the next, and taken apart as VARIANT. Line order comes from the position in
-the file, so each file is read whole by one task; files spread over the cluster.
+in the next, and taken apart as VARIANT. A large file is read in splits by several
+tasks; a line's number comes from its split's place in the file and its place
+there, so no file is ever one string.
 """
 
 from __future__ import annotations
@@ -12,22 +13,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..operators import policy
 
 #: Longer lines (bytes) are skipped, as they hold embedded files.
 LINE_BYTES = 524_288
+#: Bytes of a file that are read at most.
+FILE_BYTES = 64 << 20
 EVENT = "source_ref string, event_index int, role string, text string, ts string"
 
 
 def lines(spark: SparkSession, paths: str | list[str], newest: int = 0, max_bytes: int = 0) -> DataFrame:
     """(path, mtime, line_no, value, v): the lines of files, newest files first if capped; over-long lines have no value."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
+    meta = {"path": "file_path", "mtime": "file_modification_time", "start": "file_block_start"}
+    size = F.octet_length("value")
+    rows = spark.read.text(paths).select(*(F.col(f"_metadata.{x}").alias(c) for c, x in meta.items()), F.monotonically_increasing_id().alias("at"), size.alias("size"), F.when(size < LINE_BYTES, F.col("value")).alias("value"))
     if newest > 0:
-        files = files.orderBy(F.desc("mtime"), "path").limit(newest)
-    rows = files.select("path", "mtime", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value")).where("value <> ''")
+        files = rows.groupBy("path").agg(F.max("mtime").alias("of")).orderBy(F.desc("of"), "path").limit(newest)
+        rows = rows.join(F.broadcast(files.select("path")), "path", "left_semi")  # newest rows
+    order = W.partitionBy("path").orderBy("start", "at")
+    rows = rows.withColumn("line_no", F.row_number().over(order) - 1)
     if max_bytes:
-        used = F.sum(F.octet_length("value")).over(W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
-        rows = rows.withColumn("used", used).where(F.col("used") <= max_bytes).drop("used")
-    rows = rows.withColumn("value", F.when(F.octet_length("value") < LINE_BYTES, F.col("value")))
+        rows = rows.withColumn("used", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))).where(F.col("used") <= max_bytes).drop("used")
+    rows = rows.where("size > 0").select("path", "mtime", "line_no", "value")
     return rows.withColumn("v", F.try_parse_json("value"))
 
 
@@ -133,20 +140,34 @@ DIALECTS = {"claude": claude_events, "codex": codex_events, "antigravity": antig
 
 
 def events(spark: SparkSession, dialect: str, paths: str | list[str], newest: int = 0) -> DataFrame:
-    """(source_ref, event_index, role, text, ts) of the transcripts under paths."""
-    if dialect not in DIALECTS:
+    """(source_ref, event_index, role, text, ts) of the transcripts under paths, of FILE_BYTES each at most."""
+    return adapter(dialect)(lines(spark, paths, newest, FILE_BYTES))
+
+
+def adapter(dialect: str, enabled: list[str] | None = None):
+    """The event reader of a dialect; an error for an unknown one, or one that is not enabled."""
+    if dialect not in DIALECTS or (enabled is not None and dialect not in enabled):
         raise ValueError(f"unknown source: {dialect}")
-    return DIALECTS[dialect](lines(spark, paths, newest))
+    return DIALECTS[dialect]
+
 
+def sessions(spark: SparkSession, dialect: str, paths: str | list[str], newest: int = 0, executed: bool = True) -> DataFrame:
+    """A row for each transcript with a user turn: title, folder, times, entry points, human turns, turns; of copies of a session the newest.
 
-def sessions(spark: SparkSession, dialect: str, paths: str | list[str], newest: int = 0) -> DataFrame:
-    """A row for each transcript with a user turn: title, folder, times, entry points, human turns, turns."""
-    rows = lines(spark, paths, newest)
-    own = DIALECTS[dialect](rows)
+    executed=False leaves out what programs ran instead of people.
+    """
+    rows = lines(spark, paths, newest, FILE_BYTES)
+    own = adapter(dialect)(rows)
     ref = F.concat(F.lit(dialect + ":"), session_of(F.col("path")))
     cwd = F.coalesce(field("$.cwd"), field("$.payload.cwd"))
-    # subagent transcripts are no sessions of their own
+    # subagent transcripts are no sessions of their own, by their folder or by what their first lines say
     rows = rows.where(~F.contains("path", F.lit("/subagents/")))
+    if dialect == "codex":
+        about = F.struct(F.coalesce(field("$.payload.thread_source"), field("$.payload.source.subagent"), F.lit("")).alias("thread"), F.coalesce(field("$.payload.originator"), F.lit("")).alias("originator"), F.coalesce(field("$.payload.source"), F.lit("")).alias("source"), F.coalesce(field("$.payload.cwd"), F.lit("")).alias("cwd"))
+        meta = rows.where(as_text("$.type") == "session_meta").groupBy("path").agg(F.min_by(about, "line_no").alias("m"))
+        told = F.contains(F.lower("m.thread"), F.lit("subagent"))
+        gone = told if executed else told | (policy.exec_origin(F.col("m.source"), F.col("m.originator"), F.col("m.cwd")) == "automated")
+        rows = rows.join(meta.where(gone).select("path"), "path", "left_anti")
     head = rows.groupBy(ref.alias("source_ref")).agg(
         F.max_by(cwd, F.when(cwd.isNotNull(), F.col("line_no"))).alias("cwd"),
         F.collect_set(F.nullif(F.trim(as_text("$.entrypoint")), F.lit(""))).alias("entrypoints"),
@@ -157,6 +178,8 @@ def sessions(spark: SparkSession, dialect: str, paths: str | list[str], newest:
         F.count_if(F.col("role") == "user").alias("user_turns"), F.count_if(typed).alias("human_turns"),
         F.min_by(F.when(typed, F.col("text")), F.when(typed, F.col("event_index"))).alias("opening"),
         F.array_sort(F.collect_list(F.struct("event_index", "role", F.substring("text", 1, 800).alias("text"), "ts"))).alias("turns"))
+    trail = F.array_join(F.transform(F.slice(F.filter("turns", lambda t: t["role"] == "user"), -3, 3), lambda t: T.normalize_text(t["text"], 160)), " | ")
+    turns = turns.withColumn("summary", F.concat_ws(" ... ", T.normalize_text(F.coalesce("opening", F.lit("")), 140), F.nullif(F.substring(trail, -120, 120), F.lit(""))))
     out = head.join(turns, "source_ref").where("user_turns > 0")
     return out.withColumn("source_name", F.lit(dialect)).withColumn("title", T.normalize_text(F.coalesce("opening", F.col("source_ref")), 90)).drop("opening")
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import messages as M
-from recollect.sources import logs
+from recollect.sources import logs, transcripts
 
 
 def test_viewer_and_chat(spark, tmp_path):
@@ -25,13 +25,65 @@ def test_viewer_and_chat(spark, tmp_path):
 
 
 def test_messages(spark):
-    df = spark.createDataFrame([("[relay:kind=ask;id=a%20b] hello there", "ok"), ("plain question here", "/clear")], "t string, u string")
-    r = df.select(M.envelope(F.col("t")).alias("e"), M.stripped(F.col("t")).alias("s"), M.owner_voice(F.col("t")).alias("v"), M.owner_voice(F.col("u")).alias("w")).collect()
-    assert (r[0].e, r[0].s, r[0].w) == ({"kind": "ask", "id": "a b"}, "hello there", False)
-    assert (r[1].e, r[1].v, r[1].w) == (None, True, False)
-    x = spark.createDataFrame([("claude:abc:chunk:3", "-home-a-b", ["/a/b/c", "/a/b/d"])], "r string, g string, f array<string>")
-    assert tuple(x.select(M.session_id(F.col("r")), logs.folder_of(F.col("g")), logs.common_folder(F.col("f"))).first()) == ("abc", "/home/a/b", "/a/b")
-    assert [k for k, _, _ in M.sections("hi\n## One\nx\n### Two\ny\n# What you overlooked\nz")] == ["intro", "article", "note", "overlooked"]
+    rows = [
+        ("**Al B** (via x-bot): did it run?\n-# \u27e6bot ask id=r1 actor=u%201 name=A%2BB\u27e7", "ok"),
+        ("<@12> <@!a|b> \u27e6bot ans id=r2\u27e7 yes,\nit did", "/clear"),
+        ("plain question here", "Go ahead!"),
+        ("x\n_\u27e6bot ans\u27e7_  ", "/ask about it"),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, u string").orderBy("i")
+    r = df.select(M.relayed(F.col("t")).alias("e"), M.stripped(F.col("t")).alias("s"), M.owner_voice(F.col("u")).alias("w")).collect()
+    assert tuple(r[0].e) == ("ask", "r1", "u 1", "A+B", "did it run?", "Al B") and r[0].s == "**Al B** (via x-bot): did it run?"
+    assert tuple(r[1].e) == ("ans", "r2", "", "", "yes,\nit did", "") and r[1].s == "yes,\nit did"
+    assert r[2].e is None and r[2].s == "plain question here"
+    assert tuple(r[3].e)[:2] == ("ans", "") and r[3].s == "x"
+    assert [x.w for x in r] == [False, False, False, True]
+    x = spark.createDataFrame([("claude:abc:chunk:3", "-home-a-b", ["/a/b/c", "/a/b/d"], " A b/C!! ")], "r string, g string, f array<string>, k string")
+    assert tuple(x.select(M.session_id(F.col("r")), logs.folder_of(F.col("g")), logs.common_folder(F.col("f")), M.safe_session_key(F.col("k")), M.safe_session_key(F.lit("//"))).first()) == ("abc", "/home/a/b", "/a/b", "a-b-c", "main")
+
+
+def test_inferred_folder(spark):
+    rows = [
+        (["/w/a/", "/w/b", "/w/a"], ["/x/y.py"], "/w/a"), ([], ["/p/q/a.py", "/p/q/r/b.py"], "/p/q"), ([], ["/p/a", "/q/a", "/q/b"], "/q"), (["rel"], ["also/rel", "/h/.gemini/x"], ""),
+        ([], ["/home/u/a/x", "/home/u/b/y", "/home/u/b/z"], "/home/u/b"), ([], ["/p/q/a.py"], "/p/q"),
+    ]
+    df = spark.createDataFrame(rows, "c array<string>, p array<string>, want string")
+    assert all(r.got == r.want for r in df.select("want", logs.inferred_folder(F.col("c"), F.col("p"), "/home/u").alias("got")).collect())
+
+
+def test_sections(spark):
+    text = "**hi there**\n## One\nx\n- y\n# What you *overlooked*\n- first\n  goes on\nnote\n* second\n---\nafter\n\n### **Two**\n"
+    got = [(r.kind, r.title, r.body) for r in M.sections(spark.createDataFrame([(1, text), (2, ""), (3, "***\nonly")], "id int, text string")).orderBy("id", "no").collect()]
+    assert got == [
+        ("intro", "", "hi there"), ("article", "One", "x\n- y"), ("overlooked", "", "first goes on"), ("overlooked", "", "second"), ("note", "", "note"),
+        ("note", "", "after"), ("article", "Two", ""), ("intro", "", "only")]
+
+
+def test_codex_rejects(spark, tmp_path):
+    def write(name, meta):
+        lines = [{"type": "session_meta", "payload": meta}, {"type": "event_msg", "payload": {"type": "user_message", "message": f"hello from {name}"}}]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(map(json.dumps, lines)))
+
+    write("plain", {"cwd": "/w", "originator": "codex-tui", "source": "cli"})
+    write("sub", {"cwd": "/w", "thread_source": "subagent"})
+    write("exec", {"cwd": "/w", "originator": "codex_exec", "source": "exec"})
+    names = lambda **k: {r.source_ref for r in transcripts.sessions(spark, "codex", str(tmp_path), **k).collect()}
+    assert names() == {"codex:plain", "codex:exec"} and names(executed=False) == {"codex:plain"}
+    with pytest.raises(ValueError, match="unknown source"):
+        transcripts.adapter("codex", ["claude"])
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    (tmp_path / "big.jsonl").write_text("\n".join(json.dumps({"n": i, "pad": "x" * 50}) for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = transcripts.lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() >= 1
+        assert [r.n for r in rows.orderBy("line_no").select(transcripts.field("$.n", "int").alias("n")).collect()] == list(range(3000))
+        capped = transcripts.lines(spark, str(tmp_path), max_bytes=7000).orderBy("line_no").select(transcripts.field("$.n", "int").alias("n")).collect()
+        assert [r.n for r in capped] == list(range(len(capped))) and 90 < len(capped) < 110
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_side_tables(spark):
