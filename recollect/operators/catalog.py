@@ -15,10 +15,10 @@ def project_breakdown(chunks: DataFrame, human: Column, limit: int = 20) -> Data
 
 
 def collapsed_projects(chunks: DataFrame, roots: list[str], limit: int = 20) -> DataFrame:
-    """As project_breakdown, with folders under a root counted as the root."""
+    """As project_breakdown, with folders below a root counted as the root; the longest root that fits counts."""
     folder = F.col("cwd")
-    for r in roots:
-        folder = F.when(F.col("cwd").startswith(r), F.lit(r)).otherwise(folder)
+    for r in sorted((r.rstrip("/") for r in roots), key=len):
+        folder = F.when(F.col("cwd").startswith(r + "/"), F.lit(r)).otherwise(folder)
     out = chunks.withColumn("folder", folder).groupBy("folder").agg(F.countDistinct("session_id").alias("sessions"), F.count("*").alias("chunks"))
     return out.orderBy(F.desc("sessions"), "folder").limit(limit)
 
@@ -91,8 +91,13 @@ def tool_counts(sessions: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 def repeats_dropped(rows: DataFrame, text: str, most: int = 2, prefix: int = 200) -> DataFrame:
-    """Rows whose first characters no more than most rows share."""
-    return rows.withColumn("same", F.count("*").over(W.partitionBy(F.substring(text, 1, prefix)))).where(F.col("same") <= most).drop("same")
+    """Rows whose first characters no more than most rows share.
+
+    Prefixes are counted before they are shuffled and only those that go come back,
+    so a prefix that very many rows share is no place that they all meet.
+    """
+    often = rows.groupBy(F.substring(text, 1, prefix).alias("_start")).agg(F.count("*").alias("_same")).where(F.col("_same") > most)
+    return rows.join(often.select("_start"), F.substring(text, 1, prefix).eqNullSafe(F.col("_start")), "left_anti")
 
 
 def budget_totals(log: DataFrame, tool: str, seconds: str, extension: Column) -> DataFrame:
@@ -104,3 +109,67 @@ def freshness(files: DataFrame, chunks: DataFrame) -> DataFrame:
     f = files.groupBy("source_name").agg(F.max("mtime").alias("newest_file"))
     c = chunks.groupBy("source_name").agg(F.max("indexed_at").alias("indexed_at"))
     return f.join(c, "source_name", "left").withColumn("stale", F.coalesce(F.col("newest_file") > F.col("indexed_at"), F.lit(True)))
+
+
+def memory_stats(items: DataFrame) -> DataFrame:
+    """(dimension, value, n): memory items in all and by scope, source and kind, in one pass."""
+    names = ["scope", "source_name", "record_kind"]
+    rows = items.groupingSets([[], *([c] for c in names)], *names).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    dimension = F.when(F.col("g") == 7, "total").when(F.col("g") == 3, "scope").when(F.col("g") == 5, "source_name").otherwise("record_kind")
+    return rows.select(dimension.alias("dimension"), F.when(F.col("g") == 7, "").otherwise(F.coalesce(*names)).alias("value"), "n")
+
+
+def prompt_stats(prompts: DataFrame) -> DataFrame:
+    """(source_name, prompts, first_ts, last_ts), in all (null source) and by source."""
+    rows = prompts.groupingSets([["source_name"], []], "source_name").agg(F.count("*").alias("prompts"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.grouping("source_name").alias("g"))
+    return rows.select(F.when(F.col("g") == 0, F.coalesce("source_name", F.lit(""))).alias("source_name"), "prompts", "first_ts", "last_ts")
+
+
+def prompts_between(prompts: DataFrame, after: str = "", before: str = "", source: str = "") -> DataFrame:
+    """Prompts of a stretch of time; a date-only upper bound ends with its last second."""
+    rows = prompts if not after else prompts.where(F.col("ts") >= after)
+    rows = rows if not before else rows.where(F.col("ts") <= before + ("T23:59:59" if len(before) == 10 else ""))
+    return rows if not source else rows.where(F.col("source_name") == source)
+
+
+def health(chunks: DataFrame, embedded: Column) -> DataFrame:
+    """One row: chunks, those embedded, automated sessions, the last time of indexing."""
+    automated = F.get_json_object("metadata_json", "$.origin") == "automated"
+    return chunks.agg(F.count("*").alias("total"), F.count_if(embedded).alias("embedded"), F.countDistinct(F.when(automated, F.col("source_ref"))).alias("automated"), F.coalesce(F.max("indexed_at"), F.lit("")).alias("indexed_at"))
+
+
+def signature(chunks: DataFrame, embedded: Column) -> DataFrame:
+    """One row that changes when the embedded chunks do: their number, largest id and last time of indexing."""
+    return chunks.where(embedded).agg(F.count("*").alias("n"), F.coalesce(F.max("id"), F.lit(0)).alias("max_id"), F.coalesce(F.max("indexed_at"), F.lit("")).alias("indexed_at"))
+
+
+def entrypoint_frequency(sessions: DataFrame) -> DataFrame:
+    """(entrypoint, n) of sessions with an array of entry points."""
+    return frequencies(sessions.select(F.explode("entrypoints").alias("entrypoint")), "entrypoint")
+
+
+def dashboard(chunks: DataFrame, embedded: Column, stale: bool = False) -> DataFrame:
+    """One row: chunks, embedded, missing, coverage, whether semantic search is on (half or more are embedded), and warnings."""
+    rows = chunks.agg(F.count("*").alias("total"), F.count_if(embedded).alias("embedded"))
+    coverage = F.when(F.col("total") > 0, F.col("embedded") / F.col("total")).otherwise(F.lit(0.0))
+    warn = F.array_compact(F.array(F.lit("index" if stale else None).cast("string"), F.when((F.col("total") > 0) & (F.col("embedded") == 0), "semantic search: none").when((F.col("total") > 0) & (coverage < 0.5), "semantic search: partial")))
+    return rows.select("total", "embedded", (F.col("total") - F.col("embedded")).alias("missing"), F.round(coverage, 4).alias("coverage"), ((F.col("total") > 0) & (coverage >= 0.5)).alias("semantic"), warn.alias("warnings"))
+
+
+def exported(sessions: DataFrame, turns: DataFrame, recent: int = 20, parts: int = 4) -> DataFrame:
+    """(source_ref, kind, parent, title, updated_at, text, content_hash): a record for each session, and chunks of equal numbers of turns for the newest.
+
+    sessions: source_ref, source_name, title, updated_at, text; turns: source_ref, turn, role, text.
+    """
+    from ..functions import text as T
+    from .windows import equal_split
+
+    own = sessions.select("source_ref", F.lit("session").alias("kind"), F.lit(None).cast("string").alias("parent"), "title", "updated_at", "text", T.stable_hash(F.col("source_ref"), F.lit("session"), F.col("updated_at"), F.col("text")).alias("content_hash"))
+    newest = sessions.orderBy(F.desc("updated_at"), "source_ref").limit(recent).select("source_ref", "source_name", "title", "updated_at")
+    rows = equal_split(turns.join(F.broadcast(newest), "source_ref"), "source_ref", "turn", parts)  # recent rows
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce("text", F.lit("")) != "", F.struct("turn", F.concat(F.upper("role"), F.lit(": "), "text").alias("line"))))), lambda x: x["line"]), "\n")
+    chunks = rows.groupBy("source_ref", "source_name", "title", "updated_at", "part").agg(said.alias("raw"))
+    head = F.concat(F.lit("Source: "), "source_name", F.lit("\nSession title: "), "title", F.lit("\nSession ref: "), "source_ref", F.lit("\nChunk "), (F.col("part") + 1).cast("string"), F.lit("\n"), "raw")
+    part = F.col("part").cast("string")
+    chunks = chunks.select(F.concat("source_ref", F.lit(":chunk:"), part).alias("source_ref"), F.lit("chunk").alias("kind"), F.col("source_ref").alias("parent"), F.concat("title", F.lit(" [chunk "), (F.col("part") + 1).cast("string"), F.lit("]")).alias("title"), "updated_at", T.normalize_text(head, 4000).alias("text"), T.stable_hash(F.col("source_ref"), F.lit("chunk"), part, F.col("updated_at"), F.col("raw")).alias("content_hash"))
+    return own.unionByName(chunks)

@@ -1,16 +1,18 @@
 """Full-text search over a table with id, title and text: BM25, prefixes, phrases, literals, proximity.
 
-A query looks at its own terms only: one scan counts them in each row, one small
-aggregate makes the corpus statistics, and the top rows are taken without a sort
-of the rest. postings() is the index for many queries over one table: written
-once, bucketed by term, it turns each into a look-up.
+Index is an inverted index on disk, written once in one pass over the texts: a
+query looks up its own terms, whose postings hold all that BM25, prefixes and
+phrases need, and no text is read again. Without an index, as for the few chunks
+of one session, a query counts its own terms in one scan.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -19,12 +21,6 @@ from ..functions import text as T
 K1, B = 1.2, 0.75
 
 
-def postings(rows: DataFrame) -> DataFrame:
-    """(term, id, tf, positions): the inverted index."""
-    each = rows.select("id", F.posexplode(T.terms(F.col("text"))).alias("pos", "term"))
-    return each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-
-
 def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns, F.lit(0))
 
@@ -37,6 +33,73 @@ def begins(t: str):
     return lambda x: x.startswith(t)
 
 
+def back(n: int):
+    return lambda x: x - n
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """(term, id, tf, len, positions): the inverted index; the positions of a term in a row are one array."""
+    words = rows.select("id", T.terms(F.col("text")).alias("w")).withColumn("len", F.size("w"))
+    each = words.select("id", "len", F.posexplode("w").alias("pos", "term"))
+    held = each.groupBy("id", "len", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    return held.select("term", "id", F.size("positions").alias("tf"), "len", "positions")
+
+
+class Index:
+    """Postings of a table, sorted by term and id in files, so that a look-up reads the row groups of its terms alone; a common term lies in several files."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.postings = spark.read.parquet(f"{path}/postings")
+        self.stats = spark.read.parquet(f"{path}/stats")
+
+    @staticmethod
+    def write(rows: DataFrame, path: str) -> Index:
+        """The index of rows (id, text) at path."""
+        postings(rows).repartitionByRange(F.col("term"), F.col("id")).sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
+        lengths = rows.select(F.size(T.terms(F.col("text"))).alias("len"))
+        lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len")).write.mode("overwrite").parquet(f"{path}/stats")
+        return Index(rows.sparkSession, path)
+
+    def counted(self, terms: list[str], prefix: bool = False) -> DataFrame:
+        """(id, len, tf0, tf1, ...) of the rows that hold any of terms."""
+        test = [F.col("term").startswith(t) if prefix else F.col("term") == t for t in terms]
+        hits = self.postings.where(reduce(lambda a, b: a | b, test, F.lit(False)))
+        return hits.groupBy("id").agg(F.max("len").alias("len"), *(F.coalesce(F.sum(F.when(c, F.col("tf"))), F.lit(0)).cast("int").alias(f"tf{i}") for i, c in enumerate(test)))
+
+    def scored(self, terms: list[str], prefix: bool = False) -> DataFrame:
+        """counted() with bm25 (larger is better)."""
+        rows = self.counted(terms, prefix)
+        df = rows.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+        return weighed(rows.crossJoin(F.broadcast(self.stats)).crossJoin(F.broadcast(df)), len(terms))  # one row each
+
+    def phrase(self, words: list[str]) -> DataFrame:
+        """(id, hits): the rows that hold the words one after the other, and how often (not overlapping)."""
+        hits = self.postings.where(F.col("term").isin(list(set(words))))
+        held = hits.groupBy("id").agg(*(F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p{i}") for i, w in enumerate(words)))
+        begin = F.col("p0")
+        for i in range(1, len(words)):
+            begin = F.array_intersect(begin, F.transform(f"p{i}", back(i)))
+        apart = F.aggregate(F.array_sort(begin), F.struct(F.lit(0).alias("n"), F.lit(-len(words)).alias("last")), lambda s, p: F.when(p >= s["last"] + len(words), F.struct((s["n"] + 1).alias("n"), p.alias("last"))).otherwise(s))["n"]
+        return held.select("id", apart.alias("hits")).where("hits > 0")
+
+
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def indexed(rows: DataFrame, name: str) -> Index:
+    """The index of rows, written when this application first asks for name: in the folder of spark.checkpoint.dir, or one of this machine in a local session."""
+    spark = rows.sparkSession
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _WRITTEN:
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and not (spark.sparkContext.master or "").startswith("local["):
+            folder = spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{folder or tempfile.mkdtemp(prefix='index')}/index-{uuid.uuid4().hex}"
+        Index.write(rows.select("id", "text"), path)
+        _WRITTEN[key] = path
+    return Index(spark, _WRITTEN[key])
+
+
 def counted(rows: DataFrame, terms: list[str], prefix: bool = False, column: str = "text") -> DataFrame:
     """rows with len, the number of terms, and tf0, tf1, ... the occurrences of each of terms."""
     w = T.terms(F.col(column))
@@ -46,12 +109,8 @@ def counted(rows: DataFrame, terms: list[str], prefix: bool = False, column: str
     return rows.drop("words")
 
 
-def scored(rows: DataFrame, terms: list[str], prefix: bool = False) -> DataFrame:
-    """counted rows that hold a term, with bm25 (larger is better)."""
-    rows = counted(rows, terms, prefix)
-    n = len(terms)
-    stats = rows.agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(n)))
-    rows = rows.where(total([F.col(f"tf{i}") for i in range(n)]) > 0).crossJoin(F.broadcast(stats))  # stats is one row
+def weighed(rows: DataFrame, n: int) -> DataFrame:
+    """rows with len, tf0.. and the corpus' docs, mean_len, df0.. to rows with bm25."""
 
     def part(i: int) -> Column:
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
@@ -61,14 +120,26 @@ def scored(rows: DataFrame, terms: list[str], prefix: bool = False) -> DataFrame
     return rows.withColumn("bm25", total([part(i) for i in range(n)]))
 
 
-def bm25(rows: DataFrame, terms: list[str], limit: int = 10, prefix: bool = False) -> DataFrame:
+def scored(rows: DataFrame | Index, terms: list[str], prefix: bool = False) -> DataFrame:
+    """counted rows that hold a term, with bm25 (larger is better)."""
+    if isinstance(rows, Index):
+        return rows.scored(terms, prefix)
+    rows = counted(rows, terms, prefix)
+    n = len(terms)
+    stats = rows.agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(n)))
+    return weighed(rows.where(total([F.col(f"tf{i}") for i in range(n)]) > 0).crossJoin(F.broadcast(stats)), n)  # stats is one row
+
+
+def bm25(rows: DataFrame | Index, terms: list[str], limit: int = 10, prefix: bool = False) -> DataFrame:
     """(id, score): the best rows for any of the terms."""
     best = scored(rows, terms, prefix).select("id", F.round("bm25", 4).alias("score"))
     return best.orderBy(F.desc("score"), "id").limit(limit)
 
 
-def phrase(rows: DataFrame, words: list[str]) -> DataFrame:
+def phrase(rows: DataFrame | Index, words: list[str]) -> DataFrame:
     """Rows that hold the words one after the other, with the number of times."""
+    if isinstance(rows, Index):
+        return rows.phrase(words)
     joined = F.concat(F.lit(" "), F.array_join(T.terms(F.col("text")), "  "), F.lit(" "))
     needle = " " + "  ".join(words) + " "
     return rows.withColumn("hits", T.occurrences(joined, needle)).where("hits > 0")
@@ -97,39 +168,48 @@ def strong_enough(matched: Column, terms: list[str], anchors_hit: Column | None)
     return gate & anchors_hit if anchors_hit is not None else gate
 
 
-def exact_scores(rows: DataFrame, query: str, limit: int = 300) -> DataFrame:
-    """(id, score): the best of phrase, literal and gated term scores of each row."""
-    terms = T.index_terms(query)
+def exact_scores(rows: DataFrame, query: str, limit: int = 300, index: Index | None = None) -> DataFrame:
+    """(id, score): the best of phrase, literal and gated term scores of each row; with an index only literals and the best rows' proximity read texts."""
+    terms = T.match_terms(query)
+    held = index or rows
     legs = []
     for words in T.phrase_queries(query):
-        ranked = scored(phrase(rows, words).drop("hits"), words)
+        if index is None:
+            ranked = scored(phrase(rows, words).drop("hits"), words)
+        else:  # the rank of a phrase is that of its words among the rows that hold it
+            found = index.phrase(words).select("id")
+            own = index.counted(words).join(found, "id")
+            n = own.agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
+            ranked = weighed(own.crossJoin(F.broadcast(n)), len(words))
         legs.append(ranked.select("id", (180 + 80 / (1 + F.abs("bm25"))).alias("score")))
     if T.needs_literal(query):
-        legs.append(literal(rows, query).select("id", F.col("score").cast("double").alias("score")))
-    ranked = scored(rows, terms)
+        legs.append(literal(rows, T.focus_query(query)).select("id", F.col("score").cast("double").alias("score")))
+    ranked = scored(held, terms)
     matched = total([(F.col(f"tf{i}") > 0).cast("int") for i in range(len(terms))])
     anchors = [i for i, t in enumerate(terms) if t in T.anchor_tokens(terms)]
     hit = total([(F.col(f"tf{i}") > 0).cast("int") for i in anchors]) > 0 if anchors else None
     top = ranked.where(strong_enough(matched, terms, hit)).withColumn("matched", matched).orderBy(F.desc("bm25"), "id").limit(limit)
     top = top.select("id", "bm25", "matched")
-    close = proximity(rows.join(F.broadcast(top.select("id")), "id", "left_semi"), terms).select("id", F.col("score").alias("prox"))
+    close = proximity(rows.join(F.broadcast(top.select("id")), "id", "left_semi"), terms).select("id", F.col("score").alias("prox"))  # limit rows
     legs.append(top.join(close, "id", "left").select("id", (50 / (1 + F.abs("bm25")) + 3 * F.col("matched") ** 2 + F.coalesce("prox", F.lit(0))).alias("score")))
     union = reduce(DataFrame.unionByName, legs)
     best = union.groupBy("id").agg(F.round(F.max("score"), 4).alias("score"))
     return best.orderBy(F.desc("score"), "id").limit(limit)
 
 
-def instant_hits(rows: DataFrame, query: str, limit: int = 8, session: str = "source_ref") -> DataFrame:
-    """Search while typing: rows by 2 * title prefixes + text prefixes, then bm25, one a session."""
+def instant_hits(rows: DataFrame, query: str, limit: int = 8, session: str = "source_ref", index: Index | None = None) -> DataFrame:
+    """Search while typing: the best row of each session by 2 * title prefixes + text prefixes, then bm25; the best sessions."""
     terms = T.index_terms(query, 8)
-    rows = scored(rows, terms, prefix=True)
+    ranked = scored(index or rows, terms, prefix=True).select("id", "bm25", *(f"tf{i}" for i in range(len(terms))))
     words = T.terms(F.col("title"))
     title = total([F.exists(words, begins(t)).cast("int") for t in terms])
     text = total([(F.col(f"tf{i}") > 0).cast("int") for i in range(len(terms))])
-    rows = rows.select("id", session, (2 * title + text).alias("hits"), F.round("bm25", 4).alias("score"))
-    order = [F.desc("hits"), F.desc("score"), F.col("id")]
-    rows = rows.orderBy(*order).limit(4 * limit).withColumn("r", F.row_number().over(W.partitionBy(session).orderBy(*order)))
-    return rows.where("r = 1").drop("r").orderBy(*order).limit(limit)
+    found = rows.select("id", session, "title").join(ranked, "id").select("id", session, (2 * title + text).alias("hits"), F.round("bm25", 4).alias("score"))
+    # the best of a session is one aggregate, so a session with very many hits is summed up before it moves
+    order = F.struct((-F.col("hits")).alias("hits"), (-F.col("score")).alias("score"), "id")
+    best = found.groupBy(session).agg(F.min(order).alias("best"))
+    out = best.select(F.col("best.id").alias("id"), session, (-F.col("best.hits")).alias("hits"), (-F.col("best.score")).alias("score"))
+    return out.orderBy(F.desc("hits"), F.desc("score"), "id").limit(limit)
 
 
 def document_frequency(rows: DataFrame) -> DataFrame:

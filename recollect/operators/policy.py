@@ -58,9 +58,10 @@ def exec_origin(source: Column, originator: Column, cwd: Column) -> Column:
 
 def hidden_from_team(rows: DataFrame, private: DataFrame, sessions: DataFrame, projects: DataFrame, open_mode: bool = False) -> DataFrame:
     """rows with hidden: private session, open mode, the session's decision, a catch-all folder, the project's level; hidden when in doubt."""
-    rows = rows.join(F.broadcast(private.select("source_ref", F.lit(True).alias("is_private"))), "source_ref", "left")
-    rows = rows.join(F.broadcast(sessions.select("source_ref", F.col("level").alias("session_level"))), "source_ref", "left")
-    rows = rows.join(F.broadcast(projects.select("project", F.col("level").alias("project_level"))), "project", "left")
+    # private and decided sessions grow with the archive: the optimizer sees their size and chooses the join
+    rows = rows.join(private.select("source_ref", F.lit(True).alias("is_private")).distinct(), "source_ref", "left")
+    rows = rows.join(sessions.select("source_ref", F.col("level").alias("session_level")), "source_ref", "left")
+    rows = rows.join(projects.select("project", F.col("level").alias("project_level")), "project", "left")
     hidden = (
         F.when(F.col("is_private"), True).when(F.lit(open_mode), False)
         .when(F.col("session_level").isNotNull(), F.col("session_level") != "share")

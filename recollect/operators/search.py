@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from . import lexical, vectors
 
 #: Markers of text that quotes retrieval output; a caller adds its own.
 ECHOES = ['"match_kind"', '"source_ref"', "source ref: "]
+# Words of a message that puts an earlier one right.
 CORRECTIONS = ["better word", "correction", "corrected", "rename", "renamed", "agreed"]
 
 
@@ -35,13 +37,12 @@ def adjusted(rows: DataFrame, query: str, now: str | None = None, echoes: list[s
     s = s + F.when(F.col("chunk_index") <= 1, 25).otherwise(0)
     s = F.when((F.col("chunk_index") > 120) & (title == 0), s * 0.8).otherwise(s)
     body = F.lower(F.regexp_replace("text", r"^Title: .*? Updated: \S* ?", ""))
-    echo = reduce(lambda a, b: a | b, [F.contains(body, F.lit(e)) for e in echoes], F.lit(False))
-    s = F.when(echo, s * 0.35).otherwise(s)
+    if not re.search(T.ABOUT_SEARCH, query):  # who asks about the search may want what quotes it
+        echo = reduce(lambda a, b: a | b, [F.contains(body, F.lit(e)) for e in echoes], F.lit(False))
+        s = F.when(echo, s * 0.35).otherwise(s)
     if "generated" in rows.columns:
         s = F.when(F.col("generated"), s * 0.2).otherwise(s)
     if now and "updated_at" in rows.columns:
-        import re
-
         age = (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("updated_at").cast("timestamp"))) / 86400.0
         s = s + F.coalesce(T.recency(age, bool(re.search(T.RECENT, query))), F.lit(0.0))
     return F.round(s, 4)
@@ -54,22 +55,23 @@ def capped(rows: DataFrame, per_session: int, limit: int, session: str = "source
     return ranked.where(F.col("r") <= per_session).drop("r").orderBy(*order).limit(limit)
 
 
-def search(chunks: DataFrame, query: str, vector: DataFrame | None = None, mode: str = "hybrid", limit: int = 10, exact_limit: int = 300, vector_limit: int = 50, now: str | None = None, union: bool = False, per_session: int = 2) -> DataFrame:
-    """(id, source_ref, score): exact, vector or hybrid search over chunks.
+def search(chunks: DataFrame, query: str, vector: DataFrame | None = None, mode: str = "hybrid", limit: int = 10, exact_limit: int = 300, vector_limit: int = 50, now: str | None = None, union: bool = False, per_session: int = 2, index: lexical.Index | None = None) -> DataFrame:
+    """(id, source_ref, score): exact, vector or hybrid search over chunks, as one plan.
 
     In hybrid mode vectors rerank the exact hits if there are any; union=True lets
     both legs bring rows. Filters belong before: pass chunks through in_window().
     """
     if mode not in ("exact", "fts", "lexical", "vector", "semantic", "hybrid"):
         raise ValueError(f"unknown mode: {mode}")
-    legs, own = [], None
-    if mode not in ("vector", "semantic"):
-        # at most exact_limit rows: scored once, then known to both legs
-        found = lexical.exact_scores(chunks.select("id", "text"), query, exact_limit).collect()
-        legs.append(chunks.sparkSession.createDataFrame([(r.id, r.score) for r in found], chunks.select("id", F.lit(0.0).alias("score")).schema))
-        own = None if union or not found else legs[0].select("id")
-    if mode in ("vector", "semantic", "hybrid") and vector is not None:
-        legs.append(vectors.vector_topk(chunks.select("id", "embedding"), vector, vector_limit, own if own is None else F.broadcast(own)))
+    exact, near = mode not in ("vector", "semantic"), vector is not None and mode in ("vector", "semantic", "hybrid")
+    legs = [lexical.exact_scores(chunks.select("id", "text"), query, exact_limit, index)] if exact else []
+    if near:
+        rows = chunks.select("id", "embedding")
+        if exact and not union:
+            legs.append(vectors.vector_topk(rows, vector, vector_limit, F.broadcast(legs[0].select("id"))))  # exact_limit rows
+            none = legs[0].agg((F.count("*") == 0).alias("none"))
+            rows = rows.crossJoin(F.broadcast(none)).where("none").drop("none")
+        legs.append(vectors.vector_topk(rows, vector, vector_limit))
     hits = reduce(DataFrame.unionByName, legs).groupBy("id").agg(F.sum("score").alias("score"))
     rows = chunks.join(F.broadcast(hits), "id")  # exact_limit + vector_limit rows at most
     rows = rows.withColumn("score", adjusted(rows, query, now))
@@ -77,30 +79,75 @@ def search(chunks: DataFrame, query: str, vector: DataFrame | None = None, mode:
 
 
 def semantic_memory(rows: DataFrame, vector: DataFrame, query: str, limit: int = 10, min_score: float = 0.2) -> DataFrame:
-    """(id, score, overlap): 0.8 * cosine + 0.4 * share of query tokens, one row a parent."""
+    """(id, score, overlap): 0.8 * cosine + 0.4 * share of query tokens, one row a parent.
+
+    If no row passes min_score or the overlap and there are up to 20, those of 0.05
+    or more stand in, the first 2 * limit.
+    """
     terms = T.query_tokens(query)
     near = vectors.vector_scores(rows, vector).withColumn("cosine", F.col("score") / 100)
     overlap = F.size(F.array_intersect(F.array(*map(F.lit, terms)), T.tokens(F.col("text")))) / max(1, len(terms))
     near = near.withColumn("overlap", overlap).withColumn("score", 0.8 * F.col("cosine") + 0.4 * F.col("overlap") + F.when(F.col("kind") == "chunk", 0.03).otherwise(0))
-    kept = near.where((F.col("score") >= min_score) | (F.col("overlap") >= 0.25))
-    first = W.partitionBy("parent").orderBy(F.desc("score"), "id")
-    best = kept.withColumn("r", F.row_number().over(first)).where("r = 1")
-    return best.select("id", F.round("score", 4).alias("score"), F.round("overlap", 4).alias("overlap")).orderBy(F.desc("score"), "id").limit(limit)
+    near = near.withColumn("kept", (F.col("score") >= min_score) | (F.col("overlap") >= 0.25)).select("id", "parent", "score", "overlap", "kept")
+    few = near.agg(F.coalesce(~F.bool_or("kept") & (F.count("*") <= 20), F.lit(False)).alias("few"))
+    rank = F.row_number().over(W.partitionBy("few").orderBy(F.desc("score"), "id"))
+    spare = near.crossJoin(F.broadcast(few)).where("few and score >= 0.05").withColumn("r", rank).where(F.col("r") <= 2 * limit).drop("r", "few")  # 20 rows at most
+    kept = near.where("kept").unionByName(spare)
+    best = kept.groupBy("parent").agg(F.max(F.struct("score", (-F.col("id")).alias("back"), "overlap")).alias("best"))
+    out = best.select((-F.col("best.back")).alias("id"), F.round("best.score", 4).alias("score"), F.round("best.overlap", 4).alias("overlap"))
+    return out.orderBy(F.desc("score"), "id").limit(limit)
 
 
 def merge_channels(channels: list[DataFrame]) -> DataFrame:
-    """(ref, channels, score, is_chunk): one row a session; chunks beat sessions, then the higher score."""
-    rows = reduce(DataFrame.unionByName, channels)
-    return rows.groupBy("ref").agg(
-        F.array_sort(F.collect_set("channel")).alias("channels"),
-        F.max(F.struct("is_chunk", "score")).alias("best"),
-    ).select("ref", F.array_join("channels", ",").alias("channels"), F.col("best.score").alias("score"), F.col("best.is_chunk").alias("is_chunk"))
-
+    """(ref, channels, score, is_chunk): one row a session; chunks beat sessions, then the higher score.
 
-def final_rank(score: Column, query: str, title: Column, cwd: Column) -> Column:
-    """score + 28 for each query token in the title and 8 for each in the folder."""
+    Channels with metadata (a map) and cwd bring those too: metadata is the union of
+    all, the best row's values first, and cwd the best row's or else its metadata's.
+    """
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), channels)
+    rows = rows.withColumn("ref", F.substring_index("ref", ":chunk:", 1)).where("ref <> ''")
+    more = [c for c in ("metadata", "cwd") if c in rows.columns]
+    order = F.struct("is_chunk", "score", *(F.to_json(c).alias(f"{c}_text") if c == "metadata" else F.col(c) for c in more))
+    out = rows.groupBy("ref").agg(
+        F.array_sort(F.collect_set("channel")).alias("channels"), F.max(order).alias("best"),
+        *([F.collect_set(F.struct("is_chunk", "score", F.to_json("metadata").alias("m"))).alias("all")] if "metadata" in more else []))
+    cols = ["ref", F.array_join("channels", ",").alias("channels"), F.col("best.score").alias("score"), F.col("best.is_chunk").alias("is_chunk")]
+    if "metadata" in more:
+        maps = F.transform(F.array_sort("all"), lambda x: F.from_json(x["m"], "map<string,string>"))  # worse rows first, so that better ones overwrite
+        merged = F.aggregate(F.filter(maps, lambda m: m.isNotNull()), F.create_map().cast("map<string,string>"), lambda a, m: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(m, k)), m))
+        cols.append(merged.alias("metadata"))
+        if "cwd" in more:
+            cols.append(F.coalesce(F.nullif("best.cwd", F.lit("")), F.try_element_at(merged, F.lit("cwd")), F.lit("")).alias("cwd"))
+    return out.select(*cols)
+
+
+def candidates(channels: dict[str, DataFrame], limit: int, filtered: bool, seen: DataFrame | None = None) -> DataFrame:
+    """The merged channels, each cut to what the request calls for, three times that if a filter is to thin them; seen are the refs that may be shown."""
+    inner = max(2 * limit, 5, 8)
+    each = max(2 * inner, 5, 8) * (3 if filtered else 1)
+    legs = []
+    for name, rows in channels.items():
+        leg = rows.orderBy(F.desc("score"), "ref").limit(each).withColumn("channel", F.lit(name))
+        legs.append(leg if seen is None else leg.join(seen.select("ref"), "ref", "left_semi"))
+    return merge_channels(legs)
+
+
+def candidate_boosts(memory: DataFrame) -> DataFrame:
+    """(ref, boost): 60 less 4 for each place down the memory hits, the best of each session; never under 0."""
+    place = F.row_number().over(W.orderBy("no")) - 1  # hits of one request, some dozens
+    rows = memory.withColumn("boost", 60.0 - 4 * place).where("source_type = 'trajectory'")
+    ref = F.substring_index(F.coalesce(F.nullif("parent_source_ref", F.lit("")), "source_ref"), ":chunk:", 1)
+    return rows.groupBy(ref.alias("ref")).agg(F.greatest(F.lit(0.0), F.max("boost")).alias("boost")).where("ref <> ''")
+
+
+def final_rank(score: Column, query: str, title: Column, cwd: Column, local: Column | None = None, chunk: Column | None = None) -> Column:
+    """score + 28 for each query token in the title and 8 for each in the folder; for history questions 60 more for local look-ups and 15 for the index's hits."""
     terms = F.array(*map(F.lit, T.query_tokens(query)))
-    return score + 28 * F.size(F.array_intersect(terms, T.tokens(title))) + 8 * F.size(F.array_intersect(terms, T.tokens(cwd)))
+    s = score + 28 * F.size(F.array_intersect(terms, T.terms(title))) + 8 * F.size(F.array_intersect(terms, T.terms(cwd)))
+    if re.search(T.HISTORY, query):
+        for flag, more in ((local, 60), (chunk, 15)):
+            s = s if flag is None else s + F.when(flag, more).otherwise(0)
+    return s
 
 
 def prompt_search(prompts: DataFrame, query: str, limit: int = 10) -> DataFrame:
@@ -126,12 +173,25 @@ def overview_search(sessions: DataFrame, query: str, recent: int = 20, limit: in
     return rows.select("id", F.round(F.col("base") + F.coalesce("bonus", F.lit(0.0)), 4).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def read_window(events: DataFrame, ref: str, at: int, before: int = 3, after: int = 3, tail: int = 0) -> DataFrame:
-    """Events around a hit, with the session's last ones if asked for."""
+def read_window(events: DataFrame, ref: str, at: int, before: int = 3, after: int = 3, tail: int = 0, query: str = "", max_chars: int = 0) -> DataFrame:
+    """Events around a hit, with the session's last ones if asked for.
+
+    With max_chars the window has 64 percent of them, or 58 where the tail comes
+    too, and the tail the rest; part is window or tail, and block the text, cut
+    where its part's characters end. An event is shown once.
+    """
     rows = events.where(F.col("source_ref") == ref)
     last = rows.agg(F.max("event_index").alias("last"))
     near = F.col("event_index").between(max(0, at - before), at + after)
-    return rows.crossJoin(F.broadcast(last)).where(near | (F.col("event_index") > F.col("last") - tail)).drop("last").orderBy("event_index")
+    rows = rows.crossJoin(F.broadcast(last)).where(near | (F.col("event_index") > F.col("last") - tail)).withColumn("part", F.when(near, "window").otherwise("tail")).drop("last")
+    if not max_chars:
+        return rows.drop("part").orderBy("event_index")
+    share = int(max_chars * (0.58 if tail else 0.64))
+    budget = F.when(F.col("part") == "window", share).otherwise(max_chars - share)
+    rows = rows.withColumn("block", rendered())
+    used = F.coalesce(F.sum(F.length("block")).over(W.partitionBy("source_ref", "part").orderBy("event_index").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("used", used).where(F.col("used") < budget)
+    return rows.withColumn("block", F.substring("block", F.lit(1), (budget - F.col("used")).cast("int"))).drop("used").orderBy("event_index")
 
 
 def read(events: DataFrame, ref: str, query: str, max_chars: int = 18_000) -> DataFrame:

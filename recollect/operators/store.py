@@ -18,14 +18,16 @@ def diff(old: DataFrame, new: DataFrame, key: str, *columns: str) -> DataFrame:
 
 
 def stale(state: DataFrame, listing: DataFrame, key: str, most: int) -> DataFrame:
-    """The newest changed or new rows to refresh, most at a time."""
+    """The newest changed or new rows to refresh, most at a time, each with the number that is left for later (remaining)."""
     todo = state.where(F.col("state").isin("new", "changed")).join(listing, key)
-    return todo.orderBy(F.desc("updated_at"), key).limit(most)
+    left = todo.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("remaining"))
+    return todo.orderBy(F.desc("updated_at"), key).limit(most).crossJoin(F.broadcast(left))
 
 
 def merged(store: DataFrame, changes: DataFrame, *key: str) -> DataFrame:
-    """store with changes put in: rows of an equal key are replaced, the newest change counts."""
-    newest = changes.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("imported_at")))).where("r = 1").drop("r") if "imported_at" in changes.columns else changes.dropDuplicates(list(key))
+    """store with changes put in: rows of an equal key are replaced; the newest change counts, on a tie the largest by all columns."""
+    order = [F.desc(c) for c in ("imported_at",) if c in changes.columns] + [F.desc(F.to_json(F.struct(*changes.columns)))]
+    newest = changes.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
     return store.join(newest.select(*key), list(key), "left_anti").unionByName(newest, allowMissingColumns=True)
 
 
@@ -76,12 +78,79 @@ def with_hash(rows: DataFrame, *parts: str) -> DataFrame:
 
 def valid_records(rows: DataFrame, required: list[str], kinds: list[str]) -> Column:
     """Whether an imported record has all it needs and a known kind."""
-    ok = F.col("kind").isin(kinds)
+    ok = F.coalesce(F.col("kind").isin(kinds), F.lit(False))
     for c in required:
         ok = ok & F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "")
     return ok
 
 
+def imported(rows: DataFrame, required: list[str], kinds: list[str], widths: dict[str, int]) -> DataFrame:
+    """The valid records, fields cut to their widths, each with the number of records refused (rejected)."""
+    ok = valid_records(rows, required, kinds)
+    refused = rows.agg(F.count_if(~ok).alias("rejected"))
+    cut = [F.substring(c, 1, widths[c]).alias(c) if c in widths else F.col(c) for c in rows.columns]
+    return rows.where(ok).select(*cut).crossJoin(F.broadcast(refused))
+
+
 def write_chunks(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The chunk index as Parquet by source; files sorted by time, so that bounds skip row groups."""
-    with_hash(chunks, "title", "cwd", "text").repartition("source_name").sortWithinPartitions("source_name", "updated_at").write.mode(mode).partitionBy("source_name").parquet(path)
+    """The chunk index as Parquet by source; files are ranges of time within a source, so bounds skip files and no source is one task."""
+    hashed = with_hash(chunks, "title", "cwd", "text").repartitionByRange("source_name", "updated_at", "source_ref")
+    hashed.sortWithinPartitions("source_name", "updated_at").write.mode(mode).partitionBy("source_name").parquet(path)
+
+
+def rebuilt(chunks: DataFrame, path: str) -> DataFrame:
+    """Replaces the chunk index and gives its rows by source, counted from what was written."""
+    write_chunks(chunks, path)
+    return chunks.sparkSession.read.parquet(path).groupBy("source_name").agg(F.countDistinct("source_ref").alias("sessions"), F.count("*").alias("chunks"))
+
+
+def compacted(spark, source: str, target: str, mb: int = 256) -> None:
+    """A table written anew in files of some mb; vectors that are JSON text become arrays of floats, '[]' and blanks become null."""
+    rows = spark.read.parquet(source)
+    if dict(rows.dtypes).get("embedding") == "string":
+        rows = rows.withColumn("embedding", F.nullif(F.from_json("embedding", "array<float>"), F.array().cast("array<float>")))
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    size = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(fs_path).getLength()
+    rows.repartition(max(1, -(-size // (mb << 20)))).write.mode("overwrite").parquet(target)
+
+
+def with_json(column: Column, path: str, value: Column) -> Column:
+    """A JSON object with the member of a path like $.a set; text that is no object becomes one."""
+    name = path.removeprefix("$.")
+    old = F.coalesce(F.from_json(column, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return F.to_json(F.map_concat(F.map_filter(old, lambda k, _: k != name), F.create_map(F.lit(name), value.cast("string"))))
+
+
+def appended(rows: DataFrame, path: str) -> None:
+    """Rows as JSON Lines behind what path holds."""
+    rows.write.mode("append").json(path)
+
+
+def archived(spark, path: str, archive: str, stamp: str) -> str:
+    """Moves a log away, to archive/stamp, and says where it is now; a log that isn't there stays away."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{archive}/{stamp}")
+    fs = old.getFileSystem(conf)
+    if not fs.exists(old):
+        return ""
+    fs.mkdirs(new.getParent())
+    if fs.exists(new) or not fs.rename(old, new):
+        raise FileExistsError(f"{archive}/{stamp}")
+    return f"{archive}/{stamp}"
+
+
+def write_overview(overview: DataFrame, path: str) -> None:
+    """The overview, some dozens of sessions and counts, as one JSON file."""
+    overview.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_overview(spark, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def backfill(chunks: DataFrame, embedded: Column, limit: int = 256) -> DataFrame:
+    """The chunks to embed next, newest first: (id, text), with the number left after them (remaining)."""
+    limit = max(1, min(limit, 4096))
+    todo = chunks.where(~embedded)
+    left = todo.agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("remaining"))
+    return todo.orderBy(F.desc("updated_at"), F.desc("id")).limit(limit).select("id", "text").crossJoin(F.broadcast(left))

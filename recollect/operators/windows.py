@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -72,22 +73,36 @@ def debounced(rows: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
 
 
 def rate_limited(rows: DataFrame, key: str, ts: str, limit: int = 6, seconds: float = 60) -> DataFrame:
-    """allowed: fewer than limit allowed rows in the last seconds; denied rows don't count, so it runs in order by key."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
-        seen: deque[float] = deque()
-        allowed = []
-        for t in pdf[ts].astype("datetime64[us]").astype("int64") / 1e6:
-            while seen and t - seen[0] >= seconds:
-                seen.popleft()
-            allowed.append(len(seen) < limit)
-            if allowed[-1]:
-                seen.append(t)
-        return pdf.assign(allowed=allowed)
+    """allowed: fewer than limit allowed rows in the last seconds; denied rows don't count.
+
+    What came before a pause of that length doesn't matter any more, so a key's
+    rows are cut at pauses and each stretch is a group: a busy key is many groups.
+    A stretch streams by in order; only the times of the last allowed rows are held.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    order = W.partitionBy(key).orderBy(at, *(c for c in ("event_id",) if c in rows.columns))
+    pause = F.coalesce(at - F.lag(at).over(order) >= int(seconds * 1_000_000), F.lit(True))
+    rows_ = rows.withColumn("_at", at).withColumn("_stretch", F.sum(pause.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    columns = rows.columns
+    tie = [c for c in ("event_id",) if c in columns]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, seen = None, deque()
+        for pdf in batches:
+            allowed = []
+            for k, stretch, t in zip(pdf[key], pdf["_stretch"], pdf["_at"], strict=True):
+                if (k, stretch) != group:
+                    group, seen = (k, stretch), deque()
+                while seen and t - seen[0] >= seconds * 1_000_000:
+                    seen.popleft()
+                allowed.append(len(seen) < limit)
+                if allowed[-1]:
+                    seen.append(t)
+            yield pdf[columns].assign(allowed=allowed)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", allowed boolean"
-    return rows.groupBy(key).applyInPandas(run, schema)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows_.repartition(n, key, "_stretch").sortWithinPartitions(key, "_stretch", "_at", *tie).mapInPandas(run, schema)
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, key: str, seconds: int) -> DataFrame:
@@ -109,3 +124,73 @@ def mentions(chunks: DataFrame, session: str, order: str) -> DataFrame:
     """max(0, 300 - 20 * position) of each chunk, newest first."""
     place = F.row_number().over(W.partitionBy(session).orderBy(F.desc(order))) - 1
     return chunks.withColumn("bonus", F.greatest(F.lit(0), 300 - 20 * place))
+
+
+def trailing(rows: DataFrame, key: str, ts: str, now: str, hours: float) -> DataFrame:
+    """Rows of the last hours before now."""
+    since = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(hours * 3600)} SECONDS")
+    return rows.where((F.col(ts).cast("timestamp") >= since) & (F.col(ts).cast("timestamp") <= F.lit(now).cast("timestamp")))
+
+
+def to_compact(messages: DataFrame, session: str, order: str, text: str, most: int = 40, chars: int = 16_000, keep: int = 24) -> DataFrame:
+    """(session, messages, chars, compactable): conversations over most messages or chars, and how many of the oldest to fold; the last keep stay."""
+    out = messages.groupBy(session).agg(F.count("*").alias("messages"), F.sum(F.length(F.coalesce(F.col(text), F.lit("")))).alias("chars"))
+    return out.withColumn("compactable", F.greatest(F.col("messages") - keep, F.lit(0))).where(((F.col("messages") > most) | (F.col("chars") > chars)) & (F.col("compactable") > 0))
+
+
+def rotated(log: DataFrame, session: str, order: str, cap: int = 400) -> DataFrame:
+    """segment: which file of the log each row is in, when a file that holds over cap rows is put away before the next row."""
+    n = F.row_number().over(W.partitionBy(session).orderBy(order)) - 1
+    return log.withColumn("segment", F.floor(n / (cap + 1)).cast("int"))
+
+
+def unread(feed: DataFrame, read: DataFrame, channel: str) -> DataFrame:
+    """(channel, unread): rows of others after the last one read; read has channel and read_seq, a channel without has read none."""
+    rows = feed.join(read, channel, "left").where((F.col("seq") > F.coalesce("read_seq", F.lit(0))) & ~F.col("is_self") & ~F.col("local"))
+    return read.select(channel).unionByName(feed.select(channel)).distinct().join(rows.groupBy(channel).agg(F.count("*").alias("unread")), channel, "left").fillna(0, ["unread"])
+
+
+def waiting(requests: DataFrame, now: float, seconds: float = 300) -> DataFrame:
+    """Requests that some bot still has to answer, made no longer than seconds ago."""
+    return requests.where((F.lit(now) - F.col("created") <= seconds) & (F.size("bots") > 0))
+
+
+def retained(outbox: DataFrame, now: float, seconds: float = 600) -> DataFrame:
+    """Outbox rows that stay: unsent ones, and sent ones for some time."""
+    return outbox.where(~F.col("sent") | (F.col("created") > now - seconds))
+
+
+def paced(log: DataFrame, base: float = 90, most: float = 600) -> DataFrame:
+    """One row: budget, extension granted, spent and remaining seconds of a retrieval log (seconds, extension_seconds)."""
+    out = log.agg(F.coalesce(F.sum("extension_seconds"), F.lit(0.0)).alias("extension"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("spent"))
+    budget = F.least(F.lit(float(most)), base + F.col("extension"))
+    return out.select(F.round(budget, 1).alias("budget"), F.round("extension", 1).alias("extension"), F.round("spent", 1).alias("spent"), F.round(F.greatest(F.lit(0.0), budget - F.col("spent")), 1).alias("remaining"))
+
+
+def briefing_since(runs: DataFrame, now: str, today: str, hours: float = 36, days: int = 4) -> DataFrame:
+    """One row: since and backdrop of a briefing, from the runs (started_at, day) of earlier days: the last run, hours back at least and days at most."""
+    at = F.lit(now).cast("timestamp")
+    least, most = at - F.expr(f"INTERVAL {int(hours * 3600)} SECONDS"), at - F.expr(f"INTERVAL {days} DAYS")
+    last = runs.where(F.col("day") < today).agg(F.max("started_at").alias("last"))
+    return last.select(F.greatest(F.least(F.coalesce("last", least), least), most).alias("since"), (at - F.expr("INTERVAL 14 DAYS")).alias("backdrop"))
+
+
+def briefing(prompts: DataFrame, info: DataFrame, window: DataFrame, voice: Column, repeats: int = 3) -> DataFrame:
+    """Prompts of the owner since the backdrop, with the session's title and folder: not automated, not repeated; slice is recent or backdrop.
+
+    prompts: source_ref, ts, cwd, text; info: source_ref, title, cwd, origin.
+    """
+    from .catalog import repeats_dropped
+
+    rows = prompts.crossJoin(F.broadcast(window)).where(F.col("ts") >= F.col("backdrop"))
+    rows = repeats_dropped(rows.withColumn("text", F.trim("text")), "text", repeats - 1).where(voice)
+    known = info.groupBy("source_ref").agg(F.max("title").alias("title"), F.max("cwd").alias("own_cwd"), F.max("origin").alias("origin"))
+    rows = rows.join(known, "source_ref", "left").where(F.coalesce("origin", F.lit("")) != "automated")
+    place = F.coalesce(F.nullif("cwd", F.lit("")), "own_cwd", F.lit(""))
+    return rows.select("source_ref", "ts", place.alias("cwd"), F.coalesce("title", F.lit("")).alias("title"), F.substring("text", 1, 700).alias("text"), F.when(F.col("ts") >= F.col("since"), "recent").otherwise("backdrop").alias("slice"))
+
+
+def skipped(listing: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Files of the listing (path, size, mtime, policy) with the verdict of an earlier look, null where the file or the policy has changed since."""
+    same = ["path", "size", "mtime", "policy"]
+    return listing.join(verdicts.select(*same, "verdict"), same, "left")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import messages as M
 from ..functions import text as T
 from ..operators import catalog, chunking, lexical, policy, search, store, vectors, windows
 
@@ -34,6 +35,11 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
         F.format_string("2024-%02d-%02d", (F.col("doc_id") % 12 + 1).cast("int"), (F.col("doc_id") % 28 + 1).cast("int")).alias("updated_at"))
 
 
+def postings(spark: SparkSession, d: str) -> lexical.Index:
+    """The index of all documents, written once a session."""
+    return lexical.indexed(chunks(spark, d).select("id", "text"), f"{d}/documents")
+
+
 #: The same stand-in in DuckDB; ws folds all white space as the library does.
 CHUNKS = r"""chunks AS (SELECT doc_id AS id, text, lang AS source_name, source AS cwd, 's' || (doc_id // 10) AS session_id,
   lang || ':s' || (doc_id // 10) AS source_ref, CAST(doc_id % 10 AS INT) AS chunk_index,
@@ -109,17 +115,17 @@ def query(name: str, sql: str | None = None):
 
 @query("bm25_topk", f"WITH {bm25_sql(TERMS)} SELECT id, round(bm25, 4) AS score FROM scored ORDER BY score DESC, id LIMIT 10")
 def _(s, d):
-    return lexical.bm25(chunks(s, d).select("id", "text"), TERMS)
+    return lexical.bm25(postings(s, d), TERMS)
 
 
 @query("bm25_prefix", f"WITH {bm25_sql(['erth', 'ouv'], True)} SELECT id, round(bm25, 4) AS score FROM scored ORDER BY score DESC, id LIMIT 10")
 def _(s, d):
-    return lexical.bm25(chunks(s, d).select("id", "text"), ["erth", "ouv"], prefix=True)
+    return lexical.bm25(postings(s, d), ["erth", "ouv"], prefix=True)
 
 
 @query("phrase_search", "WITH j AS (SELECT doc_id AS id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]{3,}'), '  ') || ' ' AS t FROM documents) SELECT id, CAST((length(t) - length(replace(t, ' with  that ', ''))) / 12 AS INT) AS hits FROM j WHERE contains(t, ' with  that ')")
 def _(s, d):
-    return lexical.phrase(chunks(s, d), ["with", "that"]).select("id", "hits")
+    return lexical.phrase(postings(s, d), ["with", "that"]).select("id", "hits")
 
 
 @query("literal_search", "SELECT doc_id AS id, CAST(100 + 10 * least((length(lower(text)) - length(replace(lower(text), 'mit license', ''))) // 11, 5) AS INT) AS score FROM documents WHERE contains(lower(text), 'mit license') ORDER BY doc_id DESC LIMIT 5000")
@@ -141,7 +147,7 @@ exact AS (SELECT id, round(max(score), 4) AS score FROM legs GROUP BY id ORDER B
 
 @query("exact_scores_max_merge", f"WITH {exact_sql(['the', 'and', 'with'], ['the', 'and', 'with'], 2)} SELECT id, score FROM exact")
 def _(s, d):
-    return lexical.exact_scores(chunks(s, d).select("id", "text"), QUERY)
+    return lexical.exact_scores(chunks(s, d).select("id", "text"), QUERY, index=postings(s, d))
 
 
 @query("proximity_window", f"WITH {prox_sql(['the', 'and', 'with', 'that'])} SELECT id, best, score FROM prox")
@@ -152,10 +158,10 @@ def _(s, d):
 @query("instant_hits", f"""WITH {CHUNKS}, {bm25_sql(['theth', 'oner'], True, 'chunks', 'id')},
 h AS (SELECT s.id, c.source_ref, round(bm25, 4) AS score, CAST(tf0 > 0 AS INT) + CAST(tf1 > 0 AS INT) + 2 * (CAST(len(list_filter(tw, lambda x: starts_with(x, 'theth'))) > 0 AS INT) + CAST(len(list_filter(tw, lambda x: starts_with(x, 'oner'))) > 0 AS INT)) AS hits
   FROM scored s JOIN (SELECT id, source_ref, regexp_extract_all(lower(title), '[a-z0-9_]{{3,}}') AS tw FROM chunks) c ON s.id = c.id),
-top AS (SELECT * FROM h ORDER BY hits DESC, score DESC, id LIMIT 32)
-SELECT id, source_ref, hits, score FROM (SELECT *, row_number() OVER (PARTITION BY source_ref ORDER BY hits DESC, score DESC, id) AS r FROM top) WHERE r = 1 ORDER BY hits DESC, score DESC, id LIMIT 8""")
+best AS (SELECT *, row_number() OVER (PARTITION BY source_ref ORDER BY hits DESC, score DESC, id) AS r FROM h)
+SELECT id, source_ref, hits, score FROM best WHERE r = 1 ORDER BY hits DESC, score DESC, id LIMIT 8""")
 def _(s, d):
-    return lexical.instant_hits(chunks(s, d), "theth oner")
+    return lexical.instant_hits(chunks(s, d), "theth oner", index=postings(s, d))
 
 
 @query("document_frequency_idf", "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_./:-]{3,}')) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(1 + ln((any_value(n) + 1) / (count(*) + 1)), 4) AS idf FROM t, n GROUP BY term")
@@ -201,7 +207,8 @@ a AS (SELECT h.id, c.source_ref, CASE WHEN contains(lower(c.text), '"match_kind"
   + exp(-greatest(0, (epoch(TIMESTAMP '{NOW}') - epoch(CAST(c.updated_at AS TIMESTAMP))) / 86400.0) / 30) * 30 AS score FROM h JOIN chunks c ON h.id = c.id)
 SELECT id, source_ref, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source_ref ORDER BY round(score, 4) DESC, id) AS r FROM a) WHERE r <= 2 ORDER BY round(score, 4) DESC, id LIMIT 10""")
 def _(s, d):
-    return search.search(embedded(s, d), QUERY, vector0(s, d), now=NOW)
+    rows = embedded(s, d)
+    return search.search(rows, QUERY, vector0(s, d), now=NOW, index=lexical.indexed(rows.select("id", "text"), f"{d}/embedded"))
 
 
 @query("semantic_memory_search", f"""WITH {CHUNKS}, n AS (SELECT c.id, c.source_ref, {DOT} AS cosine, len(list_intersect(['onder', 'erth'], regexp_extract_all(lower(c.text), '[a-z0-9_./:-]{{3,}}'))) / 2 AS overlap, c.chunk_index
@@ -298,9 +305,19 @@ def _(s, d):
     return table(s, d, "events").select("event_id", F.round(T.recency(age, False), 4).alias("bonus"))
 
 
-@query("user_text_filter", "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND length(trim(text)) >= 3 AND NOT starts_with(trim(text), 'You are a ') AND NOT starts_with(trim(text), 'Automation:')")
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: Texts of which some begin as injected ones do, every opening in turn.
+OPENED = "SELECT conv_id, turn, CASE WHEN (conv_id * 7 + turn) % 2 = 0 THEN ([" + ", ".join(map(quoted, T.INJECTED)) + f"])[CAST((conv_id + turn) % {len(T.INJECTED)} AS INT) + 1] || ' ' || text ELSE text END AS text FROM conversations WHERE role = 'user'"
+
+
+@query("user_text_filter", f"WITH o AS ({OPENED}) SELECT conv_id, turn FROM o WHERE length(trim(text)) >= 3 AND " + " AND ".join(f"NOT starts_with(trim(text), {quoted(p)})" for p in T.INJECTED))
 def _(s, d):
-    return conversations(s, d).where("role = 'user'").where(T.is_user_text(F.col("text"))).select("conv_id", "turn")
+    opening = F.element_at(F.array(*map(F.lit, T.INJECTED)), ((F.col("conv_id") + F.col("turn")) % len(T.INJECTED)).cast("int") + 1)
+    text = F.when((F.col("conv_id") * 7 + F.col("turn")) % 2 == 0, F.concat(opening, F.lit(" "), "text")).otherwise(F.col("text"))
+    return conversations(s, d).where("role = 'user'").withColumn("text", text).where(T.is_user_text(F.col("text"))).select("conv_id", "turn")
 
 
 # catalogue
@@ -386,20 +403,22 @@ def _(s, d):
     return catalog.repeats_dropped(chunks(s, d), "text").select("id")
 
 
-@query("owner_voice_window", f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 96 HOUR AND length(event_type) BETWEEN 4 AND 1500")
+@query("owner_voice_window", f"""WITH said AS (SELECT event_id, ts, CASE event_id % 7 WHEN 0 THEN ' Go ahead! ' WHEN 1 THEN '/clear' WHEN 2 THEN '/ask ' || event_type WHEN 3 THEN 'Continue from where we were' WHEN 4 THEN 'you are a test Agent, ' || event_type WHEN 5 THEN 'ok' ELSE 'look at ' || event_type END AS text FROM events)
+SELECT event_id FROM said WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 96 HOUR AND ts <= TIMESTAMP '{NOW}' AND event_id % 7 IN (2, 6)""")
 def _(s, d):
-    since = F.lit(NOW).cast("timestamp") - F.expr("INTERVAL 96 HOURS")
-    return table(s, d, "events").where((F.col("ts").cast("timestamp") >= since) & F.length("event_type").between(4, 1500)).select("event_id")
+    k = F.col("event_id") % 7
+    told = F.when(k == 0, " Go ahead! ").when(k == 1, "/clear").when(k == 2, F.concat(F.lit("/ask "), "event_type")).when(k == 3, "Continue from where we were").when(k == 4, F.concat(F.lit("you are a test Agent, "), "event_type")).when(k == 5, "ok").otherwise(F.concat(F.lit("look at "), "event_type"))
+    rows = windows.trailing(table(s, d, "events"), "event_id", "ts", NOW, 96).withColumn("text", told)
+    return rows.where(M.owner_voice(F.col("text"))).select("event_id")
 
 
 # windows
 
 
-@query("session_cap", "SELECT doc_id AS id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang, doc_id // 10 ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 2 ORDER BY doc_id LIMIT 1000000")
+@query("session_cap", "SELECT doc_id AS id FROM (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY lang, doc_id // 10 ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 2 ORDER BY n_chars DESC, doc_id LIMIT 500")
 def _(s, d):
-    rows = chunks(s, d).withColumn("score", F.length("text"))
-    r = F.row_number().over(W.partitionBy("source_ref").orderBy(F.desc("score"), "id"))
-    return rows.withColumn("r", r).where("r <= 2").select("id")
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score"), F.concat("lang", F.lit(":"), F.floor(F.col("doc_id") / 10).cast("string")).alias("source_ref"))
+    return search.capped(rows, 2, 500).select("id")
 
 
 @query("recent_older_slices", f"WITH {SESSIONS}, r AS (SELECT id, row_number() OVER (ORDER BY updated_at DESC, id) AS no FROM sessions) SELECT id, CASE WHEN no <= 8 THEN 'recent' ELSE 'older' END AS slice FROM r WHERE no <= 40")
@@ -412,10 +431,10 @@ def _(s, d):
     return windows.equal_split(conversations(s, d), "conv_id", "turn").select("conv_id", "turn", "part")
 
 
-@query("event_window", "SELECT conv_id, turn, CAST(len(list(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING)) AS INT) AS near, CAST(list_sum(list(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING)) AS BIGINT) AS turns FROM conversations")
+@query("event_window", "SELECT conv_id, turn, sha256(array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING), '|')) AS near FROM conversations")
 def _(s, d):
-    rows = windows.event_window(conversations(s, d), "conv_id", "turn", 1, 2, "turn")
-    return rows.select("conv_id", "turn", F.size("near").alias("near"), F.aggregate("near", F.lit(0).cast("long"), lambda a, x: a + x).alias("turns"))
+    rows = windows.event_window(conversations(s, d), "conv_id", "turn", 1, 2, "text")
+    return rows.select("conv_id", "turn", F.sha2(F.array_join("near", "|"), 256).alias("near"))
 
 
 @query("last_user_turn", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked FROM conversations")
@@ -423,10 +442,12 @@ def _(s, d):
     return windows.with_last_user_turn(conversations(s, d), "conv_id", "turn").select("conv_id", "turn", "asked")
 
 
-@query("adjacent_dedupe", "SELECT conv_id, turn FROM (SELECT *, lag(role) OVER w AS r, lag(length(text) // 40) OVER w AS t, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE n = 1 OR r IS DISTINCT FROM role OR t IS DISTINCT FROM length(text) // 40")
+@query("adjacent_dedupe", """WITH said AS (SELECT conv_id, turn * 2 + k AS turn, role, text FROM conversations, (SELECT unnest([0, 1]) AS k) WHERE k = 0 OR length(text) % 3 = 0)
+SELECT conv_id, turn FROM (SELECT *, lag(role) OVER w AS r, lag(text) OVER w AS t, row_number() OVER w AS n FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE n = 1 OR r IS DISTINCT FROM role OR t IS DISTINCT FROM text""")
 def _(s, d):
-    rows = conversations(s, d).withColumn("size", F.floor(F.length("text") / 40))
-    return windows.adjacent_dropped(rows, "conv_id", "turn", "role", "size").select("conv_id", "turn")
+    rows = conversations(s, d).select("conv_id", "role", "text", F.explode(F.when(F.length("text") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k"), F.col("turn").alias("t"))
+    rows = rows.select("conv_id", (F.col("t") * 2 + F.col("k")).alias("turn"), "role", "text")
+    return windows.adjacent_dropped(rows, "conv_id", "turn", "role", "text").select("conv_id", "turn")
 
 
 @query("budget_window", "SELECT conv_id, turn FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE used <= 1500 OR r = 1")
@@ -434,11 +455,19 @@ def _(s, d):
     return windows.in_budget(conversations(s, d), "conv_id", "turn", "text", 1500).select("conv_id", "turn")
 
 
-@query("idle_sessionize", """WITH g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS since FROM events)
-SELECT event_id, user_id, CAST(sum(CASE WHEN since IS NULL OR since > CASE WHEN event_type = 'view' THEN 900 ELSE 21600 END * CAST(1000000 AS BIGINT) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no FROM g""")
+@query("idle_sessionize", """WITH s AS (SELECT *, CASE event_id % 4 WHEN 0 THEN 'and more of ' || event_type WHEN 1 THEN event_type WHEN 2 THEN 'please begin something new ' || event_id ELSE 'run the ' || event_type || ' again' END AS text FROM events),
+b AS (SELECT *, lag(text) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM s),
+g AS (SELECT *, regexp_matches(lower(text), '^(and|also|but|so|then|what about|how about|why|it|that|this|those|these)\\b') OR len(regexp_extract_all(lower(text), '[a-z0-9_./:-]{3,}')) <= 2
+  OR coalesce(len(list_intersect(list_filter(regexp_extract_all(lower(text), '[a-z0-9_./:-]{3,}'), lambda x: length(x) >= 5), list_filter(regexp_extract_all(lower(before), '[a-z0-9_./:-]{3,}'), lambda x: length(x) >= 5))) > 0, false) AS follows,
+  epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS since FROM b)
+SELECT event_id, user_id, CAST(sum(CASE WHEN since IS NULL OR since > CASE WHEN NOT follows THEN 900 ELSE 21600 END * CAST(1000000 AS BIGINT) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no FROM g""")
 def _(s, d):
-    gap = F.when(F.col("event_type") == "view", 900).otherwise(21600)
-    return windows.idle_sessions(table(s, d, "events"), "user_id", "ts", gap).select("event_id", "user_id", "session_no")
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, F.concat(F.lit("and more of "), "event_type")).when(k == 1, F.col("event_type")).when(k == 2, F.concat(F.lit("please begin something new "), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("run the "), "event_type", F.lit(" again")))
+    rows = table(s, d, "events").withColumn("text", text)
+    rows = rows.withColumn("before", F.lag("text").over(W.partitionBy("user_id").orderBy("ts", "event_id")))
+    gap = F.when(M.looks_like_followup(F.col("text"), F.col("before")), 21600).otherwise(900)
+    return windows.idle_sessions(rows, "user_id", "ts", gap).select("event_id", "user_id", "session_no")
 
 
 @query("rolling_rate", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n FROM events")
@@ -452,7 +481,11 @@ def _(s, d):
     return windows.debounced(table(s, d, "events"), "user_id", "ts", "30 minutes").select("user_id", F.unix_micros("began").alias("began"), "messages")
 
 
-@query("rate_limiter_feedback")
+@query("rate_limiter_feedback", """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+run AS (SELECT event_id, user_id, n, true AS allowed, [t] AS seen FROM e WHERE n = 1
+UNION ALL SELECT e.event_id, e.user_id, e.n, len(list_filter(r.seen, lambda x: e.t - x < 3600000000)) < 2,
+  CASE WHEN len(list_filter(r.seen, lambda x: e.t - x < 3600000000)) < 2 THEN list_append(list_filter(r.seen, lambda x: e.t - x < 3600000000), e.t) ELSE list_filter(r.seen, lambda x: e.t - x < 3600000000) END
+  FROM run r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT event_id, user_id, allowed FROM run""")
 def _(s, d):
     return windows.rate_limited(table(s, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 2, 3600).select("event_id", "user_id", "allowed")
 
@@ -497,10 +530,10 @@ def _(s, d):
     return policy.review_candidates(rows, labels.where("quality = 1"), labels.where("toxic = 1"), table(s, d, "benchmark").select(F.col("item_id").alias("source_ref")))
 
 
-@query("prefix_range_lookup", f"WITH {CHUNKS} SELECT id, source_ref FROM chunks WHERE source_ref >= 'en:s1' AND source_ref < 'en:s2' ORDER BY updated_at DESC, source_ref, id LIMIT 1")
+@query("prefix_range_lookup", f"WITH {CHUNKS} SELECT id, source_ref FROM chunks WHERE id % 10 = 1 AND source_ref >= 'en:s1' AND source_ref < 'en:s2' ORDER BY updated_at DESC, source_ref LIMIT 1")
 def _(s, d):
-    rows = chunks(s, d).where(F.col("source_ref").startswith("en:s1"))
-    return rows.orderBy(F.desc("updated_at"), "source_ref", "id").limit(1).select("id", "source_ref")
+    rows = chunks(s, d).where("id % 10 = 1").select("id", "source_ref", "updated_at")
+    return store.prefix_lookup(rows, "source_ref", "en:s1", "updated_at").select("id", "source_ref")
 
 
 @query("purge_disallowed", "SELECT doc_id AS id FROM documents WHERE source NOT IN ('src1', 'src2')")
@@ -515,10 +548,12 @@ def _(s, d):
     return store.merged(rows.where("id % 5 <> 0"), rows.where("id % 4 = 0").withColumn("n_chars", F.col("n_chars") + 1), "id")
 
 
-@query("feed_trim", "SELECT event_id AS seq FROM events ORDER BY event_id DESC LIMIT 400")
+@query("feed_trim", "SELECT 'many' AS feed, event_id AS seq FROM (SELECT event_id FROM events ORDER BY event_id DESC LIMIT 400) UNION ALL SELECT 'few', n_nationkey FROM nation")
 def _(s, d):
     rows = table(s, d, "events").select(F.col("event_id").alias("seq"))
-    return store.trimmed_feed(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"))
+    few = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("seq"))  # under the limit: all stay
+    many = store.trimmed_feed(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"))
+    return many.select(F.lit("many").alias("feed"), "seq").unionByName(store.trimmed_feed(few.where("seq < 9"), few.where("seq >= 9")).select(F.lit("few").alias("feed"), "seq"))
 
 
 @query("push_batches", "SELECT doc_id AS id, CAST((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 50 AS INT) AS batch FROM documents")
@@ -575,8 +610,11 @@ def _(s, d):
 
 
 def queries() -> dict:
+    from . import more  # noqa: F401  registers its own
+
     return dict(Q)
 
 
 def oracle_sql() -> dict:
+    queries()
     return dict(O)
