@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs. All but the last return the
-columns of documents.
+columns of documents, and other columns, whatever their names, are dropped.
+
+Edge cases, for all stages: an empty table gives no rows; null and empty texts are
+documents like others; very long texts are read whole; rows with a null doc_id are
+documents of their own; each stage says what becomes of repeated rows and ties.
 """
 
 from __future__ import annotations
@@ -21,13 +25,13 @@ ODD_IDS = 100_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for quality 1."""
+    """Documents that the classifier takes for quality 1; null and empty texts are scored like any other, equal texts have equal scores, so repeated rows stay or go together."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs.select(COLUMNS), model, keep=COLUMNS).where("predicted = 1").select(COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't take for toxic."""
+    """Documents that the classifier doesn't take for toxic; null and empty texts stay unless nearly all labels say toxic, repeated rows stay or go together."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(COLUMNS), model, keep=COLUMNS).where("predicted = 0").select(COLUMNS)
 
@@ -47,7 +51,9 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """One document of each group of near duplicates: the one of least node, so of least doc_id where ids are unique.
 
     Different texts of one doc_id, and texts without an id, are documents of their
-    own; only a row whose text equals a kept one's or is linked to it is dropped.
+    own; only a row whose text equals a kept one's or is linked to it is dropped, so
+    of repeated rows one stays. Null and empty texts are linked with nothing and stay,
+    once for each doc_id and kind.
     """
     rows = with_nodes(docs)
     groups = ngram_join.near_duplicates(rows.select(F.col("node").alias("doc_id"), "text"))
@@ -56,14 +62,13 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by their calibrated probabilities."""
+    """Documents drawn by their calibrated probabilities; the draw goes by doc_id, so repeated rows are drawn together, null ids as one; documents without tokens are drawn as their cell is."""
     return mixing.draw(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids, and whether they decode to its text: n_tokens, ids, decoded_sha256."""
-    path = bpe.vocabulary_path()
-    out = bpe.decode(bpe.encode(docs, path), path)
+    """Each document's ids, and whether they decode to its text: n_tokens, ids, decoded_sha256; null texts count as empty, repeated rows are encoded each."""
+    out = bpe.encode(docs, bpe.vocabulary_path(), decoded=True)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
@@ -86,4 +91,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{k}")
         docs = spark.read.parquet(f"{home}/{k}")
+        if k:  # the next one has read what this stage was given
+            remove(spark, f"{home}/{k - 1}")
     return docs
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
