@@ -28,7 +28,7 @@ shingle's list in stretches and emits counted pairs as it goes, so no list of
 pairs is held. Sets are sent to where they are verified; a document with many
 partners meets them in several places.
 
-A shingle is known by 64 bits: its words' cryptographic hashes combined by place,
+A shingle is known by 64 bits, its words' 64-bit hashes combined by place,
 so two sets of 20,000 meet a false common shingle about once in 10**10 pairs. The
 shared shingles are those that recur within some million shingles of one task; one
 that m documents share is met so once m passes a few times the root of the number
@@ -52,6 +52,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,8 +74,6 @@ BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
 #: Postings of one shingle from which on its list is cut, and postings of a piece.
 BIG, PIECE = 8_192, 4_096
-#: Words whose hashes a task remembers, and bytes of such a word at most.
-KNOWN, KNOWN_BYTES = 200_000, 64
 #: Odd multipliers, one for each place in a shingle.
 _PLACES = np.random.default_rng(2024).integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -86,24 +85,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Hashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= KNOWN_BYTES:
-            if len(self) >= KNOWN:
-                self.clear()
-            self[word] = h
-        return h
-
-
-def shingles(text: str | None, known: Hashes | None = None) -> np.ndarray:
+def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct hashes of the text's shingles: its words' hashes, each times its place's multiplier, summed and mixed."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map((Hashes() if known is None else known).__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     k = min(K, len(words))
     n = len(words) - k + 1
     total = w[:n] * _PLACES[0]
@@ -136,7 +123,7 @@ DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary())
 
 def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document; rows without key hold shingles that recur among some million, with their counts."""
-    held, size, met, known = [], 0, set(), Hashes()
+    held, size, met = [], 0, set()
 
     def recurring() -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(held), return_counts=True)
@@ -145,7 +132,7 @@ def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            s = shingles(text, known)
+            s = shingles(text)
             key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
             out.append((doc, len(s), key, None))
             if key not in met:
@@ -206,11 +193,10 @@ KINDS = ("u8", "i8", "i8", "i4", "i4", "i4", "i4", "i4", "u8", "u8", "u8", "u8")
 def prefixes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("l", pa.int32()), ("tokens", pa.binary())])
-        known = Hashes()
         for b in batches:
             out = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                s = shingles(text, known)
+                s = shingles(text)
                 if len(s) and doc is not None:
                     tokens, l = prefix(s, shared.value)
                     out.append((doc, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), l, tokens.tobytes()))
@@ -532,13 +518,12 @@ def needed_sets(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(filled)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
         for b in batches:
             bits = b.column("bit").to_numpy()
             on = (shared.value[bits >> 6] >> (bits & 63)) & 1
             out = []
             for doc, text, ok in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), on, strict=True):
-                if ok and len(s := shingles(text, known)):
+                if ok and len(s := shingles(text)):
                     out.append((doc, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s.tobytes()))
             if out:
                 yield batch(SET, list(zip(*out, strict=True)))

@@ -300,9 +300,8 @@ def test_shingles_are_whole_words_in_order():
     assert ngram_join.shingles("A b\tC").tolist() == ngram_join.shingles("a  b c").tolist() != ngram_join.shingles("a bc").tolist()
     g = np.random.default_rng(0)
     words = [f"{x}" for x in g.integers(0, 50, 200_000)]
-    got, known = ngram_join.shingles(" ".join(words)), ngram_join.Hashes()
+    got = ngram_join.shingles(" ".join(words))
     assert len(got) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
-    assert got.tolist() == ngram_join.shingles(" ".join(words), known).tolist() and len(known) == 50
 
 
 def test_ngram_join_edges(spark):

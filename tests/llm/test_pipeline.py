@@ -1,10 +1,13 @@
 """The corpus pipeline's stages against their operators, each on its own input."""
 
+import hashlib
+
 import corpus_pipeline as cp
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from .test_llm import COLS, brute
+from .test_llm import COLS, EMPTY, ODD, brute, docs
 
 
 def test_pipeline(spark, tmp_path):
@@ -49,3 +52,45 @@ def test_rows_without_an_id_of_their_own(spark):
     assert len(kept) == len(set(kept)) == 8
     assert {(1, text(1)), (3, text(3)), (None, text(4)), (None, text(5)), (None, None), (4, ""), (4, None)} <= set(kept)
     assert len({(1, text(2)), (5, text(2) + " end")} & set(kept)) == 1
+
+
+@pytest.fixture(scope="module")
+def labels_dir(spark, tmp_path_factory):
+    """A folder with labels for documents 2000 and on: junk is of quality 0, two words are toxic."""
+    d = str(tmp_path_factory.mktemp("sf"))
+    spark.createDataFrame([(2000 + i, int(i % 4 != 0), int(i % 4 == 1)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return d
+
+
+def corpus():
+    g = np.random.default_rng(4)
+    rows = []
+    for i in range(240):
+        w = ["".join(g.choice(list("abcdefghij"), int(g.integers(3, 8)))) for _ in range(60)]
+        rows.append((2000 + i, " ".join([x + "###" for x in w] if i % 4 == 0 else [*w, "zugwurm", "vexling"] if i % 4 == 1 else w)))
+    return rows
+
+
+@pytest.mark.parametrize("k", range(len(cp.STAGES)))
+def test_odd_rows_in_every_stage(spark, labels_dir, k):
+    stage = cp.STAGES[k][1]
+    rows = [*corpus(), *ODD, (None, "without an id"), (None, None), (7, " lead"), (7, "another text of the id")]
+    got = [tuple(r) for r in stage(spark, docs(spark, rows, True), labels_dir).collect()]
+    assert stage(spark, docs(spark, EMPTY, True), labels_dir).count() == 0
+    if k == len(cp.STAGES) - 1:
+        assert len(got) == len(rows)
+        assert sorted((r[0], r[3]) for r in got if r[0] is not None) == sorted((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows if i is not None)
+        return
+    assert stage(spark, docs(spark, rows, True), labels_dir).columns == cp.COLUMNS
+    kept = [(r[0], r[1]) for r in got]
+    assert set(kept) <= set(rows)
+    if k == 0:
+        assert not any("###" in (t or "") for _, t in kept) and len(kept) > 170
+    elif k == 1:
+        assert not any("zugwurm" in (t or "") for _, t in kept) and len([1 for i, _ in kept if (i or 0) >= 2000]) > 170
+    elif k == 2:
+        assert len(kept) == len(set(kept)) and {(None, "without an id"), (None, None), (0, None), (1, "")} <= set(kept)
+        assert {(7, " lead"), (7, "another text of the id")} <= set(kept) and len([1 for i, _ in kept if i in (4, 5)]) == 1
+    if k != 2:  # repeated rows stay or go together
+        assert all(kept.count(r) in (0, rows.count(r)) for r in set(rows))
+
