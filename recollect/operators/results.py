@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from . import lexical
-from .search import rendered
+from .search import rendered, score_text
 
 # Metadata that a compact row keeps.
 COMPACT = ["session_id", "raw_session_id", "chunk_id", "chunk_index", "event_start", "event_end", "origin", "origin_detail"]
@@ -109,11 +109,9 @@ def event_snippets(events: DataFrame, query: str, limit: int = 4, chars: int = 1
     for the strongest tool output if that scores 60 or more, and one for the agent's
     last turn if the query asks for history. A user's turn takes the one after it along.
     """
-    terms = T.query_tokens(query)
-    words = T.tokens(F.col("text"))
-    times = [F.size(F.filter(words, lexical.equals(t))) for t in terms]
-    d = lexical.total([(n > 0).cast("int") for n in times])
-    base = lexical.total([F.when(n > 0, 1 + 0.25 * F.least(n, F.lit(2))).otherwise(0) for n in times]) + 1.5 * d * d
+    blank = F.lit("")
+    title, cwd = (F.col(c) if c in events.columns else blank for c in ("title", "cwd"))
+    base = score_text(F.col("text"), title, cwd, query)
     w = W.partitionBy("source_ref").orderBy("event_index")
     following = F.lead(F.struct("block", "role")).over(w)
     rows = events.withColumn("block", rendered()).withColumn("following", following).withColumn("base", base)

@@ -186,7 +186,7 @@ def read_window(events: DataFrame, ref: str, at: int, before: int = 3, after: in
     rows = rows.crossJoin(F.broadcast(last)).where(near | (F.col("event_index") > F.col("last") - tail)).withColumn("part", F.when(near, "window").otherwise("tail")).drop("last")
     if not max_chars:
         return rows.drop("part").orderBy("event_index")
-    share = int(max_chars * (0.58 if tail else 0.64))
+    share = max_chars * (58 if tail else 64) // 100
     budget = F.when(F.col("part") == "window", share).otherwise(max_chars - share)
     rows = rows.withColumn("block", rendered())
     used = F.coalesce(F.sum(F.length("block")).over(W.partitionBy("source_ref", "part").orderBy("event_index").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -229,23 +229,46 @@ def related_chunks(chunks: DataFrame, ref: str, query: str, limit: int = 2) -> D
     return best.orderBy(F.desc("score"), "id").limit(limit)
 
 
-def session_scores(sessions: DataFrame, events: DataFrame, query: str, limit: int = 5) -> DataFrame:
-    """Two stages: session headers first, then the events of the best; 1.35 * header + the best event by role."""
+def close_together(words: Column, terms: list[str], width: int = 40) -> Column:
+    """5 * best**2 for the most distinct terms within width positions of a text's tokens; 0 under three positions or terms."""
+    known = F.array(*map(F.lit, terms or [""]))
+    at = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: F.array_contains(known, F.get(words, i)))
+    near = F.transform(at, lambda i: F.size(F.array_intersect(known, F.slice(words, F.greatest(i - width, F.lit(0)) + 1, F.least(i + 1, F.lit(width + 1))))))
+    best = F.array_max(near)
+    return F.when((F.size(at) >= 3) & (best >= 3), 5 * best * best).otherwise(0)
+
+
+def score_text(text: Column, title: Column, cwd: Column, query: str) -> Column:
+    """What a text is worth for a query: 80 for the focused query in it; if its terms are strong enough, their counts, places in title and folder, number and closeness."""
     terms = T.query_tokens(query)
+    phrase = T.focus_query(query).lower()[:200]
+    words = T.tokens(text)
+    times = [F.size(F.filter(words, lexical.equals(t))) for t in terms]
+    said = F.when(F.contains(F.lower(text), F.lit(phrase)), 80.0).otherwise(0.0) if len(phrase) >= 6 else F.lit(0.0)
+    d = lexical.total([(n > 0).cast("int") for n in times])
+    anchors = [n for t, n in zip(terms, times, strict=True) if t in T.anchor_tokens(terms)]
+    strong = lexical.strong_enough(d, terms, lexical.total([(n > 0).cast("int") for n in anchors]) > 0 if anchors else None) | (said > 0)
+    held = lambda c, t, more: F.when(F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(t)), more).otherwise(0)
+    each = [F.when(n > 0, 1 + 0.25 * F.least(n, F.lit(2)) + held(title, t, 8) + held(cwd, t, 4)).otherwise(0) for t, n in zip(terms, times, strict=True)]
+    return F.when(strong & ((d > 0) | (said > 0)), said + lexical.total(each) + 1.5 * d * d + close_together(words, terms)).otherwise(0.0)
 
-    def score(c: Column) -> Column:
-        words = T.tokens(c)
-        count = [F.size(F.filter(words, lexical.equals(t))) for t in terms]
-        d = lexical.total([(n > 0).cast("int") for n in count])
-        return lexical.total([F.when(n > 0, 1 + 0.25 * F.least(n, F.lit(2))).otherwise(0) for n in count]) + 1.5 * d * d
 
-    heads = sessions.withColumn("header", score(F.concat_ws(" ", "title", "cwd"))).orderBy(F.desc("header"), "source_ref").limit(max(4 * limit, 12))
-    weight = F.create_map(*[F.lit(x) for kv in {"user": 1.0, "assistant": 0.7, "tool_result": 0.18, "actions": 0.12}.items() for x in kv])
+# What a role's events count for, beside 0.35 for others.
+ROLE_WEIGHTS = {"user": 1.0, "assistant": 0.7, "tool_result": 0.18, "actions": 0.12}
+
+
+def session_scores(sessions: DataFrame, events: DataFrame, query: str, limit: int = 5) -> DataFrame:
+    """Two stages: session headers first, then the events of the best; 1.35 * header + the best event by role, a fifth of it for generated sessions."""
+    title, cwd = F.col("title"), F.col("cwd")
+    heads = sessions.withColumn("header", score_text(F.concat_ws(" ", title, cwd), title, cwd, query)).orderBy(F.desc("header"), "source_ref").limit(max(4 * limit, 12))
+    weight = F.create_map(*[F.lit(x) for kv in ROLE_WEIGHTS.items() for x in kv])
     first = F.row_number().over(W.partitionBy("source_ref", "role").orderBy("event_index")) == 1
-    body = events.join(F.broadcast(heads.select("source_ref")), "source_ref", "left_semi").withColumn("first", first & (F.col("role") == "user"))
-    s = score(F.col("text")) * F.coalesce(F.try_element_at(weight, F.col("role")), F.lit(0.35))
+    body = events.join(F.broadcast(heads.select("source_ref", "title", "cwd")), "source_ref").withColumn("first", first & (F.col("role") == "user"))  # 12 rows, or 4 * limit
+    s = score_text(F.col("text"), title, cwd, query) * F.coalesce(F.try_element_at(weight, F.col("role")), F.lit(0.35))
     best = body.withColumn("s", F.when(F.col("first"), 1.25 * s + 40).otherwise(s)).groupBy("source_ref").agg(F.max("s").alias("event"))
-    out = heads.join(best, "source_ref", "left").select("source_ref", F.round(1.35 * F.col("header") + F.coalesce("event", F.lit(0.0)), 4).alias("score"))
+    total = 1.35 * F.col("header") + F.coalesce("event", F.lit(0.0))
+    total = F.when(F.col("generated"), 0.2 * total).otherwise(total) if "generated" in sessions.columns else total
+    out = heads.join(best, "source_ref", "left").select("source_ref", F.round(total, 4).alias("score"))
     return out.where("score > 0").orderBy(F.desc("score"), "source_ref").limit(limit)
 
 
