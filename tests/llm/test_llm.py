@@ -231,6 +231,16 @@ def test_chat_format(spark):
     assert chat_format.op4_chat_format(df.limit(0)).count() == 1
 
 
+def test_very_long_conversation(spark):
+    n = 6000
+    df = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('said <| ', id, ' ', repeat('x', int(id % 50))) AS text")
+    r = chat_format.op4_chat_format(df).where("conv_id = 1").first()
+    told = [(("user", "assistant")[i % 2], f"said <| {i} " + "x" * (i % 50)) for i in range(n)]
+    assert r.n_turns == n and r.n_examples == n // 2
+    assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{t}\n" for a, t in told).encode()).hexdigest()
+    assert r.loss_sha256 == hashlib.sha256("".join(t for a, t in told if a == "assistant").encode()).hexdigest()
+
+
 def test_examples_hold_all_turns_before(spark):
     df = spark.createDataFrame([(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "q2"), (1, 3, "assistant", "a2")], "conv_id long, turn long, role string, text string")
     got = chat_format.expanded(chat_format.formatted(df)).orderBy("example").collect()
