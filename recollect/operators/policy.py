@@ -72,8 +72,25 @@ def hidden_from_team(rows: DataFrame, private: DataFrame, sessions: DataFrame, p
 
 
 def visible(rows: DataFrame, owner: bool) -> DataFrame:
-    """The owner sees all; others see what isn't hidden, without titles."""
-    return rows if owner else rows.where("not hidden").withColumn("title", F.lit(""))
+    """The owner sees all; others see what isn't hidden, without titles: blank, and masked in the header that begins a chunk's text."""
+    if owner:
+        return rows
+    rows = rows.where("not hidden").withColumn("title", F.lit(""))
+    for c in ("text", "text_preview", "summary_short"):
+        if c in rows.columns:
+            rows = rows.withColumn(c, F.regexp_replace(c, r"Title: .*?(?= Source: |\n|$)", "Title: (owner-only)"))
+    return rows
+
+
+def private_rows(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """rows with private: a session that the owner shared is not; else a stamp on the row, the live policy on its folder, or team sharing says so.
+
+    rows: source_ref, stamped (visibility is private), folder_private (by the live policy), hidden (by team sharing), agent (an agent's session).
+    """
+    own = F.substring_index("source_ref", "#", 1)
+    rows = rows.join(shared.select(F.col("source_ref").alias("_shared")).distinct(), own == F.col("_shared"), "left")
+    said = F.coalesce("stamped", F.lit(False)) | F.coalesce("folder_private", F.lit(False)) | (F.coalesce("agent", F.lit(True)) & F.coalesce("hidden", F.lit(True)))
+    return rows.withColumn("private", ~(F.col("_shared").isNotNull() & F.coalesce("agent", F.lit(True))) & said).drop("_shared")
 
 
 def scoped(rows: DataFrame, scope: str, actor: str, target: str = "") -> DataFrame:

@@ -49,20 +49,114 @@ def thread_origins(threads: DataFrame) -> DataFrame:
     return threads.select(F.col("id").alias("session_id"), F.coalesce("originator", F.lit("")).alias("originator"), F.coalesce("source", F.lit("")).alias("source"))
 
 
-def viewer_events(spark: SparkSession, files: str | list[str], cap: int = 0) -> DataFrame:
-    """(path, no, kind, text, ts): what a viewer shows of message transcripts, thinking and tool calls included; over-long lines are told."""
+def cut(text: Column) -> Column:
+    """A viewer's text, with the number of characters that are left out."""
+    more = F.length(text) - VIEWER_CHARS
+    return F.when(more > 0, F.concat(F.substring(text, 1, VIEWER_CHARS), F.lit("\n\u2026 (+"), F.format_number(more, 0), F.lit(" more chars)"))).otherwise(text)
+
+
+def shown(kind: Column | str, text: Column, tool: Column | str = "") -> Column:
+    plain = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.struct(plain(kind).alias("kind"), plain(tool).alias("tool"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def any_text(v: Column, *paths: str) -> Column:
+    """The first of some members: text as it is, other values as JSON."""
+    return F.coalesce(*(x for p in paths for x in (F.try_variant_get(v, p, "string"), F.to_json(F.try_variant_get(v, p, "variant")))), F.lit(""))
+
+
+def message_view() -> Column:
+    """Viewer events of a line of the message dialect; a reminder that was put in is not shown."""
+    kind, content = as_text("$.type"), blocks("$.message.content")
+    said = F.trim(as_text("$.message.content"))
+    reminder = said.startswith("<system-reminder>") & said.endswith("</system-reminder>")
+    own = F.transform(content, lambda b: F.when(of(b, "$.type") == "text", shown(kind, of(b, "$.text"))).when(
+        (kind == "assistant") & (of(b, "$.type") == "thinking"), shown("thinking", F.coalesce(F.nullif(of(b, "$.thinking"), F.lit("")), of(b, "$.text")))).when(
+        (kind == "assistant") & (of(b, "$.type") == "tool_use"), shown("tool_use", any_text(b, "$.input"), F.coalesce(F.nullif(of(b, "$.name"), F.lit("")), F.lit("tool")))).when(
+        (kind == "user") & (of(b, "$.type") == "tool_result"), shown("tool_result", any_text(b, "$.content"), "result")))
+    plain = F.when((kind == "user") & ~reminder, F.array(shown("user", said))).otherwise(F.array().cast(VIEW))
+    return F.when(kind.isin("user", "assistant"), F.when(F.size(content) > 0, F.array_compact(own).cast(VIEW)).otherwise(plain))
+
+
+def response_view() -> Column:
+    """Viewer events of a line of the response dialect; metadata lines are not shown."""
+    kind, what, role, v = as_text("$.type"), as_text("$.payload.type"), as_text("$.payload.role"), F.col("v")
+    item, content = kind == "response_item", blocks("$.payload.content")
+    thought = F.when(F.size(blocks("$.payload.summary")) > 0, blocks("$.payload.summary")).otherwise(content)
+    call, output = what.isin("function_call", "custom_tool_call", "local_shell_call"), what.isin("function_call_output", "custom_tool_call_output")
+    joined = lambda items, name, sep: F.array_join(F.transform(F.filter(items, lambda b: of(b, "$.type") == name) if name else items, lambda b: of(b, "$.text")), sep)
+    one = (
+        F.when((kind == "event_msg") & (what == "user_message"), shown("user", as_text("$.payload.message")))
+        .when(item & (what == "message") & (role == "assistant"), shown("assistant", joined(content, "output_text", "\n")))
+        .when(item & (what == "message") & (role == "user"), shown("user", joined(content, "input_text", "")))
+        .when(item & (what == "reasoning"), shown("thinking", joined(thought, "", "")))
+        .when(item & call, shown("tool_use", any_text(v, "$.payload.arguments", "$.payload.action", "$.payload.input"), F.coalesce(F.nullif(as_text("$.payload.name"), F.lit("")), F.replace(what, F.lit("_"), F.lit(" ")))))
+        .when(item & output, shown("tool_result", any_text(v, "$.payload.output.output", "$.payload.output"), "output")))
+    return F.when(one.isNotNull(), F.array(one).cast(VIEW))
+
+
+def step_view() -> Column:
+    """Viewer events of a line of the step dialect."""
+    kind, content = as_text("$.type"), as_text("$.content")
+    asked = F.coalesce(F.nullif(F.regexp_extract(content, r"(?s)<USER_REQUEST>\s*(.*?)\s*</USER_REQUEST>", 1), F.lit("")), content)
+    calls = F.transform(blocks("$.tool_calls"), lambda b: shown("tool_use", any_text(b, "$.args"), F.coalesce(F.nullif(of(b, "$.name"), F.lit("")), F.lit("tool"))))
+    planned = F.concat(F.array(shown("thinking", as_text("$.thinking")), shown("assistant", content)).cast(VIEW), calls.cast(VIEW))
+    return F.when(kind == "USER_INPUT", F.array(shown("user", asked)).cast(VIEW)).when(kind == "PLANNER_RESPONSE", planned).otherwise(F.array(shown("tool_result", content, "output")).cast(VIEW))
+
+
+VIEW = "array<struct<kind:string,tool:string,text:string>>"
+VIEWS = {"claude": message_view, "codex": response_view, "antigravity": step_view}
+
+
+def viewer_events(spark: SparkSession, files: str | list[str], cap: int = 0, dialect: str = "claude") -> DataFrame:
+    """(path, no, kind, tool, text, ts): what a viewer shows of transcripts, thinking and tool calls included, cap events of each at most; over-long lines are told."""
     rows = lines(spark, files, max_bytes=48 << 20)
-    kind, content, ts = as_text("$.type"), blocks("$.message.content"), as_text("$.timestamp")
-    plain = F.when(F.size(content) == 0, F.array(F.struct(kind.alias("kind"), as_text("$.message.content").alias("text"))))
-    shown = F.transform(content, lambda b: F.struct(F.when(of(b, "$.type") == "text", kind).otherwise(of(b, "$.type")).alias("kind"), F.coalesce(F.nullif(of(b, "$.text"), F.lit("")), F.nullif(of(b, "$.thinking"), F.lit("")), F.nullif(of(b, "$.content"), F.lit("")), F.to_json(F.try_variant_get(b, "$.input", "variant")), F.lit("")).alias("text")))
-    told = F.array(F.struct(F.lit("oversized").alias("kind"), F.lit("line left out").alias("text")))
-    events = F.when(F.col("value").isNull(), told).when(kind.isin("user", "assistant"), F.coalesce(plain, shown))
-    rows = rows.select("path", "line_no", ts.alias("ts"), F.posexplode(events).alias("part", "e")).where("e.text <> ''")
+    told = F.array(shown("oversized", F.lit("line left out"))).cast(VIEW)
+    found = F.when(F.col("value").isNull(), told).when(F.col("v").isNotNull(), VIEWS[dialect]())
+    ts = F.coalesce(field("$.timestamp"), field("$.created_at"), F.lit(""))
+    rows = rows.select("path", "line_no", ts.alias("ts"), F.posexplode(found).alias("part", "e"))
+    rows = rows.withColumn("text", F.regexp_replace("e.text", r"^\s+|\s+$", "")).where((F.col("text") != "") | F.col("e.kind").isin("tool_use", "tool_result"))
     no = F.row_number().over(W.partitionBy("path").orderBy("line_no", "part"))
-    rows = rows.select("path", (no - 1).alias("no"), "e.kind", F.substring("e.text", 1, VIEWER_CHARS).alias("text"), "ts")
+    rows = rows.select("path", (no - 1).alias("no"), "e.kind", "e.tool", cut(F.col("text")).alias("text"), "ts")
     return rows.where(F.col("no") < cap) if cap else rows
 
 
+# What an editor's conversation leaves behind instead of a transcript, the oldest first.
+ARTIFACTS = ["implementation_plan.md", "task.md", "walkthrough.md"]
+
+
+def artifact_events(spark: SparkSession, root: str) -> DataFrame:
+    """(source_ref, event_index, role, text, ts) of conversations without a transcript: their plan and walkthrough as turns of the agent.
+
+    root holds a folder for each conversation. An artifact is a file that people read, so it is one text.
+    """
+    files = spark.read.text(f"{root.rstrip('/')}/*/*.md", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("ts"), "value")
+    name, own = F.element_at(F.split("path", "/"), -1), F.element_at(F.split("path", "/"), -2)
+    rows = files.select(own.alias("id"), F.array_position(F.array(*map(F.lit, ARTIFACTS)), name).alias("place"), name.alias("name"), "ts", F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("text")).where("place > 0 and text <> ''")
+    no = F.row_number().over(W.partitionBy("id").orderBy("place")) - 1
+    return rows.select(F.concat(F.lit("antigravity:"), "id").alias("source_ref"), no.alias("event_index"), F.lit("assistant").alias("role"), F.concat(F.lit("["), "name", F.lit("]\n"), "text").alias("text"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"))
+
+
+def artifact_sessions(events: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """A row for each conversation that has artifacts and no transcript: title, last time, and the folder that holds the files it speaks of."""
+    own = events.join(transcripts.select("source_ref"), "source_ref", "left_anti")
+    paths = F.regexp_extract_all("text", F.lit(r"(?:file://)?(/(?:Users|home)/[^\s)`'\"]+)"), F.lit(1))
+    out = own.withColumn("paths", paths).groupBy("source_ref").agg(F.flatten(F.collect_list("paths")).alias("paths"), F.max("ts").alias("updated_at"), F.min_by("text", "event_index").alias("opening"))
+    return out.select("source_ref", F.lit("antigravity").alias("source_name"), T.normalize_text(F.col("opening"), 90).alias("title"), inferred_folder(F.array().cast("array<string>"), F.col("paths"), "/").alias("cwd"), "updated_at", F.lit("interactive").alias("origin"))
+
+
+def recorded(history: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(session_id, workspace, title, typed) of what an application records beside its transcripts.
+
+    history: session_id, workspace, type, ts; metadata: session_id, title, workspaces (URIs), internal.
+    A prompt or a record that is not internal says that a person typed; the prompts' workspace counts first.
+    """
+    told = history.where("coalesce(type, '') <> 'slash_command' and coalesce(session_id, '') <> ''").groupBy("session_id").agg(F.max_by(F.nullif("workspace", F.lit("")), F.when(F.coalesce("workspace", F.lit("")) != "", F.col("ts"))).alias("told"))
+    place = F.regexp_replace(F.try_url_decode(F.replace(F.get("workspaces", 0), F.lit("+"), F.lit("%2B"))), "^[a-z]+://[^/]*", "")
+    known = metadata.where("not coalesce(internal, false)").groupBy("session_id").agg(F.max(F.nullif("title", F.lit(""))).alias("title"), F.max(place).alias("place"))
+    return told.join(known, "session_id", "full_outer").select("session_id", F.coalesce("told", "place", F.lit("")).alias("workspace"), F.coalesce("title", F.lit("")).alias("title"), F.lit(True).alias("typed"))
+
+
 def chat_messages(spark: SparkSession, files: str | list[str], last: int = 0) -> DataFrame:
     """(path, line_no, role, text, ts) of chat logs, the last messages of each if asked for."""
     rows = lines(spark, files).where(as_text("$.type") == "message").select("path", "line_no", as_text("$.role").alias("role"), as_text("$.text").alias("text"), as_text("$.ts").alias("ts"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import messages as M
+from recollect.operators import policy
 from recollect.sources import logs, transcripts
 
 
@@ -86,6 +87,44 @@ def test_lines_of_split_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_viewer_of_other_dialects(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text("\n".join(map(json.dumps, [
+        {"type": "session_meta", "payload": {"type": "message"}}, {"type": "event_msg", "payload": {"type": "user_message", "message": " hi "}},
+        {"type": "response_item", "payload": {"type": "reasoning", "summary": [{"text": "a"}, {"text": "b"}]}}, {"type": "response_item", "payload": {"type": "local_shell_call", "action": {"cmd": "ls"}}},
+        {"type": "response_item", "payload": {"type": "function_call_output", "output": {"output": "done"}}}, {"type": "response_item", "payload": {"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": "x" * 8100}]}}])))
+    got = [(r.kind, r.tool, r.text) for r in logs.viewer_events(spark, str(tmp_path / "x.jsonl"), dialect="codex").orderBy("no").collect()]
+    assert got[:4] == [("user", "", "hi"), ("thinking", "", "ab"), ("tool_use", "local shell call", '{"cmd":"ls"}'), ("tool_result", "output", "done")]
+    assert got[4][0] == "assistant" and got[4][2].endswith("x\n\u2026 (+100 more chars)") and len(got) == 5
+    (tmp_path / "y.jsonl").write_text("\n".join(map(json.dumps, [
+        {"type": "USER_INPUT", "content": "<USER_REQUEST> fix it </USER_REQUEST>"}, {"type": "PLANNER_RESPONSE", "thinking": "hm", "content": "ok", "tool_calls": [{"name": "run", "args": {"a": 1}}]}, {"type": "STEP", "content": "out"}])))
+    got = [(r.kind, r.text) for r in logs.viewer_events(spark, str(tmp_path / "y.jsonl"), 4, "antigravity").orderBy("no").collect()]
+    assert got == [("user", "fix it"), ("thinking", "hm"), ("assistant", "ok"), ("tool_use", '{"a":1}')]
+
+
+def test_artifacts_and_records(spark, tmp_path):
+    for ident, files in {"c1": {"walkthrough.md": "did /home/u/p/a.py\n", "task.md": "see file:///home/u/p/b.py", "other.md": "no"}, "c2": {"task.md": "has a transcript"}, "c3": {"task.md": "  "}}.items():
+        (tmp_path / ident).mkdir()
+        for name, text in files.items():
+            (tmp_path / ident / name).write_text(text)
+    events = logs.artifact_events(spark, str(tmp_path))
+    got = [(r.source_ref, r.event_index, r.text) for r in events.orderBy("source_ref", "event_index").collect()]
+    assert got == [("antigravity:c1", 0, "[task.md]\nsee file:///home/u/p/b.py"), ("antigravity:c1", 1, "[walkthrough.md]\ndid /home/u/p/a.py"), ("antigravity:c2", 0, "[task.md]\nhas a transcript")]
+    known = spark.createDataFrame([("antigravity:c2",)], "source_ref string")
+    assert [(r.source_ref, r.cwd) for r in logs.artifact_sessions(events, known).collect()] == [("antigravity:c1", "/home/u/p")]
+    history = spark.createDataFrame([("a", "/w", "", 1), ("a", "", "", 2), ("b", "", "", 1), ("c", "/x", "slash_command", 1), ("", "/y", "", 1)], "session_id string, workspace string, type string, ts int")
+    meta = spark.createDataFrame([("a", "T", ["file:///z"], False), ("b", "", ["file:///my%20dir"], False), ("d", "U", None, True)], "session_id string, title string, workspaces array<string>, internal boolean")
+    assert {tuple(r) for r in logs.recorded(history, meta).collect()} == {("a", "/w", "T", True), ("b", "/my dir", "", True)}
+
+
+def test_row_privacy(spark):
+    rows = [("a#1", True, False, False, True), ("b", True, False, False, True), ("c", False, True, False, True), ("d", False, False, True, True), ("e", False, False, None, True), ("f", False, False, True, False), ("g", False, False, False, True)]
+    df = spark.createDataFrame(rows, "source_ref string, stamped boolean, folder_private boolean, hidden boolean, agent boolean")
+    got = {r.source_ref: r.private for r in policy.private_rows(df, spark.createDataFrame([("a",)], "source_ref string")).collect()}
+    assert got == {"a#1": False, "b": True, "c": True, "d": True, "e": True, "f": False, "g": False}
+    shown = policy.visible(spark.createDataFrame([("my prompt", "Title: my prompt Source: x\nrest", False)], "title string, text string, hidden boolean"), False).first()
+    assert (shown.title, shown.text) == ("", "Title: (owner-only) Source: x\nrest")
+
+
 def test_side_tables(spark):
     s = spark.createDataFrame([("1", "t", "2024", "f1"), ("1", "t", "2025", "f2")], "session_id string, title string, updated_at string, file_path string")
     one = logs.newest_copies(s)
