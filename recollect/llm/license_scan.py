@@ -66,10 +66,24 @@ def shingle(w: Column, at: Column) -> Column:
     return F.when(F.get(w, at + K - 1).isNotNull(), F.xxhash64(*(F.get(w, at + i) for i in range(K))))
 
 
+def mix(k: int) -> int:
+    """The constant of a band, as a signed number of 64 bits."""
+    m = (0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64)
+    return m - (1 << 64) if m >> 63 else m
+
+
 def bands(h: list[Column]) -> Column:
     """One MinHash row a band: the least of the window's shingle hashes, each mixed with the band's constant."""
-    mix = [(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) for k in range(BANDS)]
-    return F.array(*(F.least(*(x.bitwiseXOR(F.lit(m - (1 << 64) if m >> 63 else m)) for x in h)) for m in mix))
+    return F.array(*(F.least(*(x.bitwiseXOR(F.lit(mix(k))) for x in h)) for k in range(BANDS)))
+
+
+def long_sql(v: int) -> str:
+    return f"{v}L" if v > -(1 << 63) else "bigint(-9223372036854775808)"
+
+
+def least_sql(k: int) -> str:
+    """The value of band k of a window (h0, h1, ...) as SQL text, which is parsed faster than as many columns are made."""
+    return "least(" + ", ".join(f"h{i} ^ {long_sql(mix(k))}" for i in range(STEP)) + ")"
 
 
 def templates(spark: SparkSession, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
@@ -99,12 +113,12 @@ def scan(documents: DataFrame, notices: list[tuple[str, str]] = NOTICES) -> Data
 
     rows = documents.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
     rows = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - K, F.lit(0)), F.lit(STEP))).alias("at"))
-    rows = rows.select("doc_id", "w", "at", *(shingle(F.col("w"), F.col("at") + i).alias(f"h{i}") for i in range(STEP)))
-    rows = rows.select("doc_id", "w", "at", bands(h).alias("bands"))
+    # inline() of one row computes the shingles once; without it every band would hash the words again
+    rows = rows.select("doc_id", "w", "at", F.inline(F.array(F.struct(*(shingle(F.col("w"), F.col("at") + i).alias(f"h{i}") for i in range(STEP))))))
     begin = F.greatest(F.col("at") - AROUND, F.lit(0))
     near = F.slice("w", begin + 1, F.lit(2 * AROUND + STEP + K - 1))
-    collides = " OR ".join(f"bands[{k}] IN ({', '.join(f'{v}L' if v > -(1 << 63) else 'bigint(-9223372036854775808)' for v in vs)})" for k, vs in sorted(values.items()))
-    rows = rows.where(collides or "false").select("doc_id", "at", near.alias("near"), F.posexplode("bands").alias("band", "value"))
+    collides = " OR ".join(f"{least_sql(k)} IN ({', '.join(map(long_sql, vs))})" for k, vs in sorted(values.items()))
+    rows = rows.where(collides or "false").select("doc_id", "at", near.alias("near"), F.posexplode(bands(h)).alias("band", "value"))
     # one row a window and template; windows of different texts stay apart even if doc_id and place are the same
     found = rows.join(F.broadcast(index), ["band", "value"]).dropDuplicates(["doc_id", "at", "template", "near"])
     share = F.size(F.array_intersect("shingles", all_shingles(F.col("near")))) / F.size("shingles")
