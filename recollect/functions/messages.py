@@ -85,6 +85,15 @@ def safe_session_key(key: Column) -> Column:
     return F.coalesce(F.nullif(t, F.lit("")), F.lit("main"))
 
 
+def handle(override: Column, aliases: Column, name: Column) -> Column:
+    """A short name: the override as a slug, else the shortest alias that looks like a user name, else a slug of the name, 20 characters at most."""
+    slug = F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(override, F.lit("")))), "[^a-z0-9._-]+", "-"), "^[-._]+|[-._]+$", ""), 1, 20)
+    fit = F.filter(F.transform(F.coalesce(aliases, F.array().cast("array<string>")), lambda a: F.lower(F.trim(a))), lambda a: a.rlike("^[a-z0-9][a-z0-9._-]{1,19}$"))
+    best = F.array_min(F.transform(fit, lambda a: F.struct(F.length(a).alias("n"), a.alias("a"))))["a"]
+    plain = F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 20)
+    return F.coalesce(F.nullif(slug, F.lit("")), best, F.nullif(plain, F.lit("")), F.lit("owner"))
+
+
 HEADING = r"^\s{0,3}#{1,4}\s+(.*\S)\s*$"
 RULE = r"^\s*(?:-{3,}|\*{3,}|_{3,})\s*$"
 ITEM = r"^\s*[-*]\s+"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -280,22 +281,30 @@ def needs_iteration(top: list[float], status: bool = False, history: bool = Fals
     return top[0] < 180 or status and top[0] < 500 or history and top[0] < 420 or margin < (80 if history else 45)
 
 
-def query_variants(query: str, hits: list[dict] = (), most: int = 8) -> list[str]:
-    """Rewrites of a query: focused, its tokens, its anchors, and titles and folders of the best hits."""
+def query_variants(query: str, hits: list[dict] = (), most: int = 8, hints: dict[str, str] | None = None) -> list[str]:
+    """Rewrites of a query, distinct in any case: focused, without its opening, its quotations, its tokens, with words of status, with the hints whose keyword it holds; then titles and folders of the best hits."""
+    low, focused = query.lower(), T.focus_query(query)
     words = T.query_tokens(query)
-    found = [query, T.focus_query(query), " ".join(words), " ".join(T.anchor_tokens(words))]
-    found += [x for h in list(hits)[:4] for x in (h.get("title") or "", (h.get("cwd") or "").rstrip("/").rsplit("/", 1)[-1])]
-    return [q for q in dict.fromkeys(x.strip() for x in found) if q][:most]
-
-
-def search_loop(run, query: str, rounds: int = 2, least_gain: float = 15, planner=None) -> list[dict]:
-    """Searches until the best scores suffice: the query, its variants, then a planner's queries; run(query) gives rows with ref and score."""
+    opened = [re.sub(p, "", low, count=1) for p in T.QUESTION_OPENINGS]
+    told = [x for k, more in (hints or {}).items() if k.lower() in low for x in (f"{focused} {more}", more)]
+    met = [x for h in list(hits)[:4] for x in (h.get("title") or "", (h.get("cwd") or "").rstrip("/").rsplit("/", 1)[-1])]
+    found = [
+        query, focused, *(q for q in opened if q != low), *re.findall(r'"([^"]{6,})"', query)[:3], " ".join(words[:10]) if len(words) > 2 else "",
+        f"latest current status progress {focused}" if re.search(T.STATUS, query) else "", *told, *met,
+    ]
+    plain = [re.sub(r"\s+", " ", x)[:300].strip(" ?.'\"") for x in found]
+    return list({x.lower(): x for x in reversed(plain) if x}.values())[::-1][:most]
+
+
+def search_loop(run, query: str, rounds: int = 2, least_gain: float = 15, planner=None, seconds: float = 25, clock=time.monotonic) -> list[dict]:
+    """Searches until the best scores suffice or seconds have passed: the query, its variants, then a planner's queries; run(query) gives rows with ref and score."""
+    end = clock() + seconds
     best: dict[str, dict] = {}
 
     def ask(queries: list[str]) -> float:
         before = max((r["score"] for r in best.values()), default=0.0)
         for q in queries:
-            for r in run(q):
+            for r in run(q) if clock() < end else ():
                 if r["ref"] not in best or best[r["ref"]]["score"] < r["score"]:
                     best[r["ref"]] = r
         return max((r["score"] for r in best.values()), default=0.0) - before
@@ -305,6 +314,6 @@ def search_loop(run, query: str, rounds: int = 2, least_gain: float = 15, planne
     if needs_iteration([r["score"] for r in ranked()]):
         ask(query_variants(query, ranked())[1:])
         for _ in range(rounds if planner else 0):
-            if not needs_iteration([r["score"] for r in ranked()]) or ask(planner(query, ranked())[:4]) < least_gain:
+            if clock() >= end or not needs_iteration([r["score"] for r in ranked()]) or ask(planner(query, ranked())[:4]) < least_gain:
                 break
     return ranked()

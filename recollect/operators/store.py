@@ -48,6 +48,20 @@ def new_projects(known: DataFrame, current: DataFrame) -> DataFrame:
     return a.join(b, "project", "full_outer").select("project", F.when(F.col("k").isNull(), "pending").when(F.col("c").isNull(), "dropped").otherwise("known").alias("state"))
 
 
+def reviewed_projects(known: DataFrame, current: DataFrame, now: str, first_run: bool = False) -> DataFrame:
+    """The projects (key, first_seen, sessions, reviewed) after a look at the index (key, sessions, worthy).
+
+    The first run takes all as reviewed. Later a new project enters, to be reviewed,
+    if it is worth it; one that still waits leaves when it is not, or is gone; what
+    was reviewed stays.
+    """
+    seen = current.select("key", F.col("sessions").alias("now_sessions"), "worthy")
+    rows = known.join(seen, "key", "full_outer")
+    new, worthy = F.col("reviewed").isNull(), F.coalesce("worthy", F.lit(False))
+    rows = rows.where(F.when(new, worthy | F.lit(first_run)).otherwise(F.col("reviewed") | worthy))
+    return rows.select("key", F.coalesce("first_seen", F.lit(now)).alias("first_seen"), F.coalesce("now_sessions", "sessions").alias("sessions"), F.coalesce("reviewed", F.lit(first_run)).alias("reviewed"))
+
+
 def prefix_lookup(rows: DataFrame, key: str, prefix: str, newest: str) -> DataFrame:
     """The newest row whose key begins with prefix; the range reaches the scan."""
     return rows.where(F.col(key).startswith(prefix)).orderBy(F.desc(newest), key).limit(1)

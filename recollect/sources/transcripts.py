@@ -178,10 +178,20 @@ def sessions(spark: SparkSession, dialect: str, paths: str | list[str], newest:
         F.count_if(F.col("role") == "user").alias("user_turns"), F.count_if(typed).alias("human_turns"),
         F.min_by(F.when(typed, F.col("text")), F.when(typed, F.col("event_index"))).alias("opening"),
         F.array_sort(F.collect_list(F.struct("event_index", "role", F.substring("text", 1, 800).alias("text"), "ts"))).alias("turns"))
-    trail = F.array_join(F.transform(F.slice(F.filter("turns", lambda t: t["role"] == "user"), -3, 3), lambda t: T.normalize_text(t["text"], 160)), " | ")
-    turns = turns.withColumn("summary", F.concat_ws(" ... ", T.normalize_text(F.coalesce("opening", F.lit("")), 140), F.nullif(F.substring(trail, -120, 120), F.lit(""))))
     out = head.join(turns, "source_ref").where("user_turns > 0")
-    return out.withColumn("source_name", F.lit(dialect)).withColumn("title", T.normalize_text(F.coalesce("opening", F.col("source_ref")), 90)).drop("opening")
+    out = out.withColumn("source_name", F.lit(dialect)).withColumn("title", T.normalize_text(F.coalesce("opening", F.col("source_ref")), 90)).drop("opening")
+    return summarised(out)
+
+
+def summarised(rows: DataFrame) -> DataFrame:
+    """rows (title, turns) with short_summary, of the first user turn and the last of the agent's, and detailed_summary, of the last three and two."""
+    said = lambda role: F.transform(F.filter("turns", lambda t: t["role"] == role), lambda t: t["text"])
+    last = lambda a, n: F.array_join(F.transform(F.when(F.size(a) > n, F.slice(a, -n, n)).otherwise(a), lambda t: T.normalize_text(t, 160)), "; ")
+    user, agent = said("user"), said("assistant")
+    lead = F.when(F.size(user) > 0, T.normalize_text(F.get(user, 0), 140)).otherwise(F.col("title"))
+    short = F.when(F.size(agent) > 0, F.concat(lead, F.lit(" Last assistant note: "), T.normalize_text(F.element_at(agent, -1), 120))).otherwise(lead)
+    parts = F.array(F.concat(F.lit("Title: "), "title", F.lit(".")), F.when(F.size(user) > 0, F.concat(F.lit("Recent user turns: "), last(user, 3), F.lit("."))), F.when(F.size(agent) > 0, F.concat(F.lit("Recent assistant notes: "), last(agent, 2), F.lit("."))))
+    return rows.withColumn("short_summary", short).withColumn("detailed_summary", F.array_join(F.array_compact(parts), " "))
 
 
 def prompts(spark: SparkSession, dialect: str, paths: str | list[str]) -> DataFrame:

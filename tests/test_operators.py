@@ -182,6 +182,44 @@ def test_search_loop():
     assert not search.needs_iteration([600, 100]) and search.needs_iteration([]) and search.needs_iteration([200, 190])
 
 
+def test_query_variants():
+    q = 'what was the final status of "the long job" about retries'
+    got = search.query_variants(q, [{"title": "T", "cwd": "/w/proj/"}], 12, {"RETRIES": "backoff limit"})
+    assert got == [
+        q, "retries", 'the long job" about retries', 'the final status of "the long job" about retries', "the long job", "final status statu long job retries retrie",
+        "latest current status progress retries", "retries backoff limit", "backoff limit", "T", "proj"]
+    assert search.query_variants("x") == ["x"]
+
+
+def test_loop_stops_in_time():
+    ticks = iter(range(100))
+    asked = []
+    search.search_loop(lambda q: asked.append(q) or [], "search for one two three", planner=lambda q, h: ["more"], seconds=2, clock=lambda: next(ticks))
+    assert len(asked) <= 2
+
+
+def test_projects_to_review(spark):
+    known = spark.createDataFrame([("a", "2020", 1, True), ("b", "2020", 1, False), ("c", "2020", 1, False), ("d", "2020", 1, False), ("e", "2020", 1, True)], "key string, first_seen string, sessions int, reviewed boolean")
+    current = spark.createDataFrame([("a", 2, False), ("b", 3, True), ("c", 3, False), ("f", 1, True), ("g", 1, False)], "key string, sessions int, worthy boolean")
+    got = {r.key: (r.first_seen, r.sessions, r.reviewed) for r in store.reviewed_projects(known, current, "2024").collect()}
+    assert got == {"a": ("2020", 2, True), "b": ("2020", 3, False), "e": ("2020", 1, True), "f": ("2024", 1, False)}
+    first = {r.key: r.reviewed for r in store.reviewed_projects(known.limit(0), current, "2024", True).collect()}
+    assert first == dict.fromkeys("abcfg", True)
+
+
+def test_handles_and_summaries(spark):
+    from recollect.functions import messages
+    from recollect.sources import transcripts
+
+    rows = [(" My.Bot! ", ["x"], "n", "my.bot"), ("", ["A long alias", "Bobby", "al", "x"], "n", "al"), (None, None, "Ada L. King of the very long name", "ada-l-king-of-the-ve"), ("--", [], "", "owner")]
+    df = spark.createDataFrame(rows, "o string, a array<string>, n string, want string")
+    assert all(r.got == r.want for r in df.select("want", messages.handle(F.col("o"), F.col("a"), F.col("n")).alias("got")).collect())
+    turns = [("user", "u1"), ("assistant", "a1"), ("user", "u2"), ("user", "u3"), ("user", "u4"), ("assistant", "a2"), ("assistant", "a3")]
+    own = transcripts.summarised(spark.createDataFrame([("T", turns), ("only", [])], "title string, turns array<struct<role:string,text:string>>")).collect()
+    assert own[0].short_summary == "u1 Last assistant note: a3" and own[0].detailed_summary == "Title: T. Recent user turns: u2; u3; u4. Recent assistant notes: a2; a3."
+    assert (own[1].short_summary, own[1].detailed_summary) == ("only", "Title: only.")
+
+
 def test_scope_errors(spark):
     rules = spark.createDataFrame([("en", "default", "blacklist", *[[]] * 9, False)], sharing.POLICY)
     for action, kind, value in (("drop", "workdir", "x"), ("exclude", "other", "x"), ("exclude", "workdir", " ")):
