@@ -186,7 +186,7 @@ def test_query_variants():
     q = 'what was the final status of "the long job" about retries'
     got = search.query_variants(q, [{"title": "T", "cwd": "/w/proj/"}], 12, {"RETRIES": "backoff limit"})
     assert got == [
-        q, "retries", 'the long job" about retries', 'the final status of "the long job" about retries', "the long job", "final status statu long job retries retrie",
+        q, "retries", 'the long job" about retries', 'the final status of "the long job" about retries', "the long job", "was final status statu long job retries retrie",
         "latest current status progress retries", "retries backoff limit", "backoff limit", "T", "proj"]
     assert search.query_variants("x") == ["x"]
 
