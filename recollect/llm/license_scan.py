@@ -27,8 +27,6 @@ rows; other columns don't matter.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +52,11 @@ NOTICES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 ]
 #: Words of a shingle; shingles of a window; bands; share of a template's shingles that is a hit.
 K, STEP, BANDS, MATCH = 5, 4, 32, 0.8
-#: Words around a window that are searched for the template.
-AROUND = max(len(re.findall(r"[a-z0-9]+", t.lower())) for _, t in NOTICES)
 
 
 def words(text: Column) -> Column:
@@ -81,10 +79,11 @@ def bands(h: list[Column]) -> Column:
     return F.array(*(F.least(*(x.bitwiseXOR(F.lit(mix(k))) for x in h)) for k in range(BANDS)))
 
 
-def templates(spark: SparkSession, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
-    """(license, template, shingles, w): the notices with their distinct shingles."""
-    rows = spark.createDataFrame([(i, *n) for i, n in enumerate(notices)], "template int, license string, notice string")
-    rows = rows.withColumn("w", words(F.col("notice")))
+def templates(spark: SparkSession, notices: list[tuple[str, str]] | DataFrame = NOTICES) -> DataFrame:
+    """(license, template, shingles, w): notices, as a list or a table (license, notice) of bounded size, with their distinct shingles; those of under five words say nothing."""
+    listed = [(r.license, r.notice) for r in notices.select("license", "notice").distinct().orderBy("license", "notice").collect()] if isinstance(notices, DataFrame) else notices
+    rows = spark.createDataFrame([(i, *n) for i, n in enumerate(listed)], "template int, license string, notice string")
+    rows = rows.withColumn("w", words(F.coalesce("notice", F.lit("")))).where(F.size("w") >= K)
     return rows.withColumn("shingles", all_shingles(F.col("w")))
 
 
@@ -93,10 +92,11 @@ def all_shingles(w: Column) -> Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(K)), " ")))).otherwise(F.array().cast("array<string>"))
 
 
-def scan(documents: DataFrame, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
+def scan(documents: DataFrame, notices: list[tuple[str, str]] | DataFrame = NOTICES) -> DataFrame:
     """(doc_id, template, license, word_at, containment): the best hit of each template in each document."""
     spark = documents.sparkSession
     known = templates(spark, notices)
+    around = known.agg(F.coalesce(F.max(F.size("w")), F.lit(0))).first()[0]  # words around a window that may belong to the notice
     at = known.withColumn("at", F.explode(F.sequence(F.lit(1 - STEP), F.size("w") - K)))
     for i in range(STEP):
         at = at.withColumn(f"h{i}", F.when(F.col("at") + i >= 0, shingle(F.col("w"), F.col("at") + i)))
@@ -108,8 +108,8 @@ def scan(documents: DataFrame, notices: list[tuple[str, str]] = NOTICES) -> Data
     rows = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - K, F.lit(0)), F.lit(STEP))).alias("at"))
     # inline() of one row computes the shingles once; without it every band would hash the words again
     rows = rows.select("doc_id", "w", "at", F.inline(F.array(F.struct(*(shingle(F.col("w"), F.col("at") + i).alias(f"h{i}") for i in range(STEP))))))
-    begin = F.greatest(F.col("at") - AROUND, F.lit(0))
-    near = F.slice("w", begin + 1, F.lit(2 * AROUND + STEP + K - 1))
+    begin = F.greatest(F.col("at") - around, F.lit(0))
+    near = F.slice("w", begin + 1, F.lit(2 * around + STEP + K - 1))
     listed = ", ".join(f"{k}L" if k > -(1 << 63) else "bigint(-9223372036854775808)" for k in keys)
     rows = rows.where(" OR ".join(f"h{i} IN ({listed})" for i in range(STEP)) if keys else "false").select("doc_id", "at", near.alias("near"), F.posexplode(bands(h)).alias("band", "value"))
     # one row a window and template; windows of different texts stay apart even if doc_id and place are the same

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and hand-made edge cases."""
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -33,11 +34,11 @@ EMPTY: list = []
 
 
 def licenses(text):
-    words = [w for w in __import__("re").split("[^a-z0-9]+", (text or "").lower()) if w]
+    words = [w for w in re.split("[^a-z0-9]+", (text or "").lower()) if w]
     own = {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
     out = set()
     for name, notice in license_scan.NOTICES:
-        w = [x for x in __import__("re").split("[^a-z0-9]+", notice.lower()) if x]
+        w = [x for x in re.split("[^a-z0-9]+", notice.lower()) if x]
         s = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
         if len(s & own) >= 0.8 * len(s):
             out.add(name)
@@ -61,6 +62,31 @@ def test_best_window_of_any_text_of_an_id_counts(spark):
         assert got == {(1, "CC-BY-4.0"): 1.0, (2, "CC-BY-4.0"): 1.0, (None, "MIT"): 1.0}
 
 
+def test_bands_of_all_windows_find_no_more(spark):
+    """Every band of every window, computed in Python, against the windows that the index's keys let through."""
+    notices = license_scan.NOTICES[:6]
+    g = np.random.default_rng(2)
+    texts = [" ".join([*(f"pad{x}" for x in g.integers(0, 99, int(g.integers(0, 9)))), *notices[i % 6][1].split()[int(g.integers(0, 3)) :], *(f"pad{x}" for x in g.integers(0, 99, 5))]) for i in range(40)]
+    w = lambda c: license_scan.words(c)
+    hashes = lambda rows: {r.t: r.h for r in spark.createDataFrame([(t,) for t in rows], "t string").withColumn("w", w(F.col("t"))).select("t", F.array_compact(F.transform(F.sequence(F.lit(0), F.size("w")), lambda i: F.when(i + 5 <= F.size("w"), F.xxhash64(*(F.get("w", i + k) for k in range(5)))))).alias("h")).collect()}
+    least = lambda h: [min(x ^ license_scan.mix(k) for x in h) for k in range(license_scan.BANDS)]
+    index = set()
+    for h in hashes([n for _, n in notices]).values():
+        for at in range(1 - license_scan.STEP, len(h)):
+            index |= set(enumerate(least(h[max(0, at) : at + license_scan.STEP])))
+    keys = {v ^ license_scan.mix(k) for k, v in index}
+    for h in hashes(texts).values():
+        for at in range(0, max(len(h), 1), license_scan.STEP):
+            if own := h[at : at + license_scan.STEP]:
+                assert not (index & set(enumerate(least(own)))) or set(own) & keys
+    table = spark.createDataFrame([*notices, ("none", "too short a text"), ("null", None)], "license string, notice string")
+    found = {r.doc_id for r in license_scan.scan(docs(spark, list(enumerate(texts))), table).collect()}
+    assert found == {r.doc_id for r in license_scan.scan(docs(spark, list(enumerate(texts))), notices).collect()}
+    sets = [{tuple(x) for x in zip(*(re.findall("[a-z0-9]+", n.lower())[k:] for k in range(5)), strict=False)} for _, n in notices]
+    own = [{tuple(x) for x in zip(*(re.findall("[a-z0-9]+", t.lower())[k:] for k in range(5)), strict=False)} for t in texts]
+    assert found == {i for i, s in enumerate(own) if any(len(s & n) >= 0.8 * len(n) for n in sets)}
+
+
 def test_license_edited_words(spark):
     notice = license_scan.NOTICES[2][1].split()
     for cut in (3, 15):
