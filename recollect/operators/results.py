@@ -53,7 +53,7 @@ def occurrences_at(text: Column, needle: str, most: int) -> Column:
     """Where a literal begins (from 1), in any case, each occurrence after the one before, most of them."""
     low, size = F.lower(text), max(1, len(needle))
     # the parts between occurrences give their places
-    parts = F.split(low, "(?i)" + "".join(f"\\{c}" if not c.isalnum() and c.isascii() else c for c in needle.lower()), -1)
+    parts = F.split(low, "".join(f"\\{c}" if not c.isalnum() and c.isascii() else c for c in needle.lower()), -1)
     lengths = F.transform(F.slice(parts, F.lit(1), F.least(F.size(parts) - 1, F.lit(most))), F.length)
     summed = F.aggregate(lengths, F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found")), lambda s, n: F.struct((s["at"] + n + size).cast("int").alias("at"), F.concat(s["found"], F.array((s["at"] + n).cast("int"))).alias("found")))
     return summed["found"]
@@ -86,9 +86,7 @@ def snippets(text: Column, query: str, limit: int = 3, width: int = 900) -> Colu
     if not found:
         return F.array().cast("array<string>")
     # the phrase and then token after token, until there are enough
-    held = F.array().cast("array<string>")
-    for i, c in enumerate(found):
-        held = F.array_distinct(F.concat(held, c)) if i == 0 else F.when(F.size(held) >= limit * 8, held).otherwise(F.array_distinct(F.concat(held, c)))
+    held = F.aggregate(F.array(*found), F.array().cast("array<string>"), lambda a, c: F.when(F.size(a) >= limit * 8, a).otherwise(F.array_distinct(F.concat(a, c))))
     covered = lambda s: lexical.total([F.contains(F.lower(s), F.lit(t)).cast("int") for t in terms])
     ranked = F.transform(held, lambda s, i: F.struct((-(40 * covered(s) + snippet_quality(s))).alias("worth"), i.alias("no"), s.alias("s")))
     return F.transform(F.slice(F.array_sort(ranked), 1, limit), lambda x: x["s"])
