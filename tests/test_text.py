@@ -91,6 +91,19 @@ def test_pack_against_every_stretch():
             assert chunking.pack(blocks, size, overlap, strict) == by_hand(blocks, size, overlap, strict)
 
 
+def test_packing_block_by_block(monkeypatch):
+    g = random.Random(8)
+    for held in (0, 1, 3):
+        monkeypatch.setattr(chunking, "HELD", held)
+        for _ in range(300):
+            size, overlap = g.randint(5, 40), g.randint(0, 15)
+            blocks = [(i, "".join(g.choice("ab ") for _ in range(g.randint(1, g.choice([6, 20, 90])))) + "x") for i in range(g.randint(0, 20))]
+            for strict in (False, True):
+                p = chunking.Packer(size, overlap, strict)
+                got = [c for b in blocks for c in p.add(*b)] + list(p.done())
+                assert got == chunking.pack(blocks, size, overlap, strict)
+
+
 def test_chunks_of_sessions(spark):
     turns = [("c:1", i, ("user", "assistant", "system")[i % 3], "", f"turn {i} " + "word " * (i * 37 % 400)) for i in range(30)] + [("c:2", 0, "user", "t", "short")]
     heads = [("c:1", "c", "T", "/w", "2024"), ("c:2", "c", "U", "", "2025")]
