@@ -550,17 +550,20 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+    """The pairs (a, b) whose sets link.
+
+    What places a set is needed in is found from the pairs alone, so a set moves to
+    meet its places and from there to each of them.
+    """
     n = n_partitions(documents.sparkSession)
-    sets = needed_sets(documents, pairs).join(classes, ["doc_id", "key"]).select("doc_id", "body")
-    sets = checkpointed(sets)
     # a document's partners are dealt over places of some PARTNERS each
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("places"))
-    spot = pairs.join(degree, "a").select(F.concat_ws("-", "a", F.pmod(F.xxhash64("b"), F.col("places"))).alias("place"), "b")
-    theirs = spot.join(sets.withColumnRenamed("doc_id", "b"), "b").select("place", F.col("b").alias("other"), "body")
-    own = degree.withColumnRenamed("a", "doc_id").join(sets, "doc_id").select(F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("s"), "doc_id", "body")
-    own = own.select(F.concat_ws("-", "doc_id", "s").alias("place"), F.lit(None).cast("long").alias("other"), "body")
-    rows = own.unionByName(theirs).repartition(n, "place").sortWithinPartitions("place", F.asc_nulls_first("other"))
+    spot = pairs.join(degree, "a").select("a", "b", F.concat_ws("-", "a", F.pmod(F.xxhash64("b"), F.col("places"))).alias("place"))
+    theirs = spot.select(F.col("b").alias("doc_id"), "place", F.col("b").alias("other"))
+    own = spot.select(F.col("a").alias("doc_id"), "place").distinct().withColumn("other", F.lit(None).cast("long"))
+    need = own.unionByName(theirs).join(classes, "doc_id")
+    rows = needed_sets(documents, pairs).join(need, ["doc_id", "key"]).select("place", "other", "body")
+    rows = rows.repartition(n, "place").sortWithinPartitions("place", F.asc_nulls_first("other"))
     return rows.mapInArrow(tidied(verified), "a long, b long")
 
 
