@@ -32,11 +32,11 @@ stay as they are in draw() and don't matter elsewhere.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,29 +51,22 @@ MAX_CELLS = 150_000
 DIMS, ROUNDS, START, OWN_MEANS = 128, 6, 512, 64
 #: Words of fewer letters say nothing of a topic.
 TOPIC_LETTERS = 4
-#: Words whose places a task remembers.
-KNOWN = 300_000
 MARGINS = ("source", "lang", "topic")
 
 
-class Places(dict):
-    """The place of each word, remembered up to a bound; short words have none (DIMS)."""
-
-    def __missing__(self, word: str) -> int:
-        core = word.strip(".,;:!?\"'()[]")
-        at = DIMS if len(core) < TOPIC_LETTERS else zlib.crc32(core.encode("utf-8", "surrogatepass")) % DIMS
-        if len(word) <= 64:
-            if len(self) >= KNOWN:
-                self.clear()
-            self[word] = at
-        return at
-
-
-def vector(text: str | None, known: Places) -> np.ndarray:
-    """A document's words as whole numbers from 0 to 127 over DIMS places, of length 127 about."""
-    words = (text or "").lower().split()
-    x = np.log1p(np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=DIMS + 1)[:DIMS])
-    return np.round(127 * x / max(np.sqrt((x * x).sum()), 1e-9)).astype(np.int8)
+def vectors(texts: list[str | None]) -> np.ndarray:
+    """Each document's words as whole numbers from 0 to 127 over DIMS places, of length 127 about."""
+    words: list[str] = []
+    counts = np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        own = (t or "").lower().split()
+        counts[i] = len(own)
+        words += own
+    told = np.fromiter(map(len, words), np.int64, len(words)) >= TOPIC_LETTERS
+    place = np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words)) % DIMS
+    row = np.repeat(np.arange(len(texts)), counts)
+    x = np.log1p(np.bincount((row * DIMS + place)[told], minlength=len(texts) * DIMS)[: len(texts) * DIMS].reshape(len(texts), DIMS))
+    return np.round(127 * x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)).astype(np.int8)
 
 
 def described(documents: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -83,11 +76,10 @@ def described(documents: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     encoder = Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Places()
         for b in batches:
             texts = b.column("text").to_pylist()
             n = [encoder.count(t) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(n, pa.int64()), pa.array([vector(t, known).tobytes() for t in texts], pa.binary())], names=[*columns, "n_tokens", "vec"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in vectors(texts)], pa.binary())], names=[*columns, "n_tokens", "vec"])
 
     rows = documents.select(*columns, *(["text"] if "text" not in columns else []))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*columns).schema.fields)
@@ -370,9 +362,8 @@ def draw(documents: DataFrame, targets: dict[str, dict] | None = None, keep: flo
     own = {c: f"c{i}" for i, c in enumerate(columns)}  # names that can't clash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Places()
         for b in batches:
-            x = np.array([vector(t, known) for t in b.column(own["text"]).to_pylist()], np.int8).reshape(-1, DIMS).astype(float)
+            x = vectors(b.column(own["text"]).to_pylist()).astype(float)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.of(b.column(own["lang"]).to_pylist(), x), pa.int32())], names=[*b.schema.names, "own_topic"])
 
     rows = documents.select(*(F.col(f"`{c}`").alias(x) for c, x in own.items()))
