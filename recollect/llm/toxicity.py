@@ -52,8 +52,6 @@ MIN_DOCS = 4
 WINDOW = 2
 #: Shares of a document's windows, the worst, whose averages are read beside the worst window.
 SCALES = (0.004, 0.02, 0.15)
-#: Where the weights of the scales start, the worst window first.
-START = (0.0, 0.0, 0.0, 0.0)
 #: A run of more than LONG characters is read in pieces.
 LONG, PIECE, STEP = 40, 16, 8
 #: A clean text called toxic costs as much as so many missed toxic ones, by share.
@@ -138,49 +136,60 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(texts: list[str], label: np.ndarray, steps: int = 40, rate: float = 0.02, decay: float = 0.02, seed: int = 11) -> dict:
-    """Bucket vectors E, softmax C and b, and scale weights a, by Adam over all documents; with 0 steps they are random."""
-    words, at, counts = numbered(texts)
+def bags(words: pa.Array, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(used, flat, owner, size): the buckets that MIN_DOCS documents have, those of every word by number, whose they are, and how many each word has in all."""
     flat, owner = buckets_of(words)
     size = np.bincount(owner, minlength=len(words))
-    by = np.argsort(owner, kind="stable")
+    by = np.argsort(owner, kind="stable").astype(np.int32)
     flat, owner = flat[by], owner[by]
+    del by
     edge = np.concatenate([[0], np.cumsum(size)])
-    # buckets that few documents have get no vector: they could only be learnt by heart
     seen, end = np.zeros(BUCKETS, np.int32), np.cumsum(counts)
     for a, z in zip(end - counts, end, strict=True):
         own = np.unique(at[a:z])
         seen[np.unique(np.concatenate([flat[:0], *(flat[edge[w] : edge[w + 1]] for w in own)]))] += 1
-    common = seen[flat] >= min(MIN_DOCS, len(texts))
-    owner, (used, flat) = owner[common], np.unique(flat[common], return_inverse=True)
-    first, stop, text = windows_of(counts)
+    # buckets that few documents have get no vector: they could only be learnt by heart
+    common = seen >= min(MIN_DOCS, len(counts))
+    kept = common[flat]
+    number = (np.cumsum(common) - 1).astype(np.int32)
+    return np.flatnonzero(common), number[flat[kept]], owner[kept], size
+
+
+def train(texts: list[str], label: np.ndarray, steps: int = 40, rate: float = 0.02, decay: float = 0.02, seed: int = 11) -> dict:
+    """Bucket vectors E, softmax C and b, and scale weights a, by Adam over all documents; with 0 steps they are random."""
+    words, at, counts = numbered(texts)
+    used, flat, owner, size = bags(words, at, counts)
+    at = at.astype(np.int32)
+    first, stop, text = (x.astype(np.int32) for x in windows_of(counts))
     begin, n_windows, take = pools_of(text, len(texts))
-    width = (stop - first).astype(float)
+    both = stop - first == 2
+    width = (stop - first).astype(np.float32)
+    head, tail = at[first], at[stop - 1]  # a window's first word, and its last
     y = label.astype(int)
     even = len(y) / 2 / np.maximum(np.bincount(y, minlength=2), 1)
     g = np.random.default_rng(seed)
-    p = {"E": g.normal(0, 0.01, (DIM, len(used))), "C": g.normal(0, 0.1, (DIM, 2)), "b": np.zeros(2), "a": np.array(START)}
+    p = {"E": g.normal(0, 0.01, (DIM, len(used))), "C": g.normal(0, 0.1, (DIM, 2)), "b": np.zeros(2), "a": np.zeros(take.shape[1])}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    place = np.arange(len(text)) - begin[text]  # the rank that a window gets once they are sorted
+    place = (np.arange(len(text)) - begin[text]).astype(np.int32)  # the rank that a window gets once they are sorted
+    per = np.maximum(take, 1)
     for step in range(1, steps + 1):
-        word = np.stack([np.bincount(owner, e[flat], len(words)) / size for e in p["E"]])
-        total = np.concatenate([np.zeros((DIM, 1)), np.cumsum(word[:, at], 1)], 1)
-        x = (total[:, stop] - total[:, first]) / width
+        word = np.stack([np.bincount(owner, e[flat], len(words)) / size for e in p["E"]]).astype(np.float32)
+        x = np.stack([(w[head] + np.where(both, w[tail], 0)) / width for w in word])
         rank = np.lexsort((-(p["C"][:, 1] - p["C"][:, 0]) @ x, text))
+        x = x[:, rank]
         alpha = softmax(p["a"])
-        share = (place[:, None] < take[text]) / np.maximum(take[text], 1)  # of each scale, by rank
-        means = np.stack([np.stack([np.bincount(text, share[:, s] * e, len(y)) for e in x[:, rank]]) for s in range(take.shape[1])])
+        means = np.stack([np.stack([np.bincount(text, np.where(place < take[text, s], e, 0), len(y)) / per[:, s] for e in x]) for s in range(take.shape[1])])
         doc = np.tensordot(alpha, means, 1)
         dz = (softmax(GAIN * doc.T @ p["C"] + p["b"]) - np.eye(2)[y]) * (even[y] / len(y))[:, None]
         dx = GAIN * dz @ p["C"].T
         d_alpha = np.einsum("sdn,nd->s", means, dx)
-        each = np.zeros((len(text), DIM))
-        each[rank] = (share @ alpha)[:, None] * dx[text]
+        share = np.zeros(len(text), np.float32)
+        share[rank] = sum(np.where(place < take[text, s], alpha[s] / per[text, s], 0) for s in range(take.shape[1])) / width[rank]
         grad = {"b": dz.sum(0), "C": GAIN * doc @ dz, "a": alpha * (d_alpha - alpha @ d_alpha), "E": np.empty_like(p["E"])}
         for k in range(DIM):
-            d = each[:, k] / width
-            d_place = np.cumsum(np.bincount(first, d, len(at) + 1) - np.bincount(stop, d, len(at) + 1))[:-1]
-            grad["E"][k] = np.bincount(flat, (np.bincount(at, d_place, len(words)) / size)[owner], len(used))
+            each = share * dx[text, k].astype(np.float32)
+            d_word = (np.bincount(head, each, len(words)) + np.bincount(tail, np.where(both, each, 0), len(words))) / size
+            grad["E"][k] = np.bincount(flat, d_word[owner], len(used))
         for k in p:
             # one pace for all buckets: those that tell most move most
             m[k], v[k] = 0.9 * m[k] + 0.1 * grad[k], 0.999 * v[k] + 0.001 * ((grad[k] ** 2).mean() if k == "E" else grad[k] ** 2)
