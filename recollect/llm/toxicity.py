@@ -54,8 +54,6 @@ WINDOW = 2
 SCALES = (0.004, 0.02, 0.15)
 #: A run of more than LONG characters is read in pieces.
 LONG, PIECE, STEP = 40, 16, 8
-#: A clean text called toxic costs as much as so many missed toxic ones, by share.
-ALARM_COST = 3.0
 GAIN = 20.0
 #: ASCII letters and digits, and what is neither ASCII nor space nor one of the common signs beyond it.
 WORD = re.compile("[^\\s\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7 -⁯₠-⃏←-⯿　-〄〈-〠＀-／：-＠﻿]+")
@@ -222,18 +220,20 @@ def fit(documents: DataFrame, labels: DataFrame, bound: dict = TRAIN_ROWS) -> di
     nth = np.where(label == 1, np.cumsum(label == 1), np.cumsum(label == 0))
     apart = nth % APART == 0
     model = train(list(got["text"][~apart]), label[~apart])
-    return calibrated(model, list(got["text"][apart]), label[apart])
+    # how many clean documents there are for a toxic one, of those that may be learnt from
+    seen = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic")).first()
+    return calibrated(model, list(got["text"][apart]), label[apart], seen.clean / max(1, seen.toxic))
 
 
-def calibrated(model: dict, texts: list[str], label: np.ndarray) -> dict:
-    """The model with its cut where misses and ALARM_COST times false alarms are fewest among texts that it has not seen, in the middle of the best stretch."""
+def calibrated(model: dict, texts: list[str], label: np.ndarray, clean: float = 1.0) -> dict:
+    """The model with its cut where errors are fewest among texts that it has not seen, in the middle of the best stretch; there are so many clean documents for a toxic one."""
     if min((label == 0).sum(), (label == 1).sum()) < 5:
         return model
     z = logits(model, texts)
     at = np.unique(z)
     cuts = np.concatenate([[at[0] - 1], (at[1:] + at[:-1]) / 2, [at[-1] + 1]])
     good, bad = np.sort(z[label == 0]), np.sort(z[label == 1])
-    cost = np.searchsorted(bad, cuts) / len(bad) + ALARM_COST * (1 - np.searchsorted(good, cuts) / len(good))
+    cost = np.searchsorted(bad, cuts) / len(bad) + clean * (1 - np.searchsorted(good, cuts) / len(good))
     best = np.flatnonzero(cost <= cost.min() + 1e-12)
     low, high = np.concatenate([[at[0] - 1], at])[best[0]], np.concatenate([at, [at[-1] + 1]])[best[-1]]
     return model | {"bias": model["bias"] - float(low + high) / 2}
