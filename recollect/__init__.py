@@ -1 +1,11 @@
-"""Session-memory analytics on Spark."""
+"""Analytics over archives of agent conversations, on Spark.
+
+Functions of this package travel to executors by value, so that a cluster
+needs no installed copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
