@@ -14,6 +14,8 @@ from .mixing import op7_mixing
 from .ngram_join import ORACLE as JOIN_ORACLE
 from .ngram_join import op5_ngram_jaccard_join
 from .quality import op6_quality_classifier
+from .ranked_search import ORACLE as SEARCH_ORACLE
+from .ranked_search import op13_ranked_search
 from .token_counts import op2_token_counts
 from .toxicity import op8_toxicity
 
@@ -30,8 +32,9 @@ def queries() -> dict:
         "op8_toxicity": lambda s, d: op8_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op9_nearest_neighbours": lambda s, d: op9_nearest_neighbours(table(s, d, "embeddings")),
         "op10_bpe_round_trip": lambda s, d: op10_bpe_round_trip(table(s, d, "documents")),
+        "op13_ranked_search": lambda s, d: op13_ranked_search(table(s, d, "documents"), table(s, d, "benchmark")),
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_scan": license_oracle(), "op4_chat_format": CHAT_ORACLE, "op5_ngram_jaccard_join": JOIN_ORACLE}
+    return {"op1_license_scan": license_oracle(), "op4_chat_format": CHAT_ORACLE, "op5_ngram_jaccard_join": JOIN_ORACLE, "op13_ranked_search": SEARCH_ORACLE}
