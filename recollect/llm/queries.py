@@ -8,6 +8,7 @@ from .chat_format import ORACLE as CHAT_ORACLE
 from .chat_format import op4_chat_format
 from .common import table
 from .fingerprints import op3_fingerprints
+from .hnsw import op12_embedding_dedup
 from .license_scan import op1_license_scan
 from .license_scan import oracle as license_oracle
 from .mixing import op7_mixing
@@ -32,6 +33,7 @@ def queries() -> dict:
         "op8_toxicity": lambda s, d: op8_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op9_nearest_neighbours": lambda s, d: op9_nearest_neighbours(table(s, d, "embeddings")),
         "op10_bpe_round_trip": lambda s, d: op10_bpe_round_trip(table(s, d, "documents")),
+        "op12_embedding_dedup": lambda s, d: op12_embedding_dedup(table(s, d, "embeddings")),
         "op13_ranked_search": lambda s, d: op13_ranked_search(table(s, d, "documents"), table(s, d, "benchmark")),
     }
 
