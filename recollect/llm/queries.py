@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op9_nearest_neighbours
 from .bpe import op10_bpe_round_trip
+from .bucketed import op11_cobucketed_pair
 from .chat_format import ORACLE as CHAT_ORACLE
 from .chat_format import op4_chat_format
 from .common import table
@@ -33,6 +34,7 @@ def queries() -> dict:
         "op8_toxicity": lambda s, d: op8_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op9_nearest_neighbours": lambda s, d: op9_nearest_neighbours(table(s, d, "embeddings")),
         "op10_bpe_round_trip": lambda s, d: op10_bpe_round_trip(table(s, d, "documents")),
+        "op11_cobucketed_pair": lambda s, d: op11_cobucketed_pair(table(s, d, "sales"), table(s, d, "sale_lines")),
         "op12_embedding_dedup": lambda s, d: op12_embedding_dedup(table(s, d, "embeddings")),
         "op13_ranked_search": lambda s, d: op13_ranked_search(table(s, d, "documents"), table(s, d, "benchmark")),
     }
