@@ -13,7 +13,8 @@ Beams widen until an audit passes. An audit asks for AUDIT points that lie just
 the least cosine of nodes of the shard, the hardest to find, and compares what the beam
 finds with all nodes of the shard; under RECALL the beam doubles. A query whose beam
 has filled up with links for a half is asked again with one four times as wide. A beam
-wider than an eighth of the shard is replaced by comparing with the whole shard. All
+wider than 1/WHOLE of the shard costs more than comparing with all of its nodes, and is
+replaced by that. All
 links are verified in double precision; nodes that no path reaches are compared always.
 
 Graphs are built in batches: a batch searches the graph of those before it and is
@@ -43,6 +44,8 @@ from .components import components
 M, GROUND, BUILD = 12, 24, 48
 #: Nodes and bytes of vectors in a shard; nodes that join a graph at once; the first beam.
 SHARD, SHARD_BYTES, JOINING, BEAM = 8_192, 32 << 20, 256, 32
+#: Beams of more than a shard's nodes by this are replaced by all of them.
+WHOLE = 32
 #: Points of an audit, and the share of their links that a beam must find.
 AUDIT, RECALL = 256, 0.99
 #: Queries that walk together.
@@ -186,7 +189,7 @@ class Graph:
 
 
 def audit(graph: Graph, least: float) -> int:
-    """The beam that passes: the number of nodes if none narrower than an eighth of them does."""
+    """The beam that passes: the number of nodes if none up to 1/WHOLE of them does."""
     v, n = graph.vectors, len(graph.vectors)
     g = np.random.default_rng(7)
     own = v[g.permutation(n)[:AUDIT]]
@@ -198,7 +201,7 @@ def audit(graph: Graph, least: float) -> int:
     truth = points @ v.T >= least
     loose = graph.unreached()
     beam = BEAM
-    while beam <= n // 8:
+    while beam <= n // WHOLE:
         ids, near = graph.search(points, beam)
         hit = np.zeros_like(truth)
         row, at = np.nonzero((ids >= 0) & (near >= least))
@@ -220,7 +223,7 @@ def links(graph: Graph, beam: int, exact: np.ndarray, asked: np.ndarray, least:
     while len(rows):
         again = []
         for some in np.array_split(rows, -(-len(rows) // TOGETHER)):
-            if wide > n // 8:
+            if wide > n // WHOLE:
                 out[some] = asked[some] @ exact.T >= least
                 continue
             ids, near = graph.search(asked[some].astype(np.float32), wide)
