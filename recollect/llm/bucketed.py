@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import shared_folder, small_batches
+from .common import checkpointed, shared_folder, small_batches
 
 BUCKETS = 150
 #: Rows that become columns at once, and rows of a row group.
@@ -265,8 +265,8 @@ def cobucketed(sales: DataFrame, lines: DataFrame, folder: str) -> dict[str, lis
         "sales": write(rows_of(sales), F.when(b % 5 == 1, b - 1).otherwise(b), BUCKETS + 2, f"{folder}/sales", "start", "sale_id"),
         "sale_lines": write(rows_of(lines), F.when(item.isNull(), 0).otherwise(crc(item.cast("string"))), BUCKETS, f"{folder}/sale_lines", "start", "sale_id"),
     }
-    # a shuffle by the key, as the number of sales has no bound
-    known = sales.select(F.col("sale_id").alias("known")).where("known is not null").distinct().hint("merge")
+    # a shuffle by the key, as the number of sales has no bound; nothing but that shuffle below the join, so that a key with very many lines is split
+    known = checkpointed(sales.select(F.col("sale_id").alias("known")).where("known is not null").distinct()).hint("merge")
 
     def lines_bucketed(rows: DataFrame) -> DataFrame:
         own = F.when(F.col("row.sale_id").isNotNull() & F.col("known").isNull(), BUCKETS).otherwise(b)
