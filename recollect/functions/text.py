@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,6 +112,29 @@ def terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
 
 
+#: Latin letters with accents and their plain forms, in code point order; combining accents have none.
+ACCENTED = {chr(c): base for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if (base := unicodedata.normalize("NFD", chr(c))[0]) != chr(c) and base.isascii()}
+ACCENTS = "".join(map(chr, range(0x300, 0x370)))
+_PLAIN = str.maketrans(ACCENTED | dict.fromkeys(ACCENTS))
+#: Words of any script: runs of letters and digits.
+WORDS = r"[\p{L}\p{N}]+"
+
+
+def plain(c: Column) -> Column:
+    """Lower case, Latin letters without accents."""
+    return F.translate(F.lower(c), "".join(ACCENTED) + ACCENTS, "".join(ACCENTED.values()))
+
+
+def words(c: Column) -> Column:
+    """The full-text index's words of a text."""
+    return F.regexp_extract_all(plain(c), F.lit(WORDS), F.lit(0))
+
+
+def words_of(text: str) -> list[str]:
+    """words() of a string."""
+    return re.findall(r"[^\W_]+", text.lower().translate(_PLAIN))
+
+
 def occurrences(c: Column, needle: str) -> Column:
     """Non-overlapping occurrences of a literal."""
     return ((F.length(c) - F.length(F.replace(c, F.lit(needle), F.lit("")))) / len(needle)).cast("int")

@@ -83,21 +83,41 @@ class Index:
         return held.select("id", apart.alias("hits")).where("hits > 0")
 
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple[str, str], tuple[tuple, str]] = {}
+
+
+def state(rows: DataFrame) -> tuple:
+    """What rows are made of: the plan, and the time and length of each file that it reads."""
+    jvm, conf = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    files = []
+    for f in sorted(rows.inputFiles()):
+        place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(f))
+        status = place.getFileSystem(conf).getFileStatus(place)
+        files.append((f, status.getModificationTime(), status.getLen()))
+    return (rows.semanticHash(), *files)
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of this machine in a local session without it, an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder and not (spark.sparkContext.master or "").split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/") or tempfile.mkdtemp(prefix="index")
 
 
 def indexed(rows: DataFrame, name: str) -> Index:
-    """The index of rows, written when this application first asks for name: in the folder of spark.checkpoint.dir, or one of this machine in a local session."""
+    """The index of rows, written when this application first asks for name or rows have changed since; the one before is removed."""
     spark = rows.sparkSession
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _WRITTEN:
-        folder = spark.conf.get("spark.checkpoint.dir", "")
-        if not folder and not (spark.sparkContext.master or "").startswith("local["):
-            folder = spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{folder or tempfile.mkdtemp(prefix='index')}/index-{uuid.uuid4().hex}"
+    key, now = (spark.sparkContext.applicationId, name), state(rows)
+    held, path = _WRITTEN.get(key, (None, ""))
+    if held != now:
+        if path:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        path = f"{shared(spark)}/index-{uuid.uuid4().hex}"
         Index.write(rows.select("id", "text"), path)
-        _WRITTEN[key] = path
-    return Index(spark, _WRITTEN[key])
+        _WRITTEN[key] = now, path
+    return Index(spark, path)
 
 
 def counted(rows: DataFrame, terms: list[str], prefix: bool = False, column: str = "text") -> DataFrame:
@@ -145,10 +165,11 @@ def phrase(rows: DataFrame | Index, words: list[str]) -> DataFrame:
     return rows.withColumn("hits", T.occurrences(joined, needle)).where("hits > 0")
 
 
-def literal(rows: DataFrame, needle: str, newest: int = 5000, order: str = "id") -> DataFrame:
-    """Rows that hold the literal in any case, of the newest ones that do, with score 100 + 10 * min(count, 5)."""
+def literal(rows: DataFrame, needle: str, newest: int | None = 5000, order: str = "id") -> DataFrame:
+    """Rows that hold the literal in any case, of the newest ones that do (None: all), with score 100 + 10 * min(count, 5)."""
     low = F.lower("text")
-    hits = rows.where(F.contains(low, F.lit(needle.lower()))).orderBy(F.desc(order)).limit(newest)
+    hits = rows.where(F.contains(low, F.lit(needle.lower())))
+    hits = hits if newest is None else hits.orderBy(F.desc(order)).limit(newest)
     return hits.withColumn("score", 100 + 10 * F.least(T.occurrences(low, needle.lower()), F.lit(5)))
 
 

@@ -92,10 +92,10 @@ def snippets(text: Column, query: str, limit: int = 3, width: int = 900) -> Colu
     return F.transform(F.slice(F.array_sort(ranked), 1, limit), lambda x: x["s"])
 
 
-def excerpt(text: Column, terms: list[str], size: int = 14) -> Column:
-    """size terms of a text from a little before the first that the query has, with ellipses where terms are left out."""
-    words = T.terms(text)
-    hit = F.array_position(F.transform(words, lambda w: w.isin(terms)), True)
+def excerpt(text: Column, terms: list[str], size: int = 14, whole: bool = False) -> Column:
+    """size terms of a text from a little before the first that the query has, with ellipses where terms are left out; whole: words of any script, as they are written."""
+    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}\p{Mn}]+"), F.lit(0)) if whole else T.terms(text)
+    hit = F.array_position(F.transform(words, lambda w: (T.plain(w) if whole else w).isin(terms)), True)
     begin = F.greatest(F.lit(1), F.least(F.greatest(hit - size // 4, F.lit(1)), F.size(words) - size + 1)).cast("int")
     return F.concat(F.when(begin > 1, "...").otherwise(""), F.array_join(F.slice(words, begin, F.lit(size)), " "), F.when(begin + size <= F.size(words), "...").otherwise(""))
 

@@ -610,7 +610,7 @@ def _(s, d):
 
 
 def queries() -> dict:
-    from . import more  # noqa: F401  registers its own
+    from . import fulltexts, more  # noqa: F401  register their own
 
     return dict(Q)
 

@@ -11,8 +11,12 @@ from __future__ import annotations
 import re
 import threading
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import fulltext, results
 
 MAX_ROWS, DEFAULT_ROWS, CELL, QUERY, SECONDS = 200, 50, 500, 4_000, 10
 #: Nodes of a parsed statement that only read.
@@ -88,6 +92,9 @@ def checked(plan, tables: set[str], scope: frozenset[str]) -> None:
             own = pair._1().lower()
             checked(pair._2(), tables, scope | {own} if plan.allowRecursion() else scope)
             scope = scope | {own}
+    if name == "WithWindowDefinition":  # a map, which plan.expressions() leaves out
+        for pair in each(plan.windowDefinitions()):
+            expression(pair._2(), tables, scope)
     for e in each(plan.expressions()):
         expression(e, tables, scope)
     for child in each(plan.children()):
@@ -109,6 +116,101 @@ def expression(e, tables: set[str], scope: frozenset[str]) -> None:
         expression(child, tables, scope)
 
 
+def resolved(plan) -> None:
+    """Raises Refused if the analysed plan calls what is outside of Spark's own functions: a second look, at what names have become."""
+    for e in each(plan.expressions()):
+        inner(e)
+    for child in each(plan.children()):
+        resolved(child)
+
+
+def inner(e) -> None:
+    kind = e.getClass().getSimpleName()
+    if re.search("Reflect|CallMethod|Python|ScalaUDF|HiveSimple|HiveGeneric|InputFile|TryReflect", kind):
+        raise Refused(f"not allowed: {kind}")
+    if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+        resolved(e.plan())
+    for child in each(e.children()):
+        inner(child)
+
+
+def unquoted(literal: str) -> str:
+    """The value of a quoted string."""
+    return literal[1:-1].replace(literal[0] * 2, literal[0])
+
+
+def with_matches(sql: str, indexes: dict[str, Searched], views: dict[str, DataFrame]) -> str:
+    """The statement with full-text search as tables: views gets them by name.
+
+    fts_match('query') and fts_match('table', 'query') are tables (id, rank, snippet).
+    For a table chunks with an index, chunks_fts is a table (rowid, rank, title, cwd,
+    text) of what chunks_fts MATCH 'query' finds; bm25(chunks_fts) is its rank, and
+    snippet(chunks_fts, ...) an excerpt. Rank falls as a match gets better.
+    """
+    parts = literals(sql)
+    plain = list(range(0, len(parts), 2))
+    asked: dict[str, str] = {}
+    for i in plain:
+        m = re.search(r"(?is)\b(?:(\w+)_fts)\s+match\s*$", parts[i])
+        if m and i + 1 < len(parts) and parts[i + 1][0] in "'\"":
+            table, query = m[1].lower(), unquoted(parts[i + 1])
+            if table not in indexes:
+                raise Refused(f"no index of {table}")
+            if asked.setdefault(table, query) != query:
+                raise Refused(f"{table}_fts is matched with two queries: use fts_match for one of them")
+            parts[i], parts[i + 1] = parts[i][: m.start()] + " TRUE ", ""
+    for i in plain:
+        m = re.search(r"(?is)\bfts_match\s*\(\s*$", parts[i])
+        if not m:
+            continue
+        given, j = [], i + 1
+        while j < len(parts) and parts[j][:1] in ("'", '"'):
+            given.append(unquoted(parts[j]))
+            comma = re.match(r"\s*,\s*$", parts[j + 1])
+            if not comma:
+                break
+            parts[j] = parts[j + 1] = ""
+            j += 2
+        end = re.match(r"\s*\)", parts[j + 1]) if given and j + 1 < len(parts) else None
+        if not end or len(given) > 2:
+            raise Refused("fts_match takes a query, or a table and a query, in quotes")
+        table = given[0].lower() if len(given) == 2 else next(iter(indexes), "")
+        if table not in indexes:
+            raise Refused(f"no index of {table}")
+        name = f"fts_match_{len(views)}"
+        views[name] = indexes[table].found(given[-1]).select("id", "rank", "snippet")
+        parts[i], parts[j], parts[j + 1] = parts[i][: m.start()] + name, "", parts[j + 1][end.end() :]
+    for table, query in asked.items():
+        views[f"{table}_fts"] = indexes[table].found(query).withColumnRenamed("id", "rowid")
+        for i in plain:
+            parts[i] = re.sub(rf"(?i)\bbm25\s*\(\s*{table}_fts\s*(?:,[\s\d.,]*)?\)", "rank", parts[i])
+        text = "".join(parts)
+        text = re.sub(rf"(?is)\bsnippet\s*\(\s*{table}_fts\b(?:[^()']|'[^']*')*\)", "snippet", text)
+        parts = literals(text)
+        plain = list(range(0, len(parts), 2))
+    if re.search(r"(?i)\bmatch\b", "".join(parts[0::2])):
+        raise Refused("MATCH stands after the name of an index and before a query in quotes")
+    return "".join(parts)
+
+
+class Searched(NamedTuple):
+    """A table (id, title, cwd, text) and its full-text index."""
+
+    index: fulltext.FullText
+    table: DataFrame
+
+    def found(self, query: str) -> DataFrame:
+        """(id, rank, title, cwd, text, snippet) of what a query matches; texts are read for those rows alone."""
+        try:
+            asked, _ = fulltext.parsed(query)
+            hits = self.index.match(query)
+        except fulltext.Syntax as e:
+            raise Refused(str(e)) from None
+        terms = [w for c in asked for w in c.words]
+        rows = self.table.select("id", "title", "cwd", "text").join(hits, "id")
+        return rows.select("id", "rank", "title", "cwd", "text", results.excerpt(F.col("text"), terms, whole=True).alias("snippet") if terms else F.lit("").alias("snippet"))
+
+
 def guarded(spark: SparkSession, sql: str, tables: set[str]) -> str:
     """The statement to run; Refused if it isn't a query over tables."""
     sql = rewritten(sql[:QUERY].strip().rstrip(";").strip())
@@ -120,18 +222,15 @@ def guarded(spark: SparkSession, sql: str, tables: set[str]) -> str:
     return sql
 
 
-def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], limit: int = DEFAULT_ROWS, seconds: float = SECONDS) -> dict:
-    """columns, rows (cells cut to CELL characters) and whether there were more."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    statement = guarded(spark, sql, set(tables))
+def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], limit: int = DEFAULT_ROWS, seconds: float = SECONDS, indexes: dict[str, fulltext.FullText] | None = None) -> dict:
+    """columns, rows (cells cut to CELL characters) and whether there were more; indexes: of tables by name, for MATCH and fts_match."""
     limit = max(1, min(limit, MAX_ROWS))
+    df = query(spark, sql, tables, indexes)
     tag = f"sql-{threading.get_ident()}"
     spark.addTag(tag)
     timer = threading.Timer(seconds, spark.interruptTag, [tag])
     timer.start()
     try:
-        df = spark.sql(statement)
         rows = df.limit(limit + 1).collect()
     finally:
         timer.cancel()
@@ -140,9 +239,14 @@ def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], limit: int
     return {"columns": df.columns, "rows": [[cut(v) for v in r] for r in rows[:limit]], "truncated": len(rows) > limit}
 
 
-def fts_match(rows: DataFrame, query: str, limit: int = 300) -> DataFrame:
-    """The table function that stands for MATCH: (id, score), to be joined on id."""
-    from ..functions import text as T
-    from ..operators import lexical
-
-    return lexical.bm25(rows, T.match_terms(query), limit)
+def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame], indexes: dict[str, fulltext.FullText] | None = None) -> DataFrame:
+    """What a statement over tables, and over the indexes of some of them, gives; Refused if it isn't a query over these alone."""
+    views: dict[str, DataFrame] = {}
+    held = {name.lower(): Searched(index, tables[name]) for name, index in (indexes or {}).items()}
+    sql = with_matches(sql[:QUERY], held, views)
+    for name, df in {**tables, **views}.items():
+        df.createOrReplaceTempView(name)
+    statement = guarded(spark, sql, {*tables, *views})
+    df = spark.sql(statement)
+    resolved(df._jdf.queryExecution().analyzed())
+    return df

@@ -164,7 +164,7 @@ def test_hidden_fails_closed(spark):
 
 
 @pytest.mark.parametrize("sql", ["DROP TABLE t", "INSERT INTO t VALUES (1)", "SELECT 1; SELECT 2", "SELECT * FROM secret", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "SET a = b", "SELECT * FROM parquet.`/etc`", "SHOW TABLES"])
-def test_sql_refuses(spark, sql):
+def test_sql_refuses_commands(spark, sql):
     with pytest.raises(sqlapi.Refused):
         sqlapi.run(spark, sql, {"t": spark.range(3).withColumnRenamed("id", "a")})
 
