@@ -73,10 +73,10 @@ def project_key(source: Column, cwd: Column) -> Column:
 
 
 def looks_like_followup(text: Column, before: Column) -> Column:
-    """A marker word, at most two tokens, or a token of five letters shared with the message before."""
-    words, old = T.tokens(text), T.tokens(before)
+    """A marker word anywhere, at most two query tokens, or one of five letters shared with the message before."""
+    words, old = T.query_words(text), T.query_words(before)
     long = lambda a: F.filter(a, lambda x: F.length(x) >= 5)
-    return F.lower(text).rlike(r"^(and|also|but|so|then|what about|how about|why|it|that|this|those|these)\b") | (F.size(words) <= 2) | F.coalesce(F.arrays_overlap(long(words), long(old)), F.lit(False))
+    return text.rlike(T.FOLLOW_UP) | (F.size(words) <= 2) | F.coalesce(F.arrays_overlap(long(words), long(old)), F.lit(False))
 
 
 def safe_session_key(key: Column) -> Column:

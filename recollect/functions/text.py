@@ -155,6 +155,15 @@ def query_tokens(text: str) -> list[str]:
     return list(found)
 
 
+def query_words(c: Column) -> Column:
+    """query_tokens() of a column."""
+    ing = lambda w: F.when((F.length(w) > 5) & w.endswith("ing"), F.regexp_replace(F.regexp_replace(w, "ing$", ""), "in$", "ine"))
+    plural = lambda w: F.when((F.length(w) > 4) & w.endswith("s"), F.regexp_replace(w, "s$", ""))
+    kept = F.filter(F.array_distinct(tokens(c)), lambda w: ~w.isin(STOP_WORDS))
+    each = F.flatten(F.transform(kept, lambda w: F.array_compact(F.array(w, ing(w), plural(w)))))
+    return F.array_distinct(F.filter(each, lambda w: ~w.isin(STOP_WORDS)))
+
+
 def anchor_tokens(words: list[str]) -> list[str]:
     return [w for w in words if len(w) >= 8 or re.search(r"[0-9/._:-]", w)]
 

@@ -455,15 +455,24 @@ def _(s, d):
     return windows.in_budget(conversations(s, d), "conv_id", "turn", "text", 1500).select("conv_id", "turn")
 
 
-@query("idle_sessionize", """WITH s AS (SELECT *, CASE event_id % 4 WHEN 0 THEN 'and more of ' || event_type WHEN 1 THEN event_type WHEN 2 THEN 'please begin something new ' || event_id ELSE 'run the ' || event_type || ' again' END AS text FROM events),
-b AS (SELECT *, lag(text) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM s),
-g AS (SELECT *, regexp_matches(lower(text), '^(and|also|but|so|then|what about|how about|why|it|that|this|those|these)\\b') OR len(regexp_extract_all(lower(text), '[a-z0-9_./:-]{3,}')) <= 2
-  OR coalesce(len(list_intersect(list_filter(regexp_extract_all(lower(text), '[a-z0-9_./:-]{3,}'), lambda x: length(x) >= 5), list_filter(regexp_extract_all(lower(before), '[a-z0-9_./:-]{3,}'), lambda x: length(x) >= 5))) > 0, false) AS follows,
-  epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS since FROM b)
+def query_tokens_sql(c: str) -> str:
+    """The tokens of a query with their light stems, without stop words, as a list."""
+    stop = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+    forms = """[w, CASE WHEN length(w) > 5 AND suffix(w, 'ing') THEN CASE WHEN suffix(w, 'ining') THEN left(w, length(w) - 3) || 'e' ELSE left(w, length(w) - 3) END END,
+      CASE WHEN length(w) > 4 AND suffix(w, 's') THEN left(w, length(w) - 1) END]"""
+    words = f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9_./:-]{{3,}}'), lambda w: w NOT IN ({stop}))"
+    return f"list_distinct(list_filter(flatten(list_transform({words}, lambda w: {forms})), lambda x: x IS NOT NULL AND x NOT IN ({stop})))"
+
+
+@query("idle_sessionize", f"""WITH s AS (SELECT *, CASE event_id % 5 WHEN 0 THEN 'give me more of ' || event_type || ' numbers' WHEN 1 THEN event_type WHEN 2 THEN 'please begin something new ' || event_id WHEN 3 THEN 'compare ' || event_type || ' across regions and quarters' ELSE 'run this ' || event_type || ' again with other settings' END AS text FROM events),
+b AS (SELECT *, lag(text) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM s), t AS (SELECT *, {query_tokens_sql('text')} AS own, {query_tokens_sql('before')} AS old FROM b),
+g AS (SELECT *, regexp_matches(lower(text), '\\b(more|updates?|up to date|up-to-date|latest|still|again|so far|by now|any (?:news|update|change)|anything else|recap|remind|that one|those|these|it)\\b') OR len(own) <= 2
+  OR coalesce(len(list_intersect(list_filter(own, lambda x: length(x) >= 5), list_filter(old, lambda x: length(x) >= 5))) > 0, false) AS follows,
+  epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS since FROM t)
 SELECT event_id, user_id, CAST(sum(CASE WHEN since IS NULL OR since > CASE WHEN NOT follows THEN 900 ELSE 21600 END * CAST(1000000 AS BIGINT) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no FROM g""")
 def _(s, d):
-    k = F.col("event_id") % 4
-    text = F.when(k == 0, F.concat(F.lit("and more of "), "event_type")).when(k == 1, F.col("event_type")).when(k == 2, F.concat(F.lit("please begin something new "), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("run the "), "event_type", F.lit(" again")))
+    k = F.col("event_id") % 5
+    text = F.when(k == 0, F.concat(F.lit("give me more of "), "event_type", F.lit(" numbers"))).when(k == 1, F.col("event_type")).when(k == 2, F.concat(F.lit("please begin something new "), F.col("event_id").cast("string"))).when(k == 3, F.concat(F.lit("compare "), "event_type", F.lit(" across regions and quarters"))).otherwise(F.concat(F.lit("run this "), "event_type", F.lit(" again with other settings")))
     rows = table(s, d, "events").withColumn("text", text)
     rows = rows.withColumn("before", F.lag("text").over(W.partitionBy("user_id").orderBy("ts", "event_id")))
     gap = F.when(M.looks_like_followup(F.col("text"), F.col("before")), 21600).otherwise(900)

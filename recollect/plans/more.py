@@ -488,9 +488,13 @@ def _(s, d):
     return chunks(s, d).where(T.is_human_title(title)).select("id")
 
 
-@query("sensitive_words", "SELECT doc_id AS id FROM documents WHERE " + " OR ".join("contains(lower(text), '{}')".format(w.replace("'", "''")) for w in T.SENSITIVE))
+@query("sensitive_words", f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' My ' || upper(list_extract([{", ".join("'{}'".format(w.replace("'", "''")) for w in T.SENSITIVE)}], CAST(doc_id % {len(T.SENSITIVE)} AS INT) + 1)) || '.' ELSE text END AS text FROM documents)
+SELECT doc_id AS id FROM t WHERE """ + " OR ".join("contains(lower(text), '{}')".format(w.replace("'", "''")) for w in T.SENSITIVE))
 def _(s, d):
-    return chunks(s, d).where(T.is_sensitive(F.col("text"))).select("id")
+    """A third of the chunks get one of the words each."""
+    word = F.element_at(F.array(*map(F.lit, T.SENSITIVE)), (F.col("id") % len(T.SENSITIVE) + 1).cast("int"))
+    text = F.when(F.col("id") % 3 == 0, F.concat("text", F.lit(" My "), F.upper(word), F.lit("."))).otherwise(F.col("text"))
+    return chunks(s, d).where(T.is_sensitive(text)).select("id")
 
 
 @query("token_estimates", "SELECT doc_id AS id, CAST(greatest(1, round_even(length(text) / 4.0, 0)) AS INT) AS tokens FROM documents")

@@ -1,5 +1,7 @@
 """Streams against the same rows in one batch."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,30 @@ def test_state_ends(spark, tmp_path):
         spark.createDataFrame([(k, 1000.0 * i)], "k string, s double").selectExpr("k", "timestamp_seconds(s) AS ts").coalesce(1).write.mode("append").parquet(src)
         held = go()
     assert held <= 2  # keys that are silent are forgotten
+
+
+@pytest.mark.parametrize("size", [64, 7])
+def test_order_over_all_arrow_batches(spark, tmp_path, size):
+    """600 shuffled rows of one key in one trigger, in Arrow batches far smaller than that."""
+    g = random.Random(3)
+    times = [0.0]
+    for _ in range(599):
+        times.append(times[-1] + g.choice([1, 5, 20, 130]))
+    src, mixed = str(tmp_path / "src"), g.sample(times, len(times))
+    spark.createDataFrame([("a", t) for t in mixed], "k string, s double").selectExpr("k", "timestamp_seconds(s) AS ts").coalesce(1).write.parquet(src)
+    sessions, allowed, seen = [], [], []
+    for i, t in enumerate(times):
+        sessions.append(1 if not i else sessions[-1] + (t - times[i - 1] > 100))
+        seen = [s for s in seen if t - s < 60]
+        allowed.append(len(seen) < 2)
+        seen += [t] if allowed[-1] else []
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+    try:
+        for name, want in (("session_no", sessions), ("allowed", allowed)):
+            stream = spark.readStream.schema("k string, ts timestamp").parquet(src)
+            out = R.idle_sessions(stream, "k", "ts", 100) if name == "session_no" else R.rate_limited(stream, "k", "ts", 2, 60)
+            out.writeStream.format("memory").queryName(f"{name}_{size}").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+            assert [r[name] for r in spark.table(f"{name}_{size}").orderBy("ts").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
