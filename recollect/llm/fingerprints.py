@@ -2,21 +2,19 @@
 
 The root covers sections, a section covers paragraphs, a paragraph covers
 leaves. Paragraphs are lines; a long paragraph is cut into leaves where the
-content says so (after a word whose hash is a multiple of CUT, and inside a word
-of more than LEAST code points after NEAR code points whose hash is a multiple
-of INNER), so an edit moves no cut outside of its place. Runs without spaces, such as
-Chinese or base64, are so cut as well: a word is at most MOST code points, and a
-leaf LEAF_WORDS words. SECTION paragraphs in a row, cut by content too, make a
+content says so (after a word whose hash is a multiple of CUT, once the leaf has FEW
+words, and inside a word of more than LEAST code points after NEAR code points whose
+hash is a multiple of INNER), so an edit moves few cuts outside of its place. Runs
+without spaces, such as Chinese or base64, are so cut as well: a word is at most MOST
+code points, and a leaf LEAF_WORDS words. SECTION paragraphs in a row, cut by content too, make a
 section. Every node is the hash of its children's hashes.
 
 A fingerprint is text: the root, then the sections, each with its hash and its
-leaves (hash and code points). The leaves of the tree follow one rule in texts
-of every length; a text of up to SMALL code points has its single words beside
-them, one of up to TINY also its runs of 4 code points, and two fingerprints are
-compared at the finest grain that both have. Equal roots mean equal texts; where
-roots differ, sections with equal hashes are skipped and the leaves of the
-others locate the edits; likeness is the share of code points that lie in leaves
-of both.
+leaves (hash and code points). One rule cuts texts of every length, so a likeness
+means the same for all of them; a text of a few words has a leaf or two, and shares
+them or not. Equal roots mean equal texts; where roots differ, sections with equal
+hashes are skipped and the leaves of the others locate the edits; likeness is the
+share of code points that lie in leaves of both.
 
 Edge cases: null text counts as empty, which has a root and no leaves; equal
 texts have equal fingerprints; null ids come first; rows of one id follow each
@@ -38,16 +36,14 @@ from pyspark.sql import functions as F
 
 from .common import n_partitions, small_batches, tidied
 
-#: A leaf ends after a word whose hash is a multiple of this, or after LEAF_WORDS words.
-CUT, LEAF_WORDS = 4, 16
+#: A leaf ends after a word whose hash is a multiple of CUT, the FEW-th word at the earliest, or after LEAF_WORDS words.
+CUT, FEW, LEAF_WORDS = 3, 3, 16
 #: A cut inside a word comes after LEAST code points at the earliest, after MOST at the latest, else where the hash of the last NEAR is a multiple of INNER.
 LEAST, MOST, NEAR, INNER = 16, 64, 4, 8
 #: A section ends after a paragraph whose hash is a multiple of this.
 SECTION = 8
 #: Stands for a null id, which comes first; a tie that none passes.
 NO_ID, MOST_TIE = -(1 << 63), (1 << 63) - 1
-#: Code points of texts that have single words, or 4 code points, beside the leaves of the tree.
-SMALL, TINY = 400, 48
 
 
 def digest(raw: bytes, size: int) -> str:
@@ -66,8 +62,8 @@ def cuts(word: str) -> list[int]:
     return out
 
 
-def leaves(paragraph: str, known: dict[str, bool], single: bool = False) -> list[str]:
-    """The paragraph cut after words chosen by their content, or after each word, and inside long words."""
+def leaves(paragraph: str, known: dict[str, bool]) -> list[str]:
+    """The paragraph cut after words chosen by their content, and inside long words."""
     out, at, begin, n = [], 0, 0, 0
     for word in paragraph.split(" "):
         if len(word) > LEAST and (inner := cuts(word)):
@@ -81,7 +77,7 @@ def leaves(paragraph: str, known: dict[str, bool], single: bool = False) -> list
         cut = known.get(word)
         if cut is None:
             cut = known[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % CUT == 0
-        if cut or n == LEAF_WORDS or single:
+        if cut and n >= FEW or n == LEAF_WORDS:
             out.append(paragraph[begin:at])
             begin, n = at, 0
     if begin < len(paragraph):
@@ -98,7 +94,7 @@ def hashed(parts: list[str]) -> list[str]:
 
 
 def fingerprint(text: str | None, known: dict[str, bool] | None = None) -> str:
-    """root|section:leaf,leaf|section:leaf,...;words;runs; a leaf is 8 hex digits and its code points, as are words and runs of small texts."""
+    """root|section:leaf,leaf|section:leaf,...; a leaf is 8 hex digits and its code points."""
     known = {} if known is None else known
     if len(known) > 500_000:
         known.clear()
@@ -115,29 +111,14 @@ def fingerprint(text: str | None, known: dict[str, bool] | None = None) -> str:
     if inner:
         sections.append((digest("".join(inner).encode(), 16), own))
     root = digest("".join(h for h, _ in sections).encode(), 32)
-    out = "|".join([root, *(f"{h}:{','.join(x)}" for h, x in sections)])
-    if text and len(text) <= SMALL:
-        words = [w for p in paragraphs for w in leaves(p, known, True)]
-        out += f";{','.join(named(words, hashed(words)))}"
-        if len(text) <= TINY:
-            runs = [p[i : i + 4] for p in paragraphs for i in range(0, len(p), 4)]
-            out += f";{','.join(named(runs, hashed(runs)))}"
-    return out
-
-
-def branches(a: str, b: str) -> tuple[list[str], list[str]]:
-    """What a and b hold at the finest grain that both have: the sections of the trees, or all words, or all runs, as one section."""
-    grains = [x.split(";") for x in (a, b)]
-    k = min(map(len, grains)) - 1
-    left, right = ([f":{x[k]}"] if k else x[0].split("|")[1:] for x in grains)
-    return left, right
+    return "|".join([root, *(f"{h}:{','.join(x)}" for h, x in sections)])
 
 
 def likeness(a: str, b: str) -> float:
     """The share of all code points, of both texts, that lie in leaves of both; equal roots are 1."""
-    if a.split(";")[0].split("|")[0] == b.split(";")[0].split("|")[0]:
+    (root, *a), (other, *b) = a.split("|"), b.split("|")
+    if root == other:
         return 1.0
-    a, b = branches(a, b)
     same = Counter(a) & Counter(b)  # equal branches need no descent
     both = sum(int(x[8:]) * n for s, n in same.items() for x in s.split(":")[1].split(","))
     left, right = (Counter(x for s in (Counter(t) - same).elements() for x in s.split(":")[1].split(",")) for t in (a, b))
@@ -148,7 +129,7 @@ def likeness(a: str, b: str) -> float:
 
 def differing(a: str, b: str) -> list[tuple[int, int]]:
     """Where b's text holds leaves that a lacks: stretches of code points [start, end) of b."""
-    a, b = branches(a, b)
+    a, b = a.split("|")[1:], b.split("|")[1:]
     rest, at, out = Counter(x for s in a for x in s.split(":")[1].split(",")), 0, []
     for leaf in (x for s in b for x in s.split(":")[1].split(",")):
         n = int(leaf[8:])
