@@ -10,7 +10,9 @@ of WINDOW words in a row are ranked by what the softmax reads in them, and the
 document's vector is a weighted sum of the averages over its worst window and
 over the worst shares of SCALES; the weights are trained as well. So a few toxic
 words in a long text, which would vanish in one average, count, and so does weak
-evidence that recurs. Every word of a text is read, in training and in scoring.
+evidence that recurs. Every word of a text is read in scoring, and in training too
+but for texts of over TRAIN_CHARS code points, of which SPREAD stretches are read,
+spread over the whole text; a labelled text is never left out for its length.
 
 Words are runs of letters and digits in lower case; other signs stand between
 them. A run of more than LONG characters (Chinese or Japanese, joined words)
@@ -35,14 +37,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import BLOCK_BYTES, held_out, labelled_sample, small_batches, tidied
 
-#: Labelled rows that are learnt from at most, by label; the bytes of one and of all of them.
+#: Labelled rows that are learnt from at most, by label; the bytes of all of them.
 TRAIN_ROWS = {0: 1200, 1: 600}
-TRAIN_BYTES, ALL_BYTES = 64_000, 16 << 20
+ALL_BYTES = 16 << 20
+#: A longer text (code points) is learnt from by SPREAD stretches of equal length over the whole of it.
+TRAIN_CHARS, SPREAD = 60_000, 12
 #: One row in so many, of each label, is kept from training and places the cut.
 APART = 5
 BUCKETS, DIM = 1 << 20, 4
@@ -207,13 +212,23 @@ def logits(model: dict, texts: list[str | None]) -> np.ndarray:
     return pooled((total[stop] - total[first]) / np.maximum(stop - first, 1), text, len(texts)) @ model["alpha"] + model["bias"]
 
 
+def spread(text: Column) -> Column:
+    """The text, or SPREAD stretches of it from its beginning to its end, TRAIN_CHARS in all."""
+    piece = TRAIN_CHARS // SPREAD
+    pieces = [F.substring(text, (F.lit(1) + (F.length(text) - piece) * k / (SPREAD - 1)).cast("int"), F.lit(piece)) for k in range(SPREAD)]
+    return F.when(F.length(text) > TRAIN_CHARS, F.concat_ws(" ", *pieces)).otherwise(text)
+
+
 def fit(documents: DataFrame, labels: DataFrame, bound: dict = TRAIN_ROWS) -> dict | float:
     """The model learnt from at most bound labelled documents of each kind, or the share of label 1 if there is but one kind."""
     small_batches(documents.sparkSession)
     sample = labelled_sample(labels, "toxic", bound)
-    rows = documents.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(sample), "doc_id")
-    got = rows.select("label", "text").orderBy(F.xxhash64("doc_id", F.lit("order")), "text").limit(2 * sum(bound.values())).toPandas()
-    got = got[got["text"].str.len().cumsum() <= ALL_BYTES]
+    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
+    rows = rows.select("label", "doc_id", spread(F.col("text")).alias("text"))
+    # rows beyond ALL_BYTES fall out by the order of hashes, whatever their length, before they come to the driver
+    order = W.orderBy(F.xxhash64("doc_id", F.lit("order")), "text")
+    few = rows.orderBy(F.xxhash64("doc_id", F.lit("order")), "text").limit(2 * sum(bound.values()))
+    got = few.withColumn("bytes", F.sum(F.octet_length("text")).over(order)).where(F.col("bytes") <= ALL_BYTES).orderBy("bytes").select("label", "text").toPandas()
     label = got["label"].to_numpy(np.float32)
     if len(label) == 0 or label.min() == label.max():
         return float(label[0]) if len(label) else 0.0

@@ -214,15 +214,50 @@ def test_branches_locate_edits():
     assert fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b)) > 0.9
 
 
-def test_near_copies_across_lengths():
-    text = " ".join(f"word{i * 7919 % 1009} of{i}" for i in range(60))
-    for long, short in ((fingerprints.SMALL + 5, fingerprints.SMALL - 5), (fingerprints.SMALL + 40, fingerprints.SMALL - 40)):
-        a, b = text[:long], text[:short]
-        assert fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b)) > 0.7
-        found = fingerprints.differing(fingerprints.fingerprint(b), fingerprints.fingerprint(a))
-        assert sum(e - s for s, e in found) < 150
-    a, b = text[: fingerprints.TINY + 4], text[: fingerprints.TINY - 4]
-    assert fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b)) > 0.6
+def test_one_rule_for_all_lengths():
+    """Unrelated texts out of few words share next to nothing, near copies most, on both sides of any length."""
+    g = np.random.default_rng(5)
+    words = [f"{a}{b}" for a in ("lo", "mira", "te", "sun") for b in ("ra", "pin", "dor")]
+    text = lambda n: " ".join(g.choice(words, n))[:n]
+    near, alike = {}, {}
+    for n in (399, 401, 4000):
+        pairs = [(text(n), text(n)) for _ in range(60)]
+        near[n] = np.mean([fingerprints.likeness(*map(fingerprints.fingerprint, p)) for p in pairs])
+        alike[n] = np.mean([fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(a[: n - n // 4] + b[: n // 4])) for a, b in pairs])
+    assert max(near.values()) - min(near.values()) < 0.05 and max(near.values()) < 0.1
+    assert max(alike.values()) - min(alike.values()) < 0.08 and min(alike.values()) > 0.6
+
+
+def tree(text):
+    """The tree from its definition, word by word: {level: hashes}, and the leaves' texts."""
+    hash_of = lambda raw, n: hashlib.blake2b(raw, digest_size=n).hexdigest()
+    sections, now, cut_at, held = [], [], [], ""
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        own, n = [], 0
+        for w in re.findall(r"[^ ]* |[^ ]+$", line):
+            held, n = held + w, n + 1
+            if n >= 3 and zlib.crc32(w.removesuffix(" ").encode()) % 3 == 0 or n == 16:
+                own.append(held)
+                held, n = "", 0
+        own, held = own + [held] * bool(held), ""
+        cut_at += own
+        now.append(hash_of("".join(hash_of(x.encode(), 12) for x in own).encode(), 16))
+        if int(now[-1][:8], 16) % 8 == 0:
+            sections.append(hash_of("".join(now).encode(), 16))
+            now = []
+    sections += [hash_of("".join(now).encode(), 16)] * bool(now)
+    return hash_of("".join(sections).encode(), 32), sections, [f"{hash_of(x.encode(), 12)[:8]}{len(x)}" for x in cut_at]
+
+
+def test_against_a_slow_tree():
+    g = np.random.default_rng(9)
+    for _ in range(40):
+        text = "".join(g.choice(["alpha", "be", "gam", "it's", "42"], 1)[0] + g.choice([" ", " ", " ", "\n"], 1)[0] for _ in range(int(g.integers(0, 300))))
+        root, sections, leaves = tree(text)
+        print_ = fingerprints.fingerprint(text).split("|")
+        assert print_[0] == root
+        assert [s.split(":")[0] for s in print_[1:]] == sections
+        assert [x for s in print_[1:] for x in s.split(":")[1].split(",")] == leaves
 
 
 def test_lines_without_spaces():
