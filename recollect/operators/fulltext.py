@@ -24,7 +24,6 @@ and the blocks that can't reach it are left unread.
 
 from __future__ import annotations
 
-import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -38,7 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
-from . import lexical
+from . import lexical, versions
+from .versions import Conflict  # noqa: F401  part of this module's surface
 
 K1, B = 1.2, 0.75
 FIELDS = ("title", "cwd", "text")
@@ -207,16 +207,6 @@ def content(rows: DataFrame) -> Column:
     return F.xxhash64(F.col("source_ref").cast("string"), *(F.coalesce(F.col(f), F.lit("")) for f in FIELDS))
 
 
-def store(spark: SparkSession, path: str):
-    """(file system, path) of a folder or file, wherever it lies."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
-class Conflict(RuntimeError):
-    """Another writer has changed the index meanwhile: open it again and repeat the change."""
-
-
 class FullText:
     """One version of the index at path; changes give the next version."""
 
@@ -228,34 +218,20 @@ class FullText:
     @staticmethod
     def open(spark: SparkSession, path: str) -> FullText:
         """The newest version; an empty one where there is none."""
-        fs, place = store(spark, f"{path}/manifest")
-        names = [x.getPath().getName() for x in fs.listStatus(place)] if fs.exists(place) else []
-        numbers = [int(n[:-5]) for n in names if re.fullmatch(r"\d+\.json", n)]
-        if not numbers:
-            return FullText(spark, path, 0, {"segments": {}, "deleted": [], "batches": [], "substrings": False})
-        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(fs.open(store(spark, f"{path}/manifest/{max(numbers)}.json")[1]), "UTF-8")
-        return FullText(spark, path, max(numbers), json.loads(text))
+        version, live = versions.newest(spark, path)
+        return FullText(spark, path, version, live or {"segments": {}, "deleted": [], "batches": [], "substrings": False})
 
     def next(self, live: dict) -> FullText:
         """The next version, if nobody else has made it."""
-        fs, place = store(self.spark, f"{self.path}/manifest/{self.version + 1}.json")
-        part = store(self.spark, f"{self.path}/manifest/.{uuid.uuid4().hex}")[1]
-        out = fs.create(part, True)
-        out.write(bytearray(json.dumps(live).encode()))
-        out.close()
-        if fs.exists(place) or not fs.rename(part, place):
-            fs.delete(part, False)
-            raise Conflict(f"{self.path} has a version {self.version + 1} already")
-        return FullText(self.spark, self.path, self.version + 1, live)
+        return FullText(self.spark, self.path, versions.put(self.spark, self.path, self.version, live), live)
 
     def vacuum(self) -> None:
         """Removes what no live version names: segments that were merged, tombstones of theirs, older manifests, what failed changes left."""
-        keep = {"segments": set(self.live["segments"]), "deleted": set(self.live["deleted"]), "manifest": {f"{self.version}.json"}}
-        for kind, names in keep.items():
-            fs, place = store(self.spark, f"{self.path}/{kind}")
-            for x in fs.listStatus(place) if fs.exists(place) else ():
-                if x.getPath().getName() not in names:
-                    fs.delete(x.getPath(), True)
+        for kind, names in {"segments": set(self.live["segments"]), "deleted": set(self.live["deleted"])}.items():
+            for name in versions.listed(self.spark, f"{self.path}/{kind}"):
+                if name not in names:
+                    versions.remove(self.spark, f"{self.path}/{kind}/{name}")
+        versions.forget(self.spark, self.path, self.version)
 
     # changes
 
@@ -276,7 +252,7 @@ class FullText:
         held = self.spark.read.parquet(f"{base}/rows")
         docs, total = held.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
         if not docs:
-            store(self.spark, base)[0].delete(store(self.spark, base)[1], True)
+            versions.remove(self.spark, base)
             return {}
         each = held.select("seg", "block", "at", "id", "len", F.explode("words").alias("w")).select("seg", F.col("w.term").alias("term"), "block", F.struct("at", "id", "len", "w.title", "w.cwd", "w.text", "w.pos").alias("p"))
         blocks = each.repartitionByRange("term", "block").groupBy("seg", "term", "block").agg(

@@ -619,7 +619,7 @@ def _(s, d):
 
 
 def queries() -> dict:
-    from . import fulltexts, more  # noqa: F401  register their own
+    from . import fulltexts, more, upkeep  # noqa: F401  register their own
 
     return dict(Q)
 

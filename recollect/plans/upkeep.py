@@ -1,0 +1,44 @@
+"""Queries of the as-of join, packed vectors and the bucketed table, over the shop's tables and the embeddings."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import asof, buckets, lexical, packed
+from .catalogue import DOT, query, table
+
+
+@query("asof_nearest_click", """WITH s AS (SELECT row_number() OVER () AS no, sale_id, client_id, sold_at AS ts FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+p AS (SELECT no, sale_id, click_id, abs(epoch_us(s.ts) - epoch_us(c.ts)) AS gap, epoch_us(c.ts) AS theirs FROM s JOIN clicks c ON s.client_id = c.client_id AND c.ts BETWEEN s.ts - INTERVAL 6 HOUR AND s.ts + INTERVAL 6 HOUR),
+r AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY gap, theirs, click_id) AS r FROM p)
+SELECT s.sale_id, r.click_id, r.gap FROM s LEFT JOIN r ON s.no = r.no AND r.r = 1""")
+def _(s, d):
+    """Each sale's nearest click of its client, within six hours."""
+    sales = table(s, d, "sales").select("sale_id", "client_id", F.col("sold_at").alias("ts")).where("client_id is not null and ts is not null")
+    clicks = table(s, d, "clicks").select("client_id", F.col("click_id").alias("id"), "ts")
+    return asof.nearest(sales, clicks, "client_id", 6 * 3600, outer=True).select("sale_id", F.col("match_id").alias("click_id"), "gap")
+
+
+@query("packed_vector_topk", f"SELECT e.vec_id AS id, round({DOT}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {DOT} DESC, id LIMIT 15")
+def _(s, d):
+    rows = table(s, d, "embeddings").withColumnRenamed("vec_id", "id")
+    path = f"{lexical.shared(s)}/packed-{uuid.uuid4().hex}"
+    packed.packed(rows).write.parquet(path)
+    q = rows.where("id = 0").select("embedding").first()[0]  # one vector
+    return packed.topk(s.read.parquet(path), rows, list(q), 15).select("id", F.round("score", 6).alias("score"))
+
+
+@query("bucketed_merge", """WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY seq DESC, change_id DESC, valid_at DESC) AS r FROM (SELECT DISTINCT * FROM client_changes) WHERE client_id IS NOT NULL)
+SELECT client_id, seq, op, segment, city, balance FROM ranked WHERE r = 1 AND op IS DISTINCT FROM 'D'""")
+def _(s, d):
+    """The clients as their change log leaves them, merged in three batches, the middle one twice."""
+    rows = table(s, d, "client_changes").where("client_id is not null").select("client_id", "seq", "op", "segment", "city", "balance", F.struct("seq", "change_id", "valid_at").alias("imported_at"))
+    last = rows.groupBy("client_id").agg(F.max_by(F.struct("*"), "imported_at").alias("r"))
+    held = buckets.Buckets.create(s, f"{lexical.shared(s)}/clients-{uuid.uuid4().hex}", "client_id bigint, seq bigint, op string, segment string, city string, balance double, imported_at struct<seq bigint, change_id bigint, valid_at timestamp_ntz>", ["client_id"], 16)
+    third = F.pmod(F.xxhash64("imported_at"), F.lit(3))
+    for no in (0, 1, 1, 2):  # by time of change: a later batch has later changes of some clients
+        part = rows.where(third == no) if no < 2 else rows.where(third == 2).unionByName(last.select("r.*"))
+        held = held.merge(part, batch=str(no))
+    return held.read().where("op is null or op <> 'D'").drop("imported_at")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
-from ..operators import policy
+from ..operators import asof, policy
 
 #: Longer lines (bytes) are skipped, as they hold embedded files.
 LINE_BYTES = 524_288
@@ -209,9 +209,7 @@ def prompts(spark: SparkSession, dialect: str, paths: str | list[str]) -> DataFr
 
 def first_prompts_matched(prompts: DataFrame, conversations: DataFrame, seconds: int = 120) -> DataFrame:
     """Prompts without a session take that of the conversation with the same first text, nearest in time."""
-    at = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    key = T.squeezed(F.col("text"))
-    pairs = prompts.withColumn("key", key).join(conversations.select(T.squeezed(F.col("text")).alias("key"), F.col("session_id").alias("found"), F.col("ts").alias("theirs")), "key")
-    pairs = pairs.withColumn("gap", F.abs(at("ts") - at("theirs"))).where(F.col("gap") <= seconds)
-    best = pairs.groupBy("text_hash", "ts").agg(F.min_by("found", F.struct("gap", "found")).alias("session_id"))
-    return best
+    left = prompts.select("text_hash", F.col("ts").alias("ts"), T.squeezed(F.col("text")).alias("key"))
+    right = conversations.select(T.squeezed(F.col("text")).alias("key"), F.col("session_id").alias("id"), "ts")
+    found = asof.nearest(left, right, "key", seconds)
+    return found.groupBy("text_hash", "ts").agg(F.min_by("match_id", F.struct("gap", "match_id")).alias("session_id"))
