@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from .tailing import GLOBS
 from .transcripts import as_text, blocks, field, lines, of, session_of
 
-#: Where each dialect keeps its transcripts, below its root.
-GLOBS = {"claude": ["projects/*/*.jsonl"], "codex": ["sessions/*/*/*/*.jsonl", "archived_sessions/*.jsonl"], "antigravity": ["brain/*/.system_generated/logs/*.jsonl"]}
 #: Characters of a viewer event.
 VIEWER_CHARS = 8_000
 

@@ -17,8 +17,6 @@ from ..operators import asof, policy
 
 #: Longer lines (bytes) are skipped, as they hold embedded files.
 LINE_BYTES = 524_288
-#: Bytes of a file that are read at most.
-FILE_BYTES = 64 << 20
 EVENT = "source_ref string, event_index int, role string, text string, ts string"
 
 
@@ -60,7 +58,21 @@ def texts(items: Column, kind: str) -> Column:
 
 
 def session_of(path: Column) -> Column:
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.jsonl$", "")
+    """A transcript's session: its file's name, or the folder below brain/ that it lies in."""
+    own = F.regexp_extract(path, r"/brain/([^/]+)/\.system_generated/", 1)
+    return F.coalesce(F.nullif(own, F.lit("")), F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.jsonl$", ""))
+
+
+def one_copy(rows: DataFrame) -> DataFrame:
+    """The lines of one file of each session: the full transcript rather than a short one, then the newest, then the last by path."""
+    best = F.struct(F.col("path").endswith("/transcript_full.jsonl").alias("full"), "mtime", "path")
+    kept = rows.groupBy(session_of(F.col("path")).alias("session")).agg(F.max(best).alias("best")).select(F.col("best.path").alias("path"))
+    return rows.join(kept, "path", "left_semi")
+
+
+def tailed(rows: DataFrame) -> DataFrame:
+    """Rows of the data source as lines(): a line's place is the byte where it begins."""
+    return rows.where("size > 0").select("path", "mtime", F.col("at").alias("line_no"), "value", F.try_parse_json("value").alias("v"))
 
 
 def numbered(rows: DataFrame, name: str) -> DataFrame:
@@ -139,9 +151,9 @@ def antigravity_events(rows: DataFrame) -> DataFrame:
 DIALECTS = {"claude": claude_events, "codex": codex_events, "antigravity": antigravity_events}
 
 
-def events(spark: SparkSession, dialect: str, paths: str | list[str], newest: int = 0) -> DataFrame:
-    """(source_ref, event_index, role, text, ts) of the transcripts under paths, of FILE_BYTES each at most."""
-    return adapter(dialect)(lines(spark, paths, newest, FILE_BYTES))
+def events(spark: SparkSession, dialect: str, paths: str | list[str], newest: int = 0, max_bytes: int = 0) -> DataFrame:
+    """(source_ref, event_index, role, text, ts) of the transcripts under paths, of one copy of each session; max_bytes: of so much of each file."""
+    return adapter(dialect)(one_copy(lines(spark, paths, newest, max_bytes)))
 
 
 def adapter(dialect: str, enabled: list[str] | None = None):
@@ -151,19 +163,24 @@ def adapter(dialect: str, enabled: list[str] | None = None):
     return DIALECTS[dialect]
 
 
-def sessions(spark: SparkSession, dialect: str, paths: str | list[str], newest: int = 0, executed: bool = True) -> DataFrame:
-    """A row for each transcript with a user turn: title, folder, times, entry points, human turns, turns; of copies of a session the newest.
+def sessions(spark: SparkSession, dialect: str, paths: str | list[str], newest: int = 0, executed: bool = True, max_bytes: int = 0) -> DataFrame:
+    """A row for each session with a user turn: title, folder, times, entry points, human turns, turns; of copies of a session the newest.
 
     executed=False leaves out what programs ran instead of people.
     """
-    rows = lines(spark, paths, newest, FILE_BYTES)
+    return sessions_in(dialect, lines(spark, paths, newest, max_bytes), executed)
+
+
+def sessions_in(dialect: str, rows: DataFrame, executed: bool = True) -> DataFrame:
+    """sessions() of lines that are read already."""
+    rows = one_copy(rows)
     own = adapter(dialect)(rows)
     ref = F.concat(F.lit(dialect + ":"), session_of(F.col("path")))
     cwd = F.coalesce(field("$.cwd"), field("$.payload.cwd"))
     # subagent transcripts are no sessions of their own, by their folder or by what their first lines say
     rows = rows.where(~F.contains("path", F.lit("/subagents/")))
     if dialect == "codex":
-        about = F.struct(F.coalesce(field("$.payload.thread_source"), field("$.payload.source.subagent"), F.lit("")).alias("thread"), F.coalesce(field("$.payload.originator"), F.lit("")).alias("originator"), F.coalesce(field("$.payload.source"), F.lit("")).alias("source"), F.coalesce(field("$.payload.cwd"), F.lit("")).alias("cwd"))
+        about = F.struct(F.coalesce(field("$.payload.thread_source"), F.when(field("$.payload.source.subagent", "variant").isNotNull(), "subagent"), F.lit("")).alias("thread"), F.coalesce(field("$.payload.originator"), F.lit("")).alias("originator"), F.coalesce(field("$.payload.source"), F.lit("")).alias("source"), F.coalesce(field("$.payload.cwd"), F.lit("")).alias("cwd"))
         meta = rows.where(as_text("$.type") == "session_meta").groupBy("path").agg(F.min_by(about, "line_no").alias("m"))
         told = F.contains(F.lower("m.thread"), F.lit("subagent"))
         gone = told if executed else told | (policy.exec_origin(F.col("m.source"), F.col("m.originator"), F.col("m.cwd")) == "automated")
