@@ -202,6 +202,11 @@ def forward(rows: DataFrame, substrings: bool) -> DataFrame:
     return held.mapInArrow(run, ROW)
 
 
+def by_session(rows: DataFrame, ref: str) -> DataFrame:
+    """rows in the order of their sessions, so that a session's rows lie in few blocks; before their words are counted, as finding the ranges' bounds reads them once more."""
+    return rows.repartitionByRange(ref, "id").sortWithinPartitions(ref, "id")
+
+
 def content(rows: DataFrame) -> Column:
     """A hash of what the index holds of a row."""
     return F.xxhash64(F.col("source_ref").cast("string"), *(F.coalesce(F.col(f), F.lit("")) for f in FIELDS))
@@ -242,12 +247,12 @@ class FullText:
         return FullText(rows.sparkSession, path, old.version, {"segments": {}, "deleted": [], "batches": [], "substrings": substrings}).add(rows)
 
     def segment(self, rows: DataFrame) -> dict:
-        """Writes a segment of forward() rows: {name: statistics}, nothing for no rows."""
+        """Writes a segment of forward() rows that are by_session(): {name: statistics}, nothing for no rows."""
         name = uuid.uuid4().hex
         base = f"{self.path}/segments/{name}"
-        # numbers by session, so that a block's rows lie together; read back, so that rows and postings have the same
+        # read back, so that rows and postings have the same numbers
         number = F.monotonically_increasing_id()
-        held = rows.repartitionByRange("ref", "id").sortWithinPartitions("ref", "id").select(F.lit(name).alias("seg"), F.shiftright(number, BLOCK.bit_length() - 1).alias("block"), F.pmod(number, F.lit(BLOCK)).cast("int").alias("at"), "id", "ref", "hash", "len", "grams", "words")
+        held = rows.select(F.lit(name).alias("seg"), F.shiftright(number, BLOCK.bit_length() - 1).alias("block"), F.pmod(number, F.lit(BLOCK)).cast("int").alias("at"), "id", "ref", "hash", "len", "grams", "words")
         held.write.parquet(f"{base}/rows")
         held = self.spark.read.parquet(f"{base}/rows")
         docs, total = held.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
@@ -269,7 +274,7 @@ class FullText:
         if batch is not None and batch in self.live["batches"]:
             return self
         index = self.without(rows.select(F.col("id").cast("long").alias("id")).distinct(), "id") if self.live["segments"] else self.live
-        live = index | {"segments": index["segments"] | self.segment(forward(rows, self.live["substrings"])), "batches": [*self.live["batches"], *([batch] if batch else [])][-1000:]}
+        live = index | {"segments": index["segments"] | self.segment(forward(by_session(rows, "source_ref"), self.live["substrings"])), "batches": [*self.live["batches"], *([batch] if batch else [])][-1000:]}
         return self.next(self.merged(live))
 
     def delete(self, keys: DataFrame, column: str = "ref") -> FullText:
@@ -311,7 +316,7 @@ class FullText:
         for names in tiers.values():
             if len(names) >= FANOUT:
                 part = FullText(self.spark, self.path, self.version, live | {"segments": {s: live["segments"][s] for s in names}})
-                new = self.segment(part.rows(["id", "ref", "hash", "len", "grams", "words"]))
+                new = self.segment(by_session(part.rows(["id", "ref", "hash", "len", "grams", "words"]), "ref"))
                 return self.merged(live | {"segments": {s: x for s, x in live["segments"].items() if s not in names} | new})
         return live if any(x["gone"] for x in live["segments"].values()) else live | {"deleted": []}
 

@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, buckets, lexical, packed
-from .catalogue import DOT, query, table
+from ..operators import asof, buckets, embeddings, lexical, packed
+from .catalogue import CHUNKS, DOT, chunks, query, table
 
 
 @query("asof_nearest_click", """WITH s AS (SELECT row_number() OVER () AS no, sale_id, client_id, sold_at AS ts FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
@@ -42,3 +42,14 @@ def _(s, d):
         part = rows.where(third == no) if no < 2 else rows.where(third == 2).unionByName(last.select("r.*"))
         held = held.merge(part, batch=str(no))
     return held.read().where("op is null or op <> 'D'").drop("imported_at")
+
+
+@query("embedding_backfill", f"WITH {CHUNKS} SELECT id, updated_at FROM chunks ORDER BY updated_at DESC, id LIMIT 150")
+def _(s, d):
+    """Two lots of learnt embeddings, newest chunks first: which chunks have theirs then."""
+    rows = chunks(s, d)
+    model = embeddings.fit(rows, dims=32, vocabulary=3000)
+    store = buckets.Buckets.create(s, f"{lexical.shared(s)}/vectors-{uuid.uuid4().hex}", embeddings.VECTORS, ["id"], 8)
+    for _ in range(2):
+        store, _left = embeddings.backfill(store, rows, model, 75)
+    return store.read().where("size(embedding) = 32").select("id", "updated_at")

@@ -82,3 +82,33 @@ def test_buckets(spark, tmp_path):
     assert state(buckets.Buckets.open(spark, path)) == want
     empty = table.merge(make([(k, "", 9, True) for k in want]), gone="gone")
     assert state(empty) == {}
+
+
+def test_learnt_embeddings_and_backfill(spark, tmp_path):
+    """Texts of one theme without a common word are nearer to each other than to another theme's."""
+    from recollect.operators import embeddings
+
+    g = random.Random(7)
+    themes = [[f"t{k}w{i}" for i in range(24)] for k in range(4)]
+    said = lambda k, words: " ".join(g.choices(words or themes[k], k=12) + g.choices(["the", "of", "it"], k=4))
+    rows = [(i, f"2024-01-{i % 28 + 1:02}", said(i % 4, None)) for i in range(600)] + [(9000, "2025", None), (9001, "2025", "unknown")]
+    df = spark.createDataFrame(rows, "id long, updated_at string, text string")
+    model = embeddings.fit(df, dims=16)
+    new = spark.createDataFrame([(2 * k + h, said(k, themes[k][12 * h : 12 * h + 12])) for k in range(4) for h in (0, 1)], "id long, text string")
+    v = {r.id: r.embedding for r in embeddings.embedded(new, model).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
+    own = [dot(2 * k, 2 * k + 1) for k in range(4)]
+    other = [dot(2 * k, 2 * j + 1) for k in range(4) for j in range(4) if j != k]
+    assert min(own) > max(other) + 0.2
+    assert embeddings.fit(df.limit(0)).words == {}
+    store = buckets.Buckets.create(spark, str(tmp_path / "v"), embeddings.VECTORS, ["id"], 4)
+    order, left = [i for _, i in sorted(((t, -i) for i, t, _ in rows), reverse=True)], len(rows)
+    for run in range(1, 4):
+        store, left = embeddings.backfill(store, df, model, 250)
+        assert {r.id for r in store.read().collect()} == {-i for i in order[: 250 * run]} and left == max(0, len(rows) - 250 * run)
+    again, left = embeddings.backfill(store, df, model)
+    assert again.version == store.version and left == 0
+    changed = df.withColumn("text", F.when(F.col("id") == 5, "t1w1 t1w2").otherwise(F.col("text")))
+    store, left = embeddings.backfill(store, changed, model)
+    assert left == 0 and store.read().count() == len(rows)
+    assert sum(map(abs, store.read().where("id = 9000").first().embedding)) == 0
