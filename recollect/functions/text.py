@@ -308,3 +308,13 @@ def split_pieces(text: str, limit: int) -> list[str]:
         out.append(text[:cut].rstrip())
         text = text[cut:].lstrip()
     return [*out, text] if text else out
+
+
+def split_messages(c: Column, limit: int = 3500, empty: str = "(empty response)") -> Column:
+    """The messages that a text is sent as: split_pieces() of the trimmed text, which is empty if nothing is left of it; null is none."""
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts):
+        return texts.map(lambda t: None if t is None else split_pieces(t.strip() or empty, limit))
+
+    return pieces(c)

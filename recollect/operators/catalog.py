@@ -35,6 +35,25 @@ def sync_status(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source_name").agg(F.count("*").alias("records"), F.max("imported_at").alias("imported_at"), F.max_by("content_hash", F.struct("imported_at", "id")).alias("newest_hash"))
 
 
+def latest_by_ref(rows: DataFrame, sources: list[str] | None = None) -> DataFrame:
+    """(source_name, source_ref, content_hash, updated_at, record_kind, records, imported_at): the newest import of each session, by which a sync knows what to send; records and imported_at are the source's."""
+    rows = rows if sources is None else rows.where(F.lower("source_name").isin([x.lower() for x in sources]))
+    order = F.struct("imported_at", "updated_at", "content_hash")
+    newest = rows.groupBy("source_name", "source_ref").agg(F.count("*").alias("n"), F.max("imported_at").alias("last"), F.max_by(F.struct("content_hash", "updated_at", "record_kind"), order).alias("b"))
+    # a source's totals from its sessions' counts, not from its rows once more
+    total = newest.groupBy("source_name").agg(F.sum("n").alias("records"), F.max("last").alias("imported_at"))
+    return newest.select("source_name", "source_ref", "b.*").join(total, "source_name")
+
+
+def project_sessions(chunks: DataFrame, source: str, cwd: str, rooted: bool = False) -> DataFrame:
+    """(source_ref, session_id, title, updated_at, chunks, origin) of a folder's sessions, the newest first; rooted: of the folders below it too."""
+    here = F.col("cwd") == cwd
+    rows = chunks.where((F.col("source_name") == source) & (here | F.col("cwd").startswith(cwd + "/") if rooted else here))
+    origin = F.get_json_object("metadata_json", "$.origin") if "metadata_json" in chunks.columns else F.lit(None).cast("string")
+    out = rows.groupBy("source_ref").agg(F.max("session_id").alias("session_id"), F.max("title").alias("title"), F.max("updated_at").alias("updated_at"), F.count("*").alias("chunks"), F.max(origin).alias("origin"))
+    return out.orderBy(F.desc("updated_at"), "source_ref")
+
+
 def clusters(rows: DataFrame, metadata: str, path: str) -> DataFrame:
     """Distinct sessions by a value inside the JSON metadata."""
     return rows.groupBy(F.get_json_object(metadata, path).alias("cluster")).agg(F.countDistinct("session_id").alias("sessions"))

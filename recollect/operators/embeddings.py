@@ -111,15 +111,15 @@ def fit(rows: DataFrame, dims: int = DIMS, vocabulary: int = VOCABULARY, seed: i
 
 def embedded(rows: DataFrame, model: Model, text: str = "text", to: str = "embedding") -> DataFrame:
     """rows with the vector of their texts; texts without a word of the model have a vector of zeros, null texts too."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
+    held = rows.sparkSession.sparkContext.broadcast(tuple(model))  # plain values, as a broadcast's class would have to be installed
 
     @F.pandas_udf("array<float>")
     def vectors(texts):
-        m = held.value
+        words, table, weights = held.value
 
         def one(t: str | None) -> list[float]:
-            at = [m.words[w] for w in T.words_of(t or "") if w in m.words]
-            v = m.weights[at] @ m.vectors[at] if at else np.zeros(m.vectors.shape[1])
+            at = [words[w] for w in T.words_of(t or "") if w in words]
+            v = weights[at] @ table[at] if at else np.zeros(table.shape[1])
             return (v / (np.linalg.norm(v) or 1)).astype(np.float32).tolist()
 
         return texts.map(one)

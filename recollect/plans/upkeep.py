@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, buckets, embeddings, lexical, packed
+from ..operators import asof, buckets, catalog, embeddings, lexical, packed
 from .catalogue import CHUNKS, DOT, chunks, query, table
 
 
@@ -53,3 +53,24 @@ def _(s, d):
     for _ in range(2):
         store, _left = embeddings.backfill(store, rows, model, 75)
     return store.read().where("size(embedding) = 32").select("id", "updated_at")
+
+
+@query("sync_latest_by_ref", """WITH m AS (SELECT 'src' || (event_id % 3) AS source_name, 's' || user_id AS source_ref, md5(props || event_type) AS content_hash, CAST(ts AS DATE) AS imported_at, ts AS updated_at, event_type AS record_kind, event_id FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_name, source_ref ORDER BY imported_at DESC, updated_at DESC, content_hash DESC) AS r FROM m),
+t AS (SELECT source_name, count(*) AS records, max(imported_at) AS imported_at FROM m GROUP BY source_name)
+SELECT source_name, source_ref, content_hash, updated_at, record_kind, records, t.imported_at FROM r JOIN t USING (source_name) WHERE r = 1""")
+def _(s, d):
+    e = table(s, d, "events")
+    rows = e.select(
+        F.concat(F.lit("src"), (F.col("event_id") % 3).cast("string")).alias("source_name"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("source_ref"),
+        F.md5(F.concat("props", "event_type")).alias("content_hash"), F.to_date("ts").alias("imported_at"), F.col("ts").alias("updated_at"), F.col("event_type").alias("record_kind"))
+    return catalog.latest_by_ref(rows)
+
+
+@query("project_sessions", f"""WITH {CHUNKS} SELECT source_ref, max(session_id) AS session_id, max(title) AS title, max(updated_at) AS updated_at, count(*) AS chunks, CAST(max(CASE WHEN id % 4 = 0 THEN 'automated' END) AS VARCHAR) AS origin
+FROM chunks WHERE source_name = 'en' AND (cwd = 'src1' OR starts_with(cwd || '/' || id, 'src1/')) GROUP BY source_ref""")
+def _(s, d):
+    """Chunks lie in folders of their own below their source's."""
+    rows = chunks(s, d).withColumn("cwd", F.concat("cwd", F.lit("/"), F.col("id").cast("string")))
+    meta = F.when(F.col("id") % 4 == 0, F.lit('{"origin": "automated"}')).otherwise(F.lit("{}"))
+    return catalog.project_sessions(rows.withColumn("metadata_json", meta), "en", "src1", rooted=True)

@@ -226,3 +226,22 @@ def test_sql_refuses(spark, sql):
 def test_sql_answers(spark, sql, rows):
     t = spark.createDataFrame([(1, "hello"), (2, "world")], "a int, b string")
     assert sqlapi.run(spark, sql, {"t": t})["rows"] == rows
+
+
+def test_messages_are_split(spark):
+    g = random.Random(4)
+    texts = ["".join(g.choice(["word", "a", " ", "  ", "\n", "\n\n", "é"]) for _ in range(g.randint(0, 90))) for _ in range(60)] + [None, "", " \n ", "x" * 95]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", T.split_messages(F.col("text"), 40).alias("m")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.id]
+        if text is None:
+            assert r.m is None
+        elif not text.strip():
+            assert r.m == ["(empty response)"]
+        else:
+            assert all(0 < len(p) <= 40 or not p for p in r.m) and "".join("".join(r.m).split()) == "".join(text.split())
+            first = text.strip()
+            if len(first) > 40:  # the first cut by hand
+                cut = next((k for sep in ("\n\n", "\n", " ") if (k := first.rfind(sep, 0, 40)) > 0), 40)
+                assert r.m[0] == first[:cut].rstrip()
