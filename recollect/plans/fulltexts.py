@@ -136,7 +136,7 @@ def _(s, d):
 
 STATEMENT = """SELECT c.cwd, count(*) AS n, round(min(m.rank), 6) AS best FROM chunks c JOIN fts_match('(de OR де) NOT "de la"') m ON c.id = m.id
 WHERE c.id NOT IN (SELECT rowid FROM chunks_fts WHERE chunks_fts MATCH 'title:the') GROUP BY c.cwd"""
-_EITHER, _TITLE = fulltext.parsed('(de OR де) NOT "de la"')[0], fulltext.parsed("title:the")[0]
+_EITHER = [fulltext.Clause(("de",)), fulltext.Clause(("де",)), fulltext.Clause(("de", "la"))]
 
 
 @query("sql_match", f"""WITH {MIXED}, {scored_sql(_EITHER)},
