@@ -151,10 +151,10 @@ def final_rank(score: Column, query: str, title: Column, cwd: Column, local: Col
     return s
 
 
-def prompt_search(prompts: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """(id, hits): prompts with all terms, or with any if none has all; distinct by session and first 200 characters."""
+def prompt_search(prompts: DataFrame, query: str, limit: int = 10, index: lexical.Index | None = None) -> DataFrame:
+    """(id, hits): prompts with all terms, or with any if none has all; distinct by session and first 200 characters. With an index of the prompts no other prompts' texts are read."""
     terms = T.index_terms(query)
-    rows = lexical.scored(prompts, terms)
+    rows = lexical.scored(prompts, terms) if index is None else prompts.join(lexical.scored(index, terms), "id")
     hits = lexical.total([(F.col(f"tf{i}") > 0).cast("int") for i in range(len(terms))])
     rows = rows.withColumn("hits", hits).withColumn("all", F.col("hits") == len(terms))
     some = rows.agg(F.coalesce(F.max("all"), F.lit(False)).alias("some"))

@@ -250,3 +250,12 @@ def test_folder_classes_and_toggles(spark):
     assert got == [["empty", "no_project"], ["home_default", "no_project"], ["documents_chat"], ["workspace"], ["project"]]
     one = spark.createDataFrame([(["a", "b"],)], "r array<string>")
     assert one.select(policy.toggled(F.col("r"), F.lit("c"), True), policy.toggled(F.col("r"), F.lit("a"), False)).first()[:] == (["a", "b", "c"], ["b"])
+
+
+def test_prompt_search_by_index(spark, tmp_path):
+    words = ["alpha", "beta", "gamma", "delta"]
+    prompts = spark.createDataFrame([(i, f"s{i % 7}", " ".join(words[k] for k in range(4) if i >> k & 1) + f" more{i % 3}") for i in range(64)], "id int, session_id string, text string")
+    index = lexical.Index.write(prompts.select("id", "text"), str(tmp_path / "i"))
+    for query in ("alpha gamma", "beta", "alpha beta gamma delta nothing"):
+        a, b = (search.prompt_search(prompts, query, 20, x).collect() for x in (None, index))
+        assert a == b and a
