@@ -7,9 +7,9 @@ drawn from a hash of its id, so the draw is the same wherever it runs.
 
 Tokens are those of a byte-level BPE. Topics are learnt from all documents: a
 document is the logarithms of its words' counts over DIMS hashed places, its
-language's mean is taken off, so that topics cut across languages, and spherical
-k-means groups what is left into TOPICS; sums are whole numbers, so the topics
-don't depend on the order of tasks. Only its start is drawn from START rows.
+language's mean is taken off, so that topics cut across languages, however many
+there are, and spherical k-means groups what is left into TOPICS; sums are whole
+numbers, so the topics don't depend on the order of tasks. Only its start is drawn from START rows.
 
 Targets default to the observed shares to the power of TEMPER, which lifts small
 sources and holds back a hot one. Probabilities are scaled so that KEEP of all
@@ -47,8 +47,10 @@ TEMPER, KEEP, SEED = 0.7, 0.8, 17
 TOPICS = 8
 #: Cells that the driver rakes by itself.
 MAX_CELLS = 150_000
-#: Places that words are hashed to, rounds of k-means, rows that it starts from, languages (of most documents) with a mean of their own.
-DIMS, ROUNDS, START, OWN_MEANS = 128, 6, 512, 64
+#: Places that words are hashed to, rounds of k-means, rows that it starts from.
+DIMS, ROUNDS, START = 128, 6, 512
+#: Languages whose means, a KB each, may be sent to every task; more are joined by a shuffle, with the same result.
+LANGUAGES_SENT = 4096
 #: Words of fewer letters say nothing of a topic.
 TOPIC_LETTERS = 4
 MARGINS = ("source", "lang", "topic")
@@ -86,77 +88,96 @@ def described(documents: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return rows.mapInArrow(tidied(run), f"{schema}, n_tokens long, vec binary")
 
 
-class Topics:
-    """Means of languages and the topics' centres."""
+def rows_of(column: pa.Array, kind: type = np.int8) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, DIMS).astype(float)
 
-    def __init__(self, means: dict, rest: np.ndarray, centres: np.ndarray):
-        self.means, self.rest, self.centres = means, rest, centres
 
-    def residuals(self, langs: list, x: np.ndarray) -> np.ndarray:
-        """Rows without their language's mean, of length 1; empty ones stay 0."""
-        some = x.any(1)
-        x = np.where(some[:, None], x - np.array([self.means.get(v, self.rest) for v in langs]).reshape(x.shape), 0)
-        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+def language_means(slim: DataFrame) -> DataFrame:
+    """(of, sums) of every language: its rows' vectors added up and, last, the number of those that aren't empty."""
 
-    def of(self, langs: list, x: np.ndarray) -> np.ndarray:
-        return np.argmax(np.round(self.residuals(langs, x) @ self.centres.T, 9), 1) if len(x) else np.zeros(0, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str | None, np.ndarray] = {}
+
+        def told() -> pa.RecordBatch:
+            of = [v for v in total for _ in range(DIMS + 1)]
+            return pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(np.tile(np.arange(DIMS + 1), len(total)), pa.int32()), pa.array(np.concatenate(list(total.values())).astype(np.int64))], names=["of", "d", "x"])
+
+        for b in batches:
+            x, langs = rows_of(b.column("vec")), b.column("lang").to_pylist()
+            x = np.hstack([x, x.any(1, keepdims=True)])
+            names = {v: i for i, v in enumerate(dict.fromkeys(langs))}
+            own = np.array([names[v] for v in langs], np.int64)
+            for v, i in names.items():
+                total[v] = total.get(v, 0) + x[own == i].sum(0)
+            if len(total) > LANGUAGES_SENT:
+                yield told()
+                total.clear()
+        if total:
+            yield told()
+
+    sums = slim.select("lang", "vec").mapInArrow(tidied(run), "of string, d int, x long").groupBy("of", "d").agg(F.sum("x").alias("x"))
+    return sums.groupBy("of").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s.x).alias("sums"))
 
 
-def rows_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, DIMS).astype(float)
+def with_sums(rows: DataFrame, lang: str, means: DataFrame) -> DataFrame:
+    """rows with the sums of their language; means of few languages are sent to every task, those of more are joined as the optimizer sees fit."""
+    means = F.broadcast(means) if means.count() <= LANGUAGES_SENT else means
+    rows = rows.join(means, F.col(lang).eqNullSafe(F.col("of")), "left").drop("of")
+    return rows.withColumn("sums", F.coalesce("sums", F.array_repeat(F.lit(0).cast("long"), DIMS + 1)))
 
 
-def summed(rows: DataFrame, groups) -> dict:
-    """The sum of whole numbers over the rows of each group; groups(batch) gives the numbers of the groups and the rows."""
+def residuals(x: np.ndarray, sums: pa.Array) -> np.ndarray:
+    """Rows without their language's mean, in thousandths, of length 1000 about; empty ones stay 0."""
+    s = sums.flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMS + 1).astype(float)
+    x = np.where(x.any(1, keepdims=True), x - s[:, :DIMS] / np.maximum(s[:, DIMS:], 1), 0)
+    return np.round(1000 * x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9))
+
+
+def topics_of(rest: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmax(np.round(rest @ centres.T / 1000, 9), 1) if len(rest) else np.zeros(0, np.int64)
+
+
+def without_means(slim: DataFrame, means: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """columns with rest, the residuals, of every row of a table with lang and vec."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
         for b in batches:
-            if b.num_rows:
-                own, x = groups(b)
-                for k in np.unique(own):
-                    total[int(k)] = total.get(int(k), 0) + np.append(x[own == k].sum(0), (own == k).sum()).astype(np.int64)
-        for k, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(DIMS + 1, k), pa.int32()), pa.array(np.arange(DIMS + 1), pa.int32()), pa.array(x, pa.int64())], names=["k", "d", "x"])
-
-    out: dict = {}
-    for r in rows.select("lang", "vec").mapInArrow(tidied(run), "k int, d int, x long").groupBy("k", "d").agg(F.sum("x").alias("x")).collect():
-        out.setdefault(r.k, np.zeros(DIMS + 1))[r.d] = r.x
-    return out
-
-
-def learnt(slim: DataFrame) -> Topics:
-    """Topics from rows with lang and vec."""
-    langs = [r[0] for r in slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(OWN_MEANS).collect()]
-    number = {v: i for i, v in enumerate(langs)}
-
-    def by_lang(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        x = rows_of(b.column("vec"))
-        some = x.any(1)
-        return np.array([number.get(v, len(langs)) for v in b.column("lang").to_pylist()])[some], x[some]
-
-    sums = summed(slim, by_lang)
-    mean = {k: x[:DIMS] / max(x[DIMS], 1) for k, x in sums.items()}
-    blank = np.zeros(DIMS)
-    model = Topics({v: mean.get(i, blank) for v, i in number.items()}, mean.get(len(langs), blank), np.zeros((TOPICS, DIMS)))
-    some = slim.select("lang", "vec").orderBy(F.xxhash64("vec"), "vec", "lang").limit(START).collect()
-    if not some:
-        return model
-    first = model.residuals([r.lang for r in some], np.frombuffer(b"".join(bytes(r.vec) for r in some), np.int8).reshape(-1, DIMS).astype(float))
+            rest = residuals(rows_of(b.column("vec")), b.column("sums")).astype(np.int16)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array([r.tobytes() for r in rest], pa.binary())], names=[*columns, "rest"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*columns).schema.fields)
+    return with_sums(slim, "lang", means).mapInArrow(tidied(run), f"{schema}, rest binary")
+
+
+def learnt(rows: DataFrame) -> np.ndarray:
+    """The topics' centres, from rows with rest."""
+    some = rows.select("rest").orderBy(F.xxhash64("rest"), "rest").limit(START).toArrow().column("rest")
+    if not len(some):
+        return np.zeros((TOPICS, DIMS))
+    first = rows_of(some, np.int16) / 1000
     # rows that lie far apart, one after the other
     pick = [int(np.argmax((first * first).sum(1)))]
     for _ in range(1, TOPICS):
         pick.append(int(np.argmin(np.round((first @ first[pick].T).max(1), 9))))
-    model.centres = first[pick]
+    centres = first[pick]
     for _ in range(ROUNDS):
-        def by_topic(b: pa.RecordBatch, model: Topics = model) -> tuple[np.ndarray, np.ndarray]:
-            x, langs = rows_of(b.column("vec")), b.column("lang").to_pylist()
-            return model.of(langs, x), np.round(1000 * model.residuals(langs, x))
 
-        sums = summed(slim, by_topic)
-        centres = np.stack([sums[k][:DIMS] if k in sums else model.centres[k] for k in range(TOPICS)])
-        model = Topics(model.means, model.rest, centres / np.maximum(np.sqrt((centres * centres).sum(1, keepdims=True)), 1e-9))
-    return model
+        def run(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((TOPICS, DIMS), np.int64)
+            for b in batches:
+                rest = rows_of(b.column("rest"), np.int16)
+                own = topics_of(rest, centres)
+                for k in np.unique(own):
+                    total[k] += rest[own == k].sum(0).astype(np.int64)
+            k, d = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(d, pa.int32()), pa.array(total[k, d])], names=["k", "d", "x"])
+
+        sums = np.zeros((TOPICS, DIMS))
+        for r in rows.select("rest").mapInArrow(tidied(run), "k int, d int, x long").groupBy("k", "d").agg(F.sum("x").alias("x")).collect():  # TOPICS times DIMS rows at most
+            sums[r.k, r.d] = r.x
+        moved = np.where(sums.any(1, keepdims=True), sums, centres)
+        centres = moved / np.maximum(np.sqrt((moved * moved).sum(1, keepdims=True)), 1e-9)
+    return centres
 
 
 def rake(cells: list[tuple], tokens: np.ndarray, targets: dict[str, dict] | None = None, rounds: int = 500, tolerance: float = 1e-9) -> np.ndarray:
@@ -325,30 +346,31 @@ def weighted(cells: DataFrame, targets: dict[str, dict] | None = None, keep: flo
     return F.broadcast(table)
 
 
-def with_topic(slim: DataFrame, model: Topics, columns: tuple[str, ...]) -> DataFrame:
-    """columns with the topic of every row of a table with lang and vec."""
+def with_topic(rows: DataFrame, centres: np.ndarray, columns: tuple[str, ...]) -> DataFrame:
+    """columns with the topic of every row of a table with rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            topic = model.of(b.column("lang").to_pylist(), rows_of(b.column("vec")))
+            topic = topics_of(rows_of(b.column("rest"), np.int16), centres)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(topic, pa.int32())], names=[*columns, "topic"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*columns).schema.fields)
-    return slim.select(*columns, *(c for c in ("lang", "vec") if c not in columns)).mapInArrow(tidied(run), f"{schema}, topic int")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema.fields)
+    return rows.select(*columns, "rest").mapInArrow(tidied(run), f"{schema}, topic int")
 
 
-def cells_of(slim: DataFrame, model: Topics) -> DataFrame:
-    return with_topic(slim, model, ("source", "lang", "n_tokens")).groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n"))
+def cells_of(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    return with_topic(rows, centres, ("source", "lang", "n_tokens")).groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n"))
 
 
 def mixed(documents: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP) -> DataFrame:
     """doc_id, source, lang, n_tokens, topic, weight, probability, capped, sampled for every document."""
     small_batches(documents.sparkSession)
     slim = checkpointed(described(documents, ("doc_id", "source", "lang")))
-    model = learnt(slim)
-    table = weighted(cells_of(slim, model), targets, keep).select(*(F.col(c).alias(f"cell_{c}") for c in MARGINS), "weight", "probability")
+    slim = checkpointed(without_means(slim, checkpointed(language_means(slim)), ("doc_id", "source", "lang", "n_tokens")))
+    centres = learnt(slim)
+    table = weighted(cells_of(slim, centres), targets, keep).select(*(F.col(c).alias(f"cell_{c}") for c in MARGINS), "weight", "probability")
     same = [F.col(c).eqNullSafe(F.col(f"cell_{c}")) for c in MARGINS]
-    rows = with_topic(slim, model, ("doc_id", "source", "lang", "n_tokens")).join(table, same[0] & same[1] & same[2])
+    rows = with_topic(slim, centres, ("doc_id", "source", "lang", "n_tokens")).join(table, same[0] & same[1] & same[2])
     return rows.select("doc_id", "source", "lang", "n_tokens", "topic", "weight", "probability", (F.col("probability") >= 1).alias("capped"), (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))
 
 
@@ -357,18 +379,21 @@ def draw(documents: DataFrame, targets: dict[str, dict] | None = None, keep: flo
     small_batches(documents.sparkSession)
     columns = documents.columns
     slim = checkpointed(described(documents, ("source", "lang")))
-    model = learnt(slim)
-    table = weighted(cells_of(slim, model), targets, keep).select(*MARGINS, "probability")
+    means = checkpointed(language_means(slim))
+    slim = checkpointed(without_means(slim, means, ("source", "lang", "n_tokens")))
+    centres = learnt(slim)
+    table = weighted(cells_of(slim, centres), targets, keep).select(*MARGINS, "probability")
     own = {c: f"c{i}" for i, c in enumerate(columns)}  # names that can't clash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = vectors(b.column(own["text"]).to_pylist()).astype(float)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.of(b.column(own["lang"]).to_pylist(), x), pa.int32())], names=[*b.schema.names, "own_topic"])
+            topic = topics_of(residuals(x, b.column("sums")), centres)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own.values()), pa.array(topic, pa.int32())], names=[*own.values(), "own_topic"])
 
     rows = documents.select(*(F.col(f"`{c}`").alias(x) for c, x in own.items()))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    rows = rows.mapInArrow(tidied(run), f"{schema}, own_topic int")
+    rows = with_sums(rows, own["lang"], means).mapInArrow(tidied(run), f"{schema}, own_topic int")
     same = F.col(own["source"]).eqNullSafe(F.col("source")) & F.col(own["lang"]).eqNullSafe(F.col("lang")) & (F.col("own_topic") == F.col("topic"))
     rows = rows.join(table, same).where(uniform(F.col(own["doc_id"])) < F.col("probability"))
     return rows.select(*(F.col(x).alias(c) for c, x in own.items()))

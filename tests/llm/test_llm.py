@@ -573,6 +573,41 @@ def test_topics_cut_across_languages(spark):
     assert right / 640 > 0.8  # each theme is mostly one topic, in both languages
 
 
+@pytest.mark.parametrize(("langs", "sent"), [(63, 4096), (65, 4096), (65, 10)])
+def test_every_language_has_its_own_mean(spark, monkeypatch, langs, sent):
+    """Both sides of 64 languages, and means that are joined instead of sent; the centres against k-means in plain numpy."""
+    monkeypatch.setattr(mixing, "LANGUAGES_SENT", sent)
+    g = np.random.default_rng(4)
+    about = [[f"theme{t}term{i}" for i in range(12)] for t in range(mixing.TOPICS)]
+    rows = []
+    for i in range(langs * 16):
+        lang, t = i % langs, i // langs % mixing.TOPICS
+        rows.append((i, " ".join([*g.choice([f"l{lang}word{j}" for j in range(20)], 40), *g.choice(about[t], 60)]), None if lang == 0 else f"l{lang}", "s", 0))
+    d = spark.createDataFrame(rows, COLS)
+    got = {r.doc_id: r.topic for r in mixing.op7_mixing(d).collect()}
+    x = mixing.vectors([r[1] for r in rows]).astype(float)
+    lang = np.array([i % langs for i in range(len(rows))])
+    rest = np.zeros_like(x)
+    for v in range(langs):
+        rest[lang == v] = x[lang == v] - x[lang == v].sum(0) / (lang == v).sum()
+    rest = np.round(1000 * rest / np.sqrt((rest * rest).sum(1, keepdims=True))).astype(np.int16)
+    slim = spark.createDataFrame([(r.tobytes(),) for r in rest], "rest binary")
+    first = mixing.rows_of(slim.orderBy(F.xxhash64("rest"), "rest").limit(mixing.START).toArrow().column("rest"), np.int16) / 1000
+    pick = [max(range(len(first)), key=lambda i: (first[i] * first[i]).sum())]
+    while len(pick) < mixing.TOPICS:
+        pick.append(min(range(len(first)), key=lambda i: round(max(float(first[i] @ first[j]) for j in pick), 9)))
+    c = first[pick]
+    for _ in range(mixing.ROUNDS):
+        own = np.array([max(range(len(c)), key=lambda k: round(float(r @ c[k]) / 1000, 9)) for r in rest.astype(float)])
+        c = np.stack([rest[own == k].astype(float).sum(0) if (own == k).any() else c[k] for k in range(len(c))])
+        c /= np.sqrt((c * c).sum(1, keepdims=True))
+    want = [max(range(len(c)), key=lambda k: round(float(r @ c[k]) / 1000, 9)) for r in rest.astype(float)]
+    assert [got[i] for i in range(len(rows))] == want
+    assert mixing.draw(d, keep=1.0).count() == len(rows)
+    right = sum(max(found.count(k) for k in set(found)) for t in range(mixing.TOPICS) for found in [[got[i] for i in range(len(rows)) if i // langs % mixing.TOPICS == t]])
+    assert right / len(rows) > 0.75
+
+
 def test_every_source_meets_its_target(spark):
     g = np.random.default_rng(6)
     n = 2600
