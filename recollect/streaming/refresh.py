@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Batches from one base of a refreshed table to the next.
+#: Runs of a level of a refreshed table that become one of the next level.
 COMPACT = 20
 #: Rows of a key that a stateful operator hands on at once.
 PIECE = 10_000
@@ -20,24 +20,24 @@ def refresh(spark: SparkSession, source: str, schema: str, target: str, checkpoi
     """Merges new files under source into the table at target, each once; ends when there are none.
 
     The checkpoint is the ledger of files. A batch writes its own rows alone, as
-    the delta of its number, so its cost doesn't grow with the table, and run again
-    after a failure it writes the same delta over the old one. Every compact batches
-    the newest base and the deltas since become the next base; what the base before
-    last was made of goes then, so a batch that is run again finds all it needs.
+    the run of its number on level 0, and run again after a failure it writes the
+    same run over the old one. Every compact runs of a level become one of the next,
+    so a row is written once a level, and levels grow with the logarithm of the
+    batches; the newest version of a key wins, whatever level it lies on. Runs go once
+    a later run of their level was merged away too, so a batch that is run again finds
+    all it needs.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = transform(batch)
-        newest_first(rows, key).write.mode("overwrite").parquet(f"{target}/delta/{number}")
-        if (number + 1) % compact == 0:
-            before = max((n for n in versions(spark, f"{target}/base") if n < number), default=-1)
-            read(spark, target, key, upto=number, base=before).write.mode("overwrite").parquet(f"{target}/base/{number}")
-            for n in versions(spark, f"{target}/base"):
-                if n < before:
-                    remove(spark, f"{target}/base/{n}")
-            for n in versions(spark, f"{target}/delta"):
-                if n <= before:
-                    remove(spark, f"{target}/delta/{n}")
+        newest_first(transform(batch), key).write.mode("overwrite").parquet(f"{target}/run0/{number}")
+        level, width = 0, max(2, compact)
+        while (number + 1) % width == 0:
+            parts = [n for n in versions(spark, f"{target}/run{level}") if number - width < n <= number]
+            newest_of(spark, [(f"{target}/run{level}/{n}", n) for n in parts], key).write.mode("overwrite").parquet(f"{target}/run{level + 1}/{number}")
+            for n in versions(spark, f"{target}/run{level}"):
+                if n <= number - width:
+                    remove(spark, f"{target}/run{level}/{n}")
+            level, width = level + 1, width * max(2, compact)
 
     if not folder(spark, f"{target}/key/_SUCCESS")[0].exists(folder(spark, f"{target}/key/_SUCCESS")[1]):
         spark.createDataFrame(list(enumerate(key)), "no int, name string").coalesce(1).write.mode("overwrite").parquet(f"{target}/key")
@@ -72,28 +72,34 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
-def read(spark: SparkSession, target: str, key: list[str], upto: int | None = None, base: int | None = None) -> DataFrame | None:
-    """The rows of the newest version of each key, from a base and the deltas after it."""
-    bases = versions(spark, f"{target}/base")
-    base = max(bases, default=-1) if base is None else base
-    later = [n for n in versions(spark, f"{target}/delta") if n > base and (upto is None or n <= upto)]
-    parts = [spark.read.parquet(f"{target}/base/{base}").withColumn("_version", F.lit(base))] if base >= 0 else []
-    parts += [spark.read.parquet(f"{target}/delta/{n}").withColumn("_version", F.lit(n)) for n in later]
-    if not parts:
-        return None
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p, allowMissingColumns=True)
+def newest_of(spark: SparkSession, parts: list[tuple[str, int]], key: list[str]) -> DataFrame:
+    """The row of the highest number of each key, over tables (path, number) that hold a key once each."""
     if len(parts) == 1:
-        return rows.drop("_version")
+        return spark.read.parquet(parts[0][0])
+    rows = None
+    for path, n in parts:
+        part = spark.read.parquet(path).withColumn("_version", F.lit(n))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("_version")))).where("_r = 1").drop("_r", "_version")
 
 
+def live(spark: SparkSession, target: str) -> list[tuple[str, int]]:
+    """The runs (path, number) that the table consists of: the highest level's, and of each level below what is newer."""
+    found, upto = [], -1
+    levels = 0
+    while folder(spark, f"{target}/run{levels}")[0].exists(folder(spark, f"{target}/run{levels}")[1]):
+        levels += 1
+    for level in reversed(range(levels)):
+        new = [n for n in versions(spark, f"{target}/run{level}") if n > upto]
+        found += [(f"{target}/run{level}/{n}", n) for n in new]
+        upto = max([upto, *new])
+    return found
+
+
 def current(spark: SparkSession, target: str) -> DataFrame | None:
     """The refreshed table as it is now, none before its first batch."""
-    if not versions(spark, f"{target}/base") and not versions(spark, f"{target}/delta"):
-        return None
-    return read(spark, target, [r["name"] for r in spark.read.parquet(f"{target}/key").orderBy("no").collect()])
+    parts = live(spark, target)
+    return newest_of(spark, parts, [r["name"] for r in spark.read.parquet(f"{target}/key").orderBy("no").collect()]) if parts else None
 
 
 def timed(stream: DataFrame, ts: str, late: str) -> DataFrame:

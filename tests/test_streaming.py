@@ -52,10 +52,24 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
                 p.unlink()
             R.refresh(spark, src, "id int, v string", target, c, ["id"], compact=3)
         assert {r.id: r.v for r in R.current(spark, target).collect()} == want
-    assert len(R.versions(spark, f"{target}/base")) <= 2 and len(R.versions(spark, f"{target}/delta")) <= 6
+    assert len(R.versions(spark, f"{target}/run1")) <= 2 and len(R.versions(spark, f"{target}/run0")) <= 6
     assert R.current(spark, str(tmp_path / "none")) is None
 
 
+def test_a_row_is_written_once_a_level(spark, tmp_path):
+    """Nine batches in twos: one run of level 3 and the last batch; no level's run is written more than once."""
+    src, target, c = str(tmp_path / "src"), str(tmp_path / "t"), str(tmp_path / "c")
+    want = {}
+    for n in range(9):
+        rows = [(i, f"v{n}") for i in (n, n + 1, 100)]
+        want |= dict(rows)
+        spark.createDataFrame(rows, "id int, v string").coalesce(1).write.mode("append").parquet(src)
+        R.refresh(spark, src, "id int, v string", target, c, ["id"], compact=2)
+        assert {r.id: r.v for r in R.current(spark, target).collect()} == want
+    assert [path.removeprefix(target) for path, _ in R.live(spark, target)] == ["/run3/7", "/run0/8"]
+    assert [len(R.versions(spark, f"{target}/run{k}")) for k in range(4)] == [3, 2, 2, 1]
+
+
 def test_state_ends(spark, tmp_path):
     (tmp_path / "src").mkdir()
     src = str(tmp_path / "src")
