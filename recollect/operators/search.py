@@ -174,6 +174,53 @@ def overview_search(sessions: DataFrame, query: str, recent: int = 20, limit: in
     return rows.select("id", F.round(F.col("base") + F.coalesce("bonus", F.lit(0.0)), 4).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
+# The headings of a digest.
+DIGEST = {
+    0: "Trajectory memory is available from prior local agent sessions.",
+    3: "Potentially relevant prior trajectories:",
+    4: "Recent trajectories with more detail:",
+    5: "Older trajectory catalog:",
+    6: "Treat these summaries as hints, not ground truth. If exact provenance matters, inspect the source trajectory file.",
+}
+
+
+def prompt_digest(sessions: DataFrame, query: str = "", recent: int = 20, matches: int = 4, older: int = 8) -> DataFrame:
+    """(section, place, line): what a prompt is told of earlier sessions, in this order: counts by tool, the sessions that match the query, the newest with more detail, those before them in short.
+
+    sessions: id, tool, title, text, updated_at, short_summary, detailed_summary. A
+    match has 5 points for each token in its title, one for each time it stands in the
+    text, and 0.75 if it is one of the newest; a query without tokens prefers the
+    newest. Sections without rows have no heading; null texts count as empty.
+    """
+    spark = sessions.sparkSession
+    rows = sessions.select("id", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("tool", "title", "text", "updated_at", "short_summary", "detailed_summary")))
+    newest = [F.desc("updated_at"), F.col("id")]
+    short = rows.select("id", "tool", "title", "updated_at", "short_summary", "detailed_summary").orderBy(*newest).limit(recent + older)
+    short = short.withColumn("place", F.row_number().over(W.orderBy(*newest)))  # recent + older rows
+    head = F.concat(F.lit("- ["), "tool", F.lit("]["), F.substring("updated_at", 1, 10), F.lit("] "))
+    brief = F.concat(head, "title", F.lit(": "), "short_summary")
+
+    def part(section: int, found: DataFrame, line: Column, first: int = 1) -> DataFrame:
+        top = found.where(F.col("place") == first).select(F.lit(section).alias("section"), F.lit(0).alias("place"), F.lit(DIGEST[section]).alias("line"))
+        return top.unionByName(found.select(F.lit(section).alias("section"), "place", line.alias("line")))
+
+    tools = rows.groupBy("tool").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.array_sort(F.collect_list(F.struct("tool", "n"))).alias("tools"))
+    each = F.array_join(F.transform("tools", lambda t: F.concat(F.initcap(t.tool), F.lit(" "), t.n.cast("string"))), ", ")
+    counts = tools.select(F.lit(1).alias("section"), F.lit(0).alias("place"), F.concat(F.lit("Global overview: "), F.col("total").cast("string"), F.lit(" total sessions "), each, F.lit(".")).alias("line"))
+    said = [(0, 0, DIGEST[0]), (6, 0, DIGEST[6])] + ([(2, 0, f"Current user query for memory matching: {query}")] if query else [])
+    parts = [spark.createDataFrame(said, "section int, place int, line string"), counts]
+    if query:
+        terms = T.query_tokens(query)
+        flagged = short.where(F.col("place") <= recent).select("id", F.lit(True).alias("new"))
+        points = lexical.total([F.when(F.contains(F.lower("title"), F.lit(t)), 5.0).otherwise(0.0) + T.occurrences(F.lower("text"), t) for t in terms]) if terms else F.lit(0.2)
+        scored = rows.join(F.broadcast(flagged), "id", "left").withColumn("score", points + F.when(F.col("new"), 0.75 if terms else 0.8).otherwise(0.0))
+        best = [F.desc("score"), *newest]
+        hits = scored.where("score > 0").drop("text").orderBy(*best).limit(matches).withColumn("place", F.row_number().over(W.orderBy(*best)))  # matches rows
+        parts.append(part(3, hits, brief))
+    parts += [part(4, short.where(F.col("place") <= recent), F.concat(head, "detailed_summary")), part(5, short.where(F.col("place") > recent), brief, recent + 1)]
+    return reduce(DataFrame.unionByName, parts).orderBy("section", "place")
+
+
 def read_window(events: DataFrame, ref: str, at: int, before: int = 3, after: int = 3, tail: int = 0, query: str = "", max_chars: int = 0) -> DataFrame:
     """Events around a hit, with the session's last ones if asked for.
 

@@ -221,6 +221,28 @@ def preference_examples(suggestions: DataFrame, decisions: DataFrame, limit: int
     return top.withColumn("no", F.row_number().over(W.orderBy(*order))).select("no", "source_ref", "said", "chose")
 
 
+def overview(projects: DataFrame, decisions: DataFrame, suggestions: DataFrame, flagged: DataFrame, private: DataFrame, sessions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every project with its owner's level and the reviewer's suggestion, a row for each session that the suggestion flags (one with null ref where it flags none).
+
+    projects: project, sessions, last; decisions: project, level; suggestions: project,
+    suggested, reason; flagged: project, ref; private: ref; sessions: session_id,
+    level; chunks: source_ref, title. A flagged session has its title, whether it is
+    private, and the level decided for it, else owner if it is private. Titles are
+    looked up for flagged sessions alone. Flags of projects without a suggestion
+    don't count; of several decisions the largest counts.
+    """
+    levels = decisions.groupBy("project").agg(F.max("level").alias("level"))
+    told = suggestions.groupBy("project").agg(F.max(F.struct("suggested", "reason")).alias("_told")).select("project", "_told.*")
+    flags = flagged.select("project", "ref").distinct().join(told.select("project"), "project", "left_semi")
+    titles = chunks.join(flags.select(F.col("ref").alias("source_ref")).distinct(), "source_ref", "left_semi").groupBy(F.col("source_ref").alias("ref")).agg(F.max("title").alias("title"))
+    own = sessions.groupBy(F.lower("session_id").alias("_sid")).agg(F.max("level").alias("_own"))
+    flags = flags.withColumn("_sid", F.lower(F.substring_index(F.substring_index("ref", "#", 1), ":", -1))).join(own, "_sid", "left").join(titles, "ref", "left")
+    flags = flags.join(private.select("ref", F.lit(True).alias("private")).distinct(), "ref", "left")
+    flags = flags.select("project", "ref", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("private", F.lit(False)).alias("private"), F.coalesce("_own", F.when(F.col("private"), "owner")).alias("session_level"))
+    rows = projects.join(levels, "project", "left").join(told, "project", "left").join(flags, "project", "left")
+    return rows.select("project", "sessions", "last", "level", "suggested", "reason", "ref", "title", "private", "session_level")
+
+
 def members(feed: DataFrame, own: str) -> DataFrame:
     """Who has written in a channel: oneself, then bots, then the latest."""
     rows = feed.where("author_id <> ''").groupBy("author_id").agg(F.max_by("author_name", "seq").alias("name"), F.max("is_bot").alias("is_bot"), F.max("ts").alias("last"))

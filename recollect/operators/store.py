@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from .buckets import Buckets
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -129,10 +130,37 @@ def compacted(spark, source: str, target: str, mb: int = 256) -> None:
 
 
 def with_json(column: Column, path: str, value: Column) -> Column:
-    """A JSON object with the member of a path like $.a set; text that is no object becomes one."""
-    name = path.removeprefix("$.")
-    old = F.coalesce(F.from_json(column, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    return F.to_json(F.map_concat(F.map_filter(old, lambda k, _: k != name), F.create_map(F.lit(name), value.cast("string"))))
+    """A JSON object with the member of a path like $.a set to a text; other members stay as they are, in the order of their names; text that is no object becomes one."""
+    name, kind = path.removeprefix("$."), "map<string,variant>"
+    parsed = F.try_parse_json(column)
+    old = F.coalesce(F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed.cast(kind)), F.create_map().cast(kind))
+    return F.to_json(F.map_concat(F.map_filter(old, lambda k, _: k != name), F.create_map(F.lit(name), value.cast("string").cast("variant"))))
+
+
+def with_origins(rows: DataFrame, origins: DataFrame) -> DataFrame:
+    """The rows whose metadata_json doesn't yet say what origins (source_ref, origin, origin_detail) says of their session, with origin and detail set.
+
+    An origin other than interactive or automated is none: such sessions keep what
+    they have. Of several rows of a session the largest counts.
+    """
+    said = origins.where(F.col("origin").isin("interactive", "automated")).groupBy("source_ref").agg(F.max(F.struct("origin", F.coalesce("origin_detail", F.lit("")).alias("detail"))).alias("_said"))
+    rows = rows.join(said, "source_ref").select(*(F.col(c) for c in rows.columns), "_said")
+    same = F.get_json_object("metadata_json", "$.origin").eqNullSafe(F.col("_said.origin")) & F.get_json_object("metadata_json", "$.origin_detail").eqNullSafe(F.col("_said.detail"))
+    new = with_json(with_json(F.col("metadata_json"), "$.origin", F.col("_said.origin")), "$.origin_detail", F.col("_said.detail"))
+    return rows.where(~same).withColumn("metadata_json", new).drop("_said")
+
+
+def origins_written(held: Buckets, origins: DataFrame) -> Buckets:
+    """A bucketed table of chunks with its sessions' origins written back: only buckets with rows that change are written, and a second time none."""
+    return held.merge(with_origins(held.read(), origins))
+
+
+def origin_counts(rows: DataFrame) -> DataFrame:
+    """(origin, detail, sessions) as the rows' metadata_json have them, unknown where there is none."""
+    said = rows.groupBy("source_ref").agg(F.max("metadata_json").alias("j"))
+    origin, detail = F.get_json_object("j", "$.origin"), F.get_json_object("j", "$.origin_detail")
+    known = F.coalesce(origin.isin("interactive", "automated"), F.lit(False))
+    return said.groupBy(F.when(known, origin).otherwise("unknown").alias("origin"), F.when(known, F.coalesce(detail, F.lit(""))).otherwise("").alias("detail")).agg(F.count("*").alias("sessions"))
 
 
 def appended(rows: DataFrame, path: str) -> None:

@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, buckets, catalog, embeddings, lexical, packed
-from .catalogue import CHUNKS, DOT, chunks, query, table
+from ..operators import asof, buckets, catalog, embeddings, lexical, packed, search, sharing, store
+from .catalogue import CHUNKS, DOT, SESSIONS, chunks, query, sessions, table
 
 
 @query("asof_nearest_click", """WITH s AS (SELECT row_number() OVER () AS no, sale_id, client_id, sold_at AS ts FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
@@ -74,3 +74,59 @@ def _(s, d):
     rows = chunks(s, d).withColumn("cwd", F.concat("cwd", F.lit("/"), F.col("id").cast("string")))
     meta = F.when(F.col("id") % 4 == 0, F.lit('{"origin": "automated"}')).otherwise(F.lit("{}"))
     return catalog.project_sessions(rows.withColumn("metadata_json", meta), "en", "src1", rooted=True)
+
+
+@query("origins_written_back", f"""WITH {CHUNKS}, o AS (SELECT source_ref, max(id) % 3 AS k FROM chunks GROUP BY source_ref)
+SELECT id, id AS own, CASE k WHEN 0 THEN 'automated' WHEN 1 THEN 'interactive' ELSE 'old' END AS origin, CASE k WHEN 0 THEN 'sdk' WHEN 1 THEN '' END AS origin_detail FROM chunks JOIN o USING (source_ref)""")
+def _(s, d):
+    """Origins of sessions written into their chunks' metadata in a bucketed table; twice, as a job that is run again."""
+    rows = chunks(s, d)
+    meta = F.format_string('{"own": %d, "nested": {"a": [1, 2]}, "origin": "old"}', "id")
+    held = buckets.Buckets.create(s, f"{lexical.shared(s)}/origins-{uuid.uuid4().hex}", "id bigint, source_ref string, metadata_json string", ["id"], 16).merge(rows.select("id", "source_ref", meta.alias("metadata_json")))
+    k = F.max("id") % 3
+    origins = rows.groupBy("source_ref").agg(F.when(k == 0, "automated").when(k == 1, "interactive").otherwise("odd").alias("origin"), F.when(k == 0, "sdk").alias("origin_detail"))
+    for _ in range(2):
+        held = store.origins_written(held, origins)
+    return held.read().where(F.get_json_object("metadata_json", "$.nested.a[1]") == "2").select(
+        "id", F.get_json_object("metadata_json", "$.own").cast("long").alias("own"), F.get_json_object("metadata_json", "$.origin").alias("origin"), F.get_json_object("metadata_json", "$.origin_detail").alias("origin_detail"))
+
+
+@query("sharing_overview", f"""WITH {CHUNKS}, c AS (SELECT *, source_name || '|' || cwd AS project, CAST(substr(session_id, 2) AS BIGINT) AS no FROM chunks),
+p AS (SELECT project, count(DISTINCT session_id) AS sessions, max(updated_at) AS last FROM c GROUP BY project),
+g AS (SELECT project, sessions % 4 AS told FROM p WHERE sessions % 4 <> 3),
+f AS (SELECT DISTINCT project, source_ref AS ref, session_id, no FROM c WHERE no % 7 = 0 AND project IN (SELECT project FROM g)),
+t AS (SELECT source_ref AS ref, max(title) AS title FROM chunks GROUP BY source_ref),
+x AS (SELECT DISTINCT source_ref AS ref FROM chunks JOIN labels ON id = doc_id WHERE toxic = 1)
+SELECT p.project, p.sessions, p.last, CASE p.sessions % 3 WHEN 0 THEN 'team' WHEN 1 THEN 'owner' END AS level, CASE WHEN g.told IS NOT NULL THEN 'level ' || g.told END AS suggested, CASE WHEN g.told IS NOT NULL THEN 'so' END AS reason,
+ f.ref, t.title, CASE WHEN f.ref IS NOT NULL THEN x.ref IS NOT NULL END AS private, CASE WHEN f.no % 5 = 0 THEN 'team' WHEN x.ref IS NOT NULL THEN 'owner' END AS session_level
+FROM p LEFT JOIN g USING (project) LEFT JOIN f USING (project) LEFT JOIN t ON f.ref = t.ref LEFT JOIN x ON f.ref = x.ref""")
+def _(s, d):
+    c = chunks(s, d).withColumn("project", F.concat_ws("|", "source_name", "cwd")).withColumn("no", F.substring("session_id", 2, 20).cast("long"))
+    projects = c.groupBy("project").agg(F.countDistinct("session_id").alias("sessions"), F.max("updated_at").alias("last"))
+    k = F.col("sessions")
+    decisions = projects.select("project", F.when(k % 3 == 0, "team").when(k % 3 == 1, "owner").alias("level"))
+    suggestions = projects.where(k % 4 != 3).select("project", F.concat(F.lit("level "), (k % 4).cast("string")).alias("suggested"), F.lit("so").alias("reason"))
+    private = c.join(table(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_semi").select(F.col("source_ref").alias("ref"))
+    own = c.where("no % 5 = 0").select("session_id", F.lit("team").alias("level"))
+    return sharing.overview(projects, decisions, suggestions, c.where("no % 7 = 0").select("project", F.col("source_ref").alias("ref")), private, own, c)
+
+
+@query("prompt_digest", f"""WITH {SESSIONS}, s AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'codex' ELSE 'claude' END AS tool, substr(text, 1, 40) AS short, substr(text, 1, 90) AS long,
+  row_number() OVER (ORDER BY updated_at DESC, id) AS r FROM sessions),
+b AS (SELECT *, '- [' || tool || '][' || substr(updated_at, 1, 10) || '] ' AS head, 5 * (contains(lower(title), 'erth')::INT + contains(lower(title), 'onder')::INT)
+  + (length(lower(text)) - length(replace(lower(text), 'erth', ''))) // 4 + (length(lower(text)) - length(replace(lower(text), 'onder', ''))) // 5 + CASE WHEN r <= 20 THEN 0.75 ELSE 0 END AS score FROM s),
+m AS (SELECT *, row_number() OVER (ORDER BY score DESC, updated_at DESC, id) AS q FROM b WHERE score > 0),
+c AS (SELECT tool, count(*) AS n FROM s GROUP BY tool)
+SELECT 0 AS section, 0 AS place, 'Trajectory memory is available from prior local agent sessions.' AS line
+UNION ALL SELECT 1, 0, 'Global overview: ' || sum(n) || ' total sessions ' || string_agg(upper(substr(tool, 1, 1)) || substr(tool, 2) || ' ' || n, ', ' ORDER BY tool) || '.' FROM c
+UNION ALL SELECT 2, 0, 'Current user query for memory matching: erth onder'
+UNION ALL SELECT 3, 0, 'Potentially relevant prior trajectories:' WHERE EXISTS (SELECT 1 FROM m)
+UNION ALL SELECT 3, q, head || title || ': ' || short FROM m WHERE q <= 4
+UNION ALL SELECT 4, 0, 'Recent trajectories with more detail:'
+UNION ALL SELECT 4, r, head || long FROM b WHERE r <= 20
+UNION ALL SELECT 5, 0, 'Older trajectory catalog:' WHERE EXISTS (SELECT 1 FROM b WHERE r > 20)
+UNION ALL SELECT 5, r, head || title || ': ' || short FROM b WHERE r > 20 AND r <= 28
+UNION ALL SELECT 6, 0, 'Treat these summaries as hints, not ground truth. If exact provenance matters, inspect the source trajectory file.'""")
+def _(s, d):
+    rows = sessions(s, d).withColumn("tool", F.when(F.col("id") % 3 == 0, "codex").otherwise("claude"))
+    return search.prompt_digest(rows.withColumn("short_summary", F.substring("text", 1, 40)).withColumn("detailed_summary", F.substring("text", 1, 90)), "erth onder")

@@ -13,7 +13,9 @@ from recollect.operators import lexical, policy, results, search, sharing, store
 def test_json_members(spark):
     df = spark.createDataFrame([('{"a": "1", "b": {"c": 2}}',), ("no",), (None,), ("[1]",)], "j string")
     got = [json.loads(r.j) for r in df.select(store.with_json(F.col("j"), "$.a", F.lit("x")).alias("j")).collect()]
-    assert [g["a"] for g in got] == ["x"] * 4 and json.loads(got[0]["b"]) == {"c": 2}
+    assert [g["a"] for g in got] == ["x"] * 4 and got[0]["b"] == {"c": 2}
+    odd = spark.createDataFrame([('{"a": null, "n": 1.5, "t": true, "l": [1, null], "u": "\\u00e9\\""}',)], "j string")
+    assert json.loads(odd.select(store.with_json(F.col("j"), "$.a", F.lit(7))).first()[0]) == {"a": "7", "n": 1.5, "t": True, "l": [1, None], "u": 'é"'}
 
 
 def test_compaction_of_vectors(spark, tmp_path):
@@ -259,3 +261,36 @@ def test_prompt_search_by_index(spark, tmp_path):
     for query in ("alpha gamma", "beta", "alpha beta gamma delta nothing"):
         a, b = (search.prompt_search(prompts, query, 20, x).collect() for x in (None, index))
         assert a == b and a
+
+
+def test_digest_of_few_sessions(spark):
+    schema = "id long, tool string, title string, text string, updated_at string, short_summary string, detailed_summary string"
+    rows = [(1, "claude", "parser bug", "the parser fails; parser again", "2024-01-01T10", "short one", "long one"), (2, "codex", None, None, None, None, None)]
+    got = [r.line for r in search.prompt_digest(spark.createDataFrame(rows, schema), "parser", recent=1).collect()]
+    assert got[1:] == [
+        "Global overview: 2 total sessions Claude 1, Codex 1.", "Current user query for memory matching: parser", "Potentially relevant prior trajectories:", "- [claude][2024-01-01] parser bug: short one",
+        "Recent trajectories with more detail:", "- [claude][2024-01-01] long one", "Older trajectory catalog:", "- [codex][] : ", got[-1]]
+    empty = [r.section for r in search.prompt_digest(spark.createDataFrame([], schema), "x y").collect()]
+    assert empty == [0, 1, 2, 6] and [r.section for r in search.prompt_digest(spark.createDataFrame([], schema)).collect()] == [0, 1, 6]
+
+
+def test_origins_are_written_once(spark, tmp_path):
+    from recollect.operators.buckets import Buckets
+
+    rows = spark.createDataFrame([(i, f"s{i % 4}", None if i == 3 else "no json" if i == 2 else '{"x": {"y": 1}}') for i in range(40)], "id long, source_ref string, metadata_json string")
+    held = Buckets.create(spark, str(tmp_path / "t"), "id bigint, source_ref string, metadata_json string", ["id"], 4).merge(rows)
+    origins = spark.createDataFrame([("s0", "automated", "sdk"), ("s1", "interactive", None), ("s1", "automated", "a"), ("s2", "interactive", "b"), ("s3", "unknown", "c"), ("none", "automated", "d"), (None, "automated", "e")], "source_ref string, origin string, origin_detail string")
+    once = store.origins_written(held, origins)
+    got = {r.id: r.metadata_json for r in once.read().collect()}
+    assert len(got) == 40 and got[3] is None and got[7] == '{"x": {"y": 1}}'
+    assert json.loads(got[0]) == {"x": {"y": 1}, "origin": "automated", "origin_detail": "sdk"} and json.loads(got[2]) == {"origin": "interactive", "origin_detail": "b"}
+    assert json.loads(got[1])["origin"] == "interactive"
+    again = store.origins_written(once, origins)
+    assert again.live["folders"] == once.live["folders"]
+    assert {tuple(r) for r in store.origin_counts(once.read()).collect()} == {("automated", "sdk", 1), ("interactive", "", 1), ("interactive", "b", 1), ("unknown", "", 1)}
+
+
+def test_overview_without_decisions(spark):
+    empty = {k: spark.createDataFrame([], k) for k in ("project string, level string", "project string, suggested string, reason string", "project string, ref string", "ref string", "session_id string, level string", "source_ref string, title string")}
+    projects = spark.createDataFrame([("p", 1, "2024")], "project string, sessions long, last string")
+    assert [tuple(r) for r in sharing.overview(projects, *empty.values()).collect()] == [("p", 1, "2024", *[None] * 7)]
