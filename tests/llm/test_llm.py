@@ -309,6 +309,21 @@ def test_examples_hold_all_turns_before(spark):
     assert got[1].text.startswith(got[0].text) and got[1].text.endswith("a2<|im_end|>\n")
 
 
+def test_expansion_has_a_row_for_each_reply(spark):
+    rows = [(1, 0, "user", "q<|1"), (1, 1, "assistant", "a\\1"), (1, 2, "assistant", ""), (1, 3, "user", "q2"), (1, 4, "user", "q3"), (1, 5, "assistant", "ä<|3"), (1, 6, "user", "bye"), (2, 0, "user", "alone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = chat_format.expansion(df).orderBy("conv_id", "place").collect()
+    assert [(r.conv_id, r.example and r.example.example) for r in parts] == [(1, 2), (1, 3), (1, 6), (1, None), (2, None)]
+    whole = {(r.conv_id, r.example): r for r in chat_format.expanded(chat_format.formatted(df)).collect()}
+    text = ""
+    for r in parts[:3]:
+        assert r.context_chars == len(text)
+        text += r.added
+        full = whole[1, r.example.example]
+        assert text == full.text and (r.example.loss_start, r.example.loss_end) == (full.loss_start, full.loss_end)
+    assert [text[r.example.loss_start : r.example.loss_end] for r in parts[:3]] == ["a\\\\1", "", "ä<\\|3"]
+
+
 # 5
 
 
