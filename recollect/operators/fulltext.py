@@ -38,6 +38,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from . import lexical, versions
+from .batches import pieces, small, tidied
 from .versions import Conflict  # noqa: F401  part of this module's surface
 
 K1, B = 1.2, 0.75
@@ -159,47 +160,58 @@ def parsed(query: str) -> tuple[list[Clause], Column]:
     return asked, test
 
 
-def grams_of(text: str) -> list[int]:
+def grams(text: str) -> np.ndarray:
     """Numbers of the runs of one, two and three code points of a text, each once."""
     a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     b = a * np.uint32(2_654_435_761) + np.uint32(97)
     two = b[:-1] * np.uint32(31) + a[1:] * np.uint32(40_503)
     three = two[:-1] * np.uint32(2_246_822_519) + a[2:] * np.uint32(3_266_489_917) if len(a) > 2 else a[:0]
-    return np.unique(np.concatenate([b, two, three])).view(np.int32).tolist()
+    return np.unique(np.concatenate([b, two, three])).view(np.int32)
+
+
+def grams_of(text: str) -> list[int]:
+    return grams(text).tolist()
+
+
+def worded(b: pa.RecordBatch, substrings: bool) -> pa.RecordBatch:
+    """ROW of a batch (id, ref, hash, title, cwd, text, low): every row's words, counted in one pass, and the grams of low."""
+    lens, ends, terms, counts, pos, pos_ends = [], [0], [], ([], [], []), [], [0]
+    for fields in zip(*(b.column(f).to_pylist() for f in FIELDS), strict=True):
+        own: dict[str, list] = {}
+        n = 0
+        for k, value in enumerate(fields):
+            words = T.words_of(value or "")
+            n += len(words)
+            for at, w in enumerate(words, k * APART):
+                held = own.get(w)
+                if held is None:
+                    held = own[w] = [0, 0, 0, []]
+                held[k] += 1
+                held[3].append(at)
+        lens.append(n)
+        terms += own
+        for held in own.values():
+            for k in range(3):
+                counts[k].append(held[k])
+            pos += held[3]
+            pos_ends.append(len(pos))
+        ends.append(len(terms))
+    body = pa.StructArray.from_arrays([pa.array(terms, pa.string()), *(pa.array(c, pa.int32()) for c in counts), pa.ListArray.from_arrays(pa.array(pos_ends, pa.int32()), pa.array(pos, pa.int32()))], fields=list(ARROW_WORD))
+    runs = [grams(t or "") if substrings else np.zeros(0, np.int32) for t in b.column("low").to_pylist()]
+    held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, runs)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *runs])))
+    return pa.RecordBatch.from_arrays([b.column("id"), b.column("ref"), b.column("hash"), pa.array(lens, pa.int32()), held, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), body)], names=["id", "ref", "hash", "len", "grams", "words"])
 
 
 def forward(rows: DataFrame, substrings: bool) -> DataFrame:
-    """ROW of rows (id, source_ref, title, cwd, text): every row's words, counted in one pass, and the grams of its text."""
+    """ROW of rows (id, source_ref, title, cwd, text): worded() in pieces, so that what a Python worker holds doesn't grow with a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lens, ends, terms, counts, pos, pos_ends = [], [0], [], ([], [], []), [], [0]
-            for fields in zip(*(b.column(f).to_pylist() for f in FIELDS), strict=True):
-                own: dict[str, list] = {}
-                n = 0
-                for k, value in enumerate(fields):
-                    words = T.words_of(value or "")
-                    n += len(words)
-                    for at, w in enumerate(words, k * APART):
-                        held = own.get(w)
-                        if held is None:
-                            held = own[w] = [0, 0, 0, []]
-                        held[k] += 1
-                        held[3].append(at)
-                lens.append(n)
-                terms += own
-                for held in own.values():
-                    for k in range(3):
-                        counts[k].append(held[k])
-                    pos += held[3]
-                    pos_ends.append(len(pos))
-                ends.append(len(terms))
-            body = pa.StructArray.from_arrays([pa.array(terms, pa.string()), *(pa.array(c, pa.int32()) for c in counts), pa.ListArray.from_arrays(pa.array(pos_ends, pa.int32()), pa.array(pos, pa.int32()))], fields=list(ARROW_WORD))
-            grams = pa.array([grams_of(t or "") if substrings else [] for t in b.column("low").to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ref"), b.column("hash"), pa.array(lens, pa.int32()), grams, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), body)], names=["id", "ref", "hash", "len", "grams", "words"])
+            for piece in pieces(b, "text"):
+                yield worded(piece, substrings)
 
     held = rows.select(F.col("id").cast("long").alias("id"), F.col("source_ref").cast("string").alias("ref"), content(rows).alias("hash"), *FIELDS, (F.lower("text") if substrings else F.lit("")).alias("low"))
-    return held.mapInArrow(run, ROW)
+    return held.mapInArrow(tidied(run), ROW)
 
 
 def by_session(rows: DataFrame, ref: str) -> DataFrame:
@@ -248,6 +260,10 @@ class FullText:
 
     def segment(self, rows: DataFrame) -> dict:
         """Writes a segment of forward() rows that are by_session(): {name: statistics}, nothing for no rows."""
+        with small(self.spark):
+            return self._segment(rows)
+
+    def _segment(self, rows: DataFrame) -> dict:
         name = uuid.uuid4().hex
         base = f"{self.path}/segments/{name}"
         # read back, so that rows and postings have the same numbers
@@ -265,7 +281,7 @@ class FullText:
             F.min("p.len").alias("least_len"), F.array_sort(F.collect_list("p")).alias("post"))  # BLOCK entries at most
         blocks.sortWithinPartitions("term", "block").write.option("parquet.block.size", 16 << 20).parquet(f"{base}/terms")
         if self.live["substrings"]:
-            bits = held.select("seg", "block", "at", "grams").mapInArrow(bitmaps, f"seg string, gram int, block long, {', '.join(f'b{k} long' for k in range(PLACES))}")
+            bits = held.select("seg", "block", "at", "grams").mapInArrow(tidied(bitmaps), f"seg string, gram int, block long, {', '.join(f'b{k} long' for k in range(PLACES))}")
             bits.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.option("parquet.block.size", 16 << 20).parquet(f"{base}/grams")
         return {name: {"docs": docs, "len": total, "gone": 0, "gone_len": 0}}
 

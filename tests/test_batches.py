@@ -5,7 +5,7 @@ import tracemalloc
 import pyarrow as pa
 import pytest
 
-from recollect.operators import batches, lexical
+from recollect.operators import batches, fulltext, lexical
 
 TEXTS = [" ".join(f"w{(i * 7 + j) % 5000}" for j in range(400)) for i in range(4000)]
 
@@ -52,3 +52,12 @@ def test_postings_are_counted_in_pieces(spark):
     n = sum(len({w for w in t.split() if len(w) > 2}) for t in TEXTS)
     held = lexical.postings(rows)
     assert sum(held.rows) == n and len(held.rows) > 10 and held.peak < 60e6, held.peak
+
+
+def test_forward_is_counted_in_pieces(spark):
+    class Rows(Here):
+        pass
+
+    fields = {"id": list(range(len(TEXTS))), "ref": ["r"] * len(TEXTS), "hash": [1] * len(TEXTS), "title": [""] * len(TEXTS), "cwd": [None] * len(TEXTS), "text": TEXTS, "low": TEXTS}
+    held = fulltext.forward(Rows(pa.RecordBatch.from_pydict(fields)), True)
+    assert sum(held.rows) == len(TEXTS) and len(held.rows) > 10 and held.peak < 60e6, held.peak
