@@ -5,7 +5,7 @@ import tracemalloc
 import pyarrow as pa
 import pytest
 
-from recollect.operators import batches, fulltext, lexical
+from recollect.operators import batches, embeddings, fulltext, lexical
 
 TEXTS = [" ".join(f"w{(i * 7 + j) % 5000}" for j in range(400)) for i in range(4000)]
 
@@ -61,3 +61,22 @@ def test_forward_is_counted_in_pieces(spark):
     fields = {"id": list(range(len(TEXTS))), "ref": ["r"] * len(TEXTS), "hash": [1] * len(TEXTS), "title": [""] * len(TEXTS), "cwd": [None] * len(TEXTS), "text": TEXTS, "low": TEXTS}
     held = fulltext.forward(Rows(pa.RecordBatch.from_pydict(fields)), True)
     assert sum(held.rows) == len(TEXTS) and len(held.rows) > 10 and held.peak < 60e6, held.peak
+
+
+def test_pairs_are_counted_in_pieces(spark, monkeypatch):
+    class Rows(Here):
+        sparkSession = spark
+
+        def groupBy(self, *_):
+            return self
+
+        def agg(self, *_):
+            return self
+
+    monkeypatch.setattr(embeddings, "PAIRED", 64 << 10)
+    words = {f"w{i}": i for i in range(5000)}
+    held = embeddings.counted(Rows(pa.RecordBatch.from_pydict({"text": TEXTS[:1000]})), words)
+    assert len(held.rows) > 10 and held.peak < 60e6, held.peak
+    texts = ["w1 w2 x w3 w1", None, "w2 w1"]
+    got = {(r["a"], r["b"]): r["n"] for r in embeddings.paired(texts, words).to_pylist()}
+    assert got == {(1, 2): 3, (2, 1): 3, (2, 3): 1, (3, 2): 1, (1, 3): 2, (3, 1): 2, (1, 1): 2}
