@@ -19,21 +19,22 @@ LATIN, CYRILLIC = "abdeiklmnoprstu", "абдеиклмнопрсту"
 #: All chunks with the text they are indexed by.
 MIXED = f"{CHUNKS}, mixed AS (SELECT * REPLACE (CASE WHEN source_name = 'fr' THEN translate(text, '{LATIN}', '{CYRILLIC}') ELSE text END AS text) FROM chunks)"
 WEIGHTS = (4.0, 2.0, 1.0)
-_HELD: dict[tuple[str, str], tuple[tuple, str]] = {}
+_HELD: dict[tuple[str, str], tuple[tuple, str, bool]] = {}
 
 
 def mixed(s: SparkSession, d: str) -> DataFrame:
     return chunks(s, d).withColumn("text", F.when(F.col("source_name") == "fr", F.translate("text", LATIN, CYRILLIC)).otherwise(F.col("text")))
 
 
-def index(s: SparkSession, d: str) -> fulltext.FullText:
-    """The index of mixed(), written when this application first asks for it or its table has changed."""
+def index(s: SparkSession, d: str, substrings: bool = False) -> fulltext.FullText:
+    """The index of mixed(), written when this application first asks for it or its table has changed; with substrings only once a query needs them, as they are most of its bytes."""
     rows = mixed(s, d)
     key, now = (s.sparkContext.applicationId, d), lexical.state(rows)
-    if _HELD.get(key, (None,))[0] != now:
+    held = _HELD.get(key, (None, "", False))
+    if held[0] != now or substrings and not held[2]:
         path = f"{lexical.shared(s)}/fulltext-{uuid.uuid4().hex}"
-        fulltext.FullText.write(rows, path, substrings=True)
-        _HELD[key] = now, path
+        fulltext.FullText.write(rows, path, substrings=substrings)
+        _HELD[key] = now, path, substrings
     return fulltext.FullText.open(s, _HELD[key][1])
 
 
@@ -126,12 +127,12 @@ def _(s, d):
 
 @query("substring_search", f"WITH {MIXED} SELECT id, CAST(100 + 10 * least((length(lower(text)) - length(replace(lower(text), 'he ou', ''))) // 5, 5) AS INT) AS score FROM mixed WHERE contains(lower(text), 'he ou')")
 def _(s, d):
-    return index(s, d).literal(mixed(s, d), "he ou").select("id", "score")
+    return index(s, d, substrings=True).literal(mixed(s, d), "he ou").select("id", "score")
 
 
 @query("substring_short", f"WITH {MIXED} SELECT id, CAST(100 + 10 * least(length(lower(text)) - length(replace(lower(text), 'ß', '')), 5) AS INT) AS score FROM mixed WHERE contains(lower(text), 'ß') ORDER BY id DESC LIMIT 100")
 def _(s, d):
-    return index(s, d).literal(mixed(s, d), "ß", newest=100).select("id", "score")
+    return index(s, d, substrings=True).literal(mixed(s, d), "ß", newest=100).select("id", "score")
 
 
 STATEMENT = """SELECT c.cwd, count(*) AS n, round(min(m.rank), 6) AS best FROM chunks c JOIN fts_match('(de OR де) NOT "de la"') m ON c.id = m.id

@@ -180,3 +180,14 @@ def test_sql_search_refuses(spark, chunks, sql):
     with pytest.raises(sqlapi.Refused):
         sqlapi.run(spark, sql, chunks[0], indexes=chunks[1])
     assert spark._jvm.System.getProperty("pwned") is None
+
+
+def test_runs_of_code_points_are_written_only_for_who_asks(spark, tmp_path):
+    from recollect.plans import fulltexts
+
+    spark.createDataFrame([(i, f"text {i} of the", "en", "src1") for i in range(20)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = fulltexts.index(spark, str(tmp_path))
+    assert not plain.live["substrings"]
+    full = fulltexts.index(spark, str(tmp_path), substrings=True)
+    assert full.live["substrings"] and full.path != plain.path
+    assert fulltexts.index(spark, str(tmp_path)).path == full.path
